@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from marketlens.llm import quality
+from marketlens.llm.store import written
 from marketlens.session import with_checkpoints
 
 
@@ -24,14 +25,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(spark, docs)
+            docs = written(docs)
     return docs
-
-
-def written(spark: SparkSession, frame: DataFrame) -> DataFrame:
-    """Writes a frame as Parquet to a new folder under the shared one and reads it again."""
-    import uuid
-
-    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketlens.llm.store import written
 from marketlens.llm.words import Words, slices, windows
 
 MIN_WORDS = 50
@@ -145,7 +146,7 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     slim = docs.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("text").alias("_text"))
     slim = _rates(slim.mapInArrow(_counted, "_lang string, _source string" + "".join(f", {c} long" for c in _COUNTS)))
     # the sketch is small: written once, so that the limits are not worked out anew for each use
-    limits = thresholds(sketches(slim).checkpoint()).checkpoint()
+    limits = written(thresholds(written(sketches(slim))))
     if limits.count() <= BROADCAST_GROUPS:
         limits = F.broadcast(limits)
     limits = limits.withColumnsRenamed({"_lang": "g_lang", "_source": "g_source"})
