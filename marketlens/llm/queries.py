@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import minhash, phrases, quality
+from marketlens.llm import bpe, minhash, mixing, phrases, quality
 from marketlens.session import with_checkpoints
 
 
@@ -24,6 +24,14 @@ def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(bpe.encoded(_read(spark, sf_dir, "documents"), "word_bpe_49k.json", ["doc_id"]))
+
+
+def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(*mixing.mix_sources(_read(spark, sf_dir, "documents")))
+
+
 def op7_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.without_repeats(_read(spark, sf_dir, "documents"))
 
