@@ -1,20 +1,21 @@
 """Near-duplicate documents by an inverted join over MinHash coordinates.
 
-Every document is a set of 5-word shingles. Its signature has ``COORDINATES`` minima. Two documents with a Jaccard
-similarity of 0.85 agree in at least ``MATCHES`` coordinates but for a chance of about 3e-7, so by the prefix principle
-they share one of the first COORDINATES - MATCHES + 1 of them: only these are posted under (coordinate, value). The
-remaining, longer lists are skipped; a pair that met in a prefix list looks its other coordinates up in the two
-signatures instead. Pairs that reach MATCHES are confirmed on their full shingle sets.
+Every document is a set of 5-word shingles, with a signature of ``COORDINATES`` minima. Documents are posted under
+(coordinate, value) for the first ``PREFIX`` coordinates only. The other, longer lists are skipped: a pair that met in a
+prefix list looks its remaining coordinates up in the two signatures, and stays if ``MATCHES`` of all agree. A pair with
+a Jaccard similarity of 0.85 meets in no prefix list with a chance of 0.15**8 = 3e-7, and falls short of MATCHES with
+about 5e-7; both shrink fast above 0.85. Pairs that stay are confirmed on their full shingle sets.
 
 Groups of copies do not make all pairs:
 
 * documents with equal sets are one class, and only classes are posted;
-* each list is first compared with one hub, its member of least rank; what links to the hub becomes one component;
-* then only members of different components of a list are compared: directly in lists of up to ``SMALL_LIST``, and in
-  blocks of ``BLOCK`` members (only pairs that reach MATCHES are emitted) in longer ones. No pair is left out.
+* each list is first compared with one hub, its most frequent class; what links to it becomes one component;
+* then only members of different components of a list are compared: directly in lists of up to ``SMALL_LIST``. Longer
+  lists are compared in blocks inside tasks that hold the texts of two blocks, confirm pairs there, and emit only
+  links that join two components that were apart. No pair is left out.
 
 Nulls and empty texts: no words, hence an empty set, linked with nothing; a null doc_id takes no part and has a null
-component. Rows that repeat a doc_id are one document, the union of their links.
+component. Rows that repeat a doc_id are one document, with the links of the least of their texts.
 """
 
 from __future__ import annotations
@@ -32,13 +33,15 @@ from marketlens.llm.words import Words, mix, slices, windows
 
 WIDTH = 5
 PERCENT = 85
-COORDINATES = 32
-MATCHES = 16
-PREFIX = COORDINATES - MATCHES + 1
+COORDINATES = 64
+MATCHES = 38
+PREFIX = 8
 SMALL_LIST = 40
-BLOCK = 512
+#: Rows and bytes of text of a block of a long list.
+BLOCK = 1024
+BLOCK_BYTES = 8 << 20
 #: Bytes of text of one hub's members that go to one task together.
-SALT_BYTES = 4 << 20
+SALT_BYTES = 1 << 19
 
 _rng = np.random.default_rng(7)
 _XOR = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -136,22 +139,47 @@ def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a block pair are adjacent; yields pairs of different components that agree in enough coordinates."""
+    """Rows of two blocks of a list are adjacent; yields confirmed pairs that join components that were apart."""
     held: list[pa.RecordBatch] = []
 
     def found(rows: pa.Table) -> pa.RecordBatch:
-        node, comp, size, left = (rows.column(c).to_numpy() for c in ("node", "component", "n_shingles", "left"))
+        node, comp, left = (rows.column(c).to_numpy() for c in ("node", "component", "left"))
+        k = int(rows.column("list")[0].as_py()) >> 32
         sign = rows.column("sign").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+        runs, first = shingle_sets(rows.column("text").combine_chunks())
+        size = np.diff(first)
         one, two = np.flatnonzero(left), np.flatnonzero(~left)
         if not len(two):
             two = one
         same = np.zeros((len(one), len(two)), np.uint8)
-        for k in range(COORDINATES):
-            same += sign[one, k][:, None] == sign[two, k][None, :]
+        earlier = np.zeros(same.shape, bool)
+        for c in range(COORDINATES):
+            same += (equal := sign[one, c][:, None] == sign[two, c][None, :])
+            if c < k:
+                earlier |= equal  # the pair meets in an earlier list as well
         fits = 100 * np.minimum(size[one][:, None], size[two][None, :]) >= PERCENT * np.maximum(size[one][:, None], size[two][None, :])
-        i, j = np.nonzero((same >= MATCHES) & (comp[one][:, None] != comp[two][None, :]) & fits)
-        a, b = node[one[i]], node[two[j]]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        i, j = np.nonzero((same >= MATCHES) & ~earlier & (comp[one][:, None] != comp[two][None, :]) & fits)
+        order = np.argsort(-same[i, j].astype(np.int16), kind="stable")
+        parent: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while (up := parent.get(x, x)) != x:
+                parent[x] = parent.get(up, up)
+                x = up
+            return x
+
+        sets: dict[int, set[int]] = {}
+        got = lambda x: sets.get(x) or sets.setdefault(x, set(runs[first[x] : first[x + 1]].tolist()))
+        a, b = [], []
+        for x, y in zip(one[i[order]].tolist(), two[j[order]].tolist(), strict=True):
+            p, q = top(int(comp[x])), top(int(comp[y]))
+            if p != q:
+                both = len(got(x) & got(y))
+                if 100 * both >= PERCENT * (int(size[x]) + int(size[y]) - both):
+                    parent[p] = q
+                    a.append(int(node[x]))
+                    b.append(int(node[y]))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     last = None
     for batch in batches:
@@ -174,12 +202,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = written(signatures(docs))
-    classes = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("node"), F.first("sign").alias("sign")))
+    classes = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("sign").alias("sign")))
 
-    posted = classes.select("node", F.posexplode(F.slice("sign", 1, PREFIX)).alias("k", "value")).select("node", F.expr("shiftleft(cast(k as long), 32) | (value & 4294967295L)").alias("list"))
-    rank = lambda x: F.struct(F.xxhash64(x).alias("r"), F.col(x).alias("hub"))
-    lists = written(posted.groupBy("list").agg(F.count("*").alias("n"), F.min(rank("node"))["hub"].alias("hub")).where("n > 1"))
-    members = written(posted.join(lists, "list"))
+    posted = classes.select("node", "copies", F.posexplode(F.slice("sign", 1, PREFIX)).alias("k", "value")).select("node", "copies", F.expr("shiftleft(cast(k as long), 32) | (value & 4294967295L)").alias("list"))
+    lists = written(posted.groupBy("list").agg(F.count("*").alias("n"), F.min(F.struct(-F.col("copies"), F.xxhash64("node"), F.col("node").alias("hub")))["hub"].alias("hub")).where("n > 1"))
+    members = written(posted.drop("copies").join(lists, "list"))
     first = written(_candidates(members.select(F.col("hub").alias("a"), F.col("node").alias("b")), classes))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null")
@@ -195,15 +222,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     other = few.select("list", F.col("node").alias("b"), F.col("component").alias("other"))
     near = few.withColumnRenamed("node", "a").join(other, "list").where("a < b and component <> other").select("a", "b")
     near = _candidates(near, classes)
-    blocks = open_.where(F.col("n") > SMALL_LIST).withColumn("of", F.expr(f"1 + n div {BLOCK}")).withColumn("own", F.expr("pmod(xxhash64(node), of)"))
-    dealt = blocks.withColumn("with", F.explode(F.expr("sequence(0L, of - 1)"))).join(classes.select("node", "n_shingles", "sign"), "node")
-    dealt = dealt.select("list", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") <= F.col("with")).alias("left"), "node", "component", "n_shingles", "sign")
-    far = dealt.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(_blocks, "a long, b long").distinct()
-    rest = written(near.unionByName(far).distinct().join(first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"))
-
-    needed = written(rest.select(F.col("a").alias("node")).unionByName(rest.select(F.col("b").alias("node"))).distinct().join(needed, "node", "left_anti"))
-    held = held.unionByName(written(_texts(texts, needed)))
-    links = links.unionByName(confirmed(rest, held))
+    long = open_.where(F.col("n") > SMALL_LIST)
+    tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    near = written(near.join(tested, ["a", "b"], "left_anti"))
+
+    ends = [near.select(F.col(c).alias("node")) for c in ("a", "b")]
+    more = written(ends[0].unionByName(ends[1]).unionByName(long.select("node")).distinct().join(needed, "node", "left_anti"))
+    held = held.unionByName(written(_texts(texts, more)))
+    links = links.unionByName(confirmed(near, held))
+    rows = written(long.join(held, "node").join(classes.select("node", "sign"), "node"))
+    blocks = written(rows.groupBy("list").agg(F.expr(f"1 + greatest(count(*) div {BLOCK}, sum(bytes) div {BLOCK_BYTES})").alias("of")))
+    dealt = rows.join(blocks, "list").withColumn("own", F.expr("pmod(xxhash64(node), of)")).withColumn("with", F.explode(F.expr("sequence(0L, of - 1)")))
+    dealt = dealt.select("list", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") <= F.col("with")).alias("left"), "node", "component", "sign", "text")
+    links = links.unionByName(written(dealt.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(_blocks, "a long, b long")))
     parts = written(components(links))
 
     classes = classes.join(parts, "node", "left").select("high", "low", "n_shingles", F.coalesce("component", "node").alias("found"))
