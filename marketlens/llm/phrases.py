@@ -7,9 +7,10 @@ A word goes if a window of ``WINDOW`` consecutive words that covers it starts an
 2. Confirmation. Only windows with a recurring anchor are posted, by hash; those that occur twice recur. Each is
    assigned to the least text that holds it, where neighbouring windows join to passages.
 3. Automata. Passages are dealt to shards of bounded size. A shard's automaton holds every ``CHUNK``-th run of CHUNK
-   words of its passages, so any window of a passage contains a whole pattern. Texts are routed to the shards that hold
-   one of their recurring anchors and streamed through them in bounded pieces; a hit is extended word by word in the
-   passage, and counts from WINDOW words on. All windows of a passage recur, so this marks exactly the words to remove.
+   words of its passages, so any window of a passage contains a whole pattern. All texts go by the shards that hold
+   one of their recurring anchors, each with the segments made of the windows with such an anchor, and stream through
+   the automaton in bounded pieces. The windows around a hit are confirmed against those of the shard's passages; all
+   of these recur, so this marks exactly the words to remove.
 
 Texts that are equal as a whole are posted once for all of them. Nulls and empty texts have no words and nothing is
 removed; rows with a null or repeated doc_id each get their own result. An empty table gives an empty result.
@@ -111,8 +112,8 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, least, _ = _anchors(words, hashes)
             runs, at = long_windows(hashes, words.first, WINDOW)
             first = np.searchsorted(at, words.first)
-            text, anchors = [], []
-            for i, mine in enumerate(piece.column("windows").to_pylist()):
+            text, anchors, refs = [], [], []
+            for i, (ref, mine) in enumerate(zip(piece.column("ref").to_pylist(), piece.column("windows").to_pylist(), strict=True)):
                 a, b = first[i], first[i + 1]
                 mine = np.array(mine, np.int64).view(np.uint64)
                 # the first place of each window in this text
@@ -122,58 +123,69 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if len(run):
                         text.append(words.text(i, at[a + run[0]] - words.first[i], at[a + run[-1]] - words.first[i] + WINDOW))
                         anchors.append(np.unique(least[at[a + run]]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(text, pa.binary()).cast(pa.string()), pa.array(anchors, pa.list_(pa.int64()))], ["text", "anchors"])
+                        refs.append(ref)
+            yield pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array(text, pa.binary()).cast(pa.string()), pa.array(anchors, pa.list_(pa.int64()))], ["ref", "text", "anchors"])
+
+
+def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts with (anchor, shard) pairs: for each shard, the runs of windows with one of its anchors."""
+    for batch in batches:
+        for piece in slices(batch, "text"):
+            words = Words.of(piece.column("text"))
+            _, least, opens = _anchors(words, words.hashes())
+            out: dict[str, list] = {c: [] for c in ("shard", "ref", "ref2", "start", "text")}
+            for i, (ref, ref2, pairs) in enumerate(zip(*(piece.column(c).to_pylist() for c in ("ref", "ref2", "pairs")), strict=True)):
+                first = words.first[i]
+                anchors = least[first : words.first[i + 1]][opens[first : words.first[i + 1]]]
+                shards: dict[int, list[int]] = {}
+                for pair in pairs:
+                    shards.setdefault(pair["shard"], []).append(pair["anchor"])
+                for shard, mine in shards.items():
+                    places = np.flatnonzero(np.isin(anchors, np.array(mine, np.int64).view(np.uint64)))
+                    for run in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1):
+                        if len(run):
+                            row = (shard, ref, ref2, int(run[0]), words.text(i, int(run[0]), int(run[-1]) + WINDOW))
+                            for column, value in zip(out.values(), row, strict=True):
+                                column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int64()), pa.array(out["ref"], pa.int64()), pa.array(out["ref2"], pa.int32()), pa.array(out["start"], pa.int64()), pa.array(out["text"], pa.binary()).cast(pa.string())], list(out))
 
 
 class _Shard:
-    """The automaton of a shard's passages."""
+    """The automaton of a shard's passages, and the hashes of their windows."""
 
     def __init__(self, passages: list[str]) -> None:
         words = Words.of(pa.array(passages, pa.large_string()))
-        self.hashes, self.first = words.hashes(), words.first
-        self.known = np.unique(self.hashes)
-        symbols = self._symbols(self.hashes)
-        places: dict[str, list[int]] = {}
-        for a, b in zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True):
+        hashes = words.hashes()
+        self.known = np.unique(hashes)
+        self.windows = np.unique(long_windows(hashes, words.first, WINDOW)[0])
+        symbols = self._symbols(hashes)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True):
             for p in range(a, b - CHUNK + 1, CHUNK):
-                places.setdefault(symbols[p : p + CHUNK], []).append(p)
-        self.end = np.repeat(self.first[1:], words.counts)
-        self.begin = np.repeat(self.first[:-1], words.counts)
-        self.automaton = ahocorasick.Automaton()
-        for key, value in places.items():
-            self.automaton.add_word(key, value)
+                self.automaton.add_word(symbols[p : p + CHUNK])
         self.automaton.make_automaton()
 
     def _symbols(self, hashes: np.ndarray) -> str:
-        """Each word as one character (hits are verified, so characters may be shared beyond a million words)."""
+        """Each word as one character (hits are confirmed, so characters may be shared beyond a million words)."""
         at = np.minimum(np.searchsorted(self.known, hashes), max(len(self.known) - 1, 0))
         code = np.where(self.known[at] == hashes, at % 1_000_000 + 2, 1).astype(np.uint32) if len(self.known) else np.ones(len(hashes), np.uint32)
         code[code >= 0xD800] += 0x800
         return code.astype("<u4").tobytes().decode("utf-32-le")
 
     def runs(self, hashes: np.ndarray) -> list[tuple[int, int]]:
-        """The word ranges of a text that match WINDOW words or more of a passage."""
-        found: list[tuple[int, int]] = []
-        upto: dict[int, int] = {}
-        for last, places in self.automaton.iter(self._symbols(hashes)):
-            q = last - CHUNK + 1
-            for p in places:
-                if q < upto.get(p - q, -1):
-                    continue
-                back = min(q, p - int(self.begin[p]))
-                ahead = min(len(hashes) - q, int(self.end[p]) - p)
-                left = _same(hashes[q - back : q][::-1], self.hashes[p - back : p][::-1])
-                right = _same(hashes[q : q + ahead], self.hashes[p : p + ahead])
-                upto[p - q] = q + max(right, 1)
-                if left + right >= WINDOW:
-                    found.append((q - left, q + right))
-        return found
-
-
-def _same(a: np.ndarray, b: np.ndarray) -> int:
-    """How many leading entries agree."""
-    differ = a != b
-    return int(differ.argmax()) if differ.any() else len(a)
+        """The word ranges of a text that are made of windows of the passages."""
+        ends = np.fromiter((last + 1 for last, _ in self.automaton.iter(self._symbols(hashes))), np.int64)
+        mine, _ = long_windows(hashes, np.array([0, len(hashes)]), WINDOW)
+        if not len(ends) or not len(mine):
+            return []
+        # a window of a passage holds a pattern: it starts at most WINDOW words before the pattern's end
+        step = np.zeros(len(mine) + 1, np.int64)
+        np.add.at(step, np.clip(ends - WINDOW, 0, len(mine)), 1)
+        np.add.at(step, np.clip(ends - CHUNK + 1, 0, len(mine)), -1)
+        near = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+        at = np.minimum(np.searchsorted(self.windows, mine[near]), len(self.windows) - 1)
+        good = near[self.windows[at] == mine[near]]
+        return [(int(run[0]), int(run[-1]) + WINDOW) for run in np.split(good, np.flatnonzero(np.diff(good) > 1) + 1) if len(run)]
 
 
 def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,8 +196,8 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ref, ref2, begins, ends = [], [], [], []
             words = Words.of(piece.column("text"))
             hashes = words.hashes()
-            columns = [piece.column(c).to_pylist() for c in ("shard", "salt", "ref", "ref2", "text")]
-            for i, (s, salt, r, r2, text) in enumerate(zip(*columns, strict=True)):
+            columns = [piece.column(c).to_pylist() for c in ("shard", "salt", "ref", "ref2", "start", "text")]
+            for i, (s, salt, r, r2, start, text) in enumerate(zip(*columns, strict=True)):
                 if (s, salt) != key:
                     key, passages, shard = (s, salt), [], None
                 if r is None:
@@ -195,8 +207,8 @@ def _streamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for a, b in _merged(shard.runs(hashes[words.first[i] : words.first[i + 1]])):
                     ref.append(r)
                     ref2.append(r2)
-                    begins.append(a)
-                    ends.append(b)
+                    begins.append(start + a)
+                    ends.append(start + b)
             yield pa.RecordBatch.from_arrays([pa.array(ref, pa.int64()), pa.array(ref2, pa.int32()), pa.array(begins, pa.int64()), pa.array(ends, pa.int64())], ["ref", "ref2", "a", "b"])
 
 
@@ -240,21 +252,21 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     counts = held.select("ref", "n", "hits", "text").mapInArrow(_posted, "window long, ref long, n long")
     assigned = counts.groupBy("window").agg(F.sum("n").alias("n"), F.min("ref").alias("ref")).where("n > 1").groupBy("ref").agg(F.collect_list("window").alias("windows"))
-    passages = written(held.select("ref", "text").join(assigned, "ref").select("text", "windows").mapInArrow(_passages, "text string, anchors array<long>"))
+    passages = written(held.select("ref", "text").join(assigned, "ref").select("ref", "text", "windows").mapInArrow(_passages, "ref long, text string, anchors array<long>"))
 
     size = passages.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = 1 + size // SHARD_BYTES
-    passages = passages.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)))
+    passages = passages.withColumn("shard", F.pmod(F.xxhash64("ref"), F.lit(shards)))
     where = written(passages.select("shard", F.explode("anchors").alias("anchor")).distinct())
-    routes = held.select("ref", "ref2", "bytes", F.explode("hits").alias("anchor")).join(where, "anchor").select("ref", "ref2", "bytes", "shard").distinct()
-    routes = written(routes)
-    salts = written(routes.groupBy("shard").agg(F.expr(f"1 + sum(bytes) div {PIECE_BYTES}").alias("salts")))
-    routed = routes.join(salts, "shard").select("ref", "ref2", "shard", F.expr("pmod(xxhash64(ref, 1), salts)").alias("salt"))
-    texts = held.select("ref", "ref2", "text").join(routed, ["ref", "ref2"]).select("shard", "salt", "ref", "ref2", "text")
-    every = passages.join(salts, "shard").select("shard", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), F.lit(None).cast("long").alias("ref"), F.lit(None).cast("int").alias("ref2"), "text")
+    pairs = held.select("ref", "ref2", F.explode("hits").alias("anchor")).join(where, "anchor").groupBy("ref", "ref2").agg(F.collect_set(F.struct("anchor", "shard")).alias("pairs"))
+    segments = held.select("ref", "ref2", "text").join(pairs, ["ref", "ref2"]).select("ref", "ref2", "text", "pairs").mapInArrow(_segments, "shard long, ref long, ref2 int, start long, text string")
+    segments = written(segments)
+    salts = written(segments.groupBy("shard").agg(F.expr(f"1 + sum(octet_length(text)) div {PIECE_BYTES}").alias("salts")))
+    texts = segments.join(salts, "shard").select("shard", F.expr("pmod(xxhash64(ref, start), salts)").alias("salt"), "ref", "ref2", "start", "text")
+    every = passages.join(salts, "shard").select("shard", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), *[F.lit(None).cast(t).alias(c) for c, t in (("ref", "long"), ("ref2", "int"), ("start", "long"))], "text")
     dealt = every.unionByName(texts).repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("ref").asc_nulls_first())
     runs = written(dealt.mapInArrow(_streamed, "ref long, ref2 int, a long, b long"))
-    dropped(again, where, salts, routes)
+    dropped(again, where, salts, segments)
     return scanned, held, runs
 
 
