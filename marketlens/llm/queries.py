@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, minhash, mixing, phrases, quality
+from marketlens.llm import bpe, mainhtml, minhash, mixing, phrases, preference, quality
 from marketlens.session import with_checkpoints
 
 
@@ -36,9 +36,19 @@ def op7_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.without_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op9_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mainhtml.extracted(_read(spark, sf_dir, "pages"), ["page_id", "url"])
+    return found.select("row.*", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = preference.preference_examples(*preference.pairs_from_conversations(_read(spark, sf_dir, "conversations")))
+    return found.withColumnRenamed("pair", "pair_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_preference": preference.PREFERENCE_SQL}
