@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, mainhtml, minhash, mixing, phrases, preference, quality
+from marketlens.llm import bpe, mainhtml, minhash, mixing, partitions, phrases, preference, quality
 from marketlens.session import with_checkpoints
 
 
@@ -28,6 +28,11 @@ def op4_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(bpe.encoded(_read(spark, sf_dir, "documents"), "word_bpe_49k.json", ["doc_id"]))
 
 
+def op5_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _read(spark, sf_dir, "embeddings")
+    return partitions.nearest(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(*mixing.mix_sources(_read(spark, sf_dir, "documents")))
 
