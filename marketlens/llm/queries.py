@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, hmm, mainhtml, minhash, mixing, partitions, phrases, preference, quality
+from marketlens.llm import bpe, hmm, lines, mainhtml, minhash, mixing, partitions, phrases, preference, quality
 from marketlens.session import with_checkpoints
 
 
@@ -45,6 +45,11 @@ def op7_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.without_repeats(_read(spark, sf_dir, "documents"))
 
 
+def op8_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.without_repeated_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_lines", "n_removed", F.sha2("row.text", 256).alias("kept_sha256"))
+
+
 def op9_line_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mainhtml.extracted(_read(spark, sf_dir, "pages"), ["page_id", "url"])
     return found.select("row.*", "text", F.char_length("text").cast("long").alias("n_chars"))
