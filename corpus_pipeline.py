@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from marketlens.llm import quality
+from marketlens.llm import bpe, lines, minhash, mixing, quality
 from marketlens.llm.store import written
 from marketlens.session import with_checkpoints
 
+VOCABULARY = "word_bpe_49k.json"
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules reject go."""
@@ -15,7 +18,33 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.quality_rules(docs).where("kept").select("row.*")
 
 
-STAGES = [("quality rules", quality_rules)]
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that repeat an earlier line go; documents stay, but for those whose every line was a repeat."""
+    with_checkpoints(spark)
+    found = lines.without_repeated_lines(docs)
+    return found.where("n_removed = 0 or n_removed < n_lines").select("row.*")
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the least doc_id stays. Rows with a null doc_id stay."""
+    with_checkpoints(spark)
+    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    return docs.join(written(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of sources: documents, cut at the end of a source's target, repeated where the target asks for it."""
+    with_checkpoints(spark)
+    return mixing.mixed_documents(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256 of each row of the mix."""
+    rows = bpe.encoded(docs, VOCABULARY, ["doc_id", "lang", "source"])
+    return bpe.digests(rows.withColumn("row", F.col("row").withField("ids", F.col("ids"))))
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("source mix", source_mix), ("encoding", encoding)]
 ORACLE_SQL = None
 
 
