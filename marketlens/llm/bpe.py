@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from marketlens.llm.words import slices
 
 #: Words whose encodings a worker keeps at most; beyond that it starts anew.
-HELD_WORDS = 300_000
+HELD_WORDS = 150_000
+#: Answers about pairs of tokens that a worker keeps at most.
+HELD_PAIRS = 400_000
 END = "</w>"
 _CONTROL = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
@@ -84,7 +86,7 @@ class Encoder:
             return self.whole[token]
         key = (state, token)
         if key not in self.pairs:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > HELD_PAIRS:
                 self.pairs.clear()
             self.pairs[key] = self.fits(None, token) and self.merged([*self.symbols[state], *self.symbols[token]]) == [state, token]
         return self.pairs[key]
