@@ -7,6 +7,9 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def local_session(cores: str = "8", partitions: int = 8, memory: str = "12g") -> SparkSession:
     """A session for tests and benchmarks on one machine."""
     spark = (
@@ -28,6 +31,8 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "12g") ->
 def with_checkpoints(spark: SparkSession) -> SparkSession:
     """Keeps the shared folder that the cluster names in spark.checkpoint.dir; sets one only where there is none."""
     context = spark.sparkContext
+    if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's own default, too many for rows that hold whole texts
+        spark.conf.set(BATCH_ROWS, "1000")
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="marketlens-checkpoints-"))
     return spark
