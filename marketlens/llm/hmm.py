@@ -2,8 +2,8 @@
 
 Words are emitted by latent states. A state emits one of a bounded number of symbols: the ``SYMBOLS`` most frequent
 training words and the end have their own, all other words share one symbol for each ending. A word with a shared
-symbol has the symbol's probability times its own share (count + 1) among that symbol's training words and one unknown
-word, so probabilities of words sum to one.
+symbol has the symbol's probability times its own share: count + 1 for training words, and for all unknown words together
+one more than the number of training words with that ending that were seen once.
 
 * Word counts are summed by Spark over all training texts, and never gathered. Only the ``HELD`` most frequent words
   (16 bytes each) go to every task; counts of other words come by a join with the tokens that need them.
@@ -43,7 +43,9 @@ STRETCH = 64
 TOKENS = 400_000
 #: Distinct words that a task holds before it emits their counts.
 MERGED = 3_000_000
+#: Counts added to starts and moves, and the weight in tokens that a state's emissions give to all states' together.
 SMOOTH = 0.02
+PRIOR = 1000
 
 
 def _endings(words: Words) -> np.ndarray:
@@ -92,6 +94,7 @@ class Lexicon:
     counts: np.ndarray
     symbols: np.ndarray
     log_share: np.ndarray
+    unseen: np.ndarray
     own: int
     ends: int
 
@@ -124,23 +127,26 @@ def lexicon(counts: DataFrame, ends: int) -> tuple[Lexicon, DataFrame]:
     frequent = c >= own
     n = int(frequent.sum())
     symbols = np.where(frequent, np.cumsum(frequent) - 1, n + 1 + endings).astype(np.int32)
-    mass = np.ones(ENDINGS)
+    unseen = np.ones(ENDINGS)
+    for row in counts.where("c = 1").groupBy("ending").agg(F.count("*").alias("n")).collect():  # ENDINGS rows at most
+        unseen[row["ending"]] += row["n"]
+    mass = unseen.copy()
     for row in counts.where(F.col("c") < own).groupBy("ending").agg(F.sum(F.col("c") + 1).alias("n")).collect():  # ENDINGS rows at most
         mass[row["ending"]] += row["n"]
-    return Lexicon(hashes, c.astype(np.int32 if len(c) == 0 or c.max() < 1 << 31 else np.int64), symbols, np.log10(mass), n, ends), counts.where(F.col("c") < least).select("word", "c")
+    return Lexicon(hashes, c.astype(np.int32 if len(c) == 0 or c.max() < 1 << 31 else np.int64), symbols, np.log10(mass), unseen, n, ends), counts.where(F.col("c") < least).select("word", "ending", "c")
 
 
 def _read(docs: DataFrame, lex: Lexicon) -> DataFrame:
     """row, doc_id, held_out, text -> these without the text, n_tokens, n_known, symbols, rare, count_log, share_log.
 
-    count_log: sum of log10(count + 1) of held words; share_log: sum of the shared symbols' log10 mass; rare: hashes of
-    the tokens that the lexicon does not hold.
+    count_log: sum of log10(count + 1) of held words; share_log: sum of the log10 shares of tokens with a shared symbol,
+    as if those that the lexicon does not hold were unknown; rare: the hashes of these.
     """
     held = docs.sparkSession.sparkContext.broadcast(lex)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = held.value
-        logs = np.log10(lex.counts + 1.0)
+        logs, unseen = np.log10(lex.counts + 1.0), np.log10(lex.unseen)
         end_log = math.log10(lex.ends + 1)
         for batch in batches:
             for piece in slices(batch, "text"):
@@ -156,7 +162,7 @@ def _read(docs: DataFrame, lex: Lexicon) -> DataFrame:
                 symbol[known] = lex.symbols[at[known]]
                 shared = symbol > lex.own
                 count_log = np.bincount(owner[known], logs[at[known]], n) + end_log
-                share_log = np.bincount(owner[shared], lex.log_share[endings[shared]], n)
+                share_log = np.bincount(owner[shared], lex.log_share[endings[shared]], n) - np.bincount(owner[~known], unseen[endings[~known]], n)
                 # within the shared symbols a word's own count matters, for the frequent ones it does not
                 own_log = np.bincount(owner[known & shared], logs[at[known & shared]], n)
                 n_known = np.bincount(owner[known], minlength=n) + (lex.ends > 0)
@@ -167,7 +173,7 @@ def _read(docs: DataFrame, lex: Lexicon) -> DataFrame:
                 rare = hashes[~known].view(np.int64)
                 rare_at = np.concatenate([[0], np.cumsum(np.bincount(owner[~known], minlength=n))])
                 lists = lambda offsets, values: pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values))
-                columns = [*(piece.column(k) for k in ("row", "doc_id", "held_out")), pa.array(counts + 1), pa.array(n_known), pa.array(count_log), pa.array(own_log - share_log), lists(np.concatenate([[0], ends]), tokens), lists(rare_at, rare)]
+                columns = [*(piece.column(k) for k in ("row", "doc_id", "held_out")), pa.array(counts + 1, pa.int64()), pa.array(n_known, pa.int64()), pa.array(count_log.astype(float)), pa.array((own_log - share_log).astype(float)), lists(np.concatenate([[0], ends]), tokens), lists(rare_at, rare)]
                 yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "n_known", "count_log", "share_log", "symbols", "rare"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -325,7 +331,10 @@ def trained(read: DataFrame, lex: Lexicon, rounds: int = ROUNDS) -> Model:
         total[np.asarray(got.column("symbol"))] = np.stack([np.asarray(got.column(f"s{s}")) for s in range(k)], 1)
         if not total.any():
             break
-        start, moves, emit = total[lex.size] + SMOOTH, total[lex.size + 1 :] + SMOOTH, total[: lex.size] + SMOOTH
+        start, moves, emit = total[lex.size] + SMOOTH, total[lex.size + 1 :] + SMOOTH, total[: lex.size]
+        emit[lex.own + 1 :] += (lex.unseen / k)[:, None]
+        whole = emit.sum(1) + 1
+        emit = emit + (PRIOR / whole.sum()) * whole[:, None]
         model = Model(start / start.sum(), moves / moves.sum(1)[:, None], emit / emit.sum(0))
     return model
 
@@ -359,10 +368,11 @@ def scored(spark: SparkSession, docs: DataFrame) -> DataFrame:
     paths = _forward(read, model)
     # tokens of words that were seen in training but are not held by the lexicon; unseen words add log10(1)
     rare = read.select("row", F.explode("rare").alias("word")).join(rest, "word")
-    rare = rare.groupBy("row").agg(F.count("*").alias("n"), F.sum(F.log10(F.col("c") + 1)).alias("log")).withColumnRenamed("row", "of")
+    unseen = F.broadcast(spark.createDataFrame(list(enumerate(np.log10(lex.unseen).tolist())), "ending int, unseen double"))  # ENDINGS rows
+    rare = rare.join(unseen, "ending").groupBy("row").agg(F.count("*").alias("n"), F.sum(F.log10(F.col("c") + 1)).alias("log"), F.sum("unseen").alias("unseen")).withColumnRenamed("row", "of")
     extra = F.coalesce("log", F.lit(0.0))
     return paths.join(rare, F.col("row") == F.col("of"), "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("n", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
         (F.col("count_log") + extra - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"),
-        (F.col("path_log") + F.col("share_log") + extra).alias("score"),
+        (F.col("path_log") + F.col("share_log") + extra - F.coalesce("unseen", F.lit(0.0))).alias("score"),
     )
