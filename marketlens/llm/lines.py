@@ -1,6 +1,6 @@
 """Fuzzy line dedup by MinHash, with DataFrame operations alone.
 
-A line's set holds the runs of ``CHARS`` characters that begin where a word begins (shorter at the line's end). Two
+A line's set holds all its runs of ``CHARS`` characters, one from every place (a shorter line is a run itself). Two
 lines are linked if the Jaccard similarity of their sets is ``PERCENT`` percent or more. Of each connected component of
 lines, over the whole table, the first is kept: the least doc_id, then the place in the text. Others are cut out.
 
@@ -38,7 +38,7 @@ AGREE = 9
 BLOCK = 512
 SLOTS = 1 << 22
 WORD = r"[^\x20\x09-\x0D]"
-_SHINGLE = rf"(?s)(?=(.{{1,{CHARS}}})){WORD}+[\x20\x09-\x0D]*"
+_SHINGLE = rf"(?s)(?=(.{{{CHARS}}}|\A.{{1,{CHARS - 1}}}\z))."
 
 
 def shingles(line: str | Column) -> Column:
@@ -62,19 +62,23 @@ def _slots(keys: DataFrame, key: str) -> DataFrame:
 
 def signatures(lines: DataFrame) -> DataFrame:
     """node, m0, m1, ...: minima of seeded hashes over each node's shingles."""
+    # each node's line comes to one place first, so that lines and not the wider minima are shuffled
+    lines = lines.groupBy("node").agg(F.min("line").alias("line"))
     pieces = lines.select("node", F.explode(shingles("line")).alias("piece")).select("node", F.xxhash64("piece").alias("h"))
     low = lambda least: (F.pmod(least, F.lit(1 << 16)) - (1 << 15)).cast("short")
     return pieces.groupBy("node").agg(*[low(F.min(F.hash(F.lit(i), F.col("h")))).alias(f"m{i}") for i in range(MINIMA)])
 
 
-def _similar(one: str, two: str) -> Column:
-    return F.expr(f"{100 + PERCENT} * size(array_intersect({one}, {two})) >= {PERCENT} * (size({one}) + size({two}))")
+def _similar(a: str, b: str) -> Column:
+    """Of lines line_a and line_b, whose sets have n_a and n_b members; the sizes are tested first."""
+    n_a, n_b, both = F.col(f"n_{a}"), F.col(f"n_{b}"), F.size(F.array_intersect(shingles(f"line_{a}"), shingles(f"line_{b}")))
+    return (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)) & ((100 + PERCENT) * both >= PERCENT * (n_a + n_b))
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose exact sets reach the similarity. sets: (node, set)."""
-    one, two = (sets.select(F.col("node").alias(x), F.col("set").alias(f"set_{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").where(_similar("set_a", "set_b")).select("a", "b")
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose exact sets reach the similarity. texts: (node, line, size)."""
+    one, two = (texts.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}"), F.col("size").alias(f"n_{x}")) for x in "ab")
+    return pairs.join(one, "a").join(two, "b").where(_similar("a", "b")).select("a", "b")
 
 
 def line_links(docs: DataFrame) -> DataFrame:
@@ -90,26 +94,27 @@ def line_links(docs: DataFrame) -> DataFrame:
     needed = written(members.select("node").distinct())
     texts = _lines(docs).select("node", "line").join(_slots(needed, "node"), _slot("node") == F.col("slot"), "left_semi")
     texts = texts.join(needed, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line"))
-    sets = written(texts.select("node", F.array_distinct(F.transform(shingles("line"), lambda x: F.xxhash64(x))).alias("set")))
+    # lines and not their sets are dealt, which are several times as large
+    texts = written(texts.select("node", "line", F.size(F.array_distinct(shingles("line"))).alias("size")))
 
     first = written(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    links = written(verified(first, sets))
+    links = written(verified(first, texts))
     parts = written(components(links))
 
     placed = members.join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "n")
-    open_ = written(placed.join(mixed, "band")).join(sets, "node").join(signed, "node")
+    open_ = written(placed.join(mixed, "band")).join(texts, "node").join(signed, "node")
     open_ = open_.withColumn("blocks", F.expr(f"1 + n div {BLOCK}")).withColumn("own", F.expr("pmod(xxhash64(node), blocks)")).withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)")))
     # written, as the optimizer would else try every alias of every minimum in the expression of the band's place
     dealt = written(open_.withColumn("at", F.array_position(bands, F.col("band")).cast("int")))
     dealt = dealt.withColumns({"i": F.least("own", "with"), "j": F.greatest("own", "with")})
-    left = dealt.where("own <= with").select("band", "i", "j", "at", F.col("node").alias("a"), F.col("component").alias("of_a"), F.col("set").alias("set_a"), *[F.col(f"m{i}").alias(f"a{i}") for i in range(MINIMA)])
-    right = dealt.where("own >= with").select("band", "i", "j", F.col("node").alias("b"), F.col("component").alias("of_b"), F.col("set").alias("set_b"), *[F.col(f"m{i}").alias(f"b{i}") for i in range(MINIMA)])
+    left = dealt.where("own <= with").select("band", "i", "j", "at", F.col("node").alias("a"), F.col("component").alias("of_a"), F.col("line").alias("line_a"), F.col("size").alias("n_a"), *[F.col(f"m{i}").alias(f"a{i}") for i in range(MINIMA)])
+    right = dealt.where("own >= with").select("band", "i", "j", F.col("node").alias("b"), F.col("component").alias("of_b"), F.col("line").alias("line_b"), F.col("size").alias("n_b"), *[F.col(f"m{i}").alias(f"b{i}") for i in range(MINIMA)])
     agree = reduce(lambda x, y: x + y, [(F.col(f"a{i}") == F.col(f"b{i}")).cast("int") for i in range(MINIMA)])
     same = [reduce(lambda x, y: x & y, [F.col(f"a{ROWS * i + k}") == F.col(f"b{ROWS * i + k}") for k in range(ROWS)]) for i in range(BANDS)]
     # a pair counts in the first bucket that it meets in
     first_met = F.col("at") == F.coalesce(*[F.when(x, i + 1) for i, x in enumerate(same)])
-    near = left.alias("l").join(right.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j")) & (F.col("of_a") != F.col("of_b")) & ((F.col("l.i") != F.col("l.j")) | (F.col("a") < F.col("b"))) & (agree >= AGREE) & first_met & _similar("set_a", "set_b"))
+    near = left.alias("l").join(right.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j")) & (F.col("of_a") != F.col("of_b")) & ((F.col("l.i") != F.col("l.j")) | (F.col("a") < F.col("b"))) & (agree >= AGREE) & first_met & _similar("a", "b"))
     return links.unionByName(written(near.select("a", "b").distinct()))
 
 

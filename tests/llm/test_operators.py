@@ -248,6 +248,33 @@ def test_lines(docs, rows):
         assert r["row"]["text"] == "\n".join(x for k, x in enumerate(text.split("\n")) if (i, k) not in gone)
 
 
+def kept_lines(texts):
+    """The texts without repeated lines, by brute force: sets of the runs of 8 characters from every place."""
+    all_lines = [(i, k, x) for i, t in texts for k, x in enumerate((t or "").split("\n")) if WORD.search(x)]
+    sets = {x: {x[k : k + 8] for k in range(max(1, len(x) - 7))} for _, _, x in all_lines}
+    where, linked = defaultdict(list), []
+    for x, s in sets.items():
+        both = Counter(o for p in s for o in where[p])
+        linked += [(x, o) for o, k in both.items() if 100 * k >= 80 * (len(s) + len(sets[o]) - k)]
+        for p in s:
+            where[p].append(x)
+    group, first = united(sets, linked), {}
+    for i, k, x in all_lines:
+        first[group[x]] = min(first.get(group[x], (i, k)), (i, k))
+    gone = {(i, k) for i, k, x in all_lines if first[group[x]] != (i, k)}
+    return {i: t and "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in texts}
+
+
+def test_lines_every_place(spark, docs, rows):
+    path = "https://example.org/archive/of/the/very/long/reports/in/one/place/" + "segment-" * 12
+    asian = "".join(chr(0x4E00 + int(k)) for k in np.random.default_rng(4).integers(0, 3000, 120))
+    texts = [(1, "https://example.org/a/report-of-one\nhttps://other.example.net/b/quite-different"), (2, f"{asian[:60]}\n{asian[:8]}{asian[60:]}"), (3, f"{path}2024\n{path}2025"), (4, f"x{asian}\nThatshat ndti.\nThatshat$$$ ndti."), (5, f"short\nshort\n\U0001f600{asian}")]
+    got = {r["doc_id"]: r["text"] for r in lines.without_repeated_lines(made(spark, texts)).select("row.*").collect()}
+    assert got == kept_lines(texts)
+    assert got[1] == texts[0][1] and got[2] == texts[1][1] and got[3] == f"{path}2024" and got[5] == "short"
+    assert {r["doc_id"]: r["text"] for r in lines.without_repeated_lines(docs).select("row.*").collect()} == kept_lines(rows)
+
+
 def test_lines_odd(odd):
     got = lines.without_repeated_lines(odd)
     assert got.select("row.*").columns == odd.columns and got.count() == odd.count()
