@@ -6,8 +6,8 @@ lines, over the whole table, the first is kept: the least doc_id, then the place
 
 * Equal lines are one node, named by a 64-bit hash: among 3e11 distinct lines some 2,400 pairs would share a name.
 * One pass makes each node's signature of ``MINIMA`` minima (their low 16 bits). Nodes that agree on a band of three
-  meet in a bucket. A pair at the threshold meets in none with a chance of 0.488 ** 7 = 0.7 %, at 90 % with
-  0.271 ** 7 = 0.01 %; unlike lines hardly ever meet.
+  meet in a bucket. A pair at the threshold meets in none with a chance of 0.488 ** 14 = 0.004 %, at 90 %
+  with 0.271 ** 14 = 1e-8; unlike lines hardly ever meet.
 * Every bucket is first compared with one hub, its least node. Then only nodes of buckets that still hold several
   components are compared with each other, in blocks, by a join that tests ``AGREE`` minima and then the exact sets, and
   so emits nothing but links between components.
@@ -31,10 +31,10 @@ from marketlens.llm.store import written
 
 PERCENT = 80
 CHARS = 8
-BANDS = 7
+BANDS = 14
 ROWS = 3
 MINIMA = BANDS * ROWS
-AGREE = 9
+AGREE = 18
 BLOCK = 512
 SLOTS = 1 << 22
 WORD = r"[^\x20\x09-\x0D]"

@@ -275,6 +275,16 @@ def test_lines_every_place(spark, docs, rows):
     assert {r["doc_id"]: r["text"] for r in lines.without_repeated_lines(docs).select("row.*").collect()} == kept_lines(rows)
 
 
+def test_lines_at_threshold(spark):
+    rng = np.random.default_rng(6)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    pairs = [(x := letters(400), x[:357] + letters(43)) for _ in range(1500)]
+    size = lambda x: {x[k : k + 8] for k in range(393)}
+    assert all(0.8 <= len(size(x) & size(y)) / len(size(x) | size(y)) < 0.82 for x, y in pairs)
+    got = lines.without_repeated_lines(made(spark, [(k, "\n".join(p)) for k, p in enumerate(pairs)]))
+    assert [r["n_removed"] for r in got.select("n_removed").collect()] == [1] * len(pairs)
+
+
 def test_lines_odd(odd):
     got = lines.without_repeated_lines(odd)
     assert got.select("row.*").columns == odd.columns and got.count() == odd.count()
