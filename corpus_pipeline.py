@@ -26,10 +26,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id stays. Rows with a null doc_id stay."""
+    """Of each group of near duplicates the document with the least doc_id stays; of rows with equal doc_id and text, one.
+    Rows with a null doc_id stay."""
     with_checkpoints(spark)
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(written(gone), "doc_id", "left_anti").select(*docs.columns)
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    # a document is a doc_id with a text, as a doc_id may repeat with other texts
+    named = minhash.near_duplicates(docs.select(key.alias("doc_id"), "text")).select(F.col("doc_id").alias("key"), "component_id").where("key is not null").distinct()
+    named = written(named.join(docs.select("doc_id", key.alias("key")).distinct(), "key"))
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "key")).alias("first"))
+    gone = written(named.join(first, "component_id").where("key <> first.key").select("key"))
+    rows = docs.select(F.struct("*").alias("row"), key.alias("key")).join(gone, "key", "left_anti")
+    again = written(rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    one = rows.join(again, "key").groupBy("key").agg(F.min("row").alias("row"))
+    return rows.join(again, "key", "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

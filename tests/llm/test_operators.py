@@ -323,6 +323,20 @@ def test_preference(spark, data):
     assert sorted(map(tuple, mine.collect())) == sorted(theirs)
 
 
+def test_pipeline_near_dedup(spark):
+    import corpus_pipeline
+
+    words = sentence(11, 300).split()
+    near = " ".join([*words[:-1], "other"])
+    texts = [(1, " ".join(words)), (2, near), (2, sentence(12, 90)), (3, sentence(13, 90)), (3, sentence(13, 90)), (4, ""), (None, near), (5, None), (0, sentence(14, 60)), (9, sentence(14, 60))]
+    docs = made(spark, texts)
+    got = corpus_pipeline.near_dedup(spark, docs, "")
+    order = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    # the near copy and the repeated rows go, and nothing else of their doc_id
+    want = [x for k, x in enumerate(texts) if k not in (1, 4, 9)]
+    assert got.columns == docs.columns and sorted((tuple(r)[:2] for r in got.collect()), key=order) == sorted(want, key=order)
+
+
 def test_pipeline(spark, data):
     import corpus_pipeline
 
