@@ -5,42 +5,55 @@ lines are linked if the Jaccard similarity of their sets is ``PERCENT`` percent
 lines, over the whole table, the first is kept: the least doc_id, then the place in the text. Others are cut out.
 
 * Equal lines are one node, named by a 64-bit hash: among 3e11 distinct lines some 2,400 pairs would share a name.
-* One pass makes each node's signature of ``MINIMA`` minima (their low 16 bits). Nodes that agree on a band of three
-  meet in a bucket. A pair at the threshold meets in none with a chance of 0.488 ** 14 = 0.004 %, at 90 %
-  with 0.271 ** 14 = 1e-8; unlike lines hardly ever meet.
-* Every bucket is first compared with one hub, its least node. Then only nodes of buckets that still hold several
-  components are compared with each other, in blocks, by a join that tests ``AGREE`` minima and then the exact sets, and
-  so emits nothing but links between components.
+* Signatures. A run's hash puts it into one of ``GROUPS`` groups, and each group has ``PER_GROUP`` minima, so a run
+  takes part in 9 minima and not in 36. Every minimum agrees with the chance of the similarity, as always. Three minima
+  are a band, and nodes that agree on a band meet in a bucket. A pair at the threshold meets in none of the 12 with a
+  chance of 0.488 ** 12 = 0.02 %, at 90 % with 0.271 ** 12 = 2e-7; unlike lines hardly ever meet.
+* Every bucket that holds several components is compared with a hub, one of its nodes, in ``ROUNDS`` rounds with
+  another hub each. Then the nodes outside a bucket's largest component are compared with all of other components, in
+  blocks. Comparisons test ``AGREE`` minima first and then the exact sets, and emit nothing but links between components.
 
-Lookups of keys are cut down first by broadcasting which of ``SLOTS`` residues are in use, a bounded table.
+Lookups of keys are cut down by a broadcast bitmap of ``BITS`` bits (8 MB at any size), before the join that decides.
 
 Lines without a word are kept as they are. A null text stays null. Rows with equal doc_id and text count as one document
-and are cut alike; a null doc_id comes first. Empty tables give an empty result. Other columns pass through untouched,
+and are cut alike; a null doc_id comes first. Of equal places in tied lines there are none, as a place is unique. Lines
+and texts of any length are read whole. Empty tables give an empty result. Other columns pass through untouched,
 whatever their names; ``n_chars`` follows the text if it is there.
 """
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.llm.components import components
-from marketlens.llm.store import written
+from marketlens.llm.store import dropped, written
 
 PERCENT = 80
 CHARS = 8
-BANDS = 14
-ROWS = 3
-MINIMA = BANDS * ROWS
+GROUPS = 4
+PER_GROUP = 9
 AGREE = 18
+ROUNDS = 4
 BLOCK = 512
-SLOTS = 1 << 22
+BITS = 1 << 26
+_MAP = 1 << 15  # bits of one bitmap of Spark's bitmap functions
 WORD = r"[^\x20\x09-\x0D]"
 _SHINGLE = rf"(?s)(?=(.{{{CHARS}}}|\A.{{1,{CHARS - 1}}}\z))."
 
 
+def _masks() -> list[int]:
+    """For each minimum of a group: the pattern that hashes are compared with; patterns differ in their first four bits."""
+    dice = random.Random(20)
+    return [(top << 60 | dice.getrandbits(60)) - (1 << 63) for top in dice.sample(range(16), PER_GROUP)]
+
+
+MASKS = _masks()
+
+
 def shingles(line: str | Column) -> Column:
     return F.regexp_extract_all(line, F.lit(_SHINGLE), F.lit(1))
 
@@ -51,22 +64,50 @@ def _lines(docs: DataFrame) -> DataFrame:
     return read.where(F.col("line").rlike(WORD)).withColumn("node", F.xxhash64("line"))
 
 
-def _slot(key: str) -> Column:
-    return F.pmod(F.col(key), F.lit(SLOTS)).cast("int")
+def _place(key: str) -> tuple[Column, Column]:
+    """The bitmap of a key, and its bit there."""
+    bit = F.pmod(F.col(key), F.lit(BITS))
+    return F.shiftright(bit, 15).cast("int"), bit.bitwiseAND(_MAP - 1)
+
 
+def _bitmaps(keys: DataFrame, key: str) -> DataFrame:
+    """(map, bits): which of BITS residues the keys have; BITS // _MAP rows of 4 kB at most."""
+    number, bit = _place(key)
+    rows = keys.select(number.alias("map"), bit.alias("bit")).repartition(min(BITS // _MAP, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "map")
+    return F.broadcast(written(rows.groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits"))))
 
-def _slots(keys: DataFrame, key: str) -> DataFrame:
-    """The residues in use: at most SLOTS rows of an int."""
-    return F.broadcast(written(keys.select(_slot(key).alias("slot")).distinct()))
 
+def _likely(frame: DataFrame, key: str, maps: DataFrame, absent: bool = False) -> DataFrame:
+    """The rows whose key may be among those of the bitmaps; with ``absent``, the others."""
+    number, bit = _place(key)
+    read = frame.withColumns({"map": number, "bit": bit}).join(maps, "map", "left" if absent else "inner")
+    byte = "cast(conv(hex(substring(bits, cast(shiftright(bit, 3) as int) + 1, 1)), 16, 10) as int)"
+    held = F.expr(f"coalesce(getbit({byte}, cast(bit & 7 as int)), 0) = {0 if absent else 1}")
+    return read.where(held).drop("map", "bit", "bits")
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """node, m0, m1, ...: minima of seeded hashes over each node's shingles."""
-    # each node's line comes to one place first, so that lines and not the wider minima are shuffled
-    lines = lines.groupBy("node").agg(F.min("line").alias("line"))
-    pieces = lines.select("node", F.explode(shingles("line")).alias("piece")).select("node", F.xxhash64("piece").alias("h"))
-    low = lambda least: (F.pmod(least, F.lit(1 << 16)) - (1 << 15)).cast("short")
-    return pieces.groupBy("node").agg(*[low(F.min(F.hash(F.lit(i), F.col("h")))).alias(f"m{i}") for i in range(MINIMA)])
+
+def signatures(docs: DataFrame) -> DataFrame:
+    """For each node and group: node, n (its lines), b0, b1, b2 (hashes of its bands), packed (7 bits of each minimum)."""
+    # each node's line comes to one place first, so that a frequent line is read once
+    lines = _lines(docs).groupBy("node").agg(F.min("line").alias("line"), F.count("*").alias("n"))
+    # four bytes a character, so that a run is found without reading the line up to it
+    wide = lines.select("node", "n", F.encode("line", "utf-32").alias("line"))
+    runs = wide.select("node", "n", "line", F.explode(F.expr(f"sequence(1, greatest(1, octet_length(line) - {4 * CHARS - 1}), 4)")).alias("at"))
+    hashed = runs.select("node", "n", F.xxhash64(F.substring("line", F.col("at"), F.lit(4 * CHARS))).alias("h"))
+    minima = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)]
+    signed = hashed.groupBy("node", F.col("h").bitwiseAND(GROUPS - 1).alias("group")).agg(F.max("n").alias("n"), *minima)
+    bands = [F.xxhash64("group", F.lit(k), *[f"m{3 * k + j}" for j in range(3)]).alias(f"b{k}") for k in range(PER_GROUP // 3)]
+    packed = reduce(lambda x, y: x.bitwiseOR(y), [F.shiftleft(F.shiftright(f"m{i}", 20).bitwiseAND(127), 7 * i) for i in range(PER_GROUP)])
+    return signed.select("node", "n", "group", *bands, packed.alias("packed"))
+
+
+def _agree(a: str, b: str) -> Column:
+    """How many minima agree, of the packed columns of both; a group that both lack agrees."""
+    count = []
+    for g in range(GROUPS):
+        other = F.col(f"{a}{g}").bitwiseXOR(F.col(f"{b}{g}"))
+        count += [(other.bitwiseAND(127 << 7 * i) == 0).cast("int") for i in range(PER_GROUP)]
+    return reduce(lambda x, y: x + y, count)
 
 
 def _similar(a: str, b: str) -> Column:
@@ -75,61 +116,95 @@ def _similar(a: str, b: str) -> Column:
     return (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)) & ((100 + PERCENT) * both >= PERCENT * (n_a + n_b))
 
 
+_SIGNS = [f"s{g}" for g in range(GROUPS)]
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose exact sets reach the similarity. texts: (node, line, size)."""
-    one, two = (texts.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}"), F.col("size").alias(f"n_{x}")) for x in "ab")
-    return pairs.join(one, "a").join(two, "b").where(_similar("a", "b")).select("a", "b")
+    """The pairs (a, b and other columns) whose exact sets reach the similarity. texts: (node, line, size, s0, ...)."""
+    for x in "ab":
+        pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("size").alias(f"n_{x}"), *[F.col(s).alias(f"{x}{g}") for g, s in enumerate(_SIGNS)]), x)
+    near = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (_agree("a", "b") >= AGREE)
+    pairs = pairs.where(near).drop(*[f"{x}{g}" for x in "ab" for g in range(GROUPS)])
+    for x in "ab":
+        pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}")), x)
+    return pairs.where(_similar("a", "b")).drop("line_a", "line_b", "n_a", "n_b")
+
+
+def _joined(links: DataFrame) -> DataFrame:
+    """(component, now): for each component that the links (of_a, of_b) join to others, the one that all of them become."""
+    return written(components(links.select(F.col("of_a").alias("a"), F.col("of_b").alias("b"))).select(F.col("node").alias("component"), F.col("component").alias("now")))
+
+
+def _renamed(placed: DataFrame, now: DataFrame) -> DataFrame:
+    return placed.join(now, "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
+
+
+def _mixed(placed: DataFrame) -> DataFrame:
+    """The rows (band, node, component) of buckets that hold several components."""
+    open_ = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
+    return placed.join(open_, "band")
+
+
+def _across(open_: DataFrame, texts: DataFrame) -> DataFrame:
+    """(of_a, of_b): links between components of a bucket, of all its pairs of nodes of different components."""
+    sizes = open_.groupBy("band", "component").agg(F.count("*").alias("n"))
+    # the largest component's nodes are compared with the others', and these with all
+    most = written(sizes.groupBy("band").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n")).select("band", "n", F.col("most.component").alias("largest"), (F.col("n") - F.col("most.n")).alias("others")))
+    rows = written(open_.join(most, "band").join(texts, "node"))
+    at = lambda count: F.expr(f"pmod(xxhash64(node), 1 + {count} div {BLOCK})")
+    all_of = lambda count: F.explode(F.expr(f"sequence(0L, {count} div {BLOCK})"))
+    side = lambda x: [F.col("node").alias(x), F.col("component").alias(f"of_{x}"), F.col("line").alias(f"line_{x}"), F.col("size").alias(f"n_{x}"), *[F.col(s).alias(f"{x}{g}") for g, s in enumerate(_SIGNS)]]
+    left = rows.where("component <> largest").select("band", at("others").alias("i"), all_of("n").alias("j"), *side("a"))
+    right = rows.select("band", all_of("others").alias("i"), at("n").alias("j"), *side("b"), (F.col("component") == F.col("largest")).alias("main"))
+    near = (F.col("of_a") != F.col("of_b")) & (F.col("main") | (F.col("a") < F.col("b"))) & (_agree("a", "b") >= AGREE) & _similar("a", "b")
+    return left.join(right, ["band", "i", "j"]).where(near).select("of_a", "of_b").distinct()
 
 
-def line_links(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> (a, b): linked nodes, enough to connect every component."""
-    signed = written(signatures(_lines(docs)))
-    # as the minima are whole in a band's hash, a pair agrees on a band if it agrees on its minima
-    bands = F.array(*[F.xxhash64(F.lit(i), *[f"m{ROWS * i + k}" for k in range(ROWS)]) for i in range(BANDS)])
-    posted = signed.select("node", F.explode(bands).alias("band"))
-    met = written(posted.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("most")).where("hub < most").drop("most"))
-    likely = posted.join(_slots(met, "band"), _slot("band") == F.col("slot"), "left_semi")
-    members = written(likely.join(met, "band"))
+def line_components(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> (node, component): each line that occurs again or is like another, and its component."""
+    signed = written(signatures(docs))
+    posted = signed.select("node", F.explode(F.array("b0", "b1", "b2")).alias("band"))
+    met = written(posted.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band"))
+    members = written(_likely(posted, "band", _bitmaps(met, "band")).join(met, "band").select("band", "node"))
 
     needed = written(members.select("node").distinct())
-    texts = _lines(docs).select("node", "line").join(_slots(needed, "node"), _slot("node") == F.col("slot"), "left_semi")
-    texts = texts.join(needed, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line"))
+    maps = _bitmaps(needed, "node")
+    packed = _likely(signed, "node", maps).groupBy("node").agg(*[F.coalesce(F.max(F.when(F.col("group") == g, F.col("packed"))), F.lit(-1)).alias(s) for g, s in enumerate(_SIGNS)])
+    lines = _likely(_lines(docs).select("node", "line"), "node", maps).join(needed, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line"))
     # lines and not their sets are dealt, which are several times as large
-    texts = written(texts.select("node", "line", F.size(F.array_distinct(shingles("line"))).alias("size")))
-
-    first = written(members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct())
-    links = written(verified(first, texts))
-    parts = written(components(links))
-
-    placed = members.join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high").select("band", "n")
-    open_ = written(placed.join(mixed, "band")).join(texts, "node").join(signed, "node")
-    open_ = open_.withColumn("blocks", F.expr(f"1 + n div {BLOCK}")).withColumn("own", F.expr("pmod(xxhash64(node), blocks)")).withColumn("with", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    # written, as the optimizer would else try every alias of every minimum in the expression of the band's place
-    dealt = written(open_.withColumn("at", F.array_position(bands, F.col("band")).cast("int")))
-    dealt = dealt.withColumns({"i": F.least("own", "with"), "j": F.greatest("own", "with")})
-    left = dealt.where("own <= with").select("band", "i", "j", "at", F.col("node").alias("a"), F.col("component").alias("of_a"), F.col("line").alias("line_a"), F.col("size").alias("n_a"), *[F.col(f"m{i}").alias(f"a{i}") for i in range(MINIMA)])
-    right = dealt.where("own >= with").select("band", "i", "j", F.col("node").alias("b"), F.col("component").alias("of_b"), F.col("line").alias("line_b"), F.col("size").alias("n_b"), *[F.col(f"m{i}").alias(f"b{i}") for i in range(MINIMA)])
-    agree = reduce(lambda x, y: x + y, [(F.col(f"a{i}") == F.col(f"b{i}")).cast("int") for i in range(MINIMA)])
-    same = [reduce(lambda x, y: x & y, [F.col(f"a{ROWS * i + k}") == F.col(f"b{ROWS * i + k}") for k in range(ROWS)]) for i in range(BANDS)]
-    # a pair counts in the first bucket that it meets in
-    first_met = F.col("at") == F.coalesce(*[F.when(x, i + 1) for i, x in enumerate(same)])
-    near = left.alias("l").join(right.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.i") == F.col("r.i")) & (F.col("l.j") == F.col("r.j")) & (F.col("of_a") != F.col("of_b")) & ((F.col("l.i") != F.col("l.j")) | (F.col("a") < F.col("b"))) & (agree >= AGREE) & first_met & _similar("a", "b"))
-    return links.unionByName(written(near.select("a", "b").distinct()))
+    texts = written(lines.select("node", "line", F.size(F.array_distinct(shingles("line"))).alias("size")).join(packed, "node"))
+
+    named = needed.withColumn("component", F.col("node"))
+    open_ = members.withColumn("component", F.col("node"))
+    for k in range(ROUNDS):
+        # another node of each bucket is least under another mask
+        mask = 0 if k == 0 else MASKS[k]
+        hubs = open_.groupBy("band").agg(F.min(F.col("node").bitwiseXOR(F.lit(mask))).alias("hub")).select("band", F.col("hub").bitwiseXOR(F.lit(mask)).alias("hub"))
+        pairs = open_.join(hubs, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("component").alias("of_b")).distinct()
+        pairs = pairs.join(named.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a").where("of_a <> of_b")
+        now = _joined(verified(pairs, texts))
+        named = written(_renamed(named, now))
+        open_ = written(_mixed(_renamed(open_, now)))
+        if open_.isEmpty():
+            break
+    else:
+        named = written(_renamed(named, _joined(_across(open_, texts))))
+    again = signed.where("n > 1").select("node").distinct()
+    several = named.groupBy("component").agg(F.count("*").alias("of")).where("of > 1").select("component")
+    linked = named.join(several, "component").select("node", "component")
+    found = written(again.join(linked, "node", "full").select("node", F.coalesce("component", "node").alias("component")))
+    dropped(signed, met, members, needed, texts, named)
+    return found
 
 
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> (doc, cut): for each document that loses lines, their places. doc is xxhash64(doc_id, text)."""
-    parts = written(components(line_links(docs)))
-    seen = written(_lines(docs).select("doc_id", "doc", "pos", "node"))
-    slots = _slots(parts, "node")
-    likely = seen.join(slots, _slot("node") == F.col("slot"), "left_semi").join(parts, "node", "left")
-    rest = seen.join(slots, _slot("node") == F.col("slot"), "left_anti").withColumn("component", F.col("node"))
+    found = line_components(docs)
     place = ["doc_id", "doc", "pos"]
-    named = written(likely.select(*place, F.coalesce("component", "node").alias("component")).unionByName(rest.select(*place, "component")))
-    first = named.groupBy("component").agg(F.min(F.struct(*place)).alias("first"), F.count("*").alias("n")).where("n > 1")
-    first = written(first.select("component", "first"))
-    gone = named.join(_slots(first, "component"), _slot("component") == F.col("slot"), "left_semi").join(first, "component").where("doc <> first.doc or pos <> first.pos")
+    seen = _likely(_lines(docs).select(*place, "node"), "node", _bitmaps(found, "node"))
+    named = written(seen.join(found, "node").select(*place, "component"))
+    first = named.groupBy("component").agg(F.min(F.struct(*place)).alias("first"))
+    gone = named.join(first, "component").where("doc <> first.doc or pos <> first.pos")
     return gone.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("cut"))
 
 
@@ -137,12 +212,12 @@ def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """docs with all their columns, the repeated lines cut out of text, in a struct ``row``; with n_lines (lines with a
     word, before) and n_removed."""
     cut = written(repeated_lines(docs))
-    slots = _slots(cut, "doc")
+    maps = _bitmaps(cut, "doc")
     lines = F.split("row.text", "\n")
     count = F.coalesce(F.size(F.filter(lines, lambda x: x.rlike(WORD))), F.lit(0)).cast("long")
     read = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("key"))
-    likely = read.join(slots, _slot("key") == F.col("slot"), "left_semi").join(cut, F.col("key") == F.col("doc"), "left")
-    rest = read.join(slots, _slot("key") == F.col("slot"), "left_anti").withColumn("cut", F.lit(None).cast("array<int>"))
+    likely = _likely(read, "key", maps).join(cut, F.col("key") == F.col("doc"), "left")
+    rest = _likely(read, "key", maps, absent=True).withColumn("cut", F.lit(None).cast("array<int>"))
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("cut"), i)), "\n")
     text = F.when(F.col("cut").isNull(), F.col("row.text")).otherwise(kept)
     both = likely.select("row", "cut").unionByName(rest.select("row", "cut"))

@@ -228,26 +228,6 @@ def test_phrases(docs, rows, odd):
     assert sorted(map(tuple, phrases.without_repeats(odd).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()), key=order) == sorted(brute_repeats(some), key=order)
 
 
-def test_lines(docs, rows):
-    piece = re.compile(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*")
-    all_lines = [(i, k, x) for i, t in rows for k, x in enumerate((t or "").split("\n")) if WORD.search(x)]
-    sets = {x: {x[m.start() : m.start() + 8] for m in piece.finditer(x)} for _, _, x in all_lines}
-    where, linked = defaultdict(list), []
-    for x, s in sets.items():
-        both = Counter(o for p in s for o in where[p])
-        linked += [(x, o) for o, k in both.items() if 100 * k >= 80 * (len(s) + len(sets[o]) - k)]
-        for p in s:
-            where[p].append(x)
-    group = united(sets, linked)
-    first = {}
-    for i, k, x in all_lines:
-        first[group[x]] = min(first.get(group[x], (i, k)), (i, k))
-    gone = {(i, k) for i, k, x in all_lines if first[group[x]] != (i, k)}
-    for r in lines.without_repeated_lines(docs).collect():
-        i, text = r["row"]["doc_id"], dict(rows)[r["row"]["doc_id"]]
-        assert r["row"]["text"] == "\n".join(x for k, x in enumerate(text.split("\n")) if (i, k) not in gone)
-
-
 def kept_lines(texts):
     """The texts without repeated lines, by brute force: sets of the runs of 8 characters from every place."""
     all_lines = [(i, k, x) for i, t in texts for k, x in enumerate((t or "").split("\n")) if WORD.search(x)]
