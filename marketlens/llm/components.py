@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 from marketlens.llm.store import dropped, written
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))")).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges (a, b) are stars: each node hangs on one other at most, and on none if others hang on it."""
+    ends = edges.select(F.col("a").alias("u"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("b").alias("u"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1 and up > 0").isEmpty()
 
 
 def _hung(around: DataFrame, keep: str) -> DataFrame:
     """around: (u, v) pairs; hangs each v that ``keep`` selects on the least of u and its neighbours."""
-    least = written(around.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")))
-    joined = around.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
-    out = written(joined.where(keep).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
-    dropped(least)
-    return out
+    least = around.groupBy(F.col("u").alias("w")).agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    joined = around.join(least, F.col("u") == F.col("w"))
+    return written(joined.where(keep).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct())
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -32,19 +32,14 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and edges with a null end are ignored; repeated edges count once. An empty input gives an empty result.
     """
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    before = _state(edges)
-    while before[0]:
+    while not _settled(edges):
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         large = _hung(both, "v > u")
         # each node and its lesser neighbours; the node itself is hung on the least as well
         down = large.select(F.col("a").alias("u"), F.col("b").alias("v"))
-        least = written(down.groupBy("u").agg(F.min("v").alias("m")))
+        least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w")).select(F.col("v").alias("a"), F.col("m").alias("b"))
-        small = small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        small = written(small)
-        dropped(edges, large, least)
-        edges, after = small, _state(small)
-        if after == before:
-            break
-        before = after
+        small = written(small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct())
+        dropped(edges, large)
+        edges = small
     return edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -42,7 +42,6 @@ BLOCK = 512
 BITS = 1 << 26
 _MAP = 1 << 15  # bits of one bitmap of Spark's bitmap functions
 WORD = r"[^\x20\x09-\x0D]"
-_SHINGLE = rf"(?s)(?=(.{{{CHARS}}}|\A.{{1,{CHARS - 1}}}\z))."
 
 
 def _masks() -> list[int]:
@@ -54,8 +53,24 @@ def _masks() -> list[int]:
 MASKS = _masks()
 
 
-def shingles(line: str | Column) -> Column:
-    return F.regexp_extract_all(line, F.lit(_SHINGLE), F.lit(1))
+def _wide(line: str) -> Column:
+    """A line with four bytes for each character, so that a run is found without reading the line up to it."""
+    return F.encode(line, "utf-32")
+
+
+def _starts(wide: Column) -> Column:
+    """Where the runs of a wide line start; a shorter line is one run."""
+    return F.sequence(F.lit(1), F.greatest(F.lit(1), F.octet_length(wide) - (4 * CHARS - 1)), F.lit(4))
+
+
+def _run(wide: Column, at: Column) -> Column:
+    return F.xxhash64(F.substring(wide, at, F.lit(4 * CHARS)))
+
+
+def shingles(wide: str | Column) -> Column:
+    """The 64-bit hashes of a wide line's runs; two runs share one with a chance of 5e-20."""
+    # in an array of one, as a column's bytes would be copied for every run
+    return F.transform(F.array(wide), lambda w: F.transform(_starts(w), lambda at: _run(w, at)))[0]
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -90,10 +105,8 @@ def signatures(docs: DataFrame) -> DataFrame:
     """For each node and group: node, n (its lines), b0, b1, b2 (hashes of its bands), packed (7 bits of each minimum)."""
     # each node's line comes to one place first, so that a frequent line is read once
     lines = _lines(docs).groupBy("node").agg(F.min("line").alias("line"), F.count("*").alias("n"))
-    # four bytes a character, so that a run is found without reading the line up to it
-    wide = lines.select("node", "n", F.encode("line", "utf-32").alias("line"))
-    runs = wide.select("node", "n", "line", F.explode(F.expr(f"sequence(1, greatest(1, octet_length(line) - {4 * CHARS - 1}), 4)")).alias("at"))
-    hashed = runs.select("node", "n", F.xxhash64(F.substring("line", F.col("at"), F.lit(4 * CHARS))).alias("h"))
+    wide = lines.select("node", "n", _wide("line").alias("wide"))
+    hashed = wide.select("node", "n", "wide", F.explode(_starts(F.col("wide"))).alias("at")).select("node", "n", _run(F.col("wide"), F.col("at")).alias("h"))
     minima = [F.min(F.col("h").bitwiseXOR(F.lit(m))).alias(f"m{i}") for i, m in enumerate(MASKS)]
     signed = hashed.groupBy("node", F.col("h").bitwiseAND(GROUPS - 1).alias("group")).agg(F.max("n").alias("n"), *minima)
     bands = [F.xxhash64("group", F.lit(k), *[f"m{3 * k + j}" for j in range(3)]).alias(f"b{k}") for k in range(PER_GROUP // 3)]
@@ -111,8 +124,8 @@ def _agree(a: str, b: str) -> Column:
 
 
 def _similar(a: str, b: str) -> Column:
-    """Of lines line_a and line_b, whose sets have n_a and n_b members; the sizes are tested first."""
-    n_a, n_b, both = F.col(f"n_{a}"), F.col(f"n_{b}"), F.size(F.array_intersect(shingles(f"line_{a}"), shingles(f"line_{b}")))
+    """Of lines wide_a and wide_b, whose sets have n_a and n_b members; the sizes are tested first."""
+    n_a, n_b, both = F.col(f"n_{a}"), F.col(f"n_{b}"), F.size(F.array_intersect(shingles(f"wide_{a}"), shingles(f"wide_{b}")))
     return (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)) & ((100 + PERCENT) * both >= PERCENT * (n_a + n_b))
 
 
@@ -120,14 +133,14 @@ _SIGNS = [f"s{g}" for g in range(GROUPS)]
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b and other columns) whose exact sets reach the similarity. texts: (node, line, size, s0, ...)."""
+    """The pairs (a, b and other columns) whose exact sets reach the similarity. texts: (node, wide, size, s0, ...)."""
     for x in "ab":
         pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("size").alias(f"n_{x}"), *[F.col(s).alias(f"{x}{g}") for g, s in enumerate(_SIGNS)]), x)
     near = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (_agree("a", "b") >= AGREE)
     pairs = pairs.where(near).drop(*[f"{x}{g}" for x in "ab" for g in range(GROUPS)])
     for x in "ab":
-        pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("line").alias(f"line_{x}")), x)
-    return pairs.where(_similar("a", "b")).drop("line_a", "line_b", "n_a", "n_b")
+        pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("wide").alias(f"wide_{x}")), x)
+    return pairs.where(_similar("a", "b")).drop("wide_a", "wide_b", "n_a", "n_b")
 
 
 def _joined(links: DataFrame) -> DataFrame:
@@ -139,10 +152,10 @@ def _renamed(placed: DataFrame, now: DataFrame) -> DataFrame:
     return placed.join(now, "component", "left").withColumn("component", F.coalesce("now", "component")).drop("now")
 
 
-def _mixed(placed: DataFrame) -> DataFrame:
-    """The rows (band, node, component) of buckets that hold several components."""
-    open_ = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("band")
-    return placed.join(open_, "band")
+def _mixed(placed: DataFrame, over: int) -> DataFrame:
+    """The rows (band, node, component) of buckets that hold several components and more than ``over`` nodes."""
+    open_ = placed.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where(f"low < high and n > {over}").select("band")
+    return placed.join(open_, "band").select("band", "node", "component")
 
 
 def _across(open_: DataFrame, texts: DataFrame) -> DataFrame:
@@ -153,7 +166,7 @@ def _across(open_: DataFrame, texts: DataFrame) -> DataFrame:
     rows = written(open_.join(most, "band").join(texts, "node"))
     at = lambda count: F.expr(f"pmod(xxhash64(node), 1 + {count} div {BLOCK})")
     all_of = lambda count: F.explode(F.expr(f"sequence(0L, {count} div {BLOCK})"))
-    side = lambda x: [F.col("node").alias(x), F.col("component").alias(f"of_{x}"), F.col("line").alias(f"line_{x}"), F.col("size").alias(f"n_{x}"), *[F.col(s).alias(f"{x}{g}") for g, s in enumerate(_SIGNS)]]
+    side = lambda x: [F.col("node").alias(x), F.col("component").alias(f"of_{x}"), F.col("wide").alias(f"wide_{x}"), F.col("size").alias(f"n_{x}"), *[F.col(s).alias(f"{x}{g}") for g, s in enumerate(_SIGNS)]]
     left = rows.where("component <> largest").select("band", at("others").alias("i"), all_of("n").alias("j"), *side("a"))
     right = rows.select("band", all_of("others").alias("i"), at("n").alias("j"), *side("b"), (F.col("component") == F.col("largest")).alias("main"))
     near = (F.col("of_a") != F.col("of_b")) & (F.col("main") | (F.col("a") < F.col("b"))) & (_agree("a", "b") >= AGREE) & _similar("a", "b")
@@ -170,21 +183,21 @@ def line_components(docs: DataFrame) -> DataFrame:
     needed = written(members.select("node").distinct())
     maps = _bitmaps(needed, "node")
     packed = _likely(signed, "node", maps).groupBy("node").agg(*[F.coalesce(F.max(F.when(F.col("group") == g, F.col("packed"))), F.lit(-1)).alias(s) for g, s in enumerate(_SIGNS)])
-    lines = _likely(_lines(docs).select("node", "line"), "node", maps).join(needed, "node", "left_semi").groupBy("node").agg(F.min("line").alias("line"))
+    lines = _likely(_lines(docs).select("node", "line"), "node", maps).join(needed, "node", "left_semi").groupBy("node").agg(F.min(_wide("line")).alias("wide"))
     # lines and not their sets are dealt, which are several times as large
-    texts = written(lines.select("node", "line", F.size(F.array_distinct(shingles("line"))).alias("size")).join(packed, "node"))
+    texts = written(lines.select("node", "wide", F.size(F.array_distinct(shingles("wide"))).alias("size")).join(packed, "node"))
 
     named = needed.withColumn("component", F.col("node"))
     open_ = members.withColumn("component", F.col("node"))
     for k in range(ROUNDS):
-        # another node of each bucket is least under another mask
-        mask = 0 if k == 0 else MASKS[k]
+        # the least node, the greatest (then buckets of three are done), and what is least under other masks
+        mask = (0, -1, MASKS[2], MASKS[3])[k]
         hubs = open_.groupBy("band").agg(F.min(F.col("node").bitwiseXOR(F.lit(mask))).alias("hub")).select("band", F.col("hub").bitwiseXOR(F.lit(mask)).alias("hub"))
         pairs = open_.join(hubs, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("component").alias("of_b")).distinct()
         pairs = pairs.join(named.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a").where("of_a <> of_b")
         now = _joined(verified(pairs, texts))
         named = written(_renamed(named, now))
-        open_ = written(_mixed(_renamed(open_, now)))
+        open_ = written(_mixed(_renamed(open_, now), min(k + 2, 3)))
         if open_.isEmpty():
             break
     else:
