@@ -3,11 +3,20 @@
 For a prefix of a word's symbols, the state is the last token of the prefix's encoding. It is the only token that ends
 the prefix and is compatible with the state where it begins: encoding the two together gives the two. So the encodings
 of all prefixes of a word follow from one state per symbol, and words with a common prefix share the states of that
-prefix. A task sorts its new distinct words, which is the trie's depth-first order, and keeps the states of the current
-path on a stack. The encoding of a word is read off by walking the states back.
+prefix. A worker keeps the trie with the state of every node, across batches and tasks, and a new word is inserted below
+the longest prefix that is there, so each prefix is encoded once. Words of a batch are inserted in sorted order, the
+trie's depth-first order. The encoding of a word is read off by walking the states back.
+
+Only distinct words are encoded. A text is first cut at ASCII white space, which no word and no normalisation crosses.
+Its pieces are found and hashed for a whole batch at once, distinct pieces are looked up by their 64-bit hash in a table
+of encodings, and the ids of the texts are gathered from it (two of a million distinct pieces in a worker share a hash
+with a chance of 3e-8).
 
 Texts are split and normalised as the vocabulary file says (NFC, lower case, white space dropped); the strings of the
-special tokens in a text give their ids. A null text is empty: no ids. Texts of any length are encoded whole.
+special tokens in a text give their ids. Letter classes and cases come from the regex and unicodedata modules: code
+points that are not assigned in their version of Unicode (15.1 and before) may split otherwise than in the tokenizers
+library. A null text is empty: no ids. Texts of any length are encoded whole, repeated rows each by itself. An empty
+table gives an empty result. Columns to carry are held in a struct, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -22,10 +31,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.words import slices
+from marketlens.llm.words import Words, slices
 
-#: Words whose encodings a worker keeps at most; beyond that it starts anew.
+#: Words and pieces whose encodings a worker keeps, and nodes of its trie, at most; beyond that it starts anew.
 HELD_WORDS = 150_000
+HELD_PIECES = 1_000_000
+HELD_NODES = 400_000
 #: Answers about pairs of tokens that a worker keeps at most.
 HELD_PAIRS = 400_000
 END = "</w>"
@@ -51,17 +62,25 @@ class Encoder:
         made = {new: pair for pair, (_, new) in self.merges.items()}
         for i in sorted(self.ids.values()):
             self._spell(i, made)
+        self.rank = {new: rank for rank, new in self.merges.values()}
+        #: Of the tokens with a given ending of up to three letters: the length of the longest.
         self.longest: dict[str, int] = {}
         for t in self.ids:
             body = t.removesuffix(END)
-            key = body[-1:] + (END if t != body else "")
-            self.longest[key] = max(self.longest.get(key, 0), len(body))
+            end = END if t != body else ""
+            for k in range(1, min(3, len(body)) + 1):
+                self.longest[body[-k:] + end] = max(self.longest.get(body[-k:] + end, 0), len(body))
+        self.made = made
         self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
         self.split = regex.compile("(" + "|".join(regex.escape(t) for t in self.special) + ")") if self.special else None
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
         self.byte = _byte_alphabet()
-        self.held: dict[str, tuple[bytes, str]] = {t: (np.int32(i).tobytes(), t) for t, i in self.special.items()}
+        self.shown = {i: f"{t} ".encode() for i, t in self.names.items()}
+        self.root: list = [{}, -1, 0]
+        self.nodes = 0
+        self.held: dict[str, tuple[int, ...]] = {t: (i,) for t, i in self.special.items()}
+        self.pieces = _Pieces()
 
     def _spell(self, i: int, made: dict[int, tuple[int, int]]) -> tuple[int, ...]:
         if i not in self.symbols:
@@ -85,46 +104,63 @@ class Encoder:
                 self.whole[token] = self.merged(list(self.symbols[token])) == [token]
             return self.whole[token]
         key = (state, token)
-        if key not in self.pairs:
+        found = self.pairs.get(key)
+        if found is None:
             if len(self.pairs) > HELD_PAIRS:
                 self.pairs.clear()
-            self.pairs[key] = self.fits(None, token) and self.merged([*self.symbols[state], *self.symbols[token]]) == [state, token]
-        return self.pairs[key]
+            found = self.pairs[key] = self.fits(None, token) and self._apart(state, token)
+        return found
+
+    def _apart(self, a: int, b: int) -> bool:
+        """Whether no merge joins symbols of a and b: the merges that made both are undone at their border, the latest
+        first, and a merge over the border counts if it comes before the one undone last (in a tie, the left one)."""
+        limit = 1 << 60
+        while True:
+            over = self.merges.get((a, b))
+            if over and over[0] < limit:
+                return False
+            left, right = self.rank.get(a, -1), self.rank.get(b, -1)
+            if left > right:
+                limit, a = left, self.made[a][1]
+            elif right >= 0:
+                limit, b = right + 1, self.made[b][0]
+            else:
+                return True
 
-    def last(self, word: str, n: int, states: list[tuple[int, int]], end: str) -> tuple[int, int]:
-        """The last token of the encoding of word[:n], and its length; states[i] holds that of word[:i]."""
-        key = word[n - 1] + end
-        for size in range(min(n, self.longest.get(key, 1)), 0, -1):
+    def last(self, word: str, n: int, path: list[list], end: str) -> tuple[int, int]:
+        """The last token of the encoding of word[:n], and its length; path[i] is the node of word[:i]."""
+        most = 1
+        for k in (3, 2):
+            if n >= k:
+                # no token has this ending of k letters: those that fit are shorter
+                most = self.longest.get(word[n - k : n] + end, 0)
+                if most:
+                    break
+                most = k - 1
+        for size in range(min(n, most), 0, -1):
             token = self.ids.get(word[n - size : n] + end)
-            if token is not None and self.fits(states[n - size][0] if n > size else None, token):
+            if token is not None and self.fits(path[n - size][1] if n > size else None, token):
                 return token, size
         raise ValueError(f"no token ends {word[:n]!r}")
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes distinct words (in byte letters) by one walk over their trie."""
-        path, states = "", [(-1, 0)]
-        for word in sorted(words):
-            common = 0
-            for x, y in zip(path, word, strict=False):
-                if x != y:
-                    break
-                common += 1
-            inner = len(word) - 1
-            del states[min(common, inner) + 1 :]
-            for n in range(len(states), inner + 1):
-                states.append(self.last(word, n, states, ""))
-            path = word[:inner]
-            ids = []
-            token, size = self.last(word, len(word), states, END)
-            at = len(word)
-            while True:
-                ids.append(token)
-                at -= size
-                if not at:
-                    break
-                token, size = states[at]
-            ids.reverse()
-            self.held[word] = (np.array(ids, np.int32).tobytes(), " ".join(self.names[i] for i in ids))
+    def encode_word(self, word: str) -> tuple[int, ...]:
+        """Inserts a word (in byte letters) into the trie: a node is its children, its last token and that one's length."""
+        path = [self.root]
+        for n in range(1, len(word)):
+            children, letter = path[-1][0], word[n - 1]
+            node = children.get(letter)
+            if node is None:
+                node = children[letter] = [{}, *self.last(word, n, path, "")]
+                self.nodes += 1
+            path.append(node)
+        token, size = self.last(word, len(word), path, END)
+        ids, at = [token], len(word) - size
+        while at:
+            _, token, size = path[at]
+            ids.append(token)
+            at -= size
+        ids.reverse()
+        return tuple(ids)
 
     def words(self, text: str) -> list[str]:
         """The words of a text in byte letters, and special tokens as they are."""
@@ -140,21 +176,71 @@ class Encoder:
                 out += [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self.byte) for w in self.pattern.findall(low)]
         return out
 
-    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[str]]:
-        """Ids of each text as 32-bit integers, and the text decoded from them."""
-        split = [self.words(t or "") for t in texts]
+    def learn(self, pieces: list[str]) -> tuple[list[list[int]], list[bytes]]:
+        """The ids of new pieces, and their tokens as bytes, each followed by a space."""
+        split = [self.words(x) for x in pieces]
         new = set().union(*split) - self.held.keys()
-        if len(self.held) + len(new) > HELD_WORDS:
-            self.held = {t: (np.int32(i).tobytes(), t) for t, i in self.special.items()}
+        if len(self.held) + len(new) > HELD_WORDS or self.nodes > HELD_NODES:
+            self.held = {t: (i,) for t, i in self.special.items()}
+            self.root, self.nodes = [{}, -1, 0], 0
             new = set().union(*split) - self.held.keys()
-        self.learn(new)
-        held = self.held
-        ids, decoded = [], []
-        for words in split:
-            got = [held[w] for w in words]
-            ids.append(b"".join([x for x, _ in got]))
-            decoded.append(" ".join([y for _, y in got]))
-        return ids, decoded
+        for word in sorted(new):
+            self.held[word] = self.encode_word(word)
+        ids = [[i for w in words for i in self.held[w]] for words in split]
+        return ids, [b"".join([self.shown[i] for i in x]) for x in ids]
+
+    def encode(self, texts: pa.Array) -> tuple[pa.ListArray, pa.Array]:
+        """Ids of each text, and the text decoded from them."""
+        found = Words.of(texts)
+        values, first, which = np.unique(found.hashes(), return_index=True, return_inverse=True)
+        if len(self.pieces.keys) + len(values) > HELD_PIECES:
+            self.pieces = _Pieces()
+        new = np.flatnonzero(self.pieces.places(values) < 0)
+        if len(new):
+            raw = found.data.tobytes()
+            self.pieces.add(values[new], *self.learn([raw[a:b].decode() for a, b in zip(found.start[first[new]].tolist(), found.end[first[new]].tolist(), strict=True)]))
+        places = self.pieces.places(values)[which]
+        ids, ends = _gathered(self.pieces.ids, self.pieces.id_ends, places, found.first)
+        shown, cuts = _gathered(self.pieces.shown, self.pieces.shown_ends, places, found.first)
+        # the space after a text's last token goes
+        keep = np.ones(len(shown), bool)
+        keep[cuts[1:][np.diff(cuts) > 0] - 1] = False
+        offsets = cuts - np.concatenate([[0], np.cumsum(np.diff(cuts) > 0)])
+        decoded = pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(shown[keep]))
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids)), decoded
+
+
+class _Pieces:
+    """Encodings by a piece's hash: sorted keys, their places, and flat arrays of ids and of token bytes."""
+
+    def __init__(self) -> None:
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.id_ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.shown, self.shown_ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        k = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[k] == keys, self.at[k], -1)
+
+    def add(self, keys: np.ndarray, ids: list[list[int]], shown: list[bytes]) -> None:
+        at = np.concatenate([self.at, len(self.at) + np.arange(len(keys))])
+        keys = np.concatenate([self.keys, keys])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.at = keys[order], at[order]
+        self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], np.int32)])
+        self.id_ends = np.concatenate([self.id_ends, self.id_ends[-1] + np.cumsum([len(x) for x in ids])])
+        self.shown = np.concatenate([self.shown, np.frombuffer(b"".join(shown), np.uint8)])
+        self.shown_ends = np.concatenate([self.shown_ends, self.shown_ends[-1] + np.cumsum([len(x) for x in shown])])
+
+
+def _gathered(flat: np.ndarray, ends: np.ndarray, places: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """flat[ends[p] : ends[p + 1]] for all places one after another, and where those of each text begin."""
+    starts, sizes = ends[places], ends[places + 1] - ends[places]
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(upto[-1]) + np.repeat(starts - upto[:-1], sizes)
+    return flat[at], upto[first]
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -186,10 +272,8 @@ def encoded(docs: DataFrame, name: str, carry: list[str]) -> DataFrame:
         coder = encoder(public_tokenizers.path(name))
         for batch in batches:
             for piece in slices(batch, "text"):
-                ids, decoded = coder.encode(piece.column("text").to_pylist())
-                ends = np.cumsum([0, *(len(x) // 4 for x in ids)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-                yield pa.RecordBatch.from_arrays([piece.column("row"), lists, pa.array(decoded, pa.string())], ["row", "ids", "decoded"])
+                ids, decoded = coder.encode(piece.column("text"))
+                yield pa.RecordBatch.from_arrays([piece.column("row"), ids, decoded], ["row", "ids", "decoded"])
 
     read = docs.select(F.struct(*carry).alias("row"), "text")
     return read.mapInArrow(run, f"row {read.schema['row'].dataType.simpleString()}, ids array<int>, decoded string")
