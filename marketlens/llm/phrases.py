@@ -6,14 +6,17 @@ A word goes if a window of ``WINDOW`` consecutive words that covers it starts an
    anchors. Each text posts its anchors (about one for eleven words), and anchors that occur once are dropped.
 2. Confirmation. Only windows with a recurring anchor are posted, by hash; those that occur twice recur. Each is
    assigned to the least text that holds it, where neighbouring windows join to passages.
-3. Automata. Passages are dealt to shards of bounded size. A shard's automaton holds every ``CHUNK``-th run of CHUNK
-   words of its passages, so any window of a passage contains a whole pattern. All texts go by the shards that hold
-   one of their recurring anchors, each with the segments made of the windows with such an anchor, and stream through
-   the automaton in bounded pieces. The windows around a hit are confirmed against those of the shard's passages; all
-   of these recur, so this marks exactly the words to remove.
+3. Automata. An anchor belongs to the least text whose passages hold it, and a shard to many such texts; so each anchor
+   lies in one shard, and a passage, cut where the shard of its anchors changes, mostly stays in one piece. A shard's
+   automaton holds every ``CHUNK``-th run of CHUNK words of its pieces, so any window of a piece contains a whole
+   pattern. Every text, cut in the same way, streams through the automata of its anchors in bounded pieces. Nothing is
+   lost by the cut: a window can only recur where its anchor does, and each window with a recurring anchor goes whole
+   to the one shard that holds all recurring windows of that anchor. The windows around a hit are confirmed against
+   those of the shard's passages; all of these recur, so this marks exactly the words to remove.
 
 Texts that are equal as a whole are posted once for all of them. Nulls and empty texts have no words and nothing is
-removed; rows with a null or repeated doc_id each get their own result. An empty table gives an empty result.
+removed; rows with a null or repeated doc_id each get their own result. Texts of any length are read whole. An empty
+table gives an empty result. Columns other than doc_id and text are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -112,7 +115,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _, least, _ = _anchors(words, hashes)
             runs, at = long_windows(hashes, words.first, WINDOW)
             first = np.searchsorted(at, words.first)
-            text, anchors, refs = [], [], []
+            text, anchors, refs, starts = [], [], [], []
             for i, (ref, mine) in enumerate(zip(piece.column("ref").to_pylist(), piece.column("windows").to_pylist(), strict=True)):
                 a, b = first[i], first[i + 1]
                 mine = np.array(mine, np.int64).view(np.uint64)
@@ -124,29 +127,32 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         text.append(words.text(i, at[a + run[0]] - words.first[i], at[a + run[-1]] - words.first[i] + WINDOW))
                         anchors.append(np.unique(least[at[a + run]]).view(np.int64))
                         refs.append(ref)
-            yield pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array(text, pa.binary()).cast(pa.string()), pa.array(anchors, pa.list_(pa.int64()))], ["ref", "text", "anchors"])
+                        starts.append(int(at[a + run[0]] - words.first[i]))
+            yield pa.RecordBatch.from_arrays([pa.array(refs, pa.int64()), pa.array(starts, pa.int64()), pa.array(text, pa.binary()).cast(pa.string()), pa.array(anchors, pa.list_(pa.int64()))], ["ref", "start", "text", "anchors"])
 
 
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts with (anchor, shard) pairs: for each shard, the runs of windows with one of its anchors."""
+    """Texts with (anchor, shard) pairs: the runs of windows whose anchors are in one shard."""
     for batch in batches:
         for piece in slices(batch, "text"):
             words = Words.of(piece.column("text"))
             _, least, opens = _anchors(words, words.hashes())
             out: dict[str, list] = {c: [] for c in ("shard", "ref", "ref2", "start", "text")}
-            for i, (ref, ref2, pairs) in enumerate(zip(*(piece.column(c).to_pylist() for c in ("ref", "ref2", "pairs")), strict=True)):
-                first = words.first[i]
-                anchors = least[first : words.first[i + 1]][opens[first : words.first[i + 1]]]
-                shards: dict[int, list[int]] = {}
-                for pair in pairs:
-                    shards.setdefault(pair["shard"], []).append(pair["anchor"])
-                for shard, mine in shards.items():
-                    places = np.flatnonzero(np.isin(anchors, np.array(mine, np.int64).view(np.uint64)))
-                    for run in np.split(places, np.flatnonzero(np.diff(places) > 1) + 1):
-                        if len(run):
-                            row = (shard, ref, ref2, int(run[0]), words.text(i, int(run[0]), int(run[-1]) + WINDOW))
-                            for column, value in zip(out.values(), row, strict=True):
-                                column.append(value)
+            pairs = piece.column("pairs")
+            ends, flat = np.asarray(pairs.offsets) - pairs.offsets[0].as_py(), pairs.flatten()
+            known, shards = (np.asarray(flat.field(c)) for c in ("anchor", "shard"))
+            for i, (ref, ref2) in enumerate(zip(piece.column("ref").to_pylist(), piece.column("ref2").to_pylist(), strict=True)):
+                first, mine = words.first[i], slice(ends[i], ends[i + 1])
+                order = np.argsort(known[mine])
+                sorted_, anchors = known[mine][order], least[first : words.first[i + 1]].view(np.int64)
+                at = np.minimum(np.searchsorted(sorted_, anchors), len(sorted_) - 1)
+                shard = np.where((sorted_[at] == anchors) & opens[first : words.first[i + 1]], shards[mine][order][at], -1)
+                cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if b > a and shard[a] >= 0:
+                        row = (int(shard[a]), ref, ref2, a, words.text(i, a, b - 1 + WINDOW))
+                        for column, value in zip(out.values(), row, strict=True):
+                            column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(out["shard"], pa.int64()), pa.array(out["ref"], pa.int64()), pa.array(out["ref2"], pa.int32()), pa.array(out["start"], pa.int64()), pa.array(out["text"], pa.binary()).cast(pa.string())], list(out))
 
 
@@ -252,21 +258,27 @@ def repeated_runs(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 
     counts = held.select("ref", "n", "hits", "text").mapInArrow(_posted, "window long, ref long, n long")
     assigned = counts.groupBy("window").agg(F.sum("n").alias("n"), F.min("ref").alias("ref")).where("n > 1").groupBy("ref").agg(F.collect_list("window").alias("windows"))
-    passages = written(held.select("ref", "text").join(assigned, "ref").select("ref", "text", "windows").mapInArrow(_passages, "ref long, text string, anchors array<long>"))
+    passages = written(held.select("ref", "text").join(assigned, "ref").select("ref", "text", "windows").mapInArrow(_passages, "ref long, start long, text string, anchors array<long>"))
 
     size = passages.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = 1 + size // SHARD_BYTES
-    passages = passages.withColumn("shard", F.pmod(F.xxhash64("ref"), F.lit(shards)))
-    where = written(passages.select("shard", F.explode("anchors").alias("anchor")).distinct())
-    pairs = held.select("ref", "ref2", F.explode("hits").alias("anchor")).join(where, "anchor").groupBy("ref", "ref2").agg(F.collect_set(F.struct("anchor", "shard")).alias("pairs"))
-    segments = held.select("ref", "ref2", "text").join(pairs, ["ref", "ref2"]).select("ref", "ref2", "text", "pairs").mapInArrow(_segments, "shard long, ref long, ref2 int, start long, text string")
+    owners = passages.select("ref", F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.min("ref").alias("owner"))
+    where = written(owners.select("anchor", F.pmod(F.xxhash64("owner"), F.lit(shards)).alias("shard")))
+
+    def dealt_out(rows: DataFrame, keys: list[str], anchors: str) -> DataFrame:
+        pairs = rows.select(*keys, F.explode(anchors).alias("anchor")).join(where, "anchor").groupBy(*keys).agg(F.collect_set(F.struct("anchor", "shard")).alias("pairs"))
+        return rows.join(pairs, keys)
+
+    segments = dealt_out(held, ["ref", "ref2"], "hits").select("ref", "ref2", "text", "pairs").mapInArrow(_segments, "shard long, ref long, ref2 int, start long, text string")
     segments = written(segments)
+    pieces = dealt_out(passages, ["ref", "start"], "anchors").select("ref", F.lit(0).alias("ref2"), "text", "pairs").mapInArrow(_segments, "shard long, ref long, ref2 int, start long, text string")
+    pieces = written(pieces.select("shard", "text"))
     salts = written(segments.groupBy("shard").agg(F.expr(f"1 + sum(octet_length(text)) div {PIECE_BYTES}").alias("salts")))
     texts = segments.join(salts, "shard").select("shard", F.expr("pmod(xxhash64(ref, start), salts)").alias("salt"), "ref", "ref2", "start", "text")
-    every = passages.join(salts, "shard").select("shard", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), *[F.lit(None).cast(t).alias(c) for c, t in (("ref", "long"), ("ref2", "int"), ("start", "long"))], "text")
+    every = pieces.join(salts, "shard").select("shard", F.explode(F.expr("sequence(0L, salts - 1)")).alias("salt"), *[F.lit(None).cast(t).alias(c) for c, t in (("ref", "long"), ("ref2", "int"), ("start", "long"))], "text")
     dealt = every.unionByName(texts).repartition(n, "shard", "salt").sortWithinPartitions("shard", "salt", F.col("ref").asc_nulls_first())
     runs = written(dealt.mapInArrow(_streamed, "ref long, ref2 int, a long, b long"))
-    dropped(again, where, salts, segments)
+    dropped(again, where, salts, segments, passages, pieces)
     return scanned, held, runs
 
 
