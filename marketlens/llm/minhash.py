@@ -1,10 +1,11 @@
 """Near-duplicate documents by an inverted join over MinHash coordinates.
 
 Every document is a set of 5-word shingles, with a signature of ``COORDINATES`` minima. Documents are posted under
-(coordinate, value) for the first ``PREFIX`` coordinates only. The other, longer lists are skipped: a pair that met in a
-prefix list looks its remaining coordinates up in the two signatures, and stays if ``MATCHES`` of all agree. A pair with
-a Jaccard similarity of 0.85 meets in no prefix list with a chance of 0.15**8 = 3e-7, and falls short of MATCHES with
-about 5e-7; both shrink fast above 0.85. Pairs that stay are confirmed on their full shingle sets.
+(coordinate, value) for the first ``PREFIX`` coordinates only: whatever agrees on ``MATCHES`` of all coordinates agrees
+on one of these, so the other lists can be skipped without loss. A pair that met in a prefix list has its collisions
+counted over both whole signatures, and stays at MATCHES. A pair with a Jaccard similarity of 0.85 falls short of
+MATCHES with a chance of about 5e-7, which shrinks fast above 0.85. Pairs that stay are confirmed on their full
+shingle sets.
 
 Groups of copies do not make all pairs:
 
@@ -15,7 +16,9 @@ Groups of copies do not make all pairs:
   links that join two components that were apart. No pair is left out.
 
 Nulls and empty texts: no words, hence an empty set, linked with nothing; a null doc_id takes no part and has a null
-component. Rows that repeat a doc_id are one document, with the links of the least of their texts.
+component. Every row is a document of its own, also where rows repeat a doc_id, with the links of its own text; equal
+ids tie and have equal components if their texts are linked. Texts of any length are read whole. An empty table gives
+an empty result. Columns other than doc_id and text are ignored, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -35,7 +38,8 @@ WIDTH = 5
 PERCENT = 85
 COORDINATES = 64
 MATCHES = 38
-PREFIX = 8
+#: With so many of COORDINATES lists left out, MATCHES collisions cannot all be in these.
+PREFIX = COORDINATES - MATCHES + 1
 SMALL_LIST = 40
 #: Rows and bytes of text of a block of a long list.
 BLOCK = 1024
@@ -83,12 +87,13 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total[some, 1] = np.add.reduceat(mix(runs ^ _XOR[1]), starts)
             flat = pa.array(sign.reshape(-1).view(np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, COORDINATES, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(total[:, 0].view(np.int64)), pa.array(total[:, 1].view(np.int64)), lists], ["doc_id", "n_shingles", "high", "low", "sign"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("ref"), pa.array(sizes, pa.int64()), pa.array(total[:, 0].view(np.int64)), pa.array(total[:, 1].view(np.int64)), lists], ["doc_id", "ref", "n_shingles", "high", "low", "sign"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, high, low, sign): size, fingerprint and MinHash signature of each document's set."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_signed, "doc_id long, n_shingles long, high long, low long, sign array<int>")
+    """(doc_id, ref, n_shingles, high, low, sign): the text's hash, and size, fingerprint and MinHash signature of its set."""
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("ref"), "text")
+    return read.mapInArrow(_signed, "doc_id long, ref long, n_shingles long, high long, low long, sign array<int>")
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,14 +207,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     signed = written(signatures(docs))
-    classes = written(signed.where("n_shingles > 0 and doc_id is not null").groupBy("high", "low", "n_shingles").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("sign").alias("sign")))
+    # a class of equal sets is named by the least hash of its texts, one of which stands for it
+    classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("high", "low", "n_shingles")
+    classes = written(classes.agg(F.min("ref").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("sign").alias("sign")))
 
     posted = classes.select("node", "copies", F.posexplode(F.slice("sign", 1, PREFIX)).alias("k", "value")).select("node", "copies", F.expr("shiftleft(cast(k as long), 32) | (value & 4294967295L)").alias("list"))
     lists = written(posted.groupBy("list").agg(F.count("*").alias("n"), F.min(F.struct(-F.col("copies"), F.xxhash64("node"), F.col("node").alias("hub")))["hub"].alias("hub")).where("n > 1"))
     members = written(posted.drop("copies").join(lists, "list"))
     first = written(_candidates(members.select(F.col("hub").alias("a"), F.col("node").alias("b")), classes))
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").where("node is not null")
+    texts = docs.where("text is not null").select(F.xxhash64("text").alias("node"), "text")
     needed = written(first.select(F.col("a").alias("node")).unionByName(first.select(F.col("b").alias("node"))).distinct())
     held = written(_texts(texts, needed))
     links = confirmed(first, held)
@@ -237,13 +244,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = links.unionByName(written(dealt.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(_blocks, "a long, b long")))
     parts = written(components(links))
 
-    classes = classes.join(parts, "node", "left").select("high", "low", "n_shingles", F.coalesce("component", "node").alias("found"))
+    placed = written(classes.join(parts, "node", "left").select("high", "low", "n_shingles", "least", F.coalesce("component", "node").alias("component")))
+    least = placed.groupBy("component").agg(F.min("least").alias("found"))
+    found = placed.drop("least").join(least, "component").select("high", "low", "n_shingles", "found")
     # empty sets and null ids have no class
-    out = signed.select("doc_id", "n_shingles", "high", "low").join(written(classes), ["high", "low", "n_shingles"], "left")
+    out = signed.select("doc_id", "n_shingles", "high", "low").join(written(found), ["high", "low", "n_shingles"], "left")
     out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("found", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def _texts(texts: DataFrame, needed: DataFrame) -> DataFrame:
-    """The nodes' texts with their bytes; of rows that repeat a doc_id, the least text."""
+    """The nodes' texts with their bytes, each once."""
     return texts.join(needed, "node").groupBy("node").agg(F.min("text").alias("text")).withColumn("bytes", F.expr("octet_length(text)"))
