@@ -1,16 +1,21 @@
 """Main text of web pages by line-block distribution.
 
-A page is cut into lines at its block elements. Markup goes, character references are decoded, and text in menus,
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments does not count. A line weighs
-the length of its text; lines made of links, and lines outside the article if the page marks one, weigh nothing. Sums
-of weights over sliding windows of ``WINDOW`` lines show where text surges from nothing and where it dives to nothing
-again. What lies between a surge and its dive is kept if its peak reaches ``SHARE`` percent of the page's highest.
-Removed elements between blocks count as ``WINDOW`` empty lines, so that they divide the text; inside an article they
-do not.
+A page is cut into lines at its block elements. Markup goes, character references are decoded, and elements that the
+page itself names as menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or reader comments
+leave a cut. A line weighs the length of its text; lines made of links weigh nothing, nor do lines outside the article
+if the page marks one. Weights are summed over sliding windows of ``WINDOW`` lines, and the page's own sums decide:
+
+* text surges where the sum rises over ``QUIET`` percent of the page's highest sum and dives where it falls to that
+  again (nothing, where an article is marked, as all its lines are wanted);
+* short lines at a region's ends, under a quarter of its median line, are noise that the windows drew in, and go;
+  headings and sentences stay, and where an article is marked nothing goes;
+* a region is kept if its highest sum reaches ``SHARE`` percent of the page's, or a line of it a third of the median
+  line of the highest region: a short paragraph after an advert stays, a line of imprint does not;
+* what lies between two kept regions without a cut is kept as well, such as a short list between paragraphs.
 
 A null or empty page gives an empty text, as does a page without text. Pages of any length are read whole, repeated
-rows each by itself. Columns to carry are held in a struct, so their names cannot clash. Unclosed elements end with
-the page, or where an article begins.
+rows each by itself. An empty table gives an empty result. Columns to carry are held in a struct, so their names cannot
+clash. Unclosed elements end with the page, or where an article begins. Of equal sums the first is the highest.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from marketlens.llm.words import slices
 
 WINDOW = 3
 SHARE = 25
+QUIET = 5
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -54,32 +60,38 @@ MARKS = frozenset(
 _COMMENTS = frozenset("comment comments disqus reply replies respond".split())
 
 
+#: Before a mark these tell of a layout with or without such an element: has-sidebar.
+_LAYOUT = re.compile(r"\b(?:has|with|without|no)[-_]+[\w-]+", re.I)
+_STOPS = (".", "!", "?", "\u2026", ":", "\u3002")
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
 def _marks(attributes: str) -> set[str]:
     words = " ".join(x or y or z for x, y, z in _NAMES.findall(attributes))
-    return {w.lower() for w in _PART.findall(words)} & MARKS if words else set()
+    return {w.lower() for w in _PART.findall(_LAYOUT.sub(" ", words))} & MARKS if words else set()
 
 
 class _Lines:
-    """Lines of one page: text, weight, and whether they stand in an article."""
+    """Lines of one page: text (none at a cut), weight, whether they stand in an article, and whether they are headings."""
 
     def __init__(self) -> None:
-        self.lines: list[tuple[str, int, bool]] = []
+        self.lines: list[tuple[str, int, bool, bool]] = []
         self.parts: list[str] = []
         self.linked = 0
-        self.item = False
+        self.item = self.heading = False
 
     def flush(self, inside: bool) -> None:
         text = _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
         if text:
             menu = self.linked * 2 > len(text) and (self.item or not inside)
-            self.lines.append((text, 0 if menu else len(text), inside))
+            self.lines.append((text, 0 if menu else len(text), inside, self.heading))
         self.parts, self.linked = [], 0
 
-    def gap(self) -> None:
-        self.lines += [("", 0, False)] * WINDOW
+    def cut(self) -> None:
+        self.lines += [("", 0, False, False)] * WINDOW
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool]]:
+def page_lines(page: str) -> list[tuple[str, int, bool, bool]]:
     out, at, inside, links = _Lines(), 0, 0, 0
     skip, depth, comments = "", 0, False
     for token in _TOKEN.finditer(page):
@@ -102,10 +114,10 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
                     continue
                 skip = ""
                 if not inside:
-                    out.gap()
+                    out.cut()
                 continue
             skip = ""
-            out.gap()
+            out.cut()
         if tag == "a":
             links = max(0, links + (-1 if closing else 1))
             continue
@@ -116,6 +128,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             out.flush(inside > 0)
             links = 0
             out.item = tag == "li" and not closing
+            out.heading = tag in _HEADINGS and not closing
         if not closing and tag not in VOID and tag not in ("body", "html"):
             marks = _marks(attributes) if attributes else set()
             if inside:
@@ -128,35 +141,66 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if own:
             inside = max(0, inside + (-1 if closing else 1))
             if not inside:
-                out.gap()
+                out.cut()
     if not skip:
         out.parts.append(page[at:])
     out.flush(inside > 0)
     return out.lines
 
 
-def main_text(page: str | None) -> str:
-    lines = page_lines(page or "")
-    if any(inside and weight for _, weight, inside in lines):
-        lines = [(text, weight if inside else 0, inside) for text, weight, inside in lines]
-    weights = [weight for _, weight, _ in lines]
-    if not any(weights):
-        return ""
+def regions(weights: list[int], least: float) -> list[tuple[int, int, int]]:
+    """(surge, dive, highest sum): the runs of lines whose window sums are over ``least``."""
     sums, total = [0] * len(weights), 0
     for i in range(len(weights) - 1, -1, -1):
         total += weights[i] - (weights[i + WINDOW] if i + WINDOW < len(weights) else 0)
         sums[i] = total
-    least, kept, i = max(sums) * SHARE, [], 0
+    least = max(sums, default=0) * least / 100
+    found, i = [], 0
     while i < len(sums):
         surge = i
-        while i < len(sums) and sums[i]:
+        while i < len(sums) and sums[i] > least:
             i += 1
-        if i > surge and 100 * max(sums[surge:i]) >= least:
-            while not weights[surge]:
-                surge += 1
-            kept += [text for text, _, _ in lines[surge:i] if text]
+        if i > surge:
+            found.append((surge, i, max(sums[surge:i])))
         i += 1
-    return "\n".join(kept)
+    return found
+
+
+def _median(values: list[int]) -> float:
+    return sorted(values)[len(values) // 2] if values else 0.0
+
+
+def main_text(page: str | None) -> str:
+    lines = page_lines(page or "")
+    marked = any(inside and weight for _, weight, inside, _ in lines)
+    weights = [weight if inside or not marked else 0 for _, weight, inside, _ in lines]
+    found = regions(weights, 0 if marked else QUIET)
+    if not found:
+        return ""
+    top = max(high for _, _, high in found)
+    main = next((a, b) for a, b, high in found if high == top)
+    typical = _median([w for w in weights[slice(*main)] if w])
+    kept: list[tuple[int, int]] = []
+    for a, b, high in found:
+        if kept and a < kept[-1][1]:
+            a = kept[-1][1]
+        if 100 * high < SHARE * top and 3 * max(weights[a:b], default=0) < typical:
+            continue
+        noise = 0 if marked else _median([w for w in weights[a:b] if w]) / 4
+        small = lambda i: not weights[i] or (weights[i] < noise and not lines[i][3] and not lines[i][0].endswith(_STOPS))
+        while a < b and small(a):
+            a += 1
+        # the windows look ahead, so a marked region ends with its last line
+        while not marked and b > a and small(b - 1):
+            b -= 1
+        # sentences that follow are too short to hold the sum up
+        while not marked and b < len(weights) and not small(b):
+            b += 1
+        if kept and all(text for text, _, _, _ in lines[kept[-1][1] : a]) and not marked:
+            kept[-1] = (kept[-1][0], b)
+        elif b > a:
+            kept.append((a, b))
+    return "\n".join(text for a, b in kept for text, _, _, _ in lines[a:b] if text)
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -143,6 +143,12 @@ def test_minhash_odd(odd):
     assert minhash.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_minhash_repeated_ids(spark):
+    a, b = sentence(21, 60), sentence(22, 60)
+    got = minhash.near_duplicates(made(spark, [(6, a), (6, b), (7, b), (8, b + " more"), (9, a.upper())])).collect()
+    assert sorted((r["doc_id"], r["component_id"], r["kept"]) for r in got) == [(6, 6, True), (6, 6, True), (7, 6, False), (8, 6, False), (9, 6, False)]
+
+
 def test_bpe(odd, docs):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -287,6 +293,25 @@ def test_html(spark):
     assert [len(r["text"]) for r in mainhtml.extracted(frame, ["page_id", "text"]).orderBy("row.page_id").collect()] == [len(mainhtml.main_text(PAGE)), 0]
 
 
+def test_html_distribution(spark, data):
+    text = [f"Paragraph {k} has a good many words in it, more than any menu line would have, and so it goes on for a while." for k in range(6)]
+    page = "<p>Home</p><p>News</p><p>Sport</p><h1>Title</h1>" + "".join(f"<p>{x}</p>" for x in text) + "<p>Short.</p><p>Contact</p><p>About</p><p>Imprint</p>"
+    assert mainhtml.main_text(page) == "\n".join(["Title", *text, "Short."])
+    long = [c * 600 for c in "xyz"]
+    tail = "last " * 59 + "one"
+    page = f"<body class='content has-sidebar'>{''.join(f'<p>{x}</p>' for x in long)}<div class=ad>Buy</div><p>{tail}</p><div>Some Street 5</div><div class=comments><p>{'comment ' * 90}</p></div>"
+    assert mainhtml.main_text(page) == "\n".join([*long, tail])
+    huge = "<article>" + "".join(f"<p>{k} {text[0]}</p>" for k in range(40_000)) + "</article>"
+    assert mainhtml.main_text(huge).count("\n") == 39_999
+    # where pages lose their article tags, the distribution alone finds nearly all of the same texts
+    pages = [r["html"] or "" for r in spark.read.parquet(f"{data}/pages.parquet").collect()]
+    plain = [re.sub(r"(</?)(?:article|main)\b", r"\1div", x) for x in pages]
+    assert sum(mainhtml.main_text(x) == mainhtml.main_text(y) for x, y in zip(pages, plain, strict=True)) >= 0.9 * len(pages)
+    frame = spark.createDataFrame([(1, "u", page, "x"), (1, "u", page, "x")], "page_id long, url string, html string, text string")
+    assert [r["text"] for r in mainhtml.extracted(frame, ["page_id", "url", "html", "text"]).collect()] == [mainhtml.main_text(page)] * 2
+    assert mainhtml.extracted(frame.limit(0), ["page_id"]).count() == 0
+
+
 def test_preference(spark, data):
     turns = lambda rows: spark.createDataFrame(rows, "pair long, turn long, role string, text string")
     one = turns([(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (2, 0, "user", None), (3, 0, "user", "only"), (None, 0, "user", "x")])
