@@ -9,7 +9,7 @@ Indexing: every vector goes to its most probable part. Searching: a query is rou
 as hold ``COVER`` percent of the neighbours of the sample's vectors. Routed queries and vectors meet in cells of at most
 about ``CELL`` rows of each kind, where distances are measured in double precision; a query's best of all cells are
 ranked. Parts may have any size: a large part has more cells. A query that finds fewer than ``k`` is searched again in
-all cells. Tables of up to ``EXACT`` vectors have a single part, so the result is exact.
+all cells. The number of parts follows the table's size, from one for up to ``SMALL`` vectors each.
 
 Equal vectors are told apart by id only: no more than the k + 1 least ids of each are compared, which loses nothing.
 Vectors that are null, zero, or hold null or non-finite components, rows with a null id, and vectors whose length is
@@ -30,10 +30,9 @@ from marketlens.llm.store import written
 
 SAMPLE = 8192
 NEIGHBOURS = 10
-COVER = 94
-EXACT = 5000
-#: Vectors to a part, and the fewest and most parts.
-PART = 4096
+COVER = 98
+#: Vectors to a part in small and in large tables, the parts from which on the latter holds, and the most parts.
+SMALL, PART = 64, 4096
 FEWEST, MOST = 16, 256
 HIDDEN = 96
 CELL = 8192
@@ -132,7 +131,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 
 def fitted(vectors: DataFrame, count: int) -> tuple[Router, int, int]:
     """The router, the number of parts, and how many of them a query visits."""
-    parts = 1 << max(FEWEST, min(MOST, count // PART)).bit_length() - 1
+    parts = 1 << max(1, min(FEWEST, count // SMALL), min(MOST, count // PART)).bit_length() - 1
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").collect()
     sample = np.array([r[0] for r in rows])
     graph = sample_graph(sample, vectors.sparkSession)
@@ -198,7 +197,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = NEIGHBOURS) -> Data
     same = Window.partitionBy("vector").orderBy("vec_id")
     some = held.withColumn("place", F.row_number().over(same)).where(F.col("place") <= k + 1).drop("place")
     count = held.count()
-    router, parts, visits = fitted(held, count) if count > EXACT else (None, 1, 1)
+    router, parts, visits = fitted(held, count) if count >= 2 * SMALL else (None, 1, 1)
     index = written(_routed(some, router, 1))
     sizes = index.groupBy("part").agg(F.count("*").alias("n"))
     cells = written(sizes.select("part", F.expr(f"1 + n div {CELL}").alias("cells")))  # a row for each part: 256 at most

@@ -3,11 +3,17 @@
 Each document gets a few integer rates. Their distribution per language and source is held in a mergeable quantile
 sketch: counts in bins of bounded relative width, so sketches of partitions, sources and languages merge by addition
 and the quantiles do not depend on how rows were dealt. A document is rejected if a fixed base rule fails or if a rate
-lies far outside its group's middle half. Groups of under ``MIN_GROUP`` documents use the merged sketch of their
-language, small languages that of the whole table.
+lies over its group's 90 % quantile by more than ``REACH`` times the distance from the median to that quantile (for
+word length also under the 10 % quantile likewise); the distance counts as one unit at least. A group's quantiles are
+drawn towards those of its language, and these towards the whole table's, with the weight of ``PRIOR`` documents, so
+small groups follow the merged sketches without a switch.
+
+A single event is no rate: before the division ``SLACK`` repeated lines, words or marks are taken off, so that one
+repeated line of a short text, or one repeated run of three words, never rejects it.
 
 Nulls: a null text has no words (rejected); null languages and sources are groups of their own. An empty table gives
-an empty result. Repeated rows are judged each by itself. Other columns pass through untouched, whatever their names.
+an empty result. Repeated rows are judged each by itself, and ties fall in one bin. Texts of any length are read whole.
+Other columns pass through untouched, whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.llm.store import written
@@ -24,11 +30,19 @@ from marketlens.llm.words import Words, slices, windows
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-MIN_GROUP = 30
-#: How many widths of the middle half a rate may lie outside it.
-REACH = 4
-#: A group's middle half counts as at least this wide, in the rate's unit.
-FLOORS = {"symbol_rate": 15, "upper_rate": 40, "mark_rate": 15, "dup_line_rate": 100, "repeat_rate": 80, "word_length": 30}
+PRIOR = 30
+#: How many distances from the median to the outer quantile a rate may lie beyond that quantile.
+REACH = 6
+OUTER = 90
+#: Of each rate: the count, what it is counted in, per how many of these, and how much of the count goes first.
+RATES = {
+    "symbol_rate": ("n_symbols", "word_chars", 1000, 6),
+    "upper_rate": ("n_upper", "word_chars", 1000, 0),
+    "mark_rate": ("n_marks", "word_chars", 1000, 6),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 1000, 1),
+    "repeat_rate": ("n_repeat_words", "n_words", 1000, 6),
+    "word_length": ("word_chars", "n_words", 100, 0),
+}
 #: Rates that can also be too low.
 TWO_SIDED = ("word_length",)
 #: Values under 2**BIN_BITS have a bin of their own; above, a bin is 2**-(BIN_BITS - 1) of its value wide at most.
@@ -84,15 +98,8 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _rates(frame: DataFrame) -> DataFrame:
-    per = lambda a, b, k: F.when(F.col(b) > 0, F.expr(f"({k} * {a}) div {b}")).otherwise(F.lit(0).cast("long"))
-    return frame.withColumns({
-        "symbol_rate": per("n_symbols", "word_chars", 1000),
-        "upper_rate": per("n_upper", "word_chars", 1000),
-        "mark_rate": per("n_marks", "word_chars", 1000),
-        "dup_line_rate": per("n_dup_lines", "n_lines", 1000),
-        "repeat_rate": per("n_repeat_words", "n_words", 1000),
-        "word_length": per("word_chars", "n_words", 100),
-    })
+    per = lambda a, b, k, off: F.when(F.col(b) > 0, F.expr(f"({k} * greatest({a} - {off}, 0L)) div {b}")).otherwise(F.lit(0).cast("long"))
+    return frame.withColumns({name: per(*made) for name, made in RATES.items()})
 
 
 def _bin(value: str):
@@ -104,33 +111,40 @@ def _bin(value: str):
 def sketches(scored: DataFrame) -> DataFrame:
     """(lang, source, rate, bin, n): the quantile sketch of each group. Sketches merge by adding n."""
     return (
-        scored.select("_lang", "_source", F.explode(F.create_map(*[x for c in FLOORS for x in (F.lit(c), F.col(c))])).alias("rate", "value"))
+        scored.select("_lang", "_source", F.explode(F.create_map(*[x for c in RATES for x in (F.lit(c), F.col(c))])).alias("rate", "value"))
         .groupBy("_lang", "_source", "rate", _bin("value").alias("bin"))
         .agg(F.count("*").alias("n"))
     )
 
 
-def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles per key and rate: the first bin that reaches the share."""
+def _quantiles(sketch: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The outer quantiles and the median per key and rate, the first bin that reaches the share; and the size."""
     by = Window.partitionBy(*keys, "rate")
     ranked = sketch.groupBy(*keys, "rate", "bin").agg(F.sum("n").alias("n"))
     ranked = ranked.withColumns({"upto": F.sum("n").over(by.orderBy("bin")), "all": F.sum("n").over(by)})
     at = lambda share: F.min(F.when(F.col("upto") * 100 >= F.col("all") * share, F.col("bin")))
-    return ranked.groupBy(*keys, "rate").agg(at(25).alias("low"), at(75).alias("high"), F.max("all").alias("size"))
+    cuts = F.struct(at(100 - OUTER).alias("low"), at(50).alias("mid"), at(OUTER).alias("high"), F.max("all").alias("size"))
+    return ranked.groupBy(*keys, "rate").agg(cuts.alias(name))
 
 
 def thresholds(sketch: DataFrame) -> DataFrame:
     """(lang, source, limits): for each rate the least and the largest value that passes."""
-    own = _quantiles(sketch, ["_lang", "_source"])
-    lang = _quantiles(sketch, ["_lang"]).select(F.col("_lang").alias("l_"), F.col("rate").alias("lr"), F.col("low").alias("l_low"), F.col("high").alias("l_high"), F.col("size").alias("l_size"))
-    everything = _quantiles(sketch.withColumn("one", F.lit(1)), ["one"]).select(F.col("rate").alias("ar"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
-    both = own.join(lang, F.col("_lang").eqNullSafe(F.col("l_")) & (F.col("rate") == F.col("lr")), "left").join(everything, F.col("rate") == F.col("ar"), "left")
-    pick = lambda x: F.when(F.col("size") >= MIN_GROUP, F.col(x)).when(F.col("l_size") >= MIN_GROUP, F.col(f"l_{x}")).otherwise(F.col(f"a_{x}"))
-    floor = F.coalesce(*[F.when(F.col("rate") == c, v) for c, v in FLOORS.items()])
-    both = both.select("_lang", "_source", "rate", pick("low").alias("low"), pick("high").alias("high")).withColumn("wide", REACH * F.greatest(F.col("high") - F.col("low"), floor))
+    own = _quantiles(sketch, ["_lang", "_source"], "own")
+    lang = _quantiles(sketch, ["_lang"], "lang").withColumnsRenamed({"_lang": "l_", "rate": "lr"})
+    whole = _quantiles(sketch.withColumn("one", F.lit(1)), ["one"], "whole").withColumnRenamed("rate", "ar").drop("one")
+    both = own.join(lang, F.col("_lang").eqNullSafe(F.col("l_")) & (F.col("rate") == F.col("lr"))).join(whole, F.col("rate") == F.col("ar"))
+
+    def drawn(cut: str, of: str, to: Column) -> Column:
+        size = F.col(f"{of}.size")
+        return (F.col(f"{of}.{cut}") * size + PRIOR * to) / (size + PRIOR)
+
+    at = {cut: drawn(cut, "own", drawn(cut, "lang", F.col(f"whole.{cut}"))) for cut in ("low", "mid", "high")}
+    most = F.floor(at["high"] + REACH * F.greatest(at["high"] - at["mid"], F.lit(1.0)))
+    least = F.ceil(at["low"] - REACH * F.greatest(at["mid"] - at["low"], F.lit(1.0)))
+    both = both.select("_lang", "_source", "rate", most.alias("most"), least.alias("least"))
     return both.groupBy("_lang", "_source").agg(
-        *[F.max(F.when(F.col("rate") == c, F.col("high") + F.col("wide"))).alias(f"{c}_most") for c in FLOORS],
-        *[F.max(F.when(F.col("rate") == c, F.col("low") - F.col("wide"))).alias(f"{c}_least") for c in TWO_SIDED],
+        *[F.max(F.when(F.col("rate") == c, F.col("most"))).alias(f"{c}_most") for c in RATES],
+        *[F.max(F.when(F.col("rate") == c, F.col("least"))).alias(f"{c}_least") for c in TWO_SIDED],
     )
 
 
@@ -143,8 +157,12 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     read = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("text").alias("_text"))
     kinds = {f.name: f for f in read.schema.fields}
     scored = _rates(read.mapInArrow(_counted, ", ".join(f"{c} {kinds[c].dataType.simpleString()}" for c in ("row", "_lang", "_source")) + "".join(f", {c} long" for c in _COUNTS)))
-    slim = docs.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("text").alias("_text"))
-    slim = _rates(slim.mapInArrow(_counted, "_lang string, _source string" + "".join(f", {c} long" for c in _COUNTS)))
+    if carry:
+        # small rows, so that texts are read once
+        slim = scored = written(scored)
+    else:
+        slim = docs.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("text").alias("_text"))
+        slim = _rates(slim.mapInArrow(_counted, "_lang string, _source string" + "".join(f", {c} long" for c in _COUNTS)))
     # the sketch is small: written once, so that the limits are not worked out anew for each use
     limits = written(thresholds(written(sketches(slim))))
     if limits.count() <= BROADCAST_GROUPS:
@@ -152,7 +170,7 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     limits = limits.withColumnsRenamed({"_lang": "g_lang", "_source": "g_source"})
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     inside = F.lit(True)
-    for c in FLOORS:
+    for c in RATES:
         inside &= F.col(c) <= F.col(f"{c}_most")
     for c in TWO_SIDED:
         inside &= F.col(c) >= F.col(f"{c}_least")
@@ -160,5 +178,5 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         scored.join(limits, F.col("_lang").eqNullSafe(F.col("g_lang")) & F.col("_source").eqNullSafe(F.col("g_source")), "left")
         .withColumn("base_failed", base)
         .withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
-        .select("row", *_COUNTS, *FLOORS, "base_failed", "kept")
+        .select("row", *_COUNTS, *RATES, "base_failed", "kept")
     )

@@ -61,6 +61,34 @@ def test_quality_counts(docs, rows):
         assert not (r["base_failed"] and r["kept"])
 
 
+def test_quality_limits(docs):
+    """kept, by brute force: quantiles of the sketch's bins by group, drawn towards the language's and the table's."""
+    got = quality.quality_rules(docs, ["doc_id", "lang", "source"]).select("row.*", "*").collect()
+    low_end = lambda v: v if v < 1 << quality.BIN_BITS else v >> (s := v.bit_length() - quality.BIN_BITS) << s
+    rate = lambda r, a, b, k, off: k * max(r[a] - off, 0) // r[b] if r[b] else 0
+    groups = defaultdict(list)
+    for r in got:
+        for name, made_of in quality.RATES.items():
+            assert r[name] == rate(r, *made_of)
+            for key in ((r["lang"], r["source"]), (r["lang"],), ()):
+                groups[key, name].append(low_end(r[name]))
+    cut = lambda values, share: sorted(values)[max(0, -(-len(values) * share // 100) - 1)]
+    for r in got:
+        inside = True
+        for name in quality.RATES:
+            at = {}
+            for share in (10, 50, 90):
+                value = cut(groups[(), name], share)
+                for key in ((r["lang"],), (r["lang"], r["source"])):
+                    n = len(groups[key, name])
+                    value = (cut(groups[key, name], share) * n + quality.PRIOR * value) / (n + quality.PRIOR)
+                at[share] = value
+            inside &= r[name] <= math.floor(at[90] + quality.REACH * max(at[90] - at[50], 1))
+            if name in quality.TWO_SIDED:
+                inside &= r[name] >= math.ceil(at[10] - quality.REACH * max(at[50] - at[10], 1))
+        assert r["kept"] == (inside and not r["base_failed"])
+
+
 def test_quality_odd(odd, docs):
     got = quality.quality_rules(odd)
     assert got.count() == odd.count() and got.select("row.*").columns == odd.columns
@@ -170,9 +198,9 @@ def brute_nearest(ids, vectors, i, k):
     return [(int(ids[j]), far[j]) for j in order if np.isfinite(far[j])]
 
 
-@pytest.mark.parametrize("exact", [5000, 100])
-def test_nearest(spark, data, exact, monkeypatch):
-    monkeypatch.setattr(partitions, "EXACT", exact)
+@pytest.mark.parametrize("small", [64, 1 << 40])
+def test_nearest(spark, data, small, monkeypatch):
+    monkeypatch.setattr(partitions, "SMALL", small)
     frame = spark.read.parquet(f"{data}/embeddings.parquet")
     all_rows = frame.collect()
     ids, vectors = np.array([r["vec_id"] for r in all_rows]), np.array([r["embedding"] for r in all_rows], float)
@@ -184,7 +212,7 @@ def test_nearest(spark, data, exact, monkeypatch):
         want = brute_nearest(ids, vectors, i, 10)
         found = got[int(ids[i])]
         hit, total = hit + len({x for x, _ in want} & {x for x, _ in found}), total + len(want)
-        assert len(found) == 10 and (exact == 100 or found == want)
+        assert len(found) == 10 and (small == 64 or found == want)
     assert hit >= 0.9 * total
 
 
