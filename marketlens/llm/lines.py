@@ -10,7 +10,7 @@ lines, over the whole table, the first is kept: the least doc_id, then the place
   are a band, and nodes that agree on a band meet in a bucket. A pair at the threshold meets in none of the 12 with a
   chance of 0.488 ** 12 = 0.02 %, at 90 % with 0.271 ** 12 = 2e-7; unlike lines hardly ever meet.
 * Every bucket that holds several components is compared with a hub, one of its nodes, in ``ROUNDS`` rounds with
-  another hub each. Then the nodes outside a bucket's largest component are compared with all of other components, in
+  another hub each; a bucket of two or three nodes is decided by that. Then the nodes outside a bucket's largest component are compared with all of other components, in
   blocks. Comparisons test ``AGREE`` minima first and then the exact sets, and emit nothing but links between components.
 
 Lookups of keys are cut down by a broadcast bitmap of ``BITS`` bits (8 MB at any size), before the join that decides.
@@ -37,7 +37,7 @@ CHARS = 8
 GROUPS = 4
 PER_GROUP = 9
 AGREE = 18
-ROUNDS = 4
+ROUNDS = 3
 BLOCK = 512
 BITS = 1 << 26
 _MAP = 1 << 15  # bits of one bitmap of Spark's bitmap functions
@@ -130,6 +130,7 @@ def _similar(a: str, b: str) -> Column:
 
 
 _SIGNS = [f"s{g}" for g in range(GROUPS)]
+_BANDS = [f"t{k}" for k in range(GROUPS * PER_GROUP // 3)]
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -166,10 +167,12 @@ def _across(open_: DataFrame, texts: DataFrame) -> DataFrame:
     rows = written(open_.join(most, "band").join(texts, "node"))
     at = lambda count: F.expr(f"pmod(xxhash64(node), 1 + {count} div {BLOCK})")
     all_of = lambda count: F.explode(F.expr(f"sequence(0L, {count} div {BLOCK})"))
-    side = lambda x: [F.col("node").alias(x), F.col("component").alias(f"of_{x}"), F.col("wide").alias(f"wide_{x}"), F.col("size").alias(f"n_{x}"), *[F.col(s).alias(f"{x}{g}") for g, s in enumerate(_SIGNS)]]
+    side = lambda x: [F.col("node").alias(x), F.col("component").alias(f"of_{x}"), F.col("wide").alias(f"wide_{x}"), F.col("size").alias(f"n_{x}"), *[F.col(s).alias(f"{x}{g}") for g, s in enumerate(_SIGNS)], *[F.col(t).alias(f"{x}{t}") for t in _BANDS]]
     left = rows.where("component <> largest").select("band", at("others").alias("i"), all_of("n").alias("j"), *side("a"))
     right = rows.select("band", all_of("others").alias("i"), at("n").alias("j"), *side("b"), (F.col("component") == F.col("largest")).alias("main"))
-    near = (F.col("of_a") != F.col("of_b")) & (F.col("main") | (F.col("a") < F.col("b"))) & (_agree("a", "b") >= AGREE) & _similar("a", "b")
+    # a pair counts in the first of its bands only; if that bucket is open no more, the pair is decided
+    first = F.col("band") == F.coalesce(*[F.when(F.col(f"a{t}") == F.col(f"b{t}"), F.col(f"a{t}")) for t in _BANDS])
+    near = (F.col("of_a") != F.col("of_b")) & (F.col("main") | (F.col("a") < F.col("b"))) & first & (_agree("a", "b") >= AGREE) & _similar("a", "b")
     return left.join(right, ["band", "i", "j"]).where(near).select("of_a", "of_b").distinct()
 
 
@@ -182,7 +185,9 @@ def line_components(docs: DataFrame) -> DataFrame:
 
     needed = written(members.select("node").distinct())
     maps = _bitmaps(needed, "node")
-    packed = _likely(signed, "node", maps).groupBy("node").agg(*[F.coalesce(F.max(F.when(F.col("group") == g, F.col("packed"))), F.lit(-1)).alias(s) for g, s in enumerate(_SIGNS)])
+    of = lambda g, c: F.max(F.when(F.col("group") == g, F.col(c)))
+    bands = [of(k // 3, f"b{k % 3}").alias(t) for k, t in enumerate(_BANDS)]
+    packed = _likely(signed, "node", maps).groupBy("node").agg(*[F.coalesce(of(g, "packed"), F.lit(-1)).alias(s) for g, s in enumerate(_SIGNS)], *bands)
     lines = _likely(_lines(docs).select("node", "line"), "node", maps).join(needed, "node", "left_semi").groupBy("node").agg(F.min(_wide("line")).alias("wide"))
     # lines and not their sets are dealt, which are several times as large
     texts = written(lines.select("node", "wide", F.size(F.array_distinct(shingles("wide"))).alias("size")).join(packed, "node"))
@@ -190,8 +195,8 @@ def line_components(docs: DataFrame) -> DataFrame:
     named = needed.withColumn("component", F.col("node"))
     open_ = members.withColumn("component", F.col("node"))
     for k in range(ROUNDS):
-        # the least node, the greatest (then buckets of three are done), and what is least under other masks
-        mask = (0, -1, MASKS[2], MASKS[3])[k]
+        # the least node, the greatest (then buckets of three are done), and what is least under another mask
+        mask = (0, -1, MASKS[2])[k]
         hubs = open_.groupBy("band").agg(F.min(F.col("node").bitwiseXOR(F.lit(mask))).alias("hub")).select("band", F.col("hub").bitwiseXOR(F.lit(mask)).alias("hub"))
         pairs = open_.join(hubs, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("component").alias("of_b")).distinct()
         pairs = pairs.join(named.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a").where("of_a <> of_b")
