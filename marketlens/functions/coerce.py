@@ -52,11 +52,6 @@ def move(value: Column) -> Column:
     return band(F.abs(value), [(5, "quiet"), (12, "material")], "severe", "unmeasured")
 
 
-def against_peers(value: Column, median: Column) -> Column:
-    """Above, below or in line with the peers' median, ten percent either way."""
-    return F.when(value.isNull() | median.isNull() | (median <= 0), "none").when(value > median * 1.1, "above").when(value < median * 0.9, "below").otherwise("in line")
-
-
 def severity_rank(severity: Column) -> Column:
     return F.when(severity == "Critical", 0).when(severity == "High", 1).when(severity == "Medium", 2).otherwise(3)
 
@@ -66,5 +61,6 @@ def dedup_key(text: Column) -> Column:
 
 
 def clauses(text: Column) -> Column:
-    """Parts of a headline between dashes, bars and semicolons; empty parts go."""
-    return F.filter(F.transform(F.split(text, r"\s*[;–—]\s*|\s+-\s+|\s*\|\s*"), lambda x: F.trim(x)), lambda x: x != "")
+    """Parts of a headline between dashes, bars and semicolons; empty parts go. Without a part, the headline itself."""
+    parts = F.filter(F.transform(F.split(text, r"\s*[;–—]\s*|\s+-\s+|\s*\|\s*"), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.size(parts) > 0, parts).when(text != "", F.array(text)).when(text == "", F.array().cast("array<string>"))

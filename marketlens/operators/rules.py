@@ -8,43 +8,98 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.coerce import severity_rank
+from marketlens.operators.sets import top_of
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A category, its direction, and severities with their conditions, the gravest first."""
+    """A direction, and severities with their categories and conditions, the gravest first."""
 
-    category: str
     direction: str
-    levels: tuple[tuple[str, str], ...]
+    levels: tuple[tuple[str, str, str], ...]
 
 
-# fixed values: thresholds that results must agree with
+_SLIDE = "coalesce(margin_1 < margin_2 and margin_2 < margin_3, false)"
+# fixed values: thresholds and category names
 RULES = (
-    Rule("Promoter", "risk", (("Critical", "promoter_change <= -2"), ("High", "promoter_change <= -1"))),
-    Rule("FII", "risk", (("Critical", "fii_change <= -3"), ("High", "fii_change <= -1"))),
-    Rule("Revenue", "risk", (("High", "qoq < 0"),)),
-    Rule("Liquidity", "risk", (("High", "current_ratio < 1"),)),
-    Rule("Leverage", "risk", (("High", "debt_equity > 1"), ("Medium", "debt_equity > 0.5"))),
-    Rule("Margin", "risk", (("Critical", "opm_change <= -12"), ("High", "opm_change <= -6"), ("Medium", "opm_change <= -2"))),
-    Rule("Price", "risk", (("Critical", "day_change <= -8"), ("High", "day_change <= -5"))),
-    Rule("Trend", "risk", (("Low", "price_to_ma > 0 and price_to_ma < 1"),)),
-    Rule("Institutions", "opportunity", (("High", "fii_change > 0 and dii_change > 0"), ("Medium", "fii_change > 0 or dii_change > 0"))),
-    Rule("Breakout", "opportunity", (("Medium", "volume_surge >= 2 and day_change > 0"),)),
+    Rule("risk", (("Critical", "Promoter Exit", "promoter_change <= -2"), ("High", "Promoter Selling", "promoter_change <= -1"))),
+    Rule("risk", (("Critical", "FII Outflow", "fii_change <= -3"), ("High", "FII Selling", "fii_change <= -1"))),
+    Rule("risk", (("High", "Revenue Contraction", "qoq < 0"),)),
+    Rule("risk", (("High", "Liquidity Stress", "current_ratio < 1"),)),
+    Rule("risk", (("High", "High Leverage", "debt_equity > 1"), ("Medium", "Elevated Leverage", "debt_equity > 0.5"))),
+    Rule("risk", (("Critical", "Margin Compression", f"opm_change <= -12 or (opm_change <= -6 and {_SLIDE})"), ("High", "Margin Compression", f"opm_change <= -6 or (opm_change <= -2 and {_SLIDE})"), ("Medium", "Margin Compression", "opm_change <= -2"))),
+    Rule("risk", (("Medium", "Valuation Stretch", "size(alerts) > 0"),)),
+    Rule("risk", (("Critical", "Price Breakdown", "day_change <= -8"), ("High", "Price Breakdown", "day_change <= -5"))),
+    Rule("risk", (("Low", "Below Trend", "price_to_ma > 0 and price_to_ma < 1"),)),
+    Rule("opportunity", (("High", "Institutional Accumulation", "fii_change > 0 and dii_change > 0"), ("Medium", "Institutional Buying", "fii_change > 0 or dii_change > 0"))),
+    Rule("opportunity", (("Medium", "Momentum Breakout", "volume_surge >= 2 and day_change > 0"),)),
 )
+# fixed values: how sure a category is and where it comes from
+RULE_BOOK = (
+    ("Promoter Exit", "High", "Screener shareholding pattern"),
+    ("Promoter Selling", "High", "Screener shareholding pattern"),
+    ("FII Outflow", "High", "Screener shareholding pattern"),
+    ("FII Selling", "High", "Screener shareholding pattern"),
+    ("Revenue Contraction", "High", "Screener quarterly results"),
+    ("Liquidity Stress", "High", "Screener balance sheet"),
+    ("High Leverage", "High", "Screener balance sheet"),
+    ("Elevated Leverage", "High", "Screener balance sheet"),
+    ("Margin Compression", "High", "Screener quarterly results"),
+    ("Valuation Stretch", "Medium", "Computed valuation screens"),
+    ("Price Breakdown", "High", "Yahoo Finance quote"),
+    ("Below Trend", "Medium", "Yahoo Finance quote"),
+    ("Institutional Accumulation", "High", "Screener shareholding pattern"),
+    ("Institutional Buying", "High", "Screener shareholding pattern"),
+    ("Policy Catalyst", "Low", "Headline classification"),
+    ("Momentum Breakout", "Medium", "Yahoo Finance quote"),
+    ("Market Share", "Medium", "Computed industry share"),
+    ("Corporate Move", "Low", "Headline classification"),
+    ("Ecosystem Signal", "Low", "Headline classification via entity graph"),
+    ("Supply Chain", "Low", "Headline classification"),
+    ("Promoter Pledging", "High", "Screener shareholding pattern"),
+    ("Input Cost Shock", "Medium", "Commodity/FX price series"),
+    ("Supply Stress (Forward)", "Low", "Headline count over a rolling window"),
+    ("Market Share Gain", "Medium", "Computed peer-group share"),
+    ("Market Share Loss", "Medium", "Computed peer-group share"),
+    ("Growth Laggard", "Medium", "Computed sector median"),
+    ("Competitive Threat", "Low", "Headline classification"),
+    ("New Entrant", "Low", "Headline classification"),
+)
+_UNKNOWN = ("Medium", "Mixed")
 
 
 def _level(rule: Rule) -> Column:
-    found = F.lit(None).cast("string")
-    for severity, condition in reversed(rule.levels):
-        found = F.when(F.expr(condition), severity).otherwise(found)
-    return found
+    found = F.lit(None).cast("struct<severity:string,category:string>")
+    for severity, category, condition in reversed(rule.levels):
+        found = F.when(F.expr(condition), F.struct(F.lit(severity).alias("severity"), F.lit(category).alias("category"))).otherwise(found)
+    return F.struct(F.lit(rule.direction).alias("direction"), found.alias("found"))
 
 
 def warnings(companies: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """ticker, sector, category, direction, severity."""
-    tested = F.array(*[F.struct(F.lit(r.category).alias("category"), F.lit(r.direction).alias("direction"), _level(r).alias("severity")) for r in rules])
-    return companies.select("ticker", "sector", F.explode(F.filter(tested, lambda x: x["severity"].isNotNull())).alias("w")).select("ticker", "sector", "w.*")
+    """ticker, sector, category, direction, severity. Companies without a column ``alerts`` fail no valuation screen."""
+    if "alerts" not in companies.columns:
+        companies = companies.withColumn("alerts", F.array().cast("array<string>"))
+    tested = F.array(*[_level(r) for r in rules])
+    rows = companies.select("ticker", "sector", F.explode(F.filter(tested, lambda x: x["found"].isNotNull())).alias("w"))
+    return rows.select("ticker", "sector", "w.found.category", "w.direction", "w.found.severity")
+
+
+def with_rules(found: DataFrame) -> DataFrame:
+    """Warnings with confidence and evidence_source of their category."""
+    book = found.sparkSession.createDataFrame(RULE_BOOK, "category string, confidence string, evidence_source string")
+    joined = found.join(F.broadcast(book), "category", "left")
+    return joined.withColumns({"confidence": F.coalesce("confidence", F.lit(_UNKNOWN[0])), "evidence_source": F.coalesce("evidence_source", F.lit(_UNKNOWN[1]))})
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    """Risks first, the gravest first, then by ticker."""
+    return found.orderBy(F.when(F.col("direction") == "risk", 0).when(F.col("direction") == "opportunity", 1).otherwise(9), severity_rank(F.col("severity")), "ticker")
+
+
+def escalated(found: DataFrame, least: float = 5.0) -> DataFrame:
+    """Opportunities whose order is ``least`` percent of a year's revenue or more (materiality_pct) rise by one severity."""
+    up = F.when(F.col("severity") == "Low", "Medium").when(F.col("severity") == "Medium", "High").when(F.col("severity") == "High", "Critical").otherwise(F.col("severity"))
+    return found.withColumn("severity", F.when((F.col("direction") == "opportunity") & (F.col("materiality_pct") >= least), up).otherwise(F.col("severity")))
 
 
 def with_status(now: DataFrame, before: DataFrame) -> DataFrame:
@@ -54,33 +109,130 @@ def with_status(now: DataFrame, before: DataFrame) -> DataFrame:
     return now.join(before, ["ticker", "category"], "left").withColumn("status", F.when(F.col("was").isNull(), "new").when(rank < was, "escalated").otherwise("ongoing")).drop("was")
 
 
-def thesis_health(companies: DataFrame, found: DataFrame) -> DataFrame:
+def thesis_health(companies: DataFrame, found: DataFrame, revised: DataFrame) -> DataFrame:
+    """Broken, Weakening or Intact by the company's risks; a target cut by ten percent or more makes it one step worse."""
     risk = found.where("direction = 'risk'").groupBy("ticker").agg(F.count_if(F.col("severity") == "Critical").alias("critical"), F.count_if(F.col("severity") == "High").alias("high"), F.count_if(F.col("severity").isin("Medium", "Low")).alias("other"))
+    cut = revised.select("ticker", ((F.col("direction") == "down") & (F.abs("target_change_pct") >= 10)).alias("cut"))
     none = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    joined = companies.select("ticker", "sector").join(risk, "ticker", "left").select("ticker", "sector", none("critical"), none("high"), none("other"))
-    health = F.when((F.col("critical") > 0) | (F.col("high") >= 2), "Broken").when((F.col("high") == 1) | (F.col("other") >= 2), "Weakening").otherwise("Intact")
-    return joined.withColumn("health", health)
+    joined = companies.select("ticker", "sector").join(risk, "ticker", "left").join(cut, "ticker", "left").select("ticker", "sector", none("critical"), none("high"), none("other"), F.coalesce("cut", F.lit(False)).alias("cut"))
+    worse = F.when((F.col("critical") > 0) | (F.col("high") >= 2), 2).when((F.col("high") == 1) | (F.col("other") >= 2), 1).otherwise(0) + F.col("cut").cast("int")
+    return joined.withColumn("health", F.when(worse == 0, "Intact").when(worse == 1, "Weakening").otherwise("Broken"))
 
 
 def pledge_verdict(companies: DataFrame) -> DataFrame:
-    """Grades pledged shares: at 5, 15 and 40 percent, one grade up when rising by half a point near the low."""
-    level = F.when(F.col("pledged") >= 40, 3).when(F.col("pledged") >= 15, 2).when(F.col("pledged") >= 5, 1).otherwise(0)
-    worse = (F.col("pledged_change") >= 0.5) & F.col("above_low").between(0, 20) & (level > 0)
-    grade = F.least(level + F.when(worse, 1).otherwise(0), F.lit(3))
-    return companies.select("ticker", "pledged", "pledged_change", "above_low", F.element_at(F.array(*map(F.lit, ("none", "watch", "high", "critical"))), grade + 1).alias("verdict"))
+    """Status and severity of pledged shares. Unknown is a status of its own; rising and near the low make it graver."""
+    pledged = F.col("pledged")
+    rising = F.coalesce(F.col("pledged_change") >= 0.5, F.lit(False))
+    near_low = F.coalesce(F.col("above_low").between(0, 20), F.lit(False))
+    rows = companies.select("ticker", "pledged", rising.alias("rising"), near_low.alias("near_low"))
+    # fixed values: 5, 15 and 40 percent, half a point, a fifth over the low
+    status = F.when(pledged.isNull(), "not_disclosed").when(pledged <= 0, "none").when(pledged >= 40, "severe").when(pledged >= 15, "high").when((pledged >= 5) | F.col("rising"), "notable").otherwise("none")
+    grave = (
+        F.when(pledged.isNull() | (pledged <= 0), F.lit(None).cast("string")).when(pledged >= 40, "Critical")
+        .when(pledged >= 15, F.when(F.col("rising") | F.col("near_low"), "Critical").otherwise("High"))
+        .when(pledged >= 5, F.when(F.col("rising") & F.col("near_low"), "High").otherwise("Medium")).when(F.col("rising"), "Medium")
+    )
+    return rows.select("ticker", F.round("pledged", 2).alias("pledged_pct"), "rising", "near_low", status.alias("status"), grave.alias("severity"))
 
 
 def graham(companies: DataFrame, bond_yield: float = 7.0) -> DataFrame:
-    """Value from earnings: eps * (8.5 + 2g) * 4.4 / yield, with g held between 0 and 15; and the upside to it."""
-    rate = F.least(F.greatest(F.col("growth"), F.lit(0.0)), F.lit(15.0))
-    value = F.when(F.col("eps") > 0, F.col("eps") * (8.5 + 2 * rate) * 4.4 / bond_yield).otherwise(0.0)
-    upside = F.when((F.col("price") > 0) & (value > 0), F.least(F.greatest((value - F.col("price")) / F.col("price") * 100, F.lit(-50.0)), F.lit(60.0)))
-    return companies.withColumns({"graham_value": value, "upside": upside})
+    """Value from a year's earnings (eps): eps * (8.5 + 2g) * 4.4 / yield, and the upside to it.
+
+    g is the growth over the trailing year (ttm) held between 0 and 15, or 6 if it is unknown. There is no value without
+    earnings, or where the last quarter (q_eps, q_opm) shows a loss.
+    """
+    rate = F.when(F.col("ttm").isNull(), 6.0).otherwise(F.least(F.greatest(F.col("ttm"), F.lit(0.0)), F.lit(15.0)))
+    intact = ~F.coalesce(F.col("q_eps") < 0, F.lit(False)) & ~F.coalesce(F.col("q_opm") < 0, F.lit(False))
+    value = F.when((F.col("eps") > 0) & intact, F.round(F.col("eps") * ((8.5 + 2 * rate) * (4.4 / bond_yield)), 1)).otherwise(0.0)
+    upside = F.when((F.col("price") > 0) & (F.col("graham_value") > 0), F.least(F.greatest((F.col("graham_value") - F.col("price")) / F.col("price") * 100, F.lit(-50.0)), F.lit(60.0)))
+    return companies.withColumn("graham_value", value).withColumn("upside", upside)
+
+
+def moat_points() -> Column:
+    """How many of three hold: returns on capital and on equity over 15, debt under half of half the market's value."""
+    holds = lambda c: F.when(c, 1).otherwise(0)
+    return holds(F.col("roce") > 15) + holds(F.col("roe") > 15) + holds(F.col("debt") / (0.5 * F.col("value")) < 0.5)
+
+
+def below_net_assets() -> Column:
+    """Whether the price lies under the net current assets of a share."""
+    return F.col("price") < F.col("net_assets") / F.when(F.col("price") > 0, F.col("value") / F.col("price")).otherwise(1.0)
 
 
 def potential(companies: DataFrame) -> DataFrame:
     """The analysts' target where there are analysts, else the value from earnings, else none."""
     rated = graham(companies)
     told = (F.col("analysts") > 0) & (F.col("target") > 0) & (F.col("price") > 0)
-    method = F.when(told, "consensus").when(F.col("upside").isNotNull(), "fundamental").otherwise("none")
+    # fixed values: the methods' names
+    method = F.when(told, "Analyst Consensus").when(F.col("upside").isNotNull(), "Fundamental Estimate").otherwise("No Estimate")
     return rated.select("ticker", "sector", method.alias("method"), F.when(told, (F.col("target") - F.col("price")) / F.col("price") * 100).otherwise(F.col("upside")).alias("potential"))
+
+
+def valuation_alerts(companies: DataFrame) -> DataFrame:
+    """ticker, alerts: the screens that a company fails, in a fixed order."""
+    return valuation_alerts_of(graham(companies)).select("ticker", "alerts")
+
+
+def valuation_alerts_of(valued: DataFrame) -> DataFrame:
+    """graham()'s rows with alerts. Missing figures count as zero, but for ratios."""
+    pe, zero = F.coalesce("pe", F.lit(0.0)), lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    slower = F.coalesce(F.col("revenue_last") < F.col("revenue_before"), F.lit(False)) | F.coalesce(F.col("qoq") < 15, F.lit(False))
+    # fixed values: thresholds and messages
+    tested = (
+        (F.col("current_ratio") < 2, F.lit("Fails Current Ratio (< 2.0)")), (zero("debt") > zero("net_assets"), F.lit("Fails Debt Limit (Debt > Net Assets)")),
+        ((pe > 15) & ~(F.col("price") <= F.col("graham_value") * 1.2), F.concat(F.lit("Fails P/E Screen (P/E "), pe.cast("string"), F.lit(" > 15 & Price > Intrinsic)"))),
+        (zero("dividend") == 0, F.lit("No Dividend Yield")), ((pe > 30) & slower, F.lit("Hyper-Growth Reality Check (P/E > 30 & revenue growth decelerating)")),
+    )
+    return valued.withColumn("alerts", F.array_compact(F.array(*[F.when(c, text) for c, text in tested])))
+
+
+def candidates(peers: DataFrame, k: int = 3) -> DataFrame:
+    """The k fastest peers of each sector that are large, hold a share and grow: by profit if it is plausible, else by sales."""
+    fine = lambda c: F.when(F.col(c).between(-95, 150), F.col(c))
+    rated = peers.withColumn("growth_pct", F.round(F.coalesce(fine("profit_var"), fine("sales_var")), 1)).where("market_cap >= 1000 and share >= 1 and growth_pct >= 15")
+    basis = F.when(F.round("profit_var", 1) == F.col("growth_pct"), "profit growth").otherwise("revenue growth")
+    return top_of(rated.select("sector", "ticker", "growth_pct", basis.alias("basis")), ["sector"], [F.desc("growth_pct"), F.col("ticker")], k)
+
+
+def variant_perception(valued: DataFrame, least: float = 15.0) -> DataFrame:
+    """Companies with a consensus whose own value, plausible against the price, lies ``least`` percent or more from it."""
+    rows = valued.where("analysts > 0 and target > 0 and price > 0 and graham_value <> 0 and graham_value / price between 0.33 and 3")
+    rows = rows.withColumn("divergence_pct", F.round((F.col("graham_value") - F.col("target")) / F.col("target") * 100, 1)).where(F.abs("divergence_pct") >= least)
+    return rows.select("ticker", "sector", "divergence_pct", F.when(F.col("divergence_pct") > 0, "more_bullish").otherwise("more_bearish").alias("direction"))
+
+
+def revisions(now: DataFrame, before: DataFrame, least: float = 3.0) -> DataFrame:
+    """Companies of both runs whose target moved by ``least`` percent or more."""
+    before = before.select("ticker", F.col("target").alias("was"), F.col("analysts").alias("n"), F.col("rec").alias("r"))
+    got = now.join(before, "ticker").where("was <> 0 and target is not null").withColumn("target_change_pct", F.round((F.col("target") - F.col("was")) / F.col("was") * 100, 2)).where(F.abs("target_change_pct") >= least)
+    return got.select("ticker", "sector", "target_change_pct", (F.col("analysts") - F.col("n")).cast("int").alias("analyst_count_change"), F.round(F.col("rec") - F.col("r"), 2).alias("rec_score_change"), F.when(F.col("target") > F.col("was"), "up").otherwise("down").alias("direction"))
+
+
+def scored_decisions(ledger: DataFrame, age: int = 45) -> DataFrame:
+    """(date, today, price_at_decision, target_at_decision, price) -> with realized_return_pct and outcome."""
+    move = lambda c: F.when(F.col("price_at_decision") != 0, F.round((F.col(c) - F.col("price_at_decision")) / F.col("price_at_decision") * 100, 1))
+    ripe = F.date_diff("today", "date") >= age
+    rows = ledger.withColumns({"realized": move("price"), "anticipated": move("target_at_decision")})
+    won = (F.col("anticipated") > 0) & (F.col("realized") >= 0.5 * F.col("anticipated"))
+    # fixed values: the outcomes' names
+    outcome = F.when(~ripe, "pending").when(F.col("price").isNull(), "Left Watchlist (unscored)").when(won, "Thesis Playing Out").otherwise("Underperforming")
+    return rows.withColumns({"realized_return_pct": F.when(ripe & F.col("price").isNotNull(), F.col("realized")), "outcome": outcome})
+
+
+def aggregate_score(companies: DataFrame) -> DataFrame:
+    """Points for and against a company (the columns of graham() and the rules, and momentum), and what they advise."""
+    c = F.col
+    yes = lambda cond, points: F.when(cond, points).otherwise(0)
+    either = lambda good, plus, bad, minus: F.when(good, plus).when(bad, minus).otherwise(0)
+    rows = valuation_alerts_of(graham(companies)).withColumns({"moat": moat_points(), "bargain": below_net_assets()})
+    # fixed values: thresholds and points
+    parts = [
+        either(c("ttm") >= 15, 1, c("ttm") < 0, -2), either(c("opm_change") >= 2, 1, c("opm_change") <= -2, -1), either(c("debt_equity") < 0.5, 1, c("debt_equity") > 1, -2), either(c("current_ratio") >= 2, 1, c("current_ratio") < 1, -1),
+        yes(c("roce") >= 20, 1), yes(c("roe") >= 15, 1), yes(c("promoter_change") <= -1, -2), either(c("fii_change") > 0, 2, c("fii_change") < -1, -1), yes(c("dii_change") > 0, 1),
+        F.when(c("moat") == 3, 3).when(c("moat").isin(1, 2), 1).otherwise(0), either(c("bargain"), 3, (c("graham_value") != 0) & (c("price") != 0) & (c("price") < c("graham_value")), 2),
+        -2 * F.size(F.filter("alerts", lambda x: x.rlike("Debt Limit|P/E Screen|Hyper-Growth|Current Ratio"))),
+    ]
+    fundamental = sum(parts[1:], parts[0])
+    rows = rows.select("ticker", fundamental.cast("int").alias("fundamental_score"), F.col("momentum").cast("int").alias("momentum_score")).withColumn("overall_score", (F.col("fundamental_score") + F.col("momentum_score")).cast("int"))
+    advice = F.when(c("overall_score") >= 15, "Strong Buy Candidate").when(c("overall_score") >= 10, "Buy Candidate").when(c("overall_score") >= 5, "Hold / Monitor").otherwise("Avoid / High Risk")
+    return rows.withColumn("recommendation", advice)

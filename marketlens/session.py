@@ -34,5 +34,8 @@ def with_checkpoints(spark: SparkSession) -> SparkSession:
     if spark.conf.get(BATCH_ROWS) == "10000":  # Spark's own default, too many for rows that hold whole texts
         spark.conf.set(BATCH_ROWS, "1000")
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="marketlens-checkpoints-"))
+        shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="marketlens-checkpoints-"))
     return spark

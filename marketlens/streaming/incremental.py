@@ -24,10 +24,9 @@ def _is_folder(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
 
 
-def first_seen(events: DataFrame, keys: list[str], late: str = "40 days") -> DataFrame:
-    """One row a key; keys are forgotten once the watermark has passed them."""
-    kept = events.withWatermark("ts", late)
-    return kept.dropDuplicatesWithinWatermark(keys).select(*keys) if events.isStreaming else events.select(*keys).distinct()
+def first_seen(events: DataFrame, keys: list[str]) -> DataFrame:
+    """One row a key, however late its next rows come: the state store keeps every key."""
+    return events.select(*keys).dropDuplicates(keys)
 
 
 def sliding_counts(events: DataFrame, key: str, length: str = "14 days", step: str = "1 day", late: str = "2 days") -> DataFrame:
