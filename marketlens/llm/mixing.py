@@ -74,10 +74,11 @@ def schedule(aims: DataFrame, slots: int, small: bool) -> DataFrame:
 def mix_sources(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, source, text) -> the placed documents and the mix.
 
-    Placed: doc_id, content, place, bucket, pos (these three name a row), size, source_size, target. The mix: slot,
+    Placed: doc_id, content, source, place, bucket, pos (these three name a row), size, source_size, target. The mix: slot,
     place, bucket, pos, pass, first, last: the words [first, last) of that pass over the document, in slot order.
     """
-    digest = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+    # rows without a doc_id are dealt by their texts, so that they do not gather in one bucket
+    digest = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.xxhash64("text").cast("string"))), 1, 15), 16, 10).cast("long")
     sized = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", digest.alias("digest"), F.xxhash64("text").alias("content"), words_of("text").alias("size")))
     sizes = written(sized.groupBy("source").agg(F.count("*").alias("docs"), F.sum("size").alias("source_size")))
     small = sizes.count() <= BROADCAST_SOURCES
@@ -97,7 +98,7 @@ def mix_sources(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     laid = sized.join(about, F.col("source").eqNullSafe(F.col("of"))).withColumn("bucket", F.pmod(F.col("digest"), buckets))
     within = Window.partitionBy("place", "bucket").orderBy("digest", F.col("doc_id").asc_nulls_first(), "size", "content")
     laid = laid.withColumns({"pos": F.row_number().over(within), "upto": F.sum("size").over(within.rowsBetween(Window.unboundedPreceding, 0))})
-    laid = written(laid.select("doc_id", "content", "place", "bucket", "pos", "upto", "size", "source_size", "target", "aim", "block"))
+    laid = written(laid.select("doc_id", "content", "source", "place", "bucket", "pos", "upto", "size", "source_size", "target", "aim", "block"))
     sums = laid.groupBy("place", "bucket").agg(F.sum("size").alias("n"))
     ahead = F.coalesce(F.sum("n").over(Window.partitionBy("place").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select("place", "bucket", ahead.alias("ahead"))
@@ -105,7 +106,7 @@ def mix_sources(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     put = put.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MAX_REPEATS - 1)))).withColumn("a", F.expr("ahead + upto - size + pass * source_size")).withColumn("b", F.expr("least(a + size, aim)")).where("a < b")
     put = put.withColumn("rank", F.explode(F.expr("sequence(a div block, (b - 1) div block)")))
     put = put.select("place", "bucket", "pos", "pass", "rank", F.expr("greatest(a, rank * block) - a").alias("first"), F.expr("least(b, (rank + 1) * block) - a").alias("last"))
-    return laid.select("doc_id", "content", "place", "bucket", "pos", "size", "source_size", "target"), put.join(order, ["place", "rank"]).drop("rank")
+    return laid.select("doc_id", "content", "source", "place", "bucket", "pos", "size", "source_size", "target"), put.join(order, ["place", "rank"]).drop("rank")
 
 
 def taken(placed: DataFrame, mix: DataFrame) -> DataFrame:
@@ -122,12 +123,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     # the pieces of a pass are neighbours: together they are its first words
     passes = mix.groupBy("place", "bucket", "pos", "pass").agg(F.sum(F.col("last") - F.col("first")).alias("words"))
     passes = passes.groupBy("place", "bucket", "pos").agg(F.collect_list("words").alias("takes"))
-    # rows with equal doc_id and text are told apart by their number
-    copy = F.row_number().over(Window.partitionBy("doc_id", "content").orderBy("place", "bucket", "pos"))
-    takes = placed.withColumn("copy", copy).join(passes, ["place", "bucket", "pos"]).select(F.col("doc_id").alias("id"), "content", "copy", "size", "takes")
-    read = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("hash"))
-    read = read.withColumn("nth", F.row_number().over(Window.partitionBy("doc", "hash").orderBy(F.lit(0))))
-    joined = read.join(takes, (F.col("hash") == F.col("content")) & F.col("doc").eqNullSafe(F.col("id")) & (F.col("nth") == F.col("copy")))
+    # rows with equal doc_id, text and source are told apart by their number, in the order of their other columns
+    copy = F.row_number().over(Window.partitionBy("doc_id", "content", "source").orderBy("bucket", "pos"))
+    takes = placed.withColumn("copy", copy).join(passes, ["place", "bucket", "pos"]).select(F.col("doc_id").alias("id"), "content", F.col("source").alias("from"), "copy", "size", "takes")
+    read = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("hash"), F.col("source").alias("of"))
+    read = read.withColumn("nth", F.row_number().over(Window.partitionBy("doc", "hash", "of").orderBy(F.xxhash64("row"))))
+    joined = read.join(takes, (F.col("hash") == F.col("content")) & F.col("doc").eqNullSafe(F.col("id")) & F.col("of").eqNullSafe(F.col("from")) & (F.col("nth") == F.col("copy")))
     pieces = joined.withColumn("take", F.explode("takes"))
     cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("take").cast("int")), " ")
     pieces = pieces.withColumn("row", F.col("row").withField("text", F.when(F.col("take") >= F.col("size"), F.col("row.text")).otherwise(cut)))

@@ -130,6 +130,37 @@ def test_hmm_forward_is_exact():
     assert stretches.forward(better, *stretches.transfer(better))[1].sum() >= log.sum()
 
 
+def test_hmm_score(spark, docs, rows):
+    """Scores worked out text by text and word by word from the trained model."""
+    import pyarrow as pa
+
+    from marketlens.llm.store import written
+    from marketlens.llm.words import Words
+
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    frame = docs.select("doc_id", held_out.alias("held_out"), "text")
+    train = frame.where("not held_out")
+    counts = written(hmm.word_counts(train))
+    lex, _ = hmm.lexicon(counts, train.count())
+    model = hmm.trained(hmm._read(frame.select(F.monotonically_increasing_id().alias("row"), "doc_id", "held_out", "text"), lex).where("not held_out"), lex)
+    count = {r["word"] & (1 << 64) - 1: r["c"] for r in counts.collect()}
+    symbol = dict(zip(lex.hashes.tolist(), lex.symbols.tolist(), strict=True))
+    got = {r["doc_id"]: r["score"] for r in hmm.scored(spark, docs).collect()}
+    for i, text in rows[:60]:
+        now, total = model.start, 0.0
+        words = WORD.findall(text or "")
+        found = Words.of(pa.array(words, pa.large_string())) if words else None
+        hashes, endings = (found.hashes(lower=True).tolist(), hmm._endings(found).tolist()) if words else ([], [])
+        for h, e in [*zip(hashes, endings, strict=True), (None, None)]:
+            s, share = (lex.own, 1.0) if h is None else (symbol.get(h, lex.own + 1 + e), 1.0)
+            if h is not None and s > lex.own:
+                share = (count[h] + 1 if h in count else lex.unseen[e]) / 10 ** lex.log_share[e]
+            now = now @ model.move * model.emit[s] * share
+            total += math.log10(now.sum())
+            now = now / now.sum()
+        assert math.isclose(total, got[i], rel_tol=1e-6), i
+
+
 def test_hmm_odd(spark, odd):
     assert hmm.scored(spark, odd).count() == odd.count()
     assert hmm.scored(spark, odd.limit(0)).count() == 0
@@ -241,6 +272,37 @@ def test_mix(docs, rows, odd):
     assert words == sum(r["taken"] for r in got)
 
 
+def test_mix_targets(docs):
+    """Targets by filling up from the level: each source's weight times a level, three times its size at most."""
+    got = mixing.taken(*mixing.mix_sources(docs.unionByName(docs.limit(3).withColumn("source", F.lit(None).cast("string"))))).collect()
+    names = {}
+    for r in docs.unionByName(docs.limit(3).withColumn("source", F.lit(None).cast("string"))).collect():
+        names[r["source"]] = names.get(r["source"], 0) + len(WORD.findall(r["text"] or ""))
+    order = sorted(names, key=lambda n: (n is None, (n or "").encode("utf-32-be")))
+    weight, total = {n: 1 + i % 3 for i, n in enumerate(order)}, sum(names.values())
+    target, open_ = dict.fromkeys(order, 0.0), set(order)
+    while open_:
+        level = (total - sum(target[n] for n in order if n not in open_)) / sum(weight[n] for n in open_)
+        full = {n for n in open_ if weight[n] * level > 3 * names[n]}
+        target |= {n: 3.0 * names[n] if n in full else weight[n] * level for n in open_}
+        if not full:
+            break
+        open_ -= full
+    want = sorted((names[n], round(target[n], 6)) for n in order)
+    assert sorted({(r["source_size"], round(r["target"], 6)) for r in got}) == sorted(set(want))
+
+
+def test_mix_repeated_rows(spark):
+    text = sentence(31, 40)
+    rows = [(1, text, "en", "a"), (1, text, "de", "b"), (1, text, "de", "b"), (None, text, "en", "a"), (None, None, "en", "a"), (2, "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    out = [tuple(r) for r in mixing.mixed_documents(docs).collect()]
+    words = sum(len(WORD.findall(r[1])) for r in out)
+    assert words == sum(r["taken"] for r in mixing.taken(*mixing.mix_sources(docs)).collect()) and {r[2:] for r in out} <= {("en", "a"), ("de", "b")}
+    assert sorted(out, key=str) == sorted((tuple(r) for r in mixing.mixed_documents(docs).collect()), key=str)
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
 def brute_repeats(rows, width=35):
     where = defaultdict(list)
     words = {k: WORD.findall(t or "") for k, (_, t) in enumerate(rows)}
@@ -371,15 +433,61 @@ def test_pipeline_near_dedup(spark):
 
 
 def test_pipeline(spark, data):
+    """run()'s rows, with the first three stages and the encoding by brute force, and the mix by its words taken."""
     import corpus_pipeline
+    import public_tokenizers
+    from tokenizers import Tokenizer
 
     docs = spark.read.parquet(f"{data}/documents.parquet")
-    columns, before = docs.columns, docs.count()
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.written(stage(spark, docs, data))
-        assert docs.columns == columns, name
-        if name != "source mix":
-            assert 0 < docs.count() <= before
-            before = docs.count()
-    out = corpus_pipeline.encoding(spark, docs, data)
-    assert out.count() == docs.count() and {"doc_id", "n_tokens", "ids"} <= set(out.columns)
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    kept = {r["doc_id"] for r in quality.quality_rules(docs, ["doc_id"]).where("kept").select("row.doc_id").collect()}
+    texts = [(i, rows[i]["text"]) for i in sorted(kept)]
+    full = lambda t: [x for x in t.split("\n") if WORD.search(x)]
+    left = {i: t for i, t in kept_lines(texts).items() if full(t) or not full(rows[i]["text"])}
+    lower = lambda t: [w.translate({k: k + 32 for k in range(65, 91)}) for w in WORD.findall(t or "")]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} or ({tuple(w)} if w else set()) for i, w in ((i, lower(t)) for i, t in left.items())}
+    where, linked = defaultdict(list), []
+    for i, s in sets.items():
+        both = Counter(o for x in s for o in where[x])
+        linked += [(i, o) for o, k in both.items() if 100 * k >= 85 * (len(s) + len(sets[o]) - k)]
+        for x in s:
+            where[x].append(i)
+    group = united(sets, linked)
+    left = {i: t for i, t in left.items() if group[i] == i}
+
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert names == ["quality rules", "line dedup", "near dedup", "source mix", "encoding"]
+    frame = docs
+    for name, stage in corpus_pipeline.STAGES[:3]:
+        frame = corpus_pipeline.written(stage(spark, frame, data))
+        assert frame.columns == docs.columns, name
+    assert {r["doc_id"]: r["text"] for r in frame.collect()} == left and all(r["n_chars"] == len(left[r["doc_id"]]) for r in frame.collect() if left[r["doc_id"]] != rows[r["doc_id"]]["text"])
+
+    mixed = corpus_pipeline.written(corpus_pipeline.source_mix(spark, frame, data))
+    assert mixed.columns == docs.columns
+    took = defaultdict(int)
+    for r in mixed.collect():
+        words = WORD.findall(r["text"])
+        assert words == WORD.findall(left[r["doc_id"]])[: len(words)]
+        took[r["doc_id"]] += len(words)
+    assert took == {r["doc_id"]: r["taken"] for r in mixing.taken(*mixing.mix_sources(frame)).collect() if r["taken"]}
+
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    library.no_padding()
+    library.no_truncation()
+    want = Counter()
+    for r in mixed.collect():
+        ids = library.encode(r["text"], add_special_tokens=False).ids
+        want[r["doc_id"], len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_sha256"]) for r in corpus_pipeline.run(spark, data).collect()) == want
+
+
+def test_pipeline_odd(spark, odd):
+    import corpus_pipeline
+
+    for rows in (odd, odd.limit(0)):
+        frame = rows
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            frame = corpus_pipeline.written(stage(spark, frame, ""))
+            assert frame.columns == odd.columns, name
+        assert corpus_pipeline.encoding(spark, frame, "").count() == frame.count()
