@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages that clean, deduplicate, mix and encode documents."""
+"""The corpus pipeline: stages that clean, deduplicate, mix and encode documents.
+
+Stages work on whole texts of any length and pass other columns through, whatever their names. An empty table gives an
+empty result. Ties are decided by doc_id.
+"""
 
 from __future__ import annotations
 
@@ -13,13 +17,19 @@ VOCABULARY = "word_bpe_49k.json"
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go: those without text, of under 50 words, and those outside the limits.
+
+    Repeated rows are judged each by itself; nulls in other columns are groups or values like any other.
+    """
     with_checkpoints(spark)
     return quality.quality_rules(docs).where("kept").select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that repeat an earlier line go; documents stay, but for those whose every line was a repeat."""
+    """Lines that repeat an earlier line go; documents stay, but for those whose every line was a repeat.
+
+    A null text stays null. Rows with equal doc_id and text are cut alike.
+    """
     with_checkpoints(spark)
     found = lines.without_repeated_lines(docs)
     return found.where("n_removed = 0 or n_removed < n_lines").select("row.*")
@@ -42,13 +52,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix of sources: documents, cut at the end of a source's target, repeated where the target asks for it."""
+    """The mix of sources: documents, cut at the end of a source's target, repeated where the target asks for it.
+
+    Documents without words have no part in it; a null source is a source.
+    """
     with_checkpoints(spark)
     return mixing.mixed_documents(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256 of each row of the mix."""
+    """doc_id, lang, source, n_tokens, ids, ids_sha256, decoded_sha256 of each row of the mix; a null text has no ids."""
     rows = bpe.encoded(docs, VOCABULARY, ["doc_id", "lang", "source"])
     return bpe.digests(rows.withColumn("row", F.col("row").withField("ids", F.col("ids"))))
 
