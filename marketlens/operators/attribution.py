@@ -84,3 +84,25 @@ def partner_edges(titles: DataFrame, matches: DataFrame) -> DataFrame:
     # a headline names a handful of companies: its pairs are few
     pairs = one.select("id", F.col("ticker").alias("src")).join(one.select("id", F.col("ticker").alias("dst")), "id").where("src < dst")
     return pairs.groupBy("src", "dst").agg(F.min("id").alias("evidence"))
+
+
+def along_edges(found: DataFrame, titles: DataFrame, edges: DataFrame, companies: DataFrame, k: int = 3) -> DataFrame:
+    """Warnings for what the edges of a named source lead to: a company, or the first k companies of a sector.
+
+    Edges of input costs are not followed here. companies: (ticker, sector, ord).
+    """
+    anchors = edges.where("type <> 'input_cost'")
+    hits = named(titles.join(found.select("id"), "id", "left_semi"), anchors.select(F.col("src").alias("ticker"), F.col("src").alias("name")).distinct())
+    routed = found.select("id", "direction").join(hits.withColumnRenamed("ticker", "src"), "id").join(anchors.select("src", "dst"), "src").select("id", "direction", "src", "dst").distinct()
+    own = companies.select(F.col("ticker").alias("dst"), F.col("ticker"))
+    first = companies.withColumn("n", F.row_number().over(Window.partitionBy("sector").orderBy("ord"))).where(F.col("n") <= k).select(F.col("sector").alias("dst"), "ticker")
+    # a name that is a company is no sector
+    both = own.unionByName(first.join(own.select("dst"), "dst", "left_anti"))
+    return routed.join(both, "dst").select("id", "src", "ticker", "direction", F.lit("Low").alias("severity"), F.lit("Ecosystem Signal").alias("category"))
+
+
+def sector_stress(found: DataFrame, inputs: DataFrame, least: int = 2) -> DataFrame:
+    """(id, sector, title) and (src, dst): how many events touch each sector, by itself or by an input that the title names."""
+    through = found.join(F.broadcast(inputs), F.lower("title").contains(F.lower("src"))).select("id", F.col("dst").alias("sector"))
+    touched = found.select("id", "sector").unionByName(through).distinct()
+    return touched.groupBy("sector").agg(F.count("*").alias("n")).withColumn("warns", F.col("n") >= least)

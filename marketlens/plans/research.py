@@ -77,12 +77,50 @@ def headline_events(spark: SparkSession, d: str) -> DataFrame:
 _ACTED = f"WITH {_ISSUED}, {_EVENTS}, ec AS (SELECT id, clause AS title FROM ev), {_match_sql('ec', 'ac')}"
 
 
-@query(f"{_ACTED} SELECT ev.id, ticker, type, direction, CASE WHEN direction = 'risk' THEN 'Medium' ELSE 'Low' END AS severity FROM ev JOIN ac ON ev.id = ac.id WHERE certainty <> 'reported'")
+@query(f"{_ACTED} SELECT ev.id, ticker, type, certainty, direction, 'Low' AS severity, 'Corporate Move' AS category FROM ev JOIN ac ON ev.id = ac.id")
 def event_actors(spark: SparkSession, d: str) -> DataFrame:
-    """The companies that the event's own clause names; reported events move nobody."""
-    found = attribution.events(_headlines(spark, d)).where("certainty <> 'reported'")
+    """A warning for each company that an event's own clause names."""
+    found = attribution.events(_headlines(spark, d))
     actors = attribution.named(found.select("id", F.col("clause").alias("title")), _companies(spark, d))
-    return found.join(actors, "id").select("id", "ticker", "type", "direction", F.when(F.col("direction") == "risk", "Medium").otherwise("Low").alias("severity"))
+    return found.join(actors, "id").select("id", "ticker", "type", "certainty", "direction", F.lit("Low").alias("severity"), F.lit("Corporate Move").alias("category"))
+
+
+# edges: what an anchor company or an input feeds, made up from company numbers
+_EDGES = "ed AS (SELECT short AS src, CASE WHEN s_suppkey % 2 = 0 THEN 'T' || CAST(s_suppkey AS STRING) ELSE sector END AS dst, CASE WHEN s_suppkey % 3 = 1 THEN 'anchor_demand' ELSE 'partner' END AS type FROM co WHERE s_suppkey <= 60)"
+_TOUCHED = f"""WITH {_ISSUED}, {_EVENTS}, co0 AS (SELECT * FROM co), {_EDGES}, sq AS (SELECT DISTINCT src FROM ed), {_match_sql('hl', 'nm').replace('FROM co)', 'FROM (SELECT src AS ticker, src AS name FROM sq))', 1)},
+tp AS (SELECT sector, ticker, row_number() OVER (PARTITION BY sector ORDER BY s_suppkey) AS n FROM co)"""
+
+
+@query(f"""{_TOUCHED}, he AS (SELECT DISTINCT ev.id, direction, src, dst FROM ev JOIN nm ON ev.id = nm.id JOIN ed ON ed.src = nm.ticker)
+SELECT he.id, src, coalesce(co.ticker, tp.ticker) AS ticker, direction, 'Low' AS severity, 'Ecosystem Signal' AS category FROM he LEFT JOIN co ON he.dst = co.ticker LEFT JOIN tp ON co.ticker IS NULL AND he.dst = tp.sector AND tp.n <= 3 WHERE coalesce(co.ticker, tp.ticker) IS NOT NULL""")
+def ecosystem_signals(spark: SparkSession, d: str) -> DataFrame:
+    """Events that reach a company along an edge: one whose source the headline names."""
+    companies = _companies(spark, d)
+    edges = companies.where("s_suppkey <= 60").select(F.col("short").alias("src"), F.when(F.col("s_suppkey") % 2 == 0, F.col("ticker")).otherwise(F.col("sector")).alias("dst"), F.when(F.col("s_suppkey") % 3 == 1, "anchor_demand").otherwise("partner").alias("type"))
+    titles = _headlines(spark, d)
+    return attribution.along_edges(attribution.events(titles), titles, edges, companies.select("ticker", "sector", F.col("s_suppkey").alias("ord")))
+
+
+_DOMAIN = "sd AS (SELECT ev.id, hl.day, hl.sector FROM ev JOIN hl ON ev.id = hl.id WHERE direction = 'risk')"
+
+
+@query(f"""WITH {_ISSUED}, {_EVENTS}, {_DOMAIN}, c3 AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY id) AS n FROM sd) SELECT c3.id, ticker, c3.sector, 'Medium' AS severity, 'risk' AS direction, 'Supply Chain' AS category FROM c3 JOIN co ON c3.sector = co.sector WHERE n <= 3""")
+def supply_chain_signals(spark: SparkSession, d: str) -> DataFrame:
+    """A sector's first three risk events reach all of its companies."""
+    titles = _headlines(spark, d)
+    touched = attribution.events(titles).where("direction = 'risk'").select("id").join(titles.select("id", "sector"), "id")
+    first = sets.top_of(touched, ["sector"], [F.col("id")], 3).drop("rank")
+    return first.join(_companies(spark, d).select("ticker", "sector"), "sector").select("id", "ticker", "sector", F.lit("Medium").alias("severity"), F.lit("risk").alias("direction"), F.lit("Supply Chain").alias("category"))
+
+
+@query(f"""WITH {_ISSUED}, {_EVENTS}, rk AS (SELECT ev.id, hl.day, hl.sector, hl.title FROM ev JOIN hl ON ev.id = hl.id WHERE direction = 'risk' AND certainty <> 'reported' AND date_diff('day', hl.day, (SELECT max(day) FROM hl)) <= 365),
+ie AS (SELECT 'copper' AS src, n_name AS dst FROM nation WHERE n_nationkey % 5 = 0), ss AS (SELECT id, sector FROM rk UNION SELECT id, dst FROM rk JOIN ie ON contains(lower(title), src)) SELECT sector, count(*) AS n, count(*) >= 2 AS warns FROM ss GROUP BY 1""")
+def supply_stress_sectors(spark: SparkSession, d: str) -> DataFrame:
+    """Settled risk events of the last year a sector, in its own headlines or through an input that it depends on."""
+    titles = _headlines(spark, d)
+    told = attribution.events(titles).where("direction = 'risk' and certainty <> 'reported'").select("id").join(titles, "id").join(F.broadcast(_today(titles)), F.date_diff("today", "day") <= 365)
+    inputs = table(spark, d, "nation").where("n_nationkey % 5 = 0").select(F.lit("copper").alias("src"), F.col("n_name").alias("dst"))
+    return attribution.sector_stress(told, inputs)
 
 
 @query(f"WITH {_ISSUED}, {_EVENTS} SELECT type, certainty, count(*) AS n FROM ev GROUP BY 1, 2")
