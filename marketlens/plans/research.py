@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import coerce
 from marketlens.functions import headlines as H
-from marketlens.operators import attribution, rules, series, sets
+from marketlens.operators import attribution, rules, series, sets, views
 from marketlens.plans import catalogue
 from marketlens.plans.catalogue import _GRAHAM, _RANK, _SHARE, _WARN, HOLDINGS, METRICS, QUARTERS, VALUED, query
 from marketlens.sources.tables import holdings, metrics, sales_series, table
@@ -293,3 +293,70 @@ def same_code_holdings(spark: SparkSession, d: str) -> DataFrame:
     """Candidates that are a holding under another ticker: equal codes, unequal tickers."""
     rows = holdings(spark, d).select("ticker", F.floor(F.expr("value % 97")).cast("long").alias("code"))
     return rows.where("ticker % 2 = 1").withColumnRenamed("ticker", "candidate").join(rows.where("ticker % 2 = 0").withColumnRenamed("ticker", "holding"), "code").where("candidate <> holding")
+
+
+@query(f"WITH x AS ({catalogue.SQL['thesis_health']}) SELECT ticker, sector, health FROM x ORDER BY CASE health WHEN 'Broken' THEN 0 WHEN 'Weakening' THEN 1 ELSE 2 END, ticker")
+def thesis_order(spark: SparkSession, d: str) -> DataFrame:
+    return views.in_thesis_order(catalogue.thesis_health(spark, d).select("ticker", "sector", "health"))
+
+
+@query(f"WITH x AS ({catalogue.SQL['input_cost_shock']}) SELECT '' AS ticker, sector, CASE band WHEN 'severe' THEN 'High' ELSE 'Medium' END AS severity, CASE WHEN score > 0 THEN 'risk' ELSE 'opportunity' END AS direction, 'Input Cost Shock' AS category FROM x WHERE band <> 'quiet'")
+def input_cost_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return views.input_cost_warnings(input_cost_shock(spark, d))
+
+
+@query(f"""{VALUED}, v AS (SELECT *, {_GRAHAM} AS g FROM m) SELECT ticker, CASE WHEN eps <= 0 THEN 'Negative trailing earnings (TTM EPS ' || CAST(eps AS VARCHAR) || ')' WHEN q_opm < 0 THEN 'Operating loss in the latest quarter (OPM ' || CAST(q_opm AS VARCHAR) || '%)'
+WHEN q_eps < 0 THEN 'Latest quarter swung to a loss (EPS ' || CAST(q_eps AS VARCHAR) || ')' ELSE 'Insufficient data for an honest estimate' END AS reason FROM v WHERE g = 0""")
+def suppressed_values(spark: SparkSession, d: str) -> DataFrame:
+    rows = rules.graham(catalogue._valued(spark, d)).where("graham_value = 0")
+    return rows.select("ticker", views.suppression_reason(F.col("eps"), F.col("q_opm"), F.col("q_eps"), F.lit(8)).alias("reason"))
+
+
+_SCHEME = "CASE c_custkey % 5 WHEN 0 THEN 'Alpha ' || c_mktsegment || ' Infrastructure Fund' WHEN 1 THEN 'Beta Digital ' || c_mktsegment || ' Fund' WHEN 2 THEN 'Gamma Defence Fund ' || CAST(c_custkey % 20 AS STRING) WHEN 3 THEN 'Delta Manufacturing & Transport Fund' ELSE 'Plain ' || c_mktsegment || ' Fund' END || CASE c_custkey % 3 WHEN 0 THEN ' - Direct Plan - Growth' WHEN 1 THEN '-Quarterly IDCW' ELSE ' (Regular) Option' END"
+
+
+@query(f"""WITH s AS (SELECT c_custkey AS code, {_SCHEME} AS name FROM customer), t AS (SELECT code, CASE WHEN contains(lower(name), 'manufacturing') OR contains(lower(name), 'make in india') THEN 'Manufacturing & PLI' WHEN regexp_matches(lower(name), 'semiconductor|technology|digital') THEN 'Semiconductors & Tech'
+WHEN regexp_matches(lower(name), 'defence|defense|aerospace') THEN 'Defence & Aerospace' WHEN regexp_matches(lower(name), 'logistics|transport|infrastructure') THEN 'Logistics & Infra' END AS theme, trim(regexp_replace(replace(lower(name), '-', ' '), '\\s+[.,()]*(direct|regular|growth|idcw|dividend|payout|reinvestment|bonus|quarterly|monthly|annual|plan|option)[.,()]*(\\s.*|$)', '')) AS base FROM s),
+f AS (SELECT theme, base, min(code) AS code FROM t WHERE theme IS NOT NULL GROUP BY 1, 2) SELECT theme, base, code, row_number() OVER (PARTITION BY theme ORDER BY code) AS rank FROM f QUALIFY rank <= 2""")
+def thematic_schemes(spark: SparkSession, d: str) -> DataFrame:
+    return views.thematic_schemes(table(spark, d, "customer").select(F.col("c_custkey").alias("code"), F.expr(_SCHEME).alias("name"), F.col("c_custkey").alias("place")))
+
+
+@query(f"SELECT CAST(o_orderdate + INTERVAL 26 YEAR AS DATE) AS day, count(*) AS orders FROM orders WHERE isodow(o_orderdate + INTERVAL 26 YEAR) < 6 AND strftime(o_orderdate + INTERVAL 26 YEAR, '%Y-%m-%d') NOT IN ({_IN(views.HOLIDAYS)}) GROUP BY 1")
+def trading_days(spark: SparkSession, d: str) -> DataFrame:
+    """Orders on trading days, with their dates moved into the years that the calendar covers."""
+    day = F.to_date(F.expr("o_orderdate + interval 26 years"))
+    return table(spark, d, "orders").select(day.alias("day")).where(views.is_trading_day(F.col("day"))).groupBy("day").agg(F.count("*").alias("orders"))
+
+
+_POLICY = "CASE o_orderkey % 4 WHEN 0 THEN 'Agreement' WHEN 1 THEN 'Launch' ELSE 'Filing' END"
+
+
+@query(f"""WITH {_ISSUED}, pe AS (SELECT CASE WHEN o_orderkey % 3 = 0 THEN lower('T' || {_KEY}) ELSE name END AS company, {_POLICY} AS kind, o_orderpriority AS title FROM orders JOIN co ON s_suppkey = o_custkey WHERE o_orderkey % 5 = 0),
+l AS (SELECT upper(company) AS k, kind || ': ' || title AS label FROM pe), b AS (SELECT ticker, label FROM co JOIN l ON upper(name) = k UNION SELECT ticker, label FROM co JOIN l ON upper(ticker) = k)
+SELECT ticker, 'Medium' AS severity, 'opportunity' AS direction, 'Policy Catalyst' AS category, count(*) AS n_events, min(label) AS first_label FROM b GROUP BY 1""")
+def policy_catalysts(spark: SparkSession, d: str) -> DataFrame:
+    companies = _companies(spark, d)
+    events = table(spark, d, "orders").where("o_orderkey % 5 = 0").join(companies, F.col("s_suppkey") == F.col("o_custkey"))
+    named = F.when(F.col("o_orderkey") % 3 == 0, F.lower("ticker")).otherwise(F.col("name"))
+    return views.policy_catalysts(companies, events.select(named.alias("company"), F.expr(_POLICY).alias("kind"), F.col("o_orderpriority").alias("title")))
+
+
+@query(f"""WITH {_EVERY}, al AS (SELECT ticker, category, CASE WHEN ticker % 2 = 0 THEN upper(sector) ELSE 'nation ' || CAST(n_nationkey AS VARCHAR) END AS sector FROM aw JOIN nation ON sector = n_name),
+na AS (SELECT n_nationkey AS key, lower(CAST(n_nationkey AS VARCHAR)) AS alias FROM nation UNION SELECT n_nationkey, lower(n_name) FROM nation UNION SELECT n_nationkey, 'nation ' || CAST(n_nationkey AS VARCHAR) FROM nation) SELECT CAST(key AS VARCHAR) AS key, count(*) AS warnings FROM al JOIN na ON lower(sector) = alias GROUP BY 1""")
+def warnings_by_alias(spark: SparkSession, d: str) -> DataFrame:
+    """Warnings that name their sector in one way or another, counted by the sector's key."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("key"), F.col("n_name").alias("name"), F.concat(F.lit("Nation "), F.col("n_nationkey").cast("string")).alias("label"))
+    told = _all_warnings(spark, d).join(nations.withColumnRenamed("name", "sector"), "sector").select("ticker", "category", F.when(F.col("ticker") % 2 == 0, F.upper("sector")).otherwise(F.lower("label")).alias("sector"))
+    return views.by_alias(told, nations).groupBy("key").agg(F.count("*").alias("warnings"))
+
+
+@query(f"""WITH x AS ({catalogue.SQL['sector_valuation']}), s AS (SELECT DISTINCT sector, industry_pe FROM x), l AS (SELECT 'lowest' AS side, row_number() OVER (ORDER BY industry_pe, sector) AS rank, * FROM s), h AS (SELECT 'highest' AS side, row_number() OVER (ORDER BY industry_pe DESC, sector) AS rank, * FROM s)
+SELECT * FROM l WHERE rank <= 3 UNION ALL SELECT * FROM h WHERE rank <= 3""")
+def valuation_extremes(spark: SparkSession, d: str) -> DataFrame:
+    return views.extremes(catalogue.sector_valuation(spark, d).select("sector", "industry_pe").distinct(), "industry_pe", "sector")
+
+
+@query(f"WITH m AS ({METRICS}) SELECT ticker, name, sector FROM m WHERE contains(lower(CAST(ticker AS VARCHAR)), '1') OR contains(lower(sector), '1')")
+def holdings_search(spark: SparkSession, d: str) -> DataFrame:
+    return views.found_in(metrics(spark, d), "1", ["ticker", "sector"]).select("ticker", "name", "sector")
