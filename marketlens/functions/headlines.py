@@ -100,6 +100,18 @@ def sized(kind: Column, title: Column) -> Column:
     return attributable(title) & (F.coalesce(F.lower(F.trim(kind)).isin(*SIZED_TYPES), F.lit(False)) | F.lower(title).rlike(any_of(SIZED)))
 
 
+ENTRY_MOVES = (
+    "enters", "entry into", "forays into", "foray into", "to manufacture", "to make", "eyes", "targets", "wins order", "bags order", "wins contract", "sets up", "setting up", "groundbreaking",
+    "new facility", "new plant", "expands into", "expansion into", "begins production", "starts production", "ramps up",
+)
+CHALLENGER = r"\b([A-Z][A-Za-z0-9&]+(?:\s+[A-Z][A-Za-z0-9&]+){0,2})\s+(?:eyes|enters|targets|forays|sets|wins|bags|begins|starts|expands|ramps|plans)\b"
+NO_COMPANIES = "india centre center government cabinet ministry minister sebi rbi nse bse pm cm state union budget china us usa".split()
+SELLS = ("sells", "dumped", "exits", "offloads", "reduces stake")
+BUYER = r"^([A-Z0-9][A-Za-z0-9\s\.&]+?)\s+(?:buys|acquires|sells|purchases|picks up|offloads|exits|increases|decreases|shares|block|bulk|mutual)"
+DEAL = r"(?i)(\d+(?:\.\d+)?%\s*stake|\d+\s*(?:lakh|million|crore)?\s*shares|worth\s*(?:Rs\s*)?\d+\s*(?:cr|crore|crores)?)"
+DEAL_COMPANY = r"(?:in|of|shares of|stake in|shares in)\s+([A-Z][A-Za-z0-9\s&]+?)(?:\s+via|\s+worth|\s+for|\s+at|\s+through|\s+block|\s+bulk|$)"
+
+
 #: An amount with what decides on it: six characters before, a currency, the number, its unit, a second unit, a thing counted.
 _UNIT = "|".join(sorted(UNITS, key=len, reverse=True))
 AMOUNT = rf"(?i)((?:rs\.?|inr|₹|usd|us\$|\$)\s*)?(\d[\d,]*(?:\.\d+)?)[\s-]*({_UNIT})(?:[\s-]*(crore|cr)\b)?"
@@ -140,3 +152,17 @@ def band(percent: Column) -> Column:
 
 def weight(kind: Column) -> Column:
     return F.when(kind == "transformative", 1.5).when(kind == "minor", 0.5).when(kind == "immaterial", 0.25).otherwise(1.0)
+
+
+def challenger(title: Column) -> Column:
+    """The capitalised name that makes an entry move; null if it is no company's."""
+    name = F.regexp_extract(title, CHALLENGER, 1)
+    public = F.exists(F.split(F.lower(name), r"\s+"), lambda w: w.isin(*NO_COMPANIES))
+    return F.when((name != "") & ~public, name)
+
+
+def block_deal(title: Column) -> Column:
+    """buyer, action, company and details of a deal's headline, with plain words where it does not tell them."""
+    part = lambda pattern, other: F.coalesce(F.nullif(F.trim(F.regexp_extract(title, pattern, 1)), F.lit("")), F.lit(other))
+    action = F.when(F.lower(title).rlike(any_of(SELLS)), "Sell").otherwise("Buy")
+    return F.struct(part(BUYER, "Institutional Investor").alias("buyer"), action.alias("action"), part(DEAL_COMPANY, "Listed Company").alias("company"), part(DEAL, "Block Deal").alias("details"))

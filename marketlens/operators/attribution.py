@@ -106,3 +106,23 @@ def sector_stress(found: DataFrame, inputs: DataFrame, least: int = 2) -> DataFr
     through = found.join(F.broadcast(inputs), F.lower("title").contains(F.lower("src"))).select("id", F.col("dst").alias("sector"))
     touched = found.select("id", "sector").unionByName(through).distinct()
     return touched.groupBy("sector").agg(F.count("*").alias("n")).withColumn("warns", F.col("n") >= least)
+
+
+def new_entrants(titles: DataFrame, turf: DataFrame, companies: DataFrame, peers: DataFrame) -> DataFrame:
+    """(sector, challenger, id): who makes an entry move on a sector's turf without one of its holdings being named, once each.
+
+    titles: (id, title). turf: (sector, term), a small dimension. companies: (ticker, name, sector); peers: (ticker, name, place).
+    """
+    moves = titles.where(F.lower("title").rlike(H.any_of(H.ENTRY_MOVES)))
+    held = companies.select("sector").distinct()
+    on = moves.join(F.broadcast(turf.join(held, "sector")), F.lower("title").contains(F.col("term"))).select("id", "title", "sector").distinct()
+    inside = named(moves, companies).join(companies.select("ticker", "sector"), "ticker").select("id", "sector").distinct()
+    on = on.join(inside, ["id", "sector"], "left_anti")
+    known = named(moves, peers).join(peers, "ticker").groupBy("id").agg(F.min_by("name", "place").alias("peer"))
+    told = on.join(known, "id", "left").withColumn("challenger", F.coalesce("peer", H.challenger(F.col("title")))).where("challenger is not null")
+    return told.groupBy("sector", F.lower("challenger").alias("key")).agg(F.min_by("challenger", "id").alias("challenger"), F.min("id").alias("id")).select("sector", "challenger", "id")
+
+
+def entrant_warnings(entrants: DataFrame, companies: DataFrame) -> DataFrame:
+    """A warning for every holding of a sector that somebody enters."""
+    return entrants.join(companies.select("ticker", "sector"), "sector").select("ticker", "sector", "challenger", F.lit("High").alias("severity"), F.lit("risk").alias("direction"), F.lit("New Entrant").alias("category"))

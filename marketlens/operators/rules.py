@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.coerce import severity_rank
+from marketlens.functions.extract import owner_earnings
 from marketlens.operators.sets import top_of
 
 
@@ -229,10 +230,26 @@ def aggregate_score(companies: DataFrame) -> DataFrame:
     parts = [
         either(c("ttm") >= 15, 1, c("ttm") < 0, -2), either(c("opm_change") >= 2, 1, c("opm_change") <= -2, -1), either(c("debt_equity") < 0.5, 1, c("debt_equity") > 1, -2), either(c("current_ratio") >= 2, 1, c("current_ratio") < 1, -1),
         yes(c("roce") >= 20, 1), yes(c("roe") >= 15, 1), yes(c("promoter_change") <= -1, -2), either(c("fii_change") > 0, 2, c("fii_change") < -1, -1), yes(c("dii_change") > 0, 1),
-        F.when(c("moat") == 3, 3).when(c("moat").isin(1, 2), 1).otherwise(0), either(c("bargain"), 3, (c("graham_value") != 0) & (c("price") != 0) & (c("price") < c("graham_value")), 2),
+        F.when(c("moat") == 3, 3).when(c("moat") == 2, 1).otherwise(0), either(c("bargain"), 3, (c("graham_value") != 0) & (c("price") != 0) & (c("price") < c("graham_value")), 2),
         -2 * F.size(F.filter("alerts", lambda x: x.rlike("Debt Limit|P/E Screen|Hyper-Growth|Current Ratio"))),
     ]
     fundamental = sum(parts[1:], parts[0])
     rows = rows.select("ticker", fundamental.cast("int").alias("fundamental_score"), F.col("momentum").cast("int").alias("momentum_score")).withColumn("overall_score", (F.col("fundamental_score") + F.col("momentum_score")).cast("int"))
     advice = F.when(c("overall_score") >= 15, "Strong Buy Candidate").when(c("overall_score") >= 10, "Buy Candidate").when(c("overall_score") >= 5, "Hold / Monitor").otherwise("Avoid / High Risk")
     return rows.withColumn("recommendation", advice)
+
+
+def margin_of_safety(companies: DataFrame) -> DataFrame:
+    """Companies that pass the defensive screens, sell under their net assets, or have a pe between 0 and 15, with what they earn.
+
+    companies: graham()'s columns, momentum and q_profit, capex.
+    """
+    rows = valuation_alerts_of(graham(companies))
+    # fixed values: the screens that count, and the moats' names
+    fails = F.exists("alerts", lambda x: x.rlike("Current Ratio|Debt Limit|P/E Screen|Dividend"))
+    defensive = F.col("current_ratio").isNotNull() & F.col("pe").isNotNull() & ~fails
+    points = moat_points()
+    moat = F.when(points == 3, "Strong (Wide Moat)").when(points == 2, "Medium (Narrow Moat)").otherwise("Weak/None")
+    cheap = F.coalesce((F.col("pe") > 0) & (F.col("pe") < 15), F.lit(False))
+    found = rows.withColumns({"is_defensive_pass": defensive, "is_bargain": F.coalesce(below_net_assets(), F.lit(False)), "moat_status": moat, "owner_earnings": owner_earnings(F.col("q_profit"), F.col("debt"), F.col("capex"))})
+    return found.where(F.col("is_defensive_pass") | F.col("is_bargain") | cheap).select("ticker", "graham_value", "is_bargain", "is_defensive_pass", "moat_status", "owner_earnings")

@@ -241,7 +241,7 @@ def sector_focus(spark: SparkSession, d: str) -> DataFrame:
 _SCORED = f"""{VALUED}, x AS (SELECT *, {_GRAHAM} AS g, CASE WHEN value > 0 THEN CASE WHEN roce > 15 THEN 1 ELSE 0 END + CASE WHEN roe > 15 THEN 1 ELSE 0 END + CASE WHEN debt / (0.5 * value) < 0.5 THEN 1 ELSE 0 END END AS moat FROM m),
 f AS (SELECT ticker, CASE WHEN ttm >= 15 THEN 1 WHEN ttm < 0 THEN -2 ELSE 0 END + CASE WHEN opm_change >= 2 THEN 1 WHEN opm_change <= -2 THEN -1 ELSE 0 END + CASE WHEN debt_equity < 0.5 THEN 1 WHEN debt_equity > 1 THEN -2 ELSE 0 END
  + CASE WHEN current_ratio >= 2 THEN 1 WHEN current_ratio < 1 THEN -1 ELSE 0 END + CASE WHEN roce >= 20 THEN 1 ELSE 0 END + CASE WHEN roe >= 15 THEN 1 ELSE 0 END + CASE WHEN promoter_change <= -1 THEN -2 ELSE 0 END
- + CASE WHEN fii_change > 0 THEN 2 WHEN fii_change < -1 THEN -1 ELSE 0 END + CASE WHEN dii_change > 0 THEN 1 ELSE 0 END + CASE moat WHEN 3 THEN 3 WHEN 2 THEN 1 WHEN 1 THEN 1 ELSE 0 END
+ + CASE WHEN fii_change > 0 THEN 2 WHEN fii_change < -1 THEN -1 ELSE 0 END + CASE WHEN dii_change > 0 THEN 1 ELSE 0 END + CASE moat WHEN 3 THEN 3 WHEN 2 THEN 1 ELSE 0 END
  + CASE WHEN price < net_assets / (CASE WHEN price > 0 THEN value / price ELSE 1.0 END) THEN 3 WHEN g <> 0 AND price <> 0 AND price < g THEN 2 ELSE 0 END
  - 2 * (CASE WHEN current_ratio < 2 THEN 1 ELSE 0 END + CASE WHEN debt > net_assets THEN 1 ELSE 0 END + CASE WHEN pe > 15 AND NOT price <= g * 1.2 THEN 1 ELSE 0 END + CASE WHEN pe > 30 AND (revenue_last < revenue_before OR coalesce(qoq < 15, false)) THEN 1 ELSE 0 END) AS fundamental_score FROM x WHERE value > 0)"""
 
@@ -360,3 +360,39 @@ def valuation_extremes(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH m AS ({METRICS}) SELECT ticker, name, sector FROM m WHERE contains(lower(CAST(ticker AS VARCHAR)), '1') OR contains(lower(sector), '1')")
 def holdings_search(spark: SparkSession, d: str) -> DataFrame:
     return views.found_in(metrics(spark, d), "1", ["ticker", "sector"]).select("ticker", "name", "sector")
+
+
+@query(f"""{VALUED}, v AS (SELECT *, {_GRAHAM} AS g, CASE WHEN roce > 15 THEN 1 ELSE 0 END + CASE WHEN roe > 15 THEN 1 ELSE 0 END + CASE WHEN debt / (0.5 * value) < 0.5 THEN 1 ELSE 0 END AS moat, coalesce(price < net_assets / CASE WHEN price > 0 THEN value / price ELSE 1.0 END, false) AS is_bargain FROM m WHERE value > 0),
+f AS (SELECT *, current_ratio IS NOT NULL AND NOT (current_ratio < 2 OR debt > net_assets OR (pe > 15 AND NOT price <= g * 1.2) OR dividend = 0) AS is_defensive_pass FROM v)
+SELECT ticker, g AS graham_value, is_bargain, is_defensive_pass, CASE moat WHEN 3 THEN 'Strong (Wide Moat)' WHEN 2 THEN 'Medium (Narrow Moat)' ELSE 'Weak/None' END AS moat_status, round(profit_var * 4 + debt * 0.08 - sales_var, 1) AS owner_earnings FROM f WHERE (is_defensive_pass OR is_bargain OR (pe > 0 AND pe < 15)) AND profit_var IS NOT NULL""")
+def margin_of_safety(spark: SparkSession, d: str) -> DataFrame:
+    rows = catalogue._valued(spark, d).where("value > 0 and profit_var is not null")
+    return rules.margin_of_safety(rows.withColumns({"q_profit": F.col("profit_var"), "capex": F.col("sales_var")}))
+
+
+_ENTRY = "CASE o_orderkey % 5 WHEN 0 THEN 'Omega' || CAST(o_custkey % 40 AS STRING) || ' eyes copper cable market' WHEN 1 THEN 'India sets up solar park' WHEN 2 THEN 'Beta' || CAST(o_custkey % 30 * 3 + 1 AS STRING) || ' enters solar' WHEN 3 THEN 'T' || CAST(o_custkey AS STRING) || ' to make copper tubes' ELSE 'Nothing on copper' END"
+
+
+@query(f"""WITH {_ISSUED}, en AS (SELECT o_orderkey AS id, o_orderkey % 5 AS shape, o_custkey, {_ENTRY} AS title FROM orders), tf(sector, term) AS (SELECT DISTINCT sector, CASE WHEN s_suppkey % 2 = 0 THEN 'copper' ELSE 'solar' END FROM co WHERE s_suppkey <= 60),
+mv AS (SELECT id, title, CASE shape WHEN 0 THEN 'Omega' || CAST(o_custkey % 40 AS VARCHAR) WHEN 2 THEN 'Beta' || CAST(o_custkey % 30 * 3 + 1 AS VARCHAR) WHEN 3 THEN NULL END AS nm, CASE shape WHEN 3 THEN 'T' || CAST(o_custkey AS VARCHAR) END AS tk FROM en WHERE shape <> 4),
+wh AS (SELECT mv.*, co.ticker, co.sector AS own, co.name AS cname FROM mv LEFT JOIN co ON co.ticker = mv.tk OR co.name = mv.nm), x AS (SELECT wh.id, tf.sector, coalesce(CASE WHEN ticker IS NOT NULL THEN cname END, nm) AS challenger FROM wh JOIN tf ON contains(lower(title), term) WHERE own IS NULL OR own <> tf.sector),
+f AS (SELECT sector, lower(challenger) AS k, arg_min(challenger, id) AS challenger, min(id) AS id FROM x WHERE challenger IS NOT NULL GROUP BY 1, 2) SELECT sector, challenger, id FROM f""")
+def new_entrants(spark: SparkSession, d: str) -> DataFrame:
+    companies = _companies(spark, d)
+    titles = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_ENTRY).alias("title"))
+    turf = companies.where("s_suppkey <= 60").select("sector", F.when(F.col("s_suppkey") % 2 == 0, "copper").otherwise("solar").alias("term")).distinct()
+    return attribution.new_entrants(titles, turf, companies, companies.select("ticker", "name", F.col("s_suppkey").alias("place")))
+
+
+@query(f"WITH {_ISSUED}, e AS ({catalogue.SQL['new_entrants']}) SELECT ticker, e.sector, challenger, 'High' AS severity, 'risk' AS direction, 'New Entrant' AS category FROM e JOIN co ON e.sector = co.sector")
+def entrant_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return attribution.entrant_warnings(new_entrants(spark, d), _companies(spark, d))
+
+
+_DEAL = "CASE o_orderkey % 3 WHEN 0 THEN 'Fund ' || CAST(o_custkey AS STRING) || ' buys 5 lakh shares in Acme Works via block deal' WHEN 1 THEN 'Omega Capital offloads 2.5% stake in Beta' || CAST(o_custkey AS STRING) ELSE 'Talk of a deal' END"
+
+
+@query("""SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'Fund ' || CAST(o_custkey AS VARCHAR) WHEN 1 THEN 'Omega Capital' ELSE 'Institutional Investor' END AS buyer, CASE o_orderkey % 3 WHEN 1 THEN 'Sell' ELSE 'Buy' END AS action,
+CASE o_orderkey % 3 WHEN 0 THEN 'Acme Works' WHEN 1 THEN 'Beta' || CAST(o_custkey AS VARCHAR) ELSE 'Listed Company' END AS company, CASE o_orderkey % 3 WHEN 0 THEN '5 lakh shares' WHEN 1 THEN '2.5% stake' ELSE 'Block Deal' END AS details FROM orders""")
+def block_deals(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), H.block_deal(F.expr(_DEAL)).alias("deal")).select("id", "deal.*")
