@@ -3,7 +3,7 @@
 For a prefix of a word's symbols, the state is the last token of the prefix's encoding. It is the only token that ends
 the prefix and is compatible with the state where it begins: encoding the two together gives the two. So the encodings
 of all prefixes of a word follow from one state per symbol, and words with a common prefix share the states of that
-prefix. A worker keeps the trie with the state of every node, across batches and tasks, and a new word is inserted below
+prefix. A task keeps the trie with the state of every node across its batches, and a new word is inserted below
 the longest prefix that is there, so each prefix is encoded once. Words of a batch are inserted in sorted order, the
 trie's depth-first order. The encoding of a word is read off by walking the states back.
 
@@ -31,9 +31,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.words import Words, slices
+from marketlens.llm.words import Words, released, slices
 
-#: Words and pieces whose encodings a worker keeps, and nodes of its trie, at most; beyond that it starts anew.
+#: Words and pieces whose encodings a task keeps, and nodes of its trie, at most; beyond that it starts anew.
 HELD_WORDS = 150_000
 HELD_PIECES = 1_000_000
 HELD_NODES = 400_000
@@ -77,6 +77,11 @@ class Encoder:
         self.pattern = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{White_Space}\p{L}\p{N}]+")
         self.byte = _byte_alphabet()
         self.shown = {i: f"{t} ".encode() for i, t in self.names.items()}
+        self.forget()
+
+    def forget(self) -> None:
+        """Starts anew with an empty trie and empty tables."""
+        self.pairs: dict[tuple[int, int], bool] = {}
         self.root: list = [{}, -1, 0]
         self.nodes = 0
         self.held: dict[str, tuple[int, ...]] = {t: (i,) for t, i in self.special.items()}
@@ -274,6 +279,9 @@ def encoded(docs: DataFrame, name: str, carry: list[str]) -> DataFrame:
             for piece in slices(batch, "text"):
                 ids, decoded = coder.encode(piece.column("text"))
                 yield pa.RecordBatch.from_arrays([piece.column("row"), ids, decoded], ["row", "ids", "decoded"])
+        # idle workers live on beside later stages, so the task's memory goes with it
+        coder.forget()
+        released()
 
     read = docs.select(F.struct(*carry).alias("row"), "text")
     return read.mapInArrow(run, f"row {read.schema['row'].dataType.simpleString()}, ids array<int>, decoded string")

@@ -7,6 +7,8 @@ codes, a window's hash a polynomial over word hashes, both finished by a mixer.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,6 +52,15 @@ class _Powers:
         return cls.up, cls.down
 
 
+def released() -> None:
+    """Gives memory that is free in this process back to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts a batch so that the column's text in each piece stays near ``limit`` bytes (one text at least)."""
     lengths = batch.column(column)
