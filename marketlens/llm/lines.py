@@ -13,7 +13,7 @@ lines, over the whole table, the first is kept: the least doc_id, then the place
   another hub each; a bucket of two or three nodes is decided by that. Then the nodes outside a bucket's largest component are compared with all of other components, in
   blocks. Comparisons test ``AGREE`` minima first and then the exact sets, and emit nothing but links between components.
 
-Lookups of keys are cut down by a broadcast bitmap of ``BITS`` bits (8 MB at any size), before the join that decides.
+Lookups of keys are cut down by a broadcast bitmap (8 MB at any size, see ``bitmaps``), before the join that decides.
 
 Lines without a word are kept as they are. A null text stays null. Rows with equal doc_id and text count as one document
 and are cut alike; a null doc_id comes first. Of equal places in tied lines there are none, as a place is unique. Lines
@@ -29,6 +29,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.llm.bitmaps import bitmaps as _bitmaps
+from marketlens.llm.bitmaps import likely as _likely
 from marketlens.llm.components import components
 from marketlens.llm.store import dropped, written
 
@@ -39,8 +41,6 @@ PER_GROUP = 9
 AGREE = 18
 ROUNDS = 3
 BLOCK = 512
-BITS = 1 << 26
-_MAP = 1 << 15  # bits of one bitmap of Spark's bitmap functions
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -79,28 +79,6 @@ def _lines(docs: DataFrame) -> DataFrame:
     return read.where(F.col("line").rlike(WORD)).withColumn("node", F.xxhash64("line"))
 
 
-def _place(key: str) -> tuple[Column, Column]:
-    """The bitmap of a key, and its bit there."""
-    bit = F.pmod(F.col(key), F.lit(BITS))
-    return F.shiftright(bit, 15).cast("int"), bit.bitwiseAND(_MAP - 1)
-
-
-def _bitmaps(keys: DataFrame, key: str) -> DataFrame:
-    """(map, bits): which of BITS residues the keys have; BITS // _MAP rows of 4 kB at most."""
-    number, bit = _place(key)
-    rows = keys.select(number.alias("map"), bit.alias("bit")).repartition(min(BITS // _MAP, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "map")
-    return F.broadcast(written(rows.groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits"))))
-
-
-def _likely(frame: DataFrame, key: str, maps: DataFrame, absent: bool = False) -> DataFrame:
-    """The rows whose key may be among those of the bitmaps; with ``absent``, the others."""
-    number, bit = _place(key)
-    read = frame.withColumns({"map": number, "bit": bit}).join(maps, "map", "left" if absent else "inner")
-    byte = "cast(conv(hex(substring(bits, cast(shiftright(bit, 3) as int) + 1, 1)), 16, 10) as int)"
-    held = F.expr(f"coalesce(getbit({byte}, cast(bit & 7 as int)), 0) = {0 if absent else 1}")
-    return read.where(held).drop("map", "bit", "bits")
-
-
 def signatures(docs: DataFrame) -> DataFrame:
     """For each node and group: node, n (its lines), b0, b1, b2 (hashes of its bands), packed (7 bits of each minimum)."""
     # each node's line comes to one place first, so that a frequent line is read once

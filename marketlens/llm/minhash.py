@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marketlens.llm.bitmaps import bitmaps, likely
 from marketlens.llm.components import components
 from marketlens.llm.store import written
 from marketlens.llm.words import Words, mix, slices, windows
@@ -254,4 +255,4 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _texts(texts: DataFrame, needed: DataFrame) -> DataFrame:
     """The nodes' texts with their bytes, each once."""
-    return texts.join(needed, "node").groupBy("node").agg(F.min("text").alias("text")).withColumn("bytes", F.expr("octet_length(text)"))
+    return likely(texts, "node", bitmaps(needed, "node")).join(needed, "node").groupBy("node").agg(F.min("text").alias("text")).withColumn("bytes", F.expr("octet_length(text)"))
