@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, hmm, lines, mainhtml, minhash, mixing, partitions, phrases, preference, quality
+from marketlens.llm import audit, bpe, hmm, lines, mainhtml, minhash, mixing, partitions, phrases, preference, quality, simhash, variants
 from marketlens.session import with_checkpoints
 
 
@@ -60,9 +60,21 @@ def op10_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("pair", "pair_id")
 
 
+def op11_simhash_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audited(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variants(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_preference": preference.PREFERENCE_SQL}
+    return {"op10_preference": preference.PREFERENCE_SQL, "op12_filter_audit": audit.AUDIT_SQL}
