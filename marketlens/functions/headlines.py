@@ -60,6 +60,30 @@ USD = 83.0
 COUNTED = (
     r"[\s-]*(?:equity\s+|preference\s+|bonus\s+)?(?:shares?|units?|nos\.?|tonnes?|tons?|kg|mw|gw|kwh|litres?|liters?|sq\.?\s*ft|square\s+feet|employees?|customers?|subscribers?|users?|vehicles?|seats?|rooms?|barrels?)\b"
 )
+ENTRY_MOVES = (
+    "enters", "entry into", "forays into", "foray into", "to manufacture", "to make", "eyes", "targets", "wins order", "bags order", "wins contract", "sets up", "setting up", "groundbreaking",
+    "new facility", "new plant", "expands into", "expansion into", "begins production", "starts production", "ramps up",
+)
+CHALLENGER = r"\b([A-Z][A-Za-z0-9&]+(?:\s+[A-Z][A-Za-z0-9&]+){0,2})\s+(?:eyes|enters|targets|forays|sets|wins|bags|begins|starts|expands|ramps|plans)\b"
+NO_COMPANIES = "india centre center government cabinet ministry minister sebi rbi nse bse pm cm state union budget china us usa".split()
+SELLS = ("sells", "dumped", "exits", "offloads", "reduces stake")
+BUYER = r"^([A-Z0-9][A-Za-z0-9\s\.&]+?)\s+(?:buys|acquires|sells|purchases|picks up|offloads|exits|increases|decreases|shares|block|bulk|mutual)"
+DEAL = r"(?i)(\d+(?:\.\d+)?%\s*stake|\d+\s*(?:lakh|million|crore)?\s*shares|worth\s*(?:Rs\s*)?\d+\s*(?:cr|crore|crores)?)"
+DEAL_COMPANY = r"(?:in|of|shares of|stake in|shares in)\s+([A-Z][A-Za-z0-9\s&]+?)(?:\s+via|\s+worth|\s+for|\s+at|\s+through|\s+block|\s+bulk|$)"
+#: What headlines call a sector's business.
+BATTLEGROUNDS = {
+    "manufacturing_electronics": (
+        "mobile manufacturing", "smartphone", "handset", "oppo", "vivo", "xiaomi", "laptop", "notebook", "ems", "electronics manufacturing", "pcb", "pcba", "led tv", "television", "contract manufacturing",
+    ),
+    "surveillance_security": ("cctv", "surveillance camera", "ip camera", "dvr", "anti-drone", "drone system"),
+    "clean_energy": ("solar module", "solar cell", "wind turbine", "electrolyser", "electrolyzer", "green hydrogen", "battery storage"),
+    "semiconductors_equipment": ("osat", "semiconductor fab", "chip packaging", "wafer", "silicon carbide"),
+    "data_center_support": ("data center", "data centre", "optical fibre", "optical fiber"),
+    "aerospace_defence": ("missile", "radar system", "defence electronics", "uav"),
+    "textiles_apparel": ("garment manufacturing", "apparel manufacturing", "textile mill", "home textiles"),
+    "sports_athleisure": ("footwear manufacturing", "athleisure"),
+}
+
 
 
 def any_of(phrases: tuple[str, ...]) -> str:
@@ -100,18 +124,6 @@ def sized(kind: Column, title: Column) -> Column:
     return attributable(title) & (F.coalesce(F.lower(F.trim(kind)).isin(*SIZED_TYPES), F.lit(False)) | F.lower(title).rlike(any_of(SIZED)))
 
 
-ENTRY_MOVES = (
-    "enters", "entry into", "forays into", "foray into", "to manufacture", "to make", "eyes", "targets", "wins order", "bags order", "wins contract", "sets up", "setting up", "groundbreaking",
-    "new facility", "new plant", "expands into", "expansion into", "begins production", "starts production", "ramps up",
-)
-CHALLENGER = r"\b([A-Z][A-Za-z0-9&]+(?:\s+[A-Z][A-Za-z0-9&]+){0,2})\s+(?:eyes|enters|targets|forays|sets|wins|bags|begins|starts|expands|ramps|plans)\b"
-NO_COMPANIES = "india centre center government cabinet ministry minister sebi rbi nse bse pm cm state union budget china us usa".split()
-SELLS = ("sells", "dumped", "exits", "offloads", "reduces stake")
-BUYER = r"^([A-Z0-9][A-Za-z0-9\s\.&]+?)\s+(?:buys|acquires|sells|purchases|picks up|offloads|exits|increases|decreases|shares|block|bulk|mutual)"
-DEAL = r"(?i)(\d+(?:\.\d+)?%\s*stake|\d+\s*(?:lakh|million|crore)?\s*shares|worth\s*(?:Rs\s*)?\d+\s*(?:cr|crore|crores)?)"
-DEAL_COMPANY = r"(?:in|of|shares of|stake in|shares in)\s+([A-Z][A-Za-z0-9\s&]+?)(?:\s+via|\s+worth|\s+for|\s+at|\s+through|\s+block|\s+bulk|$)"
-
-
 #: An amount with what decides on it: six characters before, a currency, the number, its unit, a second unit, a thing counted.
 _UNIT = "|".join(sorted(UNITS, key=len, reverse=True))
 AMOUNT = rf"(?i)((?:rs\.?|inr|₹|usd|us\$|\$)\s*)?(\d[\d,]*(?:\.\d+)?)[\s-]*({_UNIT})(?:[\s-]*(crore|cr)\b)?"

@@ -1,7 +1,9 @@
-"""Which company a headline names, and what follows from it.
+"""Which company a headline names, which subjects it touches, and what follows from it.
 
-A headline meets a company through an inverted index: its words join the first words of the companies' phrases, and only
-these pairs are looked at more closely. Companies are a dimension, headlines may be many; nothing is compared pair by pair.
+Headlines meet names through a phrase index: a headline is cut into runs of words, of the lengths that names have, and a
+run is looked up as a whole by one equi-join. Terms that may stand anywhere in the text, within words too, are looked up
+by their first three letters, and the whole term is compared at once. Names and terms are dimensions, headlines may be
+many; nothing is compared pair by pair, and a word that many names begin with brings none of them.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import headlines as H
 from marketlens.functions.coerce import clauses, dedup_key
+from marketlens.operators.sets import top_of
 
 
 def phrases(companies: DataFrame) -> DataFrame:
@@ -23,32 +26,101 @@ def phrases(companies: DataFrame) -> DataFrame:
     return rows.where("size(words) > 0 and words[0] <> ''").distinct()
 
 
-def _other_name(tokens: Column, clean: Column, gaps: Column, at: Column, own: Column) -> Column:
-    """Whether the token is part of a person's or another company's name: after a title, or before a capitalised word."""
-    before = F.try_element_at(clean, at - 1)
-    after, told = F.try_element_at(clean, at + 1), F.try_element_at(tokens, at + 1)
-    plain = after.isin(*H.CORPORATE, *H.HEADLINE_VERBS, *H.FUNCTION_WORDS) | F.array_contains(own, after) | after.rlike(H.PERIOD)
-    longer = (F.trim(F.try_element_at(gaps, at + 1)) == "") & told.rlike("^[A-Z]") & ~plain
-    return ((at > 1) & F.coalesce(before.isin(*H.PERSON_TITLES), F.lit(False))) | F.coalesce(longer, F.lit(False))
+def _runs(items: Column, size: Column, lengths: Column, cut: Column) -> Column:
+    """The runs of each length within ``size`` items; ``cut`` gives one from its start and length."""
+    fits = F.filter(lengths, lambda n: n <= size)
+    return F.flatten(F.transform(fits, lambda n: F.transform(F.sequence(F.lit(1), size - n + 1), lambda at: cut(at, n))))
 
 
 def named(titles: DataFrame, companies: DataFrame) -> DataFrame:
-    """titles (id, title), companies (ticker, name) -> (id, ticker): which headlines name which companies."""
-    read = titles.select("id", H.tokens(F.col("title")).alias("tokens"), F.split("title", H.TOKEN).alias("gaps")).withColumn("clean", H.cleaned(F.col("tokens")))
-    words = read.select("*", F.posexplode("clean").alias("pos", "word"))
-    index = phrases(companies).withColumn("word", F.col("words")[0])
-    at = F.col("pos") + 1
-    whole = F.slice("clean", at, F.size("words")) == F.col("words")
-    fine = (F.size("words") > 1) | ~_other_name(F.col("tokens"), F.col("clean"), F.col("gaps"), at, F.col("own"))
-    return words.join(index, "word").where(whole & fine).select("id", "ticker").distinct()
+    """titles (id, title), companies (ticker, name) -> (id, ticker): which headlines name which companies.
 
+    A single word names no company where it is part of a person's or another company's name: after a title, or before a
+    capitalised word that is none of the company's own.
+    """
+    index = phrases(companies).select("ticker", "own", F.concat_ws(" ", "words").alias("run"), F.size("words").alias("n"))
+    read = titles.select("id", H.tokens(F.col("title")).alias("tokens"), F.split("title", H.TOKEN).alias("gaps"))
+    read = read.withColumns({"clean": H.cleaned(F.col("tokens")), "lengths": index.agg(F.collect_set("n")).scalar()})
 
-def events(titles: DataFrame) -> DataFrame:
-    """(id, title) -> id, type, phrase, certainty, clause, direction: of each headline the first clause that tells of an event."""
+    def beside(at: Column) -> Column:
+        after, told = F.try_element_at("clean", at + 1), F.try_element_at("tokens", at + 1)
+        plain = after.isin(*H.CORPORATE, *H.HEADLINE_VERBS, *H.FUNCTION_WORDS) | after.rlike(H.PERIOD)
+        longer = told.rlike("^[A-Z]") & (F.trim(F.try_element_at("gaps", at + 1)) == "") & ~plain
+        titled = (at > 1) & F.try_element_at("clean", at - 1).isin(*H.PERSON_TITLES)
+        return F.when(titled, F.lit("")).when(longer, after)
+
+    # what keeps each word from being a name by itself: "" or a word that the company's name would have to hold
+    read = read.withColumn("beside", F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("clean"))), beside))
+    run = lambda at, n: F.struct(F.concat_ws(" ", F.slice("clean", at, n)).alias("run"), n.alias("n"), F.when(n == 1, F.element_at("beside", at)).alias("after"))
+    runs = read.select("id", F.explode(_runs(F.col("clean"), F.size("clean"), F.col("lengths"), run)).alias("r")).select("id", "r.*")
+    fine = F.col("after").isNull() | F.array_contains("own", F.col("after"))
+    return runs.join(index, ["run", "n"]).where(fine).select("id", "ticker").distinct()
+
+
+def containing(titles: DataFrame, terms: DataFrame) -> DataFrame:
+    """titles (id, title), terms (term, ...) -> (id, ...): the terms' other columns where the title contains the term, in any case.
+
+    Terms are met by their first three letters; shorter ones by all of theirs. An empty or null term is in no title.
+    """
+    index = terms.withColumn("term", F.lower("term")).where("term <> ''").withColumn("gram", F.substring("term", 1, 3)).withColumn("n", F.char_length("gram"))
+    read = titles.select("id", F.lower("title").alias("low")).withColumn("lengths", index.agg(F.collect_set("n")).scalar())
+    grams = _runs(F.col("low"), F.char_length("low"), F.col("lengths"), lambda at, n: F.substring(F.col("low"), at, n))
+    met = read.select("id", "low", F.explode(F.array_distinct(grams)).alias("gram")).join(index, "gram")
+    return met.where(F.col("low").contains(F.col("term"))).drop("low", "gram", "n", "term").distinct()
+
+
+def with_event(titles: DataFrame) -> DataFrame:
+    """titles with type, phrase, certainty, clause and direction of the first clause that tells of an event; null if none does."""
     told = F.transform(clauses(F.col("title")), lambda c: F.struct(c.alias("clause"), H.event(c).alias("event")))
     first = F.try_element_at(F.filter(told, lambda x: x["event"].isNotNull()), F.lit(1))
-    rows = titles.select("id", first.alias("e")).where("e is not null").select("id", "e.event.type", "e.event.phrase", "e.clause")
-    return rows.withColumns({"certainty": H.certainty(F.col("clause")), "direction": F.when(F.col("type").isin(*H.RISKS), "risk").otherwise("opportunity")})
+    rows = titles.withColumn("e", first).withColumns({"type": F.col("e.event.type"), "phrase": F.col("e.event.phrase"), "clause": F.col("e.clause")}).drop("e")
+    direction = F.when(F.col("type").isin(*H.RISKS), "risk").when(F.col("type").isNotNull(), "opportunity")
+    return rows.withColumns({"certainty": F.when(F.col("type").isNotNull(), H.certainty(F.col("clause"))), "direction": direction})
+
+
+def events(titles: DataFrame) -> DataFrame:
+    """The titles that tell of an event, with their own columns and with_event()'s."""
+    return with_event(titles).where("type is not null")
+
+
+def domains(titles: DataFrame, terms: DataFrame) -> DataFrame:
+    """titles (id, title), terms (sector, term) -> (id, domains): the sectors whose vocabulary a title touches, in order."""
+    return containing(titles, terms).groupBy("id").agg(F.array_sort(F.collect_set("sector")).alias("domains"))
+
+
+def market_events(titles: DataFrame, terms: DataFrame, companies: DataFrame) -> DataFrame:
+    """Events with the sectors that the headline touches (domains) and the companies that the event's own clause names (actors).
+
+    What touches neither is left out. titles: (id, title, day).
+    """
+    found = events(titles)
+    actors = named(found.select("id", F.col("clause").alias("title")), companies).groupBy("id").agg(F.array_sort(F.collect_set("ticker")).alias("actors"))
+    both = found.join(domains(found, terms), "id", "left").join(actors, "id", "left").where("domains is not null or actors is not null")
+    none = F.array().cast("array<string>")
+    return both.withColumns({"domains": F.coalesce("domains", none), "actors": F.coalesce("actors", none)})
+
+
+def refreshed(corpus: DataFrame, companies: DataFrame, today: Column, days: int = 45) -> DataFrame:
+    """The events of earlier runs by the rules and companies of now.
+
+    corpus: market_events()'s rows. Rows older than ``days`` go. Actors are read again from the clause that holds the
+    event's phrase, or else from the whole headline. An event left without actors and domains goes. A certainty that is
+    missing is filled in from that clause; others stay.
+    """
+    held = F.filter(clauses(F.col("title")), lambda c: F.lower(c).contains(F.col("phrase")))
+    rows = corpus.where(F.col("day") >= F.date_sub(today, days)).withColumn("clause", F.when(F.col("phrase") != "", F.coalesce(F.try_element_at(held, F.lit(1)), F.col("title"))).otherwise(F.col("title")))
+    actors = named(rows.select("id", F.col("clause").alias("title")), companies).groupBy("id").agg(F.array_sort(F.collect_set("ticker")).alias("now"))
+    both = rows.drop("actors").join(actors, "id", "left").where("now is not null or size(domains) > 0")
+    certainty = F.coalesce(F.nullif("certainty", F.lit("")), H.certainty(F.col("clause")))
+    both = both.withColumns({"actors": F.coalesce("now", F.array().cast("array<string>")), "certainty": certainty})
+    return both.select(*corpus.columns)
+
+
+def supply_chain(found: DataFrame, companies: DataFrame, k: int = 3) -> DataFrame:
+    """Warnings for all companies of a sector from its first k risk events. found: market_events(); companies: (ticker, sector)."""
+    touched = found.where("direction = 'risk'").select("id", F.explode("domains").alias("sector"))
+    first = top_of(touched, ["sector"], [F.col("id")], k).drop("rank")
+    return first.join(companies.select("ticker", "sector"), "sector").select("id", "ticker", "sector", F.lit("Medium").alias("severity"), F.lit("risk").alias("direction"), F.lit("Supply Chain").alias("category"))
 
 
 def coverage(titles: DataFrame, matches: DataFrame, today: DataFrame, window: int = 120) -> DataFrame:
@@ -56,8 +128,8 @@ def coverage(titles: DataFrame, matches: DataFrame, today: DataFrame, window: in
 
     An item that is too old does not stand for later equal ones. today: one row.
     """
-    rows = titles.join(matches, "id").withColumn("key", dedup_key(F.col("title"))).where("key <> ''").join(F.broadcast(today))
-    rows = rows.withColumn("old", F.coalesce(F.date_diff("today", "day") > window, F.lit(False)))
+    rows = titles.join(matches, "id").withColumn("key", dedup_key(F.col("title"))).where("key <> ''")
+    rows = rows.withColumn("old", F.coalesce(F.date_diff(today.scalar(), "day") > window, F.lit(False)))
     first = F.min(F.when(~F.col("old"), F.col("id"))).over(Window.partitionBy("ticker", "key"))
     status = F.when(F.col("id") > F.col("first"), "merged").when(F.col("old"), "excluded").otherwise("counted")
     return rows.withColumn("first", first).select("ticker", "id", status.alias("status"))
@@ -101,21 +173,30 @@ def along_edges(found: DataFrame, titles: DataFrame, edges: DataFrame, companies
     return routed.join(both, "dst").select("id", "src", "ticker", "direction", F.lit("Low").alias("severity"), F.lit("Ecosystem Signal").alias("category"))
 
 
-def sector_stress(found: DataFrame, inputs: DataFrame, least: int = 2) -> DataFrame:
-    """(id, sector, title) and (src, dst): how many events touch each sector, by itself or by an input that the title names."""
-    through = found.join(F.broadcast(inputs), F.lower("title").contains(F.lower("src"))).select("id", F.col("dst").alias("sector"))
-    touched = found.select("id", "sector").unionByName(through).distinct()
+def sector_stress(found: DataFrame, inputs: DataFrame, today: Column, days: int = 14, least: int = 2) -> DataFrame:
+    """sector, n, warns: how many settled risk events of the last days touch each sector, by its vocabulary or by an input that the title names.
+
+    found: market_events(); inputs: (src, dst). A reported event is no event yet. Each event counts once a sector.
+    """
+    recent = found.where((F.col("direction") == "risk") & (F.col("certainty") != "reported") & (F.col("day") >= F.date_sub(today, days)))
+    through = containing(recent, inputs.select(F.col("src").alias("term"), F.col("dst").alias("sector")))
+    touched = recent.select("id", F.explode("domains").alias("sector")).unionByName(through).distinct()
     return touched.groupBy("sector").agg(F.count("*").alias("n")).withColumn("warns", F.col("n") >= least)
 
 
+def stress_warnings(stress: DataFrame, companies: DataFrame) -> DataFrame:
+    """A warning for every company of a sector under stress."""
+    return stress.where("warns").join(companies.select("ticker", "sector"), "sector").select("ticker", "sector", F.lit("Medium").alias("severity"), F.lit("risk").alias("direction"), F.lit("Supply Stress (Forward)").alias("category"), "n")
+
+
 def new_entrants(titles: DataFrame, turf: DataFrame, companies: DataFrame, peers: DataFrame) -> DataFrame:
     """(sector, challenger, id): who makes an entry move on a sector's turf without one of its holdings being named, once each.
 
-    titles: (id, title). turf: (sector, term), a small dimension. companies: (ticker, name, sector); peers: (ticker, name, place).
+    titles: (id, title). turf: (sector, term). companies: (ticker, name, sector); peers: (ticker, name, place).
     """
     moves = titles.where(F.lower("title").rlike(H.any_of(H.ENTRY_MOVES)))
     held = companies.select("sector").distinct()
-    on = moves.join(F.broadcast(turf.join(held, "sector")), F.lower("title").contains(F.col("term"))).select("id", "title", "sector").distinct()
+    on = moves.join(containing(moves, turf.join(held, "sector").select("sector", "term")), "id").select("id", "title", "sector")
     inside = named(moves, companies).join(companies.select("ticker", "sector"), "ticker").select("id", "sector").distinct()
     on = on.join(inside, ["id", "sector"], "left_anti")
     known = named(moves, peers).join(peers, "ticker").groupBy("id").agg(F.min_by("name", "place").alias("peer"))

@@ -1,6 +1,7 @@
 """Registered queries over headlines, industries and whole-company scores, each beside its SQL.
 
-The test data has no headlines: they are spelled from orders whose customer number is a company's, in twelve shapes.
+The test data has no headlines: they are spelled from orders whose customer number is a company's, in twelve shapes, and
+spread over half a year. The vocabularies of sectors are dealt over nations by their keys.
 """
 
 from __future__ import annotations
@@ -19,12 +20,16 @@ _KEY = "CAST(s_suppkey AS STRING)"
 _SHORT = f"CASE s_suppkey % 3 WHEN 0 THEN 'Alpha' || {_KEY} || ' Industries' WHEN 1 THEN 'Beta' || {_KEY} ELSE 'Gamma & Sons' || {_KEY} END"
 _NAME = f"CASE s_suppkey % 3 WHEN 2 THEN 'Gamma & Sons' || {_KEY} || ' (GS' || {_KEY} || ')' ELSE {_SHORT} END"
 _PAID = "CAST(floor(o_totalprice) AS BIGINT)"
+#: one term of every vocabulary, and some that are in none
+_TERMS = ("smartphone", "systems", "CCTV", "solar module", "wafer", "data centre", "UAV", "garment manufacturing", "athleisure", "steel", "rice")
+_TERM = f"CASE o_orderkey % 11 {' '.join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(_TERMS))} END"
+_DAY = "CAST(DATE '1998-01-01' + CAST(o_orderkey * 7 % 181 AS INT) AS DATE)"
 _TITLE = f"""CASE o_orderkey % 12 WHEN 0 THEN short || ' wins order worth Rs ' || CAST({_PAID} AS STRING) || ' crore from exporters' WHEN 1 THEN 'CEO ' || short || ' said demand is strong'
 WHEN 2 THEN short || ' Hotels to acquire rival; ' || short || ' plans more' WHEN 3 THEN short || ' signs MoU with T' || CAST(s_suppkey % 10 + 1 AS STRING) || ' for $' || CAST({_PAID} % 900 + 1 AS STRING) || ' million'
 WHEN 4 THEN 'Movers: ' || short || ', T' || CAST(s_suppkey % 7 + 1 AS STRING) || ' stocks rally 5%' WHEN 5 THEN short || ' denies merger with rival — ' || short || ' bags contract for 500 MW'
-WHEN 6 THEN short || ' commissions line of 2 lakh tonnes, reportedly' WHEN 7 THEN 'Copper shortage hits ' || short || ' | shares slip' WHEN 8 THEN short || '''s profit rises on record revenue'
-WHEN 9 THEN 'T' || {_KEY} || ' partners with Beta' || CAST(s_suppkey % 9 * 3 + 1 AS STRING) WHEN 10 THEN lower(short) || ' opens Q1 with raw material cost up' ELSE 'Nothing of note today' END"""
-_ISSUED = f"co AS (SELECT 'T' || {_KEY} AS ticker, {_NAME} AS name, {_SHORT} AS short, s_suppkey, n_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey), hl AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, sector, {_TITLE} AS title, {_PAID} AS paid FROM orders JOIN co ON s_suppkey = o_custkey)"
+WHEN 6 THEN short || ' commissions line of 2 lakh tonnes, reportedly' WHEN 7 THEN 'Copper shortage hits ' || short || ' and ' || {_TERM} || ' makers | shares slip' WHEN 8 THEN short || '''s profit rises on record revenue'
+WHEN 9 THEN 'T' || {_KEY} || ' partners with Beta' || CAST(s_suppkey % 9 * 3 + 1 AS STRING) WHEN 10 THEN lower(short) || ' opens Q1 with raw material cost up on ' || {_TERM} ELSE 'Nothing of note today' END"""
+_ISSUED = f"co AS (SELECT 'T' || {_KEY} AS ticker, {_NAME} AS name, {_SHORT} AS short, s_suppkey, n_name AS sector FROM supplier JOIN nation ON s_nationkey = n_nationkey), hl AS (SELECT o_orderkey AS id, {_DAY} AS day, sector, {_TITLE} AS title, {_PAID} AS paid FROM orders JOIN co ON s_suppkey = o_custkey)"
 _CLEAN = "list_transform({}, lambda x: regexp_replace(regexp_replace(lower(x), '\\.+$', ''), '''s$', ''))"
 _TOKENS = "regexp_extract_all({}, '[A-Za-z0-9&.'']+')"
 _IN = lambda words: ", ".join(repr(w) for w in words)
@@ -57,7 +62,7 @@ def _companies(spark: SparkSession, d: str) -> DataFrame:
 
 def _headlines(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "orders").join(_companies(spark, d), F.col("s_suppkey") == F.col("o_custkey"))
-    return rows.select(F.col("o_orderkey").alias("id"), F.to_date("o_orderdate").alias("day"), "sector", F.expr(_TITLE).alias("title"))
+    return rows.select(F.col("o_orderkey").alias("id"), F.expr("date_add(DATE'1998-01-01', cast(o_orderkey * 7 % 181 as int))").alias("day"), "sector", F.expr(_TITLE).alias("title"))
 
 
 def _today(titles: DataFrame) -> DataFrame:
@@ -69,12 +74,52 @@ def company_matches(spark: SparkSession, d: str) -> DataFrame:
     return attribution.named(_headlines(spark, d), _companies(spark, d))
 
 
-@query(f"WITH {_ISSUED}, {_EVENTS} SELECT * FROM ev")
+# each vocabulary is that of the nations whose key leaves its number
+_TURF = "tf AS (SELECT n_name AS sector, term FROM nation JOIN (VALUES {}) v(k, term) ON n_nationkey % {} = k)".format(", ".join(f"({k}, '{t}')" for k, ts in enumerate(H.BATTLEGROUNDS.values()) for t in ts), len(H.BATTLEGROUNDS))
+_DOMAINS = f"{_TURF}, dm AS (SELECT id, string_agg(sector, '; ' ORDER BY sector) AS domains FROM (SELECT DISTINCT hl.id, tf.sector FROM hl JOIN tf ON contains(lower(title), term)) GROUP BY 1)"
+
+
+def _turf(spark: SparkSession, d: str) -> DataFrame:
+    terms = spark.createDataFrame([(k, t) for k, ts in enumerate(H.BATTLEGROUNDS.values()) for t in ts], "k long, term string")
+    return table(spark, d, "nation").join(terms, F.col("n_nationkey") % len(H.BATTLEGROUNDS) == F.col("k")).select(F.col("n_name").alias("sector"), "term")
+
+
+def _market_events(spark: SparkSession, d: str) -> DataFrame:
+    return attribution.market_events(_headlines(spark, d), _turf(spark, d), _companies(spark, d))
+
+
+@query(f"WITH {_ISSUED}, {_EVENTS}, {_DOMAINS} SELECT ev.*, coalesce(domains, '') AS domains FROM ev LEFT JOIN dm ON ev.id = dm.id")
 def headline_events(spark: SparkSession, d: str) -> DataFrame:
-    return attribution.events(_headlines(spark, d)).select("id", "type", "phrase", "clause", "certainty", "direction")
+    found = attribution.events(_headlines(spark, d))
+    both = found.join(attribution.domains(found, _turf(spark, d)), "id", "left")
+    return both.select("id", "type", "phrase", "clause", "certainty", "direction", F.coalesce(F.array_join("domains", "; "), F.lit("")).alias("domains"))
 
 
 _ACTED = f"WITH {_ISSUED}, {_EVENTS}, ec AS (SELECT id, clause AS title FROM ev), {_match_sql('ec', 'ac')}"
+_TRACKED = f"{_ACTED}, {_DOMAINS}, ag AS (SELECT id, string_agg(ticker, '; ' ORDER BY ticker) AS actors FROM ac GROUP BY 1), me AS (SELECT ev.*, hl.day, hl.title, coalesce(domains, '') AS domains, coalesce(actors, '') AS actors FROM ev JOIN hl ON ev.id = hl.id LEFT JOIN dm ON ev.id = dm.id LEFT JOIN ag ON ev.id = ag.id WHERE domains IS NOT NULL OR actors IS NOT NULL)"
+
+
+def _lists(found: DataFrame) -> DataFrame:
+    return found.withColumns({c: F.array_join(c, "; ") for c in ("domains", "actors")})
+
+
+@query(f"{_TRACKED} SELECT id, day, title, type, phrase, certainty, direction, domains, actors FROM me")
+def market_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events that touch a sector's vocabulary or name a company in their own clause."""
+    return _lists(_market_events(spark, d)).select("id", "day", "title", "type", "phrase", "certainty", "direction", "domains", "actors")
+
+
+# the corpus of an earlier run: attributed when only every second company was followed; every seventh row lacks its certainty
+_CORPUS = f"{_TRACKED}, rc AS (SELECT me.* REPLACE (coalesce(nullif(CASE WHEN me.id % 7 = 0 THEN '' ELSE certainty END, ''), certainty) AS certainty) FROM me WHERE day >= (SELECT max(day) FROM hl) - 45)"
+
+
+@query(f"{_CORPUS} SELECT id, day, certainty, domains, actors FROM rc WHERE domains <> '' OR id IN (SELECT id FROM ac WHERE CAST(ticker[2:] AS INT) % 2 = 0)")
+def refreshed_events(spark: SparkSession, d: str) -> DataFrame:
+    """The corpus of a run that followed every second company, by the companies of now: what names none of either is not in it."""
+    companies, titles = _companies(spark, d), _headlines(spark, d)
+    corpus = attribution.market_events(titles, _turf(spark, d), companies.where("s_suppkey % 2 = 0"))
+    corpus = corpus.withColumn("certainty", F.when(F.col("id") % 7 != 0, F.col("certainty"))).select("id", "title", "day", "type", "phrase", "certainty", "direction", "domains", "actors")
+    return _lists(attribution.refreshed(corpus, companies, _today(titles).scalar())).select("id", "day", "certainty", "domains", "actors")
 
 
 @query(f"{_ACTED} SELECT ev.id, ticker, type, certainty, direction, 'Low' AS severity, 'Corporate Move' AS category FROM ev JOIN ac ON ev.id = ac.id")
@@ -101,26 +146,27 @@ def ecosystem_signals(spark: SparkSession, d: str) -> DataFrame:
     return attribution.along_edges(attribution.events(titles), titles, edges, companies.select("ticker", "sector", F.col("s_suppkey").alias("ord")))
 
 
-_DOMAIN = "sd AS (SELECT ev.id, hl.day, hl.sector FROM ev JOIN hl ON ev.id = hl.id WHERE direction = 'risk')"
+@query(f"""{_TRACKED}, c3 AS (SELECT DISTINCT me.id, tf.sector FROM me JOIN tf ON contains(lower(title), term) WHERE direction = 'risk'), c4 AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY id) AS n FROM c3)
+SELECT c4.id, ticker, c4.sector, 'Medium' AS severity, 'risk' AS direction, 'Supply Chain' AS category FROM c4 JOIN co ON c4.sector = co.sector WHERE n <= 3""")
+def supply_chain_signals(spark: SparkSession, d: str) -> DataFrame:
+    """The first three risk events that touch a sector's vocabulary reach all of its companies."""
+    return attribution.supply_chain(_market_events(spark, d), _companies(spark, d))
 
 
-@query(f"""WITH {_ISSUED}, {_EVENTS}, {_DOMAIN}, c3 AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY id) AS n FROM sd) SELECT c3.id, ticker, c3.sector, 'Medium' AS severity, 'risk' AS direction, 'Supply Chain' AS category FROM c3 JOIN co ON c3.sector = co.sector WHERE n <= 3""")
-def supply_chain_signals(spark: SparkSession, d: str) -> DataFrame:
-    """A sector's first three risk events reach all of its companies."""
-    titles = _headlines(spark, d)
-    touched = attribution.events(titles).where("direction = 'risk'").select("id").join(titles.select("id", "sector"), "id")
-    first = sets.top_of(touched, ["sector"], [F.col("id")], 3).drop("rank")
-    return first.join(_companies(spark, d).select("ticker", "sector"), "sector").select("id", "ticker", "sector", F.lit("Medium").alias("severity"), F.lit("risk").alias("direction"), F.lit("Supply Chain").alias("category"))
+_STRESS = f"""{_TRACKED}, rk AS (SELECT id, title FROM me WHERE direction = 'risk' AND certainty <> 'reported' AND day >= (SELECT max(day) FROM hl) - 14),
+ie AS (SELECT 'copper' AS src, n_name AS dst FROM nation WHERE n_nationkey % 5 = 0), ss AS (SELECT rk.id, tf.sector FROM rk JOIN tf ON contains(lower(title), term) UNION SELECT id, dst FROM rk JOIN ie ON contains(lower(title), src)), st AS (SELECT sector, count(*) AS n, count(*) >= 2 AS warns FROM ss GROUP BY 1)"""
 
 
-@query(f"""WITH {_ISSUED}, {_EVENTS}, rk AS (SELECT ev.id, hl.day, hl.sector, hl.title FROM ev JOIN hl ON ev.id = hl.id WHERE direction = 'risk' AND certainty <> 'reported' AND date_diff('day', hl.day, (SELECT max(day) FROM hl)) <= 365),
-ie AS (SELECT 'copper' AS src, n_name AS dst FROM nation WHERE n_nationkey % 5 = 0), ss AS (SELECT id, sector FROM rk UNION SELECT id, dst FROM rk JOIN ie ON contains(lower(title), src)) SELECT sector, count(*) AS n, count(*) >= 2 AS warns FROM ss GROUP BY 1""")
+@query(f"{_STRESS} SELECT * FROM st")
 def supply_stress_sectors(spark: SparkSession, d: str) -> DataFrame:
-    """Settled risk events of the last year a sector, in its own headlines or through an input that it depends on."""
-    titles = _headlines(spark, d)
-    told = attribution.events(titles).where("direction = 'risk' and certainty <> 'reported'").select("id").join(titles, "id").join(F.broadcast(_today(titles)), F.date_diff("today", "day") <= 365)
-    inputs = table(spark, d, "nation").where("n_nationkey % 5 = 0").select(F.lit("copper").alias("src"), F.col("n_name").alias("dst"))
-    return attribution.sector_stress(told, inputs)
+    """Settled risk events of the last 14 days a sector, by its vocabulary or through an input that it depends on."""
+    inputs = table(spark, d, "nation").where("n_nationkey % 5 = 0").select(F.lit("Copper").alias("src"), F.col("n_name").alias("dst"))
+    return attribution.sector_stress(_market_events(spark, d), inputs, _today(_headlines(spark, d)).scalar())
+
+
+@query(f"{_STRESS} SELECT ticker, st.sector, 'Medium' AS severity, 'risk' AS direction, 'Supply Stress (Forward)' AS category, n FROM st JOIN co ON st.sector = co.sector WHERE warns")
+def supply_stress_warnings(spark: SparkSession, d: str) -> DataFrame:
+    return attribution.stress_warnings(supply_stress_sectors(spark, d), _companies(spark, d))
 
 
 @query(f"WITH {_ISSUED}, {_EVENTS} SELECT type, certainty, count(*) AS n FROM ev GROUP BY 1, 2")
@@ -163,7 +209,7 @@ def order_materiality(spark: SparkSession, d: str) -> DataFrame:
     titles, matches = _headlines(spark, d), company_matches(spark, d)
     newest = series.from_end(sales_series(spark, d), ["ticker"], "period").where("back <= 4").groupBy("ticker").agg(F.sum(F.col("sales").cast("decimal(18,2)")).cast("double").alias("year"), F.count("*").alias("n")).where("n = 4 and year > 0")
     revenue = newest.select(F.concat(F.lit("T"), F.col("ticker").cast("string")).alias("ticker"), (F.col("year") / 1e3).alias("revenue"))
-    told = titles.join(attribution.events(titles).select("id", "type"), "id", "left").join(matches, "id")
+    told = attribution.with_event(titles).select("id", "title", "type").join(matches, "id")
     return attribution.materiality(told, revenue).withColumn("amount_cr", F.round("amount_cr", 4)).withColumn("weight", F.col("weight").cast("double"))
 
 
@@ -370,18 +416,17 @@ def margin_of_safety(spark: SparkSession, d: str) -> DataFrame:
     return rules.margin_of_safety(rows.withColumns({"q_profit": F.col("profit_var"), "capex": F.col("sales_var")}))
 
 
-_ENTRY = "CASE o_orderkey % 5 WHEN 0 THEN 'Omega' || CAST(o_custkey % 40 AS STRING) || ' eyes copper cable market' WHEN 1 THEN 'India sets up solar park' WHEN 2 THEN 'Beta' || CAST(o_custkey % 30 * 3 + 1 AS STRING) || ' enters solar' WHEN 3 THEN 'T' || CAST(o_custkey AS STRING) || ' to make copper tubes' ELSE 'Nothing on copper' END"
+_ENTRY = "CASE o_orderkey % 5 WHEN 0 THEN 'Omega' || CAST(o_custkey % 40 AS STRING) || ' eyes CCTV market' WHEN 1 THEN 'India sets up solar module park' WHEN 2 THEN 'Beta' || CAST(o_custkey % 30 * 3 + 1 AS STRING) || ' enters solar cells' WHEN 3 THEN 'T' || CAST(o_custkey AS STRING) || ' to make wafer tubes' ELSE 'Nothing on wafers' END"
 
 
-@query(f"""WITH {_ISSUED}, en AS (SELECT o_orderkey AS id, o_orderkey % 5 AS shape, o_custkey, {_ENTRY} AS title FROM orders), tf(sector, term) AS (SELECT DISTINCT sector, CASE WHEN s_suppkey % 2 = 0 THEN 'copper' ELSE 'solar' END FROM co WHERE s_suppkey <= 60),
+@query(f"""WITH {_ISSUED}, en AS (SELECT o_orderkey AS id, o_orderkey % 5 AS shape, o_custkey, {_ENTRY} AS title FROM orders), {_TURF},
 mv AS (SELECT id, title, CASE shape WHEN 0 THEN 'Omega' || CAST(o_custkey % 40 AS VARCHAR) WHEN 2 THEN 'Beta' || CAST(o_custkey % 30 * 3 + 1 AS VARCHAR) WHEN 3 THEN NULL END AS nm, CASE shape WHEN 3 THEN 'T' || CAST(o_custkey AS VARCHAR) END AS tk FROM en WHERE shape <> 4),
-wh AS (SELECT mv.*, co.ticker, co.sector AS own, co.name AS cname FROM mv LEFT JOIN co ON co.ticker = mv.tk OR co.name = mv.nm), x AS (SELECT wh.id, tf.sector, coalesce(CASE WHEN ticker IS NOT NULL THEN cname END, nm) AS challenger FROM wh JOIN tf ON contains(lower(title), term) WHERE own IS NULL OR own <> tf.sector),
+wh AS (SELECT mv.*, co.ticker, co.sector AS own, co.name AS cname FROM mv LEFT JOIN co ON co.ticker = mv.tk OR co.name = mv.nm), x AS (SELECT wh.id, tf.sector, coalesce(CASE WHEN ticker IS NOT NULL THEN cname END, nm) AS challenger FROM wh JOIN tf ON contains(lower(title), term) WHERE (own IS NULL OR own <> tf.sector) AND tf.sector IN (SELECT sector FROM co)),
 f AS (SELECT sector, lower(challenger) AS k, arg_min(challenger, id) AS challenger, min(id) AS id FROM x WHERE challenger IS NOT NULL GROUP BY 1, 2) SELECT sector, challenger, id FROM f""")
 def new_entrants(spark: SparkSession, d: str) -> DataFrame:
     companies = _companies(spark, d)
     titles = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_ENTRY).alias("title"))
-    turf = companies.where("s_suppkey <= 60").select("sector", F.when(F.col("s_suppkey") % 2 == 0, "copper").otherwise("solar").alias("term")).distinct()
-    return attribution.new_entrants(titles, turf, companies, companies.select("ticker", "name", F.col("s_suppkey").alias("place")))
+    return attribution.new_entrants(titles, _turf(spark, d), companies, companies.select("ticker", "name", F.col("s_suppkey").alias("place")))
 
 
 @query(f"WITH {_ISSUED}, e AS ({catalogue.SQL['new_entrants']}) SELECT ticker, e.sector, challenger, 'High' AS severity, 'risk' AS direction, 'New Entrant' AS category FROM e JOIN co ON e.sector = co.sector")

@@ -58,3 +58,91 @@ def test_materiality(spark):
     assert got == {1: (90.0, "transformative", 1.5), 2: (None, "unknown", 1.0), 3: (None, "unknown", 1.0), 4: (1.0, "immaterial", 0.25)}
     found = spark.createDataFrame([("opportunity", "Medium", 5.0), ("opportunity", "Medium", 4.9), ("risk", "Medium", 50.0), ("opportunity", "Critical", 50.0)], "direction string, severity string, materiality_pct double")
     assert [r["severity"] for r in rules.escalated(found).collect()] == ["High", "Medium", "Medium", "Critical"]
+
+
+def _terms(spark):
+    return spark.createDataFrame([(k, t) for k, ts in H.BATTLEGROUNDS.items() for t in ts], "sector string, term string")
+
+
+def test_names_of_many_words(spark):
+    """Names that begin alike, hold symbols, or lie within longer ones are met whole or not at all."""
+    companies = spark.createDataFrame([("A", "Gamma & Sons1"), ("B", "Gamma & Sons2 (GS2)"), ("C", "Gamma"), ("D", None), ("E", ""), ("F", "Gamma Works Pvt Ltd")], "ticker string, name string")
+    texts = {"gamma & sons2 wins": {"B", "C"}, "Gamma & Sons1's profit, GS2 slips": {"A", "B", "C"}, "Sons2 & Gamma": {"C"}, "Gamma Works Pvt": set(), "gamma works pvt ltd": {"C", "F"}, "": set(), ". & .": set(), "D and E meet": {"D", "E"}}
+    titles = spark.createDataFrame(list(enumerate(texts)), "id int, title string")
+    got = {k: set() for k in texts}
+    for r in attribution.named(titles, companies).join(titles, "id").collect():
+        got[r["title"]].add(r["ticker"])
+    assert got == texts
+    assert attribution.named(titles, companies.limit(0)).count() == 0
+
+
+def test_containing(spark):
+    rows = [("EMS", "a"), ("it", "b"), ("chip packaging", "c"), ("chip", "d"), ("", "e"), (None, "f"), ("chip", "d2")]
+    terms = spark.createDataFrame(rows, "term string, sector string")
+    texts = ["Systems grow", "Chip packaging unit", "CHIP", "x", "", None, "digit", "ch ip"]
+    got = sorted(map(tuple, attribution.containing(spark.createDataFrame(list(enumerate(texts)), "id int, title string"), terms).select("id", "sector").collect()))
+    assert got == sorted((i, s) for i, t in enumerate(texts) for k, s in rows if t and k and k.lower() in t.lower())
+
+
+# fixed values: headlines with known sectors and companies
+TRACKED = [
+    ("Qualcomm-like MegaCorp signs multiyear commitment for custom smartphone chips", "capacity_add", ["manufacturing_electronics"], []),
+    ("Suzlon Energy wins order for 300MW wind turbines", "order_win", ["clean_energy"], ["SUZLON"]),
+    ("MegaCorp acquires a bakery chain", None, None, None),
+    ("ITC Hotels to acquire GHK Hospitality for Rs 155 crore; shares decline 5%", None, None, None),
+    ("Suzlon denies merger talk; Dixon bags order for laptops", "order_win", ["manufacturing_electronics"], ["DIXON"]),
+    ("Rare earth export ban hits electronics manufacturing", "supply_disruption", ["manufacturing_electronics"], []),
+]
+FOLLOWED = [("SUZLON", "Suzlon Energy", "clean_energy"), ("DIXON", "Dixon Technologies", "manufacturing_electronics"), ("ITC", "ITC Ltd", "consumer"), ("DIXON2", "Dixon", "manufacturing_electronics")]
+
+
+def _followed(spark):
+    return spark.createDataFrame(FOLLOWED, "ticker string, name string, sector string")
+
+
+def test_market_events(spark):
+    day = datetime.date(2026, 8, 20)
+    titles = spark.createDataFrame([(i, t[0], day) for i, t in enumerate(TRACKED)], "id int, title string, day date")
+    companies = _followed(spark).where("ticker <> 'DIXON2'").withColumn("name", F.when(F.col("ticker") == "DIXON", "Dixon").otherwise(F.col("name")))
+    got = {r["id"]: r for r in attribution.market_events(titles, _terms(spark), companies).collect()}
+    for i, (title, kind, domains, actors) in enumerate(TRACKED):
+        assert (i in got) == (kind is not None), title
+        if kind:
+            assert (got[i]["type"], got[i]["domains"], got[i]["actors"]) == (kind, domains, actors), title
+
+
+def _event(i, title, day, phrase="", certainty="completed", domains=(), actors=(), direction="risk"):
+    return (i, title, day, "supply_disruption", phrase, certainty, direction, list(domains), list(actors))
+
+
+EVENT = "id int, title string, day date, type string, phrase string, certainty string, direction string, domains array<string>, actors array<string>"
+
+
+def test_stress(spark):
+    """Recent, settled risks by vocabulary and by inputs; each event once a sector."""
+    today, sector = datetime.date(2026, 8, 20), "manufacturing_electronics"
+    day = lambda n: today - datetime.timedelta(days=n)
+    rows = [
+        _event(1, "chip shortage", day(0), domains=[sector]), _event(2, "Copper prices surge on mine outage", day(14)), _event(3, "old news", day(15), domains=[sector]), _event(4, "not a risk", day(0), domains=[sector], direction="opportunity"),
+        _event(5, "rumour", day(0), certainty="reported", domains=[sector]), _event(6, "copper shortage", day(3), domains=[sector, "clean_energy"]), _event(7, "undated", None, domains=[sector]),
+    ]
+    inputs = spark.createDataFrame([("copper", sector), ("rare earth", "clean_energy")], "src string, dst string")
+    stress = attribution.sector_stress(spark.createDataFrame(rows, EVENT), inputs, F.lit(today))
+    assert {r["sector"]: (r["n"], r["warns"]) for r in stress.collect()} == {sector: (3, True), "clean_energy": (1, False)}
+    assert [tuple(r) for r in attribution.stress_warnings(stress, _followed(spark)).orderBy("ticker").collect()] == [(t, sector, "Medium", "risk", "Supply Stress (Forward)", 3) for t in ("DIXON", "DIXON2")]
+    many = spark.createDataFrame([_event(i, "shortage", day(0), domains=[sector]) for i in range(5)], EVENT)
+    got = attribution.supply_chain(many, _followed(spark)).collect()
+    assert sorted((r["id"], r["ticker"]) for r in got) == [(i, t) for i in range(3) for t in ("DIXON", "DIXON2")]
+
+
+def test_refreshed(spark):
+    """Rules of now on events of before: corrected actors, orphans and old rows gone, a missing certainty filled in."""
+    today = datetime.date(2026, 8, 20)
+    rows = [
+        _event(1, "ITC Hotels to acquire GHK Hospitality for Rs 155 crore", today, "to acquire", actors=["ITC"]), _event(2, "Suzlon wins order worth 300cr", today, "wins order", actors=[]),
+        _event(3, "Suzlon reportedly in talks for a joint venture", today, "joint venture", certainty=""), _event(4, "Suzlon wins order worth 300cr", today - datetime.timedelta(days=46), "wins order", domains=["clean_energy"]),
+        _event(5, "Dixon gains; ITC wins order", today - datetime.timedelta(days=45), "wins order", certainty="announced"), _event(6, "No one told", today, None, certainty=None, domains=["x"], actors=["ITC"]),
+    ]
+    companies = spark.createDataFrame([("SUZLON", "Suzlon"), ("DIXON", "Dixon"), ("ITC", "ITC Ltd")], "ticker string, name string")
+    got = {r["id"]: (r["actors"], r["certainty"]) for r in attribution.refreshed(spark.createDataFrame(rows, EVENT), companies, F.lit(today)).collect()}
+    assert got == {2: (["SUZLON"], "completed"), 3: (["SUZLON"], "reported"), 5: (["ITC"], "announced"), 6: ([], "completed")}
