@@ -11,8 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions.coerce import to_number
+from marketlens.sources import publish
 
 HOLDING = "sector string, ord int, ticker string, name string, catalyst string, price double, target double, growth_pct double, raw string"
+# fixed values: the fields of a record, by how files spell them
+MONEY = ("price", "target", "target_median", "target_high", "target_low")
+PERCENTS = ("growth_pct", "revenue_growth", "earnings_growth")
+NUMBERS = (*MONEY, *PERCENTS, "rec_score", "fundamental_value")
+KNOWN = ("ticker", "name", "catalyst", "rating", "analyst_count", *NUMBERS)
 # fixed values: the kinds of edges
 EDGE_TYPES = ("anchor_demand", "supplier_customer", "partner", "competitor", "input_cost")
 EDGE = "src string, dst string, type string, note string, evidence string, added string"
@@ -44,6 +50,50 @@ def watchlist(spark: SparkSession, path: str, seed: dict[str, list[dict]] | None
     return rows.select("sector", "ord", "r.ticker", "r.name", "r.catalyst", *[to_number(F.col(f"r.{c}")).alias(c) for c in ("price", "target", "growth_pct")], "raw")
 
 
+def _known(record: Column) -> list[Column]:
+    """The typed columns of a record; what is no number is null, a missing rating has its own mark."""
+    text = lambda c: F.try_variant_get(record, f"$.{c}", "string")
+    numbers = [to_number(text(c)).alias(c) for c in NUMBERS]
+    names = [text("ticker").alias("ticker"), *[F.coalesce(text(c), F.lit("")).alias(c) for c in ("name", "catalyst")], F.coalesce(text("rating"), F.lit("N/A")).alias("rating")]
+    return [*names, *numbers, to_number(text("analyst_count")).cast("int").alias("analyst_count")]
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """A watchlist's records with all their fields: sector, ord, the typed columns, rest, valid and raw.
+
+    Fields that this release does not know are kept in ``rest``, a VARIANT, under their names; it is null if there are
+    none. A record without a ticker, or one whose texts are no texts, is not valid: its typed columns are null and ``raw``
+    (VARIANT) holds it as it was, so that nothing is lost. A list that is no list, and what is no object, are such records.
+    """
+    parsed = _text(spark, path).select(F.from_json("value", "map<string, variant>").alias("m")).where("m is not null")
+    lists = parsed.select(F.explode("m").alias("sector", "list")).select("sector", "list", F.try_variant_get("list", "$", "array<variant>").alias("items"))
+    rows = lists.select("sector", F.posexplode(F.coalesce("items", F.array("list"))).alias("ord", "raw"))
+    fields = F.try_variant_get("raw", "$", "map<string, variant>")
+    typed = F.schema_of_variant(F.coalesce(F.try_variant_get("raw", "$.ticker", "variant"), F.parse_json(F.lit("null"))))
+    loose = [F.schema_of_variant(F.coalesce(F.try_variant_get("raw", f"$.{c}", "variant"), F.parse_json(F.lit('""')))) != "STRING" for c in ("name", "catalyst")]
+    rows = rows.withColumns({"fields": fields, "valid": (typed == "STRING") & ~(loose[0] | loose[1])}).withColumn("valid", F.coalesce("valid", F.lit(False)))
+    other = F.map_filter("fields", lambda k, _: ~k.isin(*KNOWN))
+    rest = F.when(F.col("valid") & (F.size(other) > 0), F.to_variant_object(other)).alias("rest")
+    known = F.when(F.col("valid"), F.struct(*_known(F.col("raw")))).alias("k")
+    return rows.select("sector", "ord", known, rest, "valid", "raw").select("sector", "ord", "k.*", "rest", "valid", "raw")
+
+
+def wire(rows: DataFrame) -> DataFrame:
+    """records() -> sector, ord, record: each as JSON, typed fields in the form of the files, others as they came; a bad one as it was.
+
+    Money has two decimals, percentages one and a plus sign over zero. Only fields that the record had are written.
+    """
+    money = {c: F.format_string("%.2f", c) for c in MONEY}
+    percent = {c: F.concat(F.when(F.col(c) > 0, "+").otherwise(""), F.format_string("%.1f%%", c)) for c in PERCENTS}
+    had = F.try_variant_get("raw", "$", "map<string, variant>")
+    text = lambda c: F.when(F.col(c).isNotNull(), (money | percent)[c]) if c in money | percent else F.col(c)
+    told = F.to_json(F.struct(*[text(c).alias(c) for c in KNOWN]), {"ignoreNullFields": "false"})
+    fields = F.from_json(told, "map<string, variant>")
+    merged = F.map_from_entries(F.transform(F.map_keys("had"), lambda k: F.struct(k, F.when(k.isin(*KNOWN), F.element_at("fields", k)).otherwise(F.element_at("had", k)))))
+    rows = rows.withColumns({"had": had, "fields": fields})
+    return rows.select("sector", "ord", F.when(F.col("valid"), F.to_json(F.to_variant_object(merged))).otherwise(F.to_json("raw")).alias("record"))
+
+
 def entity_graph(spark: SparkSession, path: str, kinds: tuple[str, ...] = EDGE_TYPES) -> DataFrame:
     """{"edges": [...]} -> edges with both ends and a known type."""
     rows = _text(spark, path).select(F.inline(F.from_json("value", f"edges array<struct<{EDGE}>>")["edges"]))
@@ -74,14 +124,22 @@ def equity_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def previous_run(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """The table of the run before; empty if there was none."""
+    """The table of the run before, as write_run() left it or as plain Parquet files of earlier releases; empty if there was none."""
+    if publish.current_version(spark, folder) is not None:
+        return publish.read(spark, folder, schema=schema)
     try:
         return spark.read.schema(schema).parquet(folder)
     except AnalysisException:
         return spark.createDataFrame([], schema)
 
 
-def write_run(frame: DataFrame, folder: str, partition: str | None = None) -> None:
-    """Replaces a table; readers see the old or the new one. With a partition, a folder for each of its values, stale ones gone."""
-    writer = frame.write.mode("overwrite")
-    (writer.partitionBy(partition) if partition else writer).parquet(folder)
+def write_run(frame: DataFrame, folder: str, partition: str | None = None, order: list[str] | None = None) -> None:
+    """Replaces a table; readers see the old or the new one, see publish. With a partition, a folder for each of its values, stale ones gone."""
+    publish.publish(frame, folder, partitions={"rows": partition} if partition else None, orders={"rows": order} if order else None)
+
+
+def write_briefing(corpus: DataFrame, display: DataFrame, coverage: DataFrame, folder: str, version: str | None = None) -> str:
+    """A run's corpus, what the dashboard shows of it, and the coverage of each ticker in a folder of its own, all under one version."""
+    safe = F.regexp_replace(F.upper("ticker"), "[^A-Z0-9_-]", "")
+    sidecars = coverage.withColumn("ticker", safe).where("ticker <> ''")
+    return publish.publish({"corpus": corpus, "display": display, "coverage": sidecars}, folder, version, partitions={"coverage": "ticker"})

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -66,3 +68,68 @@ def insert_only(batch: DataFrame, folder: str, key: str) -> int:
     fresh.write.mode("append").parquet(folder)
     fresh.unpersist()
     return added
+
+
+SCORED = "ticker string, id string, decided timestamp, scored timestamp, price_at_decision double, target_at_decision double, price double, realized_return_pct double, outcome string"
+
+
+def _one_decimal(x: float) -> float:
+    """Rounded half up from its shortest decimal form, as the batch form rounds."""
+    return float(Decimal(repr(x)).quantize(Decimal("0.1"), ROUND_HALF_UP))
+
+
+def _judged(price_at: float, target: float, price: float | None) -> tuple[float | None, str]:
+    # fixed values: the outcomes' names
+    if price is None:
+        return None, "Left Watchlist (unscored)"
+    realized, anticipated = ((_one_decimal((x - price_at) / price_at * 100) if price_at else None) for x in (price, target))
+    won = realized is not None and anticipated > 0 and realized >= 0.5 * anticipated
+    return realized, "Thesis Playing Out" if won else "Underperforming"
+
+
+def _scoring(days: int):
+    wait = days * 86_400_000
+    millis = lambda t: int(pd.Timestamp(t).timestamp() * 1000)
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        # pending: [id, decided, price then, target then, time and value of the last price that is not after the due time]
+        pending, newest = json.loads(state.get[0]) if state.exists else ([], None)
+        mark = state.getCurrentWatermarkMs()
+        for batch in () if state.hasTimedOut else batches:
+            for r in batch.sort_values(["ts", "id"], kind="stable").itertuples():
+                at = millis(r.ts)
+                if pd.isna(r.id):
+                    price = None if pd.isna(r.price) else float(r.price)
+                    for p in pending:
+                        if at <= p[1] + wait and (p[4] is None or at >= p[4]):
+                            p[4], p[5] = at, price
+                    if newest is None or at >= newest[0]:
+                        newest = [at, price]
+                elif not any(p[0] == r.id for p in pending):
+                    known = newest if newest and newest[0] <= at + wait else [None, None]
+                    pending.append([r.id, at, float(r.price), float(r.target), *known])
+        # a timer for the earliest is enough, as it is set again until none is left
+        due = [p for p in pending if p[1] + wait <= mark]
+        pending = [p for p in pending if p[1] + wait > mark]
+        state.update((json.dumps([pending, newest]),))
+        if pending:
+            state.setTimeoutTimestamp(max(min(p[1] for p in pending) + wait, mark + 1))
+        stamp = lambda ms: pd.Timestamp(ms, unit="ms")
+        rows = [(key[0], p[0], stamp(p[1]), stamp(p[1] + wait), p[2], p[3], p[5], *_judged(p[2], p[3], p[5])) for p in due]
+        yield pd.DataFrame(rows, columns=[x.split()[0] for x in SCORED.split(", ")])
+
+    return run
+
+
+def scored_stream(decisions: DataFrame, prices: DataFrame, days: int = 45, late: str = "1 day") -> DataFrame:
+    """Two streams, decisions (id, ticker, ts, price, target) and prices (ticker, ts, price) -> each decision once, scored.
+
+    A decision is scored by the ticker's last price at its due time, ``days`` after it was made, when the watermark of
+    both streams has passed that time; a null price, or none, has left the watchlist. Decisions without a price or target
+    of their own are not kept. Prices may come before or after the decision, and late ones count up to the watermark.
+    Of a ticker's prices the state holds the newest, and one for each decision that waits.
+    """
+    asked = decisions.where("price is not null and target is not null and id is not null").select("ticker", "ts", F.col("id").cast("string").alias("id"), F.col("price").cast("double").alias("price"), F.col("target").cast("double").alias("target"))
+    told = prices.select("ticker", "ts", F.lit(None).cast("string").alias("id"), F.col("price").cast("double").alias("price"), F.lit(None).cast("double").alias("target"))
+    both = asked.unionByName(told).where("ticker is not null").withWatermark("ts", late).groupBy("ticker")
+    return both.applyInPandasWithState(_scoring(days), SCORED, "held string", "append", GroupStateTimeout.EventTimeTimeout)
