@@ -149,6 +149,20 @@ def materiality(titles: DataFrame, revenue: DataFrame) -> DataFrame:
     return rows.withColumn("band", band).select("id", "ticker", "amount_cr", F.round("pct", 2).alias("pct_of_revenue"), "band", F.when(F.col("pct").isNotNull(), H.weight(F.col("band"))).otherwise(1.0).alias("weight"))
 
 
+def sized_warnings(found: DataFrame, keys: list[str], revenue: DataFrame) -> DataFrame:
+    """Warnings with materiality_pct, _band and _basis: of their own headlines (sources: kind, title) the one that is largest against revenue.
+
+    keys tell warnings apart, ticker among them. Each headline is measured by itself; one without an amount, or whose
+    amount is not the company's, is passed over. A warning without any has nulls.
+    """
+    told = found.select(*keys, F.posexplode("sources").alias("id", "s")).select(*keys, "id", F.col("s.kind").alias("type"), F.col("s.title").alias("title")).where("title <> ''")
+    rows = told.withColumn("id", F.struct(*keys, "id"))
+    one = materiality(rows.select("id", "ticker", "type", "title"), revenue).where("pct_of_revenue is not null").withColumn("place", F.col("id.id"))
+    titled = one.join(rows.select("id", "title"), "id")
+    best = titled.groupBy(*[F.col(f"id.{k}").alias(k) for k in keys]).agg(F.max_by(F.struct("pct_of_revenue", "band", "title"), F.struct("pct_of_revenue", -F.col("place"))).alias("b"))
+    return found.join(best, keys, "left").withColumns({"materiality_pct": F.col("b.pct_of_revenue"), "materiality_band": F.col("b.band"), "materiality_basis": F.col("b.title")}).drop("b")
+
+
 def partner_edges(titles: DataFrame, matches: DataFrame) -> DataFrame:
     """Undirected edges (src, dst, evidence) between companies that one tie-up headline names; each pair once, the first headline."""
     tied = titles.where(F.lower("title").rlike(H.any_of(H.EVENTS["tie_up"]))).select("id")

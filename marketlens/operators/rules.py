@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.coerce import severity_rank
 from marketlens.functions.extract import owner_earnings
-from marketlens.operators.sets import top_of
+from marketlens.operators.sets import capped_total, top_of
 
 
 @dataclass(frozen=True)
@@ -150,9 +151,13 @@ def graham(companies: DataFrame, bond_yield: float = 7.0) -> DataFrame:
 
 
 def moat_points() -> Column:
-    """How many of three hold: returns on capital and on equity over 15, debt under half of half the market's value."""
+    """How many of three hold: returns on capital and on equity over 15, debt under half of half the market's value.
+
+    Unknown debt counts as none, an unknown market value as one.
+    """
     holds = lambda c: F.when(c, 1).otherwise(0)
-    return holds(F.col("roce") > 15) + holds(F.col("roe") > 15) + holds(F.col("debt") / (0.5 * F.col("value")) < 0.5)
+    value = F.when(F.col("value") != 0, F.col("value")).otherwise(1.0)
+    return holds(F.col("roce") > 15) + holds(F.col("roe") > 15) + holds(F.coalesce("debt", F.lit(0.0)) / (0.5 * value) < 0.5)
 
 
 def below_net_assets() -> Column:
@@ -220,23 +225,79 @@ def scored_decisions(ledger: DataFrame, age: int = 45) -> DataFrame:
     return rows.withColumns({"realized_return_pct": F.when(ripe & F.col("price").isNotNull(), F.col("realized")), "outcome": outcome})
 
 
+# fixed values: points of news by kind, their cap and greatest age, and what stands in where there are none
+NEWS_CAP = 8
+NEWS_DAYS = 120
+FALLBACK_POINTS = 1
+LEAST_NEWS_POINTS = 3
+
+
+def news_gain(kind: Column, title: Column) -> Column:
+    up = F.upper(F.coalesce(kind, F.lit("")))
+    # fixed values: points of each kind
+    return F.when(F.upper(title).contains("PLI") | (up == "PLI"), 5).when(up.contains("AGREEMENT") | up.contains("MOU"), 4).when(up.contains("LAUNCH"), 3).otherwise(4)
+
+
+def news_points(events: DataFrame, today: Column) -> DataFrame:
+    """events (ticker, place, title, type, day, weight) -> ticker, n_counted, momentum: points of news in order up to the cap.
+
+    Headlines that read alike count once, the first; if that is too old, so are the later ones. An event without a day is
+    not too old. weight is that of the amount against revenue. A quarter of three points is the least that an event gives,
+    so no more than the first 11 of a ticker can count, and no more are brought together.
+    """
+    key = F.regexp_replace(F.lower(F.coalesce("title", F.lit(""))), "[^a-z0-9 ]+", "")
+    one = events.withColumn("key", key).where("key <> ''").groupBy("ticker", "key").agg(F.min_by(F.struct("place", "title", "type", "day", "weight"), "place").alias("e")).select("ticker", "e.*")
+    young = one.where(F.col("day").isNull() | (F.date_diff(today, "day") <= NEWS_DAYS)).withColumn("gain", news_gain(F.col("type"), F.col("title")) * F.col("weight").cast("double"))
+    most = math.ceil(NEWS_CAP / (LEAST_NEWS_POINTS * 0.25))
+    first = top_of(young, ["ticker"], [F.col("place")], most).drop("rank")
+    return capped_total(first, ["ticker"], ["place"], "gain", NEWS_CAP).select("ticker", "n_counted", F.bround("total", 0).cast("int").alias("momentum"))
+
+
+def liquidity_warning(label: str) -> Column:
+    """What is told of a company that is hard to trade (advt_cr, days_to_exit_1cr); null if its turnover is unknown."""
+    # fixed values: the text
+    days = F.when(F.col("days_to_exit_1cr") != 0, F.format_string(", ~%d sessions to exit Rs 1 Cr", F.bround("days_to_exit_1cr", 0).cast("long")))
+    return F.when(F.col("advt_cr").isNotNull(), F.concat(F.format_string(f"{label}: Rs %.2f Cr traded daily", "advt_cr"), F.coalesce(days, F.lit(""))))
+
+
 def aggregate_score(companies: DataFrame) -> DataFrame:
-    """Points for and against a company (the columns of graham() and the rules, and momentum), and what they advise."""
+    """Points for and against a company, what they advise, how sure that is, and the reasons and risks in order.
+
+    companies: the columns of graham() and the rules, momentum (news_points(); null if there is no news) and
+    liquidity_band, advt_cr, days_to_exit_1cr (null if unknown). A company of which nothing is known has the points of its news alone.
+    """
     c = F.col
-    yes = lambda cond, points: F.when(cond, points).otherwise(0)
-    either = lambda good, plus, bad, minus: F.when(good, plus).when(bad, minus).otherwise(0)
-    rows = valuation_alerts_of(graham(companies)).withColumns({"moat": moat_points(), "bargain": below_net_assets()})
-    # fixed values: thresholds and points
-    parts = [
-        either(c("ttm") >= 15, 1, c("ttm") < 0, -2), either(c("opm_change") >= 2, 1, c("opm_change") <= -2, -1), either(c("debt_equity") < 0.5, 1, c("debt_equity") > 1, -2), either(c("current_ratio") >= 2, 1, c("current_ratio") < 1, -1),
-        yes(c("roce") >= 20, 1), yes(c("roe") >= 15, 1), yes(c("promoter_change") <= -1, -2), either(c("fii_change") > 0, 2, c("fii_change") < -1, -1), yes(c("dii_change") > 0, 1),
-        F.when(c("moat") == 3, 3).when(c("moat") == 2, 1).otherwise(0), either(c("bargain"), 3, (c("graham_value") != 0) & (c("price") != 0) & (c("price") < c("graham_value")), 2),
-        -2 * F.size(F.filter("alerts", lambda x: x.rlike("Debt Limit|P/E Screen|Hyper-Growth|Current Ratio"))),
+    text = lambda pattern, *of: F.format_string(pattern, *[c(x) if isinstance(x, str) else x for x in of])
+    told = lambda before, column, after: F.concat(F.lit(before), c(column).cast("string"), F.lit(after))
+    rows = valuation_alerts_of(graham(companies)).withColumns({"moat": moat_points(), "bargain": F.coalesce(below_net_assets(), F.lit(False))})
+    rows = rows.withColumn("failed", F.filter("alerts", lambda x: x.rlike("Debt Limit|P/E Screen|Hyper-Growth|Current Ratio")))
+    under = ~c("bargain") & (c("graham_value") != 0) & (c("price") != 0) & (c("price") < c("graham_value"))
+    # fixed values: conditions, points, whether a reason or a risk, and texts
+    tested = [
+        (c("ttm") >= 15, 1, "+", text("Strong revenue growth (TTM %+.1f%%)", "ttm")), (c("ttm") < 0, -2, "-", text("Revenue shrinking (TTM %+.1f%%)", "ttm")),
+        (c("opm_change") >= 2, 1, "+", told("Operating Margin Expansion (+", "opm_change", "%)")), (c("opm_change") <= -2, -1, "-", told("Operating margin contracted (", "opm_change", "pp)")),
+        (c("debt_equity") < 0.5, 1, "+", told("Low Debt to Equity (", "debt_equity", ")")), (c("debt_equity") > 1, -2, "-", told("High Debt to Equity (", "debt_equity", ")")),
+        (c("current_ratio") >= 2, 1, "+", told("Strong Liquidity (Current Ratio: ", "current_ratio", ")")), (c("current_ratio") < 1, -1, "-", F.lit("Poor Liquidity (Current Ratio < 1)")),
+        (c("roce") >= 20, 1, "+", told("High Return on Capital (ROCE: ", "roce", "%)")), (c("roe") >= 15, 1, "+", told("High Return on Equity (ROE: ", "roe", "%)")),
+        (c("liquidity_band") == "illiquid", -2, "-", liquidity_warning("Illiquid")), (c("liquidity_band") == "thin", -1, "-", liquidity_warning("Thin")),
+        (c("liquidity_band") == "liquid", 0, "+", text("Liquid (Rs %d Cr traded daily)", F.bround("advt_cr", 0).cast("long"))),
+        (c("promoter_change") <= -1, -2, "-", told("Promoters cut their stake (", "promoter_change", "%)")), (c("fii_change") > 0, 2, "+", told("FII Accumulation (+", "fii_change", "%)")), (c("fii_change") < -1, -1, "-", told("FII Selling (", "fii_change", "%)")),
+        (c("dii_change") > 0, 1, "+", told("DII Accumulation (+", "dii_change", "%)")), (c("moat") == 3, 3, "+", F.lit("Wide Economic Moat (Sustained Margin Expansion)")), (c("moat") == 2, 1, "+", F.lit("Narrow Economic Moat")),
+        (c("bargain"), 3, "+", F.lit("Deep Value Bargain (Price < NCAV)")), (under, 2, "+", told("Trading below Graham Intrinsic Value (", "graham_value", ")")),
     ]
-    fundamental = sum(parts[1:], parts[0])
-    rows = rows.select("ticker", fundamental.cast("int").alias("fundamental_score"), F.col("momentum").cast("int").alias("momentum_score")).withColumn("overall_score", (F.col("fundamental_score") + F.col("momentum_score")).cast("int"))
-    advice = F.when(c("overall_score") >= 15, "Strong Buy Candidate").when(c("overall_score") >= 10, "Buy Candidate").when(c("overall_score") >= 5, "Hold / Monitor").otherwise("Avoid / High Risk")
-    return rows.withColumn("recommendation", advice)
+    points = sum((F.when(cond, n).otherwise(0) for cond, n, _, _ in tested), -2 * F.size("failed"))
+    some = lambda side: F.array_compact(F.array(*[F.when(cond, t) for cond, _, which, t in tested if which == side]))
+    known = sum((c(x).isNotNull().cast("int") for x in ("revenue_last", "debt_equity", "ttm", "roce")), F.when(c("value").isNotNull(), 2).otherwise(0))
+    momentum = F.coalesce(c("momentum"), F.lit(FALLBACK_POINTS)).cast("int")
+    rows = rows.select("ticker", known.alias("known"), F.when(known > 0, points).otherwise(0).cast("int").alias("fundamental_score"), momentum.alias("momentum_score"), some("+").alias("reasons"), F.concat(some("-"), "failed").alias("risks"))
+    rows = rows.withColumn("overall_score", (c("fundamental_score") + c("momentum_score")).cast("int"))
+    advice = F.when(c("known") == 0, "Monitor (Data Unavailable)").when(c("overall_score") >= 15, "Strong Buy Candidate").when(c("overall_score") >= 10, "Buy Candidate").when(c("overall_score") >= 5, "Hold / Monitor").otherwise("Avoid / High Risk")
+    sure = F.when(c("known") == 0, "Very Low").when(c("known") >= 5, "High").when(c("known") >= 3, "Medium").otherwise("Low")
+    none = F.array().cast("array<string>")
+    return rows.select(
+        "ticker", "fundamental_score", "momentum_score", "overall_score", advice.alias("recommendation"), sure.alias("confidence"),
+        F.when(c("known") > 0, c("reasons")).otherwise(none).alias("reasons"), F.when(c("known") > 0, c("risks")).otherwise(F.array(F.lit("No financial data available for scoring."))).alias("risks"),
+    )
 
 
 def margin_of_safety(companies: DataFrame) -> DataFrame:

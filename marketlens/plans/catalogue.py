@@ -127,11 +127,11 @@ def peer_market_share(spark: SparkSession, d: str) -> DataFrame:
     return got.select("sector", "ticker", F.round("share", 1).alias("share_pct"), F.round("share_before", 1).alias("share_prev_pct"), F.round("change", 2).alias("change_pp"), "lookback_quarters", "peer_count")
 
 
-@query(f"""WITH {_SHARE} SELECT sector, ticker, round(share - share_before, 4) AS change, CASE WHEN share - share_before <= -2 THEN 'High' ELSE 'Medium' END AS severity,
-  CASE WHEN share - share_before < 0 THEN 'risk' ELSE 'opportunity' END AS direction FROM t WHERE share - share_before <= -0.75 OR share - share_before >= 0.75""")
+@query(f"""WITH {_SHARE}, c AS (SELECT sector, ticker, round(share - share_before, 2) AS change FROM t) SELECT sector, ticker, change, 'Market Share' AS category, CASE WHEN change <= -2 THEN 'High' ELSE 'Medium' END AS severity,
+  CASE WHEN change < 0 THEN 'risk' ELSE 'opportunity' END AS direction FROM c WHERE change <= -0.75 OR change >= 0.75""")
 def share_warnings(spark: SparkSession, d: str) -> DataFrame:
-    got = series.market_share(_sector_series(spark, d)).where("change <= -0.75 or change >= 0.75")
-    return _rounded(got.select("sector", "ticker", "change", F.when(F.col("change") <= -2, "High").otherwise("Medium").alias("severity"), F.when(F.col("change") < 0, "risk").otherwise("opportunity").alias("direction")), "change")
+    got = series.market_share(_sector_series(spark, d)).withColumn("change", F.round("change", 2)).where("change <= -0.75 or change >= 0.75")
+    return _rounded(got.select("sector", "ticker", "change", F.lit("Market Share").alias("category"), F.when(F.col("change") <= -2, "High").otherwise("Medium").alias("severity"), F.when(F.col("change") < 0, "risk").otherwise("opportunity").alias("direction")), "change")
 
 
 @query(f"""WITH m AS ({METRICS}), g AS (SELECT ticker, sector, qoq FROM m WHERE qoq IS NOT NULL), s AS (SELECT sector, median(qoq) AS mid, count(*) AS n FROM g GROUP BY 1)
@@ -142,6 +142,15 @@ def growth_laggards(spark: SparkSession, d: str) -> DataFrame:
     return rows.join(by, "sector").withColumn("laggard", F.col("qoq") <= F.col("mid") - 10)
 
 
+@query(f"""WITH m AS ({METRICS}), g AS (SELECT ticker, sector, qoq FROM m WHERE qoq IS NOT NULL), s AS (SELECT sector, median(qoq) AS mid, count(*) AS n FROM g GROUP BY 1), {_SHARE}
+SELECT g.ticker, g.sector, 'Growth Laggard' AS category, 'risk' AS direction, 'Medium' AS severity FROM g JOIN s ON g.sector = s.sector WHERE s.n >= 3 AND qoq <= mid - 10 AND g.ticker NOT IN (SELECT ticker FROM t WHERE ticker % 3 <> 0)""")
+def growth_laggard_warnings(spark: SparkSession, d: str) -> DataFrame:
+    """Companies that trail their sector's median by ten points, of those whose share among peers is not known (here every third)."""
+    shared = series.market_share(_sector_series(spark, d)).where("ticker % 3 <> 0").select("ticker")
+    found = growth_laggards(spark, d).where("laggard").join(shared, "ticker", "left_anti")
+    return found.select("ticker", "sector", F.lit("Growth Laggard").alias("category"), F.lit("risk").alias("direction"), F.lit("Medium").alias("severity"))
+
+
 @query(f"""WITH m AS ({METRICS}), c AS (SELECT sector, arg_max(ticker, (sales_var, -ticker)) AS challenger, max(sales_var) AS challenger_growth FROM m WHERE sales_var >= 15 GROUP BY 1)
 SELECT ticker, m.sector, challenger, challenger_growth, qoq, CASE WHEN qoq IS NULL THEN 'Low' ELSE 'Medium' END AS severity, 'risk' AS direction, 'Competitive Threat' AS category
 FROM m JOIN c ON m.sector = c.sector WHERE ticker <> challenger AND (qoq IS NULL OR (qoq < 15 AND qoq < challenger_growth))""")
@@ -167,9 +176,9 @@ r AS (SELECT part, min(close) AS low, max(close) AS high, arg_max(close, (ts, l_
 SELECT part, CAST(round(CAST(low AS DECIMAL(18,6)), 2) AS DOUBLE) AS week52_low, CAST(round(CAST(high AS DECIMAL(18,6)), 2) AS DOUBLE) AS week52_high, round((last - low) / low * 100, 2) AS pct_above_low FROM r WHERE low > 0""")
 def price_range(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "lineitem").where("l_quantity > 0").select(F.col("l_partkey").alias("part"), F.col("l_shipdate").alias("ts"), F.struct("l_shipdate", "l_orderkey", "l_linenumber").alias("place"), (F.col("l_extendedprice") / F.col("l_quantity")).alias("close"))
-    newest = rows.agg(F.max("ts").alias("newest"))  # one row
-    recent = rows.join(F.broadcast(newest), F.col("ts") > F.expr("newest - interval 364 days"))
-    return series.price_range(recent, "part", "place")
+    # a scalar subquery, so that the filter stands in the scan's stage and not behind a join
+    newest = rows.agg(F.max("ts").alias("newest")).scalar()
+    return series.price_range(rows.where(F.col("ts") > newest - F.expr("interval 364 days")), "part", "place")
 
 
 @query("""WITH p AS (SELECT p_brand AS input, l_shipdate AS ts, l_orderkey, l_linenumber, l_extendedprice / l_quantity AS close FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 0),

@@ -204,13 +204,16 @@ mv AS (SELECT id, am.ticker, CAST(amount AS DOUBLE) AS amount_cr, sized, CAST(am
 mb AS (SELECT *, CASE WHEN NOT sized OR pct IS NULL THEN 'unknown' WHEN pct >= 15 THEN 'transformative' WHEN pct >= 5 THEN 'material' WHEN pct >= 2 THEN 'minor' ELSE 'immaterial' END AS band FROM mv)"""
 
 
+def _revenue(spark: SparkSession, d: str) -> DataFrame:
+    """ticker, revenue: the sales of a company's last four quarters, of those that have four."""
+    newest = series.from_end(sales_series(spark, d), ["ticker"], "period").where("back <= 4").groupBy("ticker").agg(F.sum(F.col("sales").cast("decimal(18,2)")).cast("double").alias("year"), F.count("*").alias("n")).where("n = 4 and year > 0")
+    return newest.select(F.concat(F.lit("T"), F.col("ticker").cast("string")).alias("ticker"), (F.col("year") / 1e3).alias("revenue"))
+
+
 @query(f"{_SIZED} SELECT id, ticker, round(amount_cr, 4) AS amount_cr, round(pct, 2) AS pct_of_revenue, band, CAST(CASE band WHEN 'transformative' THEN 1.5 WHEN 'minor' THEN 0.5 WHEN 'immaterial' THEN 0.25 ELSE 1.0 END AS DOUBLE) AS weight FROM mb")
 def order_materiality(spark: SparkSession, d: str) -> DataFrame:
-    titles, matches = _headlines(spark, d), company_matches(spark, d)
-    newest = series.from_end(sales_series(spark, d), ["ticker"], "period").where("back <= 4").groupBy("ticker").agg(F.sum(F.col("sales").cast("decimal(18,2)")).cast("double").alias("year"), F.count("*").alias("n")).where("n = 4 and year > 0")
-    revenue = newest.select(F.concat(F.lit("T"), F.col("ticker").cast("string")).alias("ticker"), (F.col("year") / 1e3).alias("revenue"))
-    told = attribution.with_event(titles).select("id", "title", "type").join(matches, "id")
-    return attribution.materiality(told, revenue).withColumn("amount_cr", F.round("amount_cr", 4)).withColumn("weight", F.col("weight").cast("double"))
+    told = attribution.with_event(_headlines(spark, d)).select("id", "title", "type").join(company_matches(spark, d), "id")
+    return attribution.materiality(told, _revenue(spark, d)).withColumn("amount_cr", F.round("amount_cr", 4)).withColumn("weight", F.col("weight").cast("double"))
 
 
 @query(f"""WITH h AS ({HOLDINGS}), q AS ({QUARTERS}), r AS (SELECT q.*, sector, region, row_number() OVER (PARTITION BY q.ticker ORDER BY period DESC) AS back FROM q JOIN h ON q.ticker = h.ticker),
@@ -248,18 +251,22 @@ def input_cost_shock(spark: SparkSession, d: str) -> DataFrame:
 
 
 _EVERY = f"""m AS ({METRICS}), w0 AS ({_WARN}),
-sh AS (WITH {_SHARE} SELECT ticker, sector, CASE WHEN round(share - share_before, 2) <= -0.75 THEN 'Market Share Loss' ELSE 'Market Share Gain' END AS category, CASE WHEN round(share - share_before, 2) < 0 THEN 'risk' ELSE 'opportunity' END AS direction, CASE WHEN round(share - share_before, 2) <= -2 THEN 'High' ELSE 'Medium' END AS severity FROM t WHERE abs(round(share - share_before, 2)) >= 0.75),
+sh AS (SELECT ticker, sector, category, direction, severity FROM ({catalogue.SQL['share_warnings']})),
 ct AS (SELECT ticker, sector, category, direction, severity FROM ({catalogue.SQL['competitive_threats']})), pl AS (SELECT m.ticker, sector, 'Promoter Pledging' AS category, 'risk' AS direction, severity FROM ({catalogue.SQL['pledge_verdict']}) v JOIN m ON v.ticker = m.ticker WHERE severity IS NOT NULL),
-aw AS (SELECT * FROM w0 UNION ALL SELECT * FROM sh UNION ALL SELECT * FROM ct UNION ALL SELECT * FROM pl)"""
+vs AS (SELECT m.ticker, sector, 'Valuation Stretch' AS category, 'risk' AS direction, 'Medium' AS severity FROM ({catalogue.SQL['valuation_alerts']}) v JOIN m ON v.ticker = m.ticker WHERE alerts <> ''),
+gl AS (SELECT ticker, sector, category, direction, severity FROM ({catalogue.SQL['growth_laggard_warnings']})),
+aw AS (SELECT * FROM w0 UNION ALL SELECT * FROM sh UNION ALL SELECT * FROM ct UNION ALL SELECT * FROM pl UNION ALL SELECT * FROM vs UNION ALL SELECT * FROM gl)"""
 
 
 def _all_warnings(spark: SparkSession, d: str) -> DataFrame:
-    companies = metrics(spark, d)
-    share = series.market_share(_with_sector(spark, d)).withColumn("change", F.round("change", 2)).where(F.abs("change") >= 0.75)
-    share = share.select("ticker", "sector", F.when(F.col("change") < 0, "Market Share Loss").otherwise("Market Share Gain").alias("category"), F.when(F.col("change") < 0, "risk").otherwise("opportunity").alias("direction"), F.when(F.col("change") <= -2, "High").otherwise("Medium").alias("severity"))
+    companies = rules.valuation_alerts_of(rules.graham(catalogue._valued(spark, d)))
     columns = ["ticker", "sector", "category", "direction", "severity"]
-    pledged = rules.pledge_verdict(companies).where("severity is not null").join(companies.select("ticker", "sector"), "ticker").select("ticker", "sector", F.lit("Promoter Pledging").alias("category"), F.lit("risk").alias("direction"), "severity")
-    return rules.warnings(companies).select(columns).unionByName(share).unionByName(catalogue.competitive_threats(spark, d).select(columns)).unionByName(pledged)
+    # the verdict and the other rules read one row of a company
+    pledged = rules.pledge_verdict(metrics(spark, d)).where("severity is not null").join(holdings(spark, d).select("ticker", "sector"), "ticker").select("ticker", "sector", F.lit("Promoter Pledging").alias("category"), F.lit("risk").alias("direction"), "severity")
+    found = rules.warnings(companies).select(columns)
+    for more in (catalogue.share_warnings(spark, d), catalogue.competitive_threats(spark, d), pledged, catalogue.growth_laggard_warnings(spark, d)):
+        found = found.unionByName(more.select(columns))
+    return found
 
 
 def _with_sector(spark: SparkSession, d: str) -> DataFrame:
@@ -292,11 +299,42 @@ f AS (SELECT ticker, CASE WHEN ttm >= 15 THEN 1 WHEN ttm < 0 THEN -2 ELSE 0 END
  - 2 * (CASE WHEN current_ratio < 2 THEN 1 ELSE 0 END + CASE WHEN debt > net_assets THEN 1 ELSE 0 END + CASE WHEN pe > 15 AND NOT price <= g * 1.2 THEN 1 ELSE 0 END + CASE WHEN pe > 30 AND (revenue_last < revenue_before OR coalesce(qoq < 15, false)) THEN 1 ELSE 0 END) AS fundamental_score FROM x WHERE value > 0)"""
 
 
-@query(f"""{_SCORED} SELECT ticker, CAST(fundamental_score AS INT) AS fundamental_score, 1 AS momentum_score, CAST(fundamental_score + 1 AS INT) AS overall_score,
-CASE WHEN fundamental_score + 1 >= 15 THEN 'Strong Buy Candidate' WHEN fundamental_score + 1 >= 10 THEN 'Buy Candidate' WHEN fundamental_score + 1 >= 5 THEN 'Hold / Monitor' ELSE 'Avoid / High Risk' END AS recommendation FROM f""")
+# the kinds of news that name a company, by the headline's number
+_KINDS = ("Agreement", "tie_up", "Launch", "MoU", "PLI")
+_KIND_OF = f"CASE {{}} % 5 {' '.join(f"WHEN {i} THEN '{k}'" for i, k in enumerate(_KINDS))} END"
+_NEWS = f"""{_SIZED}, nk AS (SELECT mt.ticker, hl.id, hl.day, hl.title, {_KIND_OF.format('hl.id')} AS kind, trim(regexp_replace(lower(title), '[^a-z0-9 ]+', '', 'g')) AS k, mv.pct AS pct,
+  hl.id % 12 = 0 OR (hl.id % 12 = 3 AND hl.id % 5 IN (0, 1)) AS sized FROM hl JOIN mt ON hl.id = mt.id JOIN mv ON mv.id = hl.id AND mv.ticker = mt.ticker),
+n1 AS (SELECT * FROM nk QUALIFY row_number() OVER (PARTITION BY ticker, k ORDER BY id) = 1),
+n2 AS (SELECT ticker, id, CASE kind WHEN 'PLI' THEN 5 WHEN 'Agreement' THEN 4 WHEN 'MoU' THEN 4 WHEN 'Launch' THEN 3 ELSE 4 END * CASE WHEN NOT sized OR pct IS NULL THEN 1.0 WHEN pct >= 15 THEN 1.5 WHEN pct >= 5 THEN 1.0 WHEN pct >= 2 THEN 0.5 ELSE 0.25 END AS gain FROM n1 WHERE date_diff('day', day, (SELECT max(day) FROM hl)) <= 120),
+n3 AS (SELECT *, coalesce(sum(gain) OVER (PARTITION BY ticker ORDER BY id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bef FROM n2),
+np AS (SELECT ticker, count(*) AS n_counted, CAST(round_even(CAST(least(sum(gain), 8) AS DOUBLE), 0) AS INT) AS momentum FROM n3 WHERE bef < 8 GROUP BY 1)"""
+
+
+@query(f"{_NEWS} SELECT ticker, n_counted, momentum FROM np")
+def news_points(spark: SparkSession, d: str) -> DataFrame:
+    """Points of the news that name a company: each kind's, by size against revenue, up to the cap."""
+    titles = _headlines(spark, d)
+    told = titles.join(company_matches(spark, d), "id").withColumn("type", F.expr(_KIND_OF.format("id")))
+    weight = attribution.materiality(told.select("id", "ticker", "type", "title"), _revenue(spark, d)).select("id", "ticker", "weight")
+    events = told.join(weight, ["id", "ticker"]).select("ticker", F.col("id").alias("place"), "title", "type", "day", "weight")
+    return rules.news_points(events, _today(titles).scalar())
+
+
+_SCORE = f"""{_SCORED.replace('AS fundamental_score', f"""- CASE liquidity_band WHEN 'illiquid' THEN 2 WHEN 'thin' THEN 1 ELSE 0 END AS fundamental_score, coalesce(momentum, 1) AS momentum_score,
+  CASE WHEN 2 + CASE WHEN revenue_last IS NULL THEN 0 ELSE 1 END + CASE WHEN debt_equity IS NULL THEN 0 ELSE 1 END + CASE WHEN ttm IS NULL THEN 0 ELSE 1 END + CASE WHEN roce IS NULL THEN 0 ELSE 1 END >= 5 THEN 'High' ELSE 'Medium' END AS confidence,
+  CASE WHEN ttm >= 15 THEN 1 ELSE 0 END + CASE WHEN opm_change >= 2 THEN 1 ELSE 0 END + CASE WHEN debt_equity < 0.5 THEN 1 ELSE 0 END + CASE WHEN current_ratio >= 2 THEN 1 ELSE 0 END + CASE WHEN roce >= 20 THEN 1 ELSE 0 END + CASE WHEN roe >= 15 THEN 1 ELSE 0 END + CASE WHEN liquidity_band = 'liquid' THEN 1 ELSE 0 END + CASE WHEN fii_change > 0 THEN 1 ELSE 0 END
+  + CASE WHEN dii_change > 0 THEN 1 ELSE 0 END + CASE WHEN moat >= 2 THEN 1 ELSE 0 END + CASE WHEN price < net_assets / (CASE WHEN price > 0 THEN value / price ELSE 1.0 END) OR (g <> 0 AND price <> 0 AND price < g) THEN 1 ELSE 0 END AS n_reasons""")}"""
+_SCORE = _SCORE.replace("FROM x WHERE value > 0)", f"FROM x LEFT JOIN (SELECT part, liquidity_band FROM ({catalogue.SQL['traded_value']})) tv ON part = x.ticker LEFT JOIN ({_NEWS} SELECT ticker AS named, momentum FROM np) nw ON named = 'T' || CAST(x.ticker AS VARCHAR) WHERE value > 0)")
+
+
+@query(f"""{_SCORE} SELECT ticker, CAST(fundamental_score AS INT) AS fundamental_score, CAST(momentum_score AS INT) AS momentum_score, CAST(fundamental_score + momentum_score AS INT) AS overall_score, confidence, CAST(n_reasons AS INT) AS n_reasons,
+CASE WHEN fundamental_score + momentum_score >= 15 THEN 'Strong Buy Candidate' WHEN fundamental_score + momentum_score >= 10 THEN 'Buy Candidate' WHEN fundamental_score + momentum_score >= 5 THEN 'Hold / Monitor' ELSE 'Avoid / High Risk' END AS recommendation FROM f""")
 def aggregate_score(spark: SparkSession, d: str) -> DataFrame:
-    valued = catalogue._valued(spark, d).where("value > 0")
-    return rules.aggregate_score(valued.withColumn("momentum", F.lit(1)))
+    """Whole-company scores, with the points of news and the liquidity of the shares (a part stands for a share)."""
+    traded = catalogue.traded_value(spark, d).select(F.col("part").alias("ticker"), "liquidity_band", "advt_cr", "days_to_exit_1cr")
+    news = news_points(spark, d).select(F.expr("cast(substring(ticker, 2) as bigint)").alias("ticker"), "momentum")
+    rows = catalogue._valued(spark, d).where("value > 0").join(traded, "ticker", "left").join(news, "ticker", "left")
+    return rules.aggregate_score(rows).select("ticker", "fundamental_score", "momentum_score", "overall_score", "confidence", F.size("reasons").alias("n_reasons"), "recommendation")
 
 
 @query(f"WITH v AS ({catalogue.SQL['traded_value']}) SELECT liquidity_band, count(*) AS n, round(min(advt_cr), 2) AS least, round(max(advt_cr), 2) AS most FROM v GROUP BY 1")
@@ -325,19 +363,22 @@ def recent_outcomes(spark: SparkSession, d: str) -> DataFrame:
     return judged.join(table(spark, d, "orders"), F.col("id") == F.col("o_orderkey")).select("id", "outcome", F.to_date("o_orderdate").alias("date")).orderBy(F.desc("date"), "id").limit(5)
 
 
-@query(f"""WITH {_EVERY}, z AS (SELECT ticker, max(pct_of_revenue) AS pct FROM ({_SIZED} SELECT ticker, round(pct, 2) AS pct_of_revenue FROM mb WHERE sized) GROUP BY 1)
-SELECT aw.ticker, category, severity AS was, CASE WHEN direction = 'opportunity' AND pct >= 5 THEN CASE severity WHEN 'Low' THEN 'Medium' WHEN 'Medium' THEN 'High' WHEN 'High' THEN 'Critical' ELSE severity END ELSE severity END AS severity FROM aw LEFT JOIN z ON 'T' || CAST(aw.ticker AS VARCHAR) = z.ticker WHERE direction = 'opportunity'""")
+@query(f"""{_SIZED}, {_EVENTS}, ec AS (SELECT id, clause AS title FROM ev), {_match_sql('ec', 'ac')}, wn AS (SELECT ac.ticker, ev.direction, ev.id FROM ev JOIN ac ON ev.id = ac.id),
+z AS (SELECT wn.ticker, wn.direction, count(*) AS headlines, max(round(mb.pct, 2)) FILTER (WHERE mb.sized) AS materiality_pct FROM wn JOIN mb ON mb.id = wn.id AND mb.ticker = wn.ticker GROUP BY 1, 2)
+SELECT ticker, direction, headlines, materiality_pct, CASE WHEN direction = 'opportunity' AND materiality_pct >= 5 THEN 'Medium' ELSE 'Low' END AS severity FROM z""")
 def escalated_warnings(spark: SparkSession, d: str) -> DataFrame:
-    """Opportunities, one severity up where a headline names an order that is large against the company's revenue."""
-    largest = order_materiality(spark, d).groupBy("ticker").agg(F.max("pct_of_revenue").alias("materiality_pct"))
-    found = _all_warnings(spark, d).where("direction = 'opportunity'").withColumn("named", F.concat(F.lit("T"), F.col("ticker").cast("string"))).join(largest.withColumnRenamed("ticker", "named"), "named", "left")
-    return rules.escalated(found.withColumn("was", F.col("severity"))).select("ticker", "category", "was", "severity")
+    """Moves of companies, each with its own headlines; an opportunity of which one tells of a large order rises by one severity."""
+    found = attribution.events(_headlines(spark, d))
+    actors = attribution.named(found.select("id", F.col("clause").alias("title")), _companies(spark, d))
+    sources = found.join(actors, "id").groupBy("ticker", "direction").agg(F.collect_list(F.struct(F.col("type").alias("kind"), "title")).alias("sources"))
+    warned = attribution.sized_warnings(sources.withColumn("severity", F.lit("Low")), ["ticker", "direction"], _revenue(spark, d))
+    return rules.escalated(warned).select("ticker", "direction", F.size("sources").cast("long").alias("headlines"), "materiality_pct", "severity")
 
 
-@query(f"""WITH m AS ({METRICS}), p AS (SELECT *, value % 97 AS code FROM m) SELECT a.ticker AS candidate, b.ticker AS holding, a.code FROM (SELECT ticker, CAST(floor(code) AS BIGINT) AS code FROM p WHERE ticker % 2 = 1) a JOIN (SELECT ticker, CAST(floor(code) AS BIGINT) AS code FROM p WHERE ticker % 2 = 0) b ON a.code = b.code AND a.ticker <> b.ticker""")
+@query(f"""WITH m AS ({METRICS}), p AS (SELECT ticker, 'IN' || lpad(CAST(ticker - CASE WHEN ticker % 10 = 7 THEN 1 ELSE 0 END AS VARCHAR), 10, '0') AS code FROM m) SELECT a.ticker AS candidate, b.ticker AS holding, a.code FROM p a JOIN p b ON a.code = b.code AND a.ticker <> b.ticker WHERE a.ticker % 2 = 1 AND b.ticker % 2 = 0""")
 def same_code_holdings(spark: SparkSession, d: str) -> DataFrame:
     """Candidates that are a holding under another ticker: equal codes, unequal tickers."""
-    rows = holdings(spark, d).select("ticker", F.floor(F.expr("value % 97")).cast("long").alias("code"))
+    rows = holdings(spark, d).select("ticker", F.expr("'IN' || lpad(cast(ticker - if(ticker % 10 = 7, 1, 0) as string), 10, '0')").alias("code"))
     return rows.where("ticker % 2 = 1").withColumnRenamed("ticker", "candidate").join(rows.where("ticker % 2 = 0").withColumnRenamed("ticker", "holding"), "code").where("candidate <> holding")
 
 

@@ -12,11 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def table_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as a stream of its files, whether it is one file or a folder of them."""
+    path = f"{folder}/{name}.parquet"
+    schema = spark.read.parquet(path).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{folder}/{name}.parque[t]")
+
+
 def event_stream(spark: SparkSession, folder: str) -> DataFrame:
     """The events table as a stream of files, with ts as an instant in the session's zone."""
-    path = f"{folder}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(path if _is_folder(spark, path) else f"{path[: -len('events.parquet')]}events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+    return table_stream(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _is_folder(spark: SparkSession, path: str) -> bool:
@@ -46,3 +51,8 @@ def drained(frame: DataFrame, checkpoint: str, mode: str = "append") -> DataFram
     # complete mode: each batch replaces the result
     query.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path)).start().awaitTermination()
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def fed(frame: DataFrame, checkpoint: str, batch) -> None:
+    """Runs a stream over what is there, each batch through a function of (rows, number)."""
+    frame.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{checkpoint}/{uuid.uuid4().hex}").foreachBatch(batch).start().awaitTermination()

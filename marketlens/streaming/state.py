@@ -95,8 +95,9 @@ def _scoring(days: int):
         # pending: [id, decided, price then, target then, time and value of the last price that is not after the due time]
         pending, newest = json.loads(state.get[0]) if state.exists else ([], None)
         mark = state.getCurrentWatermarkMs()
-        for batch in () if state.hasTimedOut else batches:
-            for r in batch.sort_values(["ts", "id"], kind="stable").itertuples():
+        if not state.hasTimedOut:
+            # in the order of time; of prices at one time the highest is the last
+            for r in pd.concat(list(batches)).sort_values(["ts", "price"], kind="stable").itertuples():
                 at = millis(r.ts)
                 if pd.isna(r.id):
                     price = None if pd.isna(r.price) else float(r.price)
@@ -109,8 +110,8 @@ def _scoring(days: int):
                     known = newest if newest and newest[0] <= at + wait else [None, None]
                     pending.append([r.id, at, float(r.price), float(r.target), *known])
         # a timer for the earliest is enough, as it is set again until none is left
-        due = [p for p in pending if p[1] + wait <= mark]
-        pending = [p for p in pending if p[1] + wait > mark]
+        due = [p for p in pending if p[1] + wait < mark]
+        pending = [p for p in pending if p[1] + wait >= mark]
         state.update((json.dumps([pending, newest]),))
         if pending:
             state.setTimeoutTimestamp(max(min(p[1] for p in pending) + wait, mark + 1))
