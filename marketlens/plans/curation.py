@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.functions.headlines import EVENTS
-from marketlens.operators import rotation
+from marketlens.operators import briefing, rotation
 from marketlens.plans import catalogue, research
-from marketlens.plans.catalogue import METRICS, query
+from marketlens.plans.catalogue import _RANK, _STATUS, METRICS, query
 from marketlens.plans.research import _CORPUS, _ISSUED, _MATCHED, _TITLE, _companies, _turf
 from marketlens.session import with_checkpoints
 from marketlens.sources import files, publish
@@ -133,3 +133,56 @@ def published_warnings(spark: SparkSession, d: str) -> DataFrame:
     found = catalogue.rule_engine(spark, d)
     files.write_briefing(found, found.where("severity in ('Critical', 'High')"), found.select(F.col("ticker").cast("string").alias("ticker"), "category"), folder)
     return publish.read(spark, folder, "display").select("ticker", "category", "severity")
+
+
+# warnings with tickers as headlines spell them, and every third company as a peer
+_BLOCK_WARNINGS = f"{_STATUS}, wa AS (SELECT 'T' || CAST(ticker AS VARCHAR) AS ticker, sector, category, direction, severity, status, 4 - {_RANK.format('severity')} AS weight FROM st)"
+_BLOCKS = f"""WITH {_BLOCK_WARNINGS}, {_MATCHED.removeprefix('WITH ')}, cm AS (SELECT ticker, n_name AS sector, method FROM (SELECT 'T' || CAST(ticker AS VARCHAR) AS ticker, sector AS n_name, method FROM ({catalogue.SQL['potential_estimate']}))),
+mo AS (SELECT sector, sum(CASE WHEN status IN ('new', 'escalated') THEN weight ELSE 0 END) AS delta, count(*) FILTER (WHERE status = 'new') AS n_new, count(*) FILTER (WHERE status = 'escalated') AS n_escalated FROM wa GROUP BY 1),
+cr AS (SELECT DISTINCT lower(ticker) AS t FROM wa WHERE severity = 'Critical'),
+nk AS (SELECT *, CASE WHEN EXISTS (SELECT 1 FROM cr WHERE contains(lower(title), t)) THEN 0 WHEN regexp_matches(lower(title), 'order|contract') THEN 1 WHEN regexp_matches(lower(title), 'policy|pli|scheme|cabinet|government') THEN 2 WHEN regexp_matches(lower(title), 'tie-up|tie up|partnership|mou|agreement') THEN 3 ELSE 4 END AS rank FROM hl),
+nf AS (SELECT sector, id, rank, row_number() OVER (PARTITION BY sector ORDER BY rank, day, id) AS seat FROM nk QUALIFY seat <= 4),
+nb AS (SELECT sector, string_agg(CAST(id AS VARCHAR) || ' ' || ['linked_to_critical', 'order_win', 'policy', 'tie_up', 'other'][rank + 1], '; ' ORDER BY seat) AS news, count(*) AS n_news FROM nf GROUP BY 1),
+cc AS (SELECT ticker, counted FROM ({catalogue.SQL['coverage_counts']})), tw AS (SELECT sector, ticker, max(weight) AS weight, arg_min(category, (CASE direction WHEN 'risk' THEN 0 ELSE 1 END, 4 - weight, category)) AS signal FROM wa GROUP BY 1, 2),
+ff AS (SELECT cm.sector, cm.ticker, coalesce(weight, 0) AS weight, coalesce(signal, 'No signal this cycle') AS signal, coalesce(counted, 0) AS counted, row_number() OVER (PARTITION BY cm.sector ORDER BY coalesce(weight, 0) DESC, coalesce(counted, 0) DESC, cm.ticker) AS seat FROM cm LEFT JOIN tw ON tw.sector = cm.sector AND tw.ticker = cm.ticker LEFT JOIN cc ON cc.ticker = cm.ticker QUALIFY seat <= 3),
+fb AS (SELECT sector, string_agg(ticker || ' ' || CAST(weight AS VARCHAR) || ' ' || signal || ' ' || CAST(counted AS VARCHAR), '; ' ORDER BY seat) AS focus FROM ff GROUP BY 1),
+th AS (SELECT sector, challenger AS name, 'new entrant' AS detail, 0 AS arm, id AS place FROM ({catalogue.SQL['new_entrants']}) UNION ALL SELECT sector, name, printf('%+.1f%% revenue growth', sales_var), 1, ticker FROM m WHERE ticker % 3 = 0),
+tf2 AS (SELECT *, row_number() OVER (PARTITION BY sector ORDER BY arm, place, name) AS seat FROM th QUALIFY seat <= 2), tb AS (SELECT sector, string_agg(name || ': ' || detail, '; ' ORDER BY seat) AS threats FROM tf2 GROUP BY 1),
+sb AS (SELECT sector, string_agg(ticker, '; ' ORDER BY ticker) AS suppressed FROM cm WHERE method = 'No Estimate' GROUP BY 1),
+bl AS (SELECT sc.sector, coalesce(delta, 0) AS delta, coalesce(n_new, 0) AS n_new, coalesce(n_escalated, 0) AS n_escalated, coalesce(news, '') AS news, coalesce(n_news, 0) AS n_news, coalesce(focus, '') AS focus, coalesce(threats, '') AS threats, coalesce(suppressed, '') AS suppressed
+  FROM (SELECT DISTINCT sector FROM cm) sc LEFT JOIN mo ON mo.sector = sc.sector LEFT JOIN nb ON nb.sector = sc.sector LEFT JOIN fb ON fb.sector = sc.sector LEFT JOIN tb ON tb.sector = sc.sector LEFT JOIN sb ON sb.sector = sc.sector WHERE delta > 0 OR news IS NOT NULL)"""
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    named = F.concat(F.lit("T"), F.col("ticker").cast("string")).alias("ticker")
+    told = catalogue.warning_status_diff(spark, d).select(named, "sector", "category", "direction", "severity", "status")
+    companies = catalogue.potential_estimate(spark, d).select("sector", named, "method")
+    peers = metrics(spark, d).where("ticker % 3 = 0").select("sector", "name", F.col("ticker").cast("string").alias("ticker"), "sales_var", F.col("ticker").alias("place"))
+    return briefing.sector_blocks(told, research._headlines(spark, d), companies, research.coverage_counts(spark, d), research.new_entrants(spark, d), peers)
+
+
+@query(f"""{_BLOCKS} SELECT row_number() OVER (ORDER BY delta DESC, n_news DESC, sector) AS place, sector, CAST(delta AS BIGINT) AS delta, n_new, n_escalated, news, focus, threats, suppressed,
+CASE WHEN n_new + n_escalated > 0 THEN CAST(n_new AS VARCHAR) || ' new, ' || CAST(n_escalated AS VARCHAR) || ' escalated' ELSE 'No change this cycle; carrying news only' END AS stance FROM bl""")
+def sector_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """A block for each sector that moved or has news, with its place, news, focus, threats and what is not estimated."""
+    text = lambda c, x: F.coalesce(F.array_join(F.transform(c, x), "; "), F.lit("")).alias(c)
+    space = lambda *cs: F.concat_ws(" ", *[c.cast("string") for c in cs])
+    # sectors are a dimension of some dozens
+    placed = _blocks(spark, d).withColumn("place", F.expr("row_number() over (order by delta desc, coalesce(size(news), 0) desc, sector)"))
+    return placed.select(
+        "place", "sector", "delta", "n_new", "n_escalated", text("news", lambda x: space(x["id"], x["kind"])), text("focus", lambda x: space(x["ticker"], x["weight"], x["signal"], x["counted"])),
+        text("threats", lambda x: F.concat(x["name"], F.lit(": "), x["detail"])), F.coalesce(F.array_join("suppressed", "; "), F.lit("")).alias("suppressed"), "stance",
+    )
+
+
+@query(f"""WITH {_STATUS}, ch AS (SELECT * FROM st WHERE status IN ('new', 'escalated')), pe AS ({catalogue.SQL['potential_estimate']}), hg AS ({catalogue.SQL['holding_growth']}), tz AS ({catalogue.SQL['thesis_health']}),
+cv AS (SELECT count(*) AS total, count(*) FILTER (WHERE price <> 0) AS priced, count(*) FILTER (WHERE current_ratio IS NOT NULL) AS figures, count(ttm) AS growth, count(*) FILTER (WHERE method = 'No Estimate') AS suppressed FROM m LEFT JOIN pe ON pe.ticker = m.ticker LEFT JOIN hg ON hg.ticker = m.ticker),
+ht AS (SELECT sector, count(*) AS n FROM ch GROUP BY 1 ORDER BY n DESC, sector LIMIT 3)
+SELECT CASE WHEN priced / greatest(total, 1) < 0.6 OR figures / greatest(total, 1) < 0.5 THEN 'degraded' WHEN (SELECT count(*) FROM ch) = 0 THEN 'quiet' ELSE 'normal' END AS day_type, CAST(round_even((priced + figures + growth) / (3 * total) * 100, 0) AS INT) AS completeness,
+(SELECT count(*) FROM ch WHERE severity = 'Critical' AND direction = 'risk') AS critical_total, (SELECT count(*) FROM st WHERE status = 'escalated') AS escalated_total, (SELECT count(*) FROM ch WHERE direction = 'opportunity') AS opportunities_total, (SELECT count(*) FROM st WHERE status = 'new') AS new_total,
+(SELECT count(*) FROM st WHERE status = 'ongoing') AS ongoing_total, (SELECT count(*) FROM (SELECT DISTINCT category, severity FROM st WHERE status = 'ongoing')) AS ongoing_groups, (SELECT count(*) FROM tz WHERE health = 'Broken') AS broken_theses, suppressed, (SELECT string_agg(sector || ' ' || CAST(n AS VARCHAR), '; ' ORDER BY n DESC, sector) FROM ht) AS hot_sectors FROM cv""")
+def daily_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The day in one row."""
+    figures = metrics(spark, d).select("ticker", "price", F.col("current_ratio").isNotNull().alias("has_figures"))
+    companies = figures.join(catalogue.potential_estimate(spark, d).select("ticker", "method"), "ticker", "left").join(catalogue.holding_growth(spark, d).select("ticker", "ttm"), "ticker", "left")
+    return briefing.daily_summary(catalogue.warning_status_diff(spark, d), companies, catalogue.thesis_health(spark, d))
