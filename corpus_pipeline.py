@@ -47,7 +47,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = written(named.join(first, "component_id").where("key <> first.key").select("key"))
     rows = docs.select(F.struct("*").alias("row"), key.alias("key")).join(gone, "key", "left_anti")
     again = written(rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    one = rows.join(again, "key").groupBy("key").agg(F.min("row").alias("row"))
+    # of rows that are alike but for other columns, by their text, as not every type has an order
+    one = rows.join(again, "key").groupBy("key").agg(F.min_by("row", F.to_json("row")).alias("row"))
     return rows.join(again, "key", "left_anti").select("row.*").unionByName(one.select("row.*"))
 
 
