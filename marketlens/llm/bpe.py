@@ -30,6 +30,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from marketlens.llm.words import Words, released, slices
 
@@ -283,8 +284,8 @@ def encoded(docs: DataFrame, name: str, carry: list[str]) -> DataFrame:
         coder.forget()
         released()
 
-    read = docs.select(F.struct(*carry).alias("row"), "text")
-    return read.mapInArrow(run, f"row {read.schema['row'].dataType.simpleString()}, ids array<int>, decoded string")
+    read = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), "text")
+    return read.mapInArrow(run, StructType([read.schema["row"], StructField("ids", ArrayType(IntegerType())), StructField("decoded", StringType())]))
 
 
 def digests(rows: DataFrame) -> DataFrame:

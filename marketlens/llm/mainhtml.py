@@ -27,6 +27,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from marketlens.llm.words import slices
 
@@ -212,5 +213,5 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extracted(pages: DataFrame, carry: list[str]) -> DataFrame:
     """pages (html and the columns of ``carry``) -> row (a struct of these), text."""
-    read = pages.select(F.struct(*carry).alias("row"), "html")
-    return read.mapInArrow(_extracted, f"row {read.schema['row'].dataType.simpleString()}, text string")
+    read = pages.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), "html")
+    return read.mapInArrow(_extracted, StructType([read.schema["row"], StructField("text", StringType())]))

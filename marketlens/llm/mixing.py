@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from marketlens.llm.store import written
 
@@ -116,6 +117,13 @@ def taken(placed: DataFrame, mix: DataFrame) -> DataFrame:
     return none.unionByName(some).groupBy("place", "bucket", "pos").agg(*[F.max(c).alias(c) for c in ("doc_id", "size", "source_size", "target")], F.sum("words").alias("taken")).drop("place", "bucket", "pos")
 
 
+def _row_hash(schema: StructType) -> Column:
+    """A hash of all fields of ``row``; types that have no order or hash, as maps, count by their JSON."""
+    plain = lambda kind: not any(x in kind.simpleString() for x in ("map<", "variant"))
+    fields = [F.col(f"row.`{f.name}`") if plain(f.dataType) else F.to_json(F.struct(F.col(f"row.`{f.name}`").alias("x"))) for f in schema.fields]
+    return F.xxhash64(*fields)
+
+
 def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents, with the columns of docs: a row for each pass over a document, whole or cut at the end of
     its source's target. n_chars follows the text."""
@@ -127,7 +135,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     copy = F.row_number().over(Window.partitionBy("doc_id", "content", "source").orderBy("bucket", "pos"))
     takes = placed.withColumn("copy", copy).join(passes, ["place", "bucket", "pos"]).select(F.col("doc_id").alias("id"), "content", F.col("source").alias("from"), "copy", "size", "takes")
     read = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("hash"), F.col("source").alias("of"))
-    read = read.withColumn("nth", F.row_number().over(Window.partitionBy("doc", "hash", "of").orderBy(F.xxhash64("row"))))
+    read = read.withColumn("nth", F.row_number().over(Window.partitionBy("doc", "hash", "of").orderBy(_row_hash(docs.schema))))
     joined = read.join(takes, (F.col("hash") == F.col("content")) & F.col("doc").eqNullSafe(F.col("id")) & F.col("of").eqNullSafe(F.col("from")) & (F.col("nth") == F.col("copy")))
     pieces = joined.withColumn("take", F.explode("takes"))
     cut = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("take").cast("int")), " ")

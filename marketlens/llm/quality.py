@@ -8,8 +8,8 @@ word length also under the 10 % quantile likewise); the distance counts as one u
 drawn towards those of its language, and these towards the whole table's, with the weight of ``PRIOR`` documents, so
 small groups follow the merged sketches without a switch.
 
-A single event is no rate: before the division ``SLACK`` repeated lines, words or marks are taken off, so that one
-repeated line of a short text, or one repeated run of three words, never rejects it.
+A single event is no rate: before the division the last figure of ``RATES`` is taken off the count, so that one repeated
+line of a short text, or one repeated run of three words, never rejects it.
 
 Nulls: a null text has no words (rejected); null languages and sources are groups of their own. An empty table gives
 an empty result. Repeated rows are judged each by itself, and ties fall in one bin. Texts of any length are read whole.
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from marketlens.llm.store import written
 from marketlens.llm.words import Words, slices, windows
@@ -154,15 +155,16 @@ def quality_rules(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     Returns ``row`` (a struct of the columns named in ``carry``; all of them by default), the counts, the rates,
     ``base_failed`` and ``kept``.
     """
-    read = docs.select(F.struct(*(carry or docs.columns)).alias("row"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("text").alias("_text"))
-    kinds = {f.name: f for f in read.schema.fields}
-    scored = _rates(read.mapInArrow(_counted, ", ".join(f"{c} {kinds[c].dataType.simpleString()}" for c in ("row", "_lang", "_source")) + "".join(f", {c} long" for c in _COUNTS)))
+    carried = F.struct(*[F.col(f"`{c}`") for c in carry]) if carry else F.struct("*")
+    read = docs.select(carried.alias("row"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("text").alias("_text"))
+    counts = [StructField(c, LongType()) for c in _COUNTS]
+    scored = _rates(read.mapInArrow(_counted, StructType([*read.schema.fields[:3], *counts])))
     if carry:
         # small rows, so that texts are read once
         slim = scored = written(scored)
     else:
         slim = docs.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), F.col("text").alias("_text"))
-        slim = _rates(slim.mapInArrow(_counted, "_lang string, _source string" + "".join(f", {c} long" for c in _COUNTS)))
+        slim = _rates(slim.mapInArrow(_counted, StructType([*slim.schema.fields[:2], *counts])))
     # the sketch is small: written once, so that the limits are not worked out anew for each use
     limits = written(thresholds(written(sketches(slim))))
     if limits.count() <= BROADCAST_GROUPS:
