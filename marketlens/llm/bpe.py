@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,11 @@ HELD_PIECES = 1_000_000
 HELD_NODES = 400_000
 #: Answers about pairs of tokens that a worker keeps at most.
 HELD_PAIRS = 400_000
+#: What a worker keeps from one task to the next, some 60 MB: the pieces, words and pairs that it met first, the most
+#: frequent ones among them. The trie goes.
+KEPT_PIECES = 200_000
+KEPT_WORDS = 60_000
+KEPT_PAIRS = 150_000
 END = "</w>"
 _CONTROL = regex.compile(r"[\x00-\x08\x0e-\x1f\x7f]")
 
@@ -88,6 +94,13 @@ class Encoder:
         self.held: dict[str, tuple[int, ...]] = {t: (i,) for t, i in self.special.items()}
         self.pieces = _Pieces()
 
+    def rest(self) -> None:
+        """Ends a task: an idle worker lives on beside later stages, so only a bounded part is kept."""
+        first = lambda table, n: table if len(table) <= n else dict(islice(table.items(), n))
+        self.pairs, self.held = first(self.pairs, KEPT_PAIRS), first(self.held, KEPT_WORDS)
+        self.root, self.nodes = [{}, -1, 0], 0
+        self.pieces.keep_first(KEPT_PIECES)
+
     def _spell(self, i: int, made: dict[int, tuple[int, int]]) -> tuple[int, ...]:
         if i not in self.symbols:
             self.symbols[i] = (*self._spell(made[i][0], made), *self._spell(made[i][1], made)) if i in made else (i,)
@@ -224,6 +237,13 @@ class _Pieces:
         self.ids, self.id_ends = np.zeros(0, np.int32), np.zeros(1, np.int64)
         self.shown, self.shown_ends = np.zeros(0, np.uint8), np.zeros(1, np.int64)
 
+    def keep_first(self, n: int) -> None:
+        if len(self.keys) > n:
+            early = self.at < n
+            self.keys, self.at = self.keys[early], self.at[early]
+            self.ids, self.id_ends = self.ids[: self.id_ends[n]].copy(), self.id_ends[: n + 1].copy()
+            self.shown, self.shown_ends = self.shown[: self.shown_ends[n]].copy(), self.shown_ends[: n + 1].copy()
+
     def places(self, keys: np.ndarray) -> np.ndarray:
         if not len(self.keys):
             return np.full(len(keys), -1)
@@ -280,8 +300,7 @@ def encoded(docs: DataFrame, name: str, carry: list[str]) -> DataFrame:
             for piece in slices(batch, "text"):
                 ids, decoded = coder.encode(piece.column("text"))
                 yield pa.RecordBatch.from_arrays([piece.column("row"), ids, decoded], ["row", "ids", "decoded"])
-        # idle workers live on beside later stages, so the task's memory goes with it
-        coder.forget()
+        coder.rest()
         released()
 
     read = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("row"), "text")

@@ -2,6 +2,7 @@
 
 import datetime
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from marketlens.llm import bpe, mainhtml, quality
@@ -45,3 +46,18 @@ def test_pipeline_any_columns(spark):
     same = docs.where("doc_id >= 2 and text is not null").unionByName(docs)
     kept = [sorted(r["my col"] for r in corpus_pipeline.near_dedup(spark, same.repartition(n), "").collect()) for n in (1, 3)]
     assert kept[0] == kept[1] == ["m0", "m2", "m3", "m4", "m5"]
+
+
+def test_bpe_tables_kept(monkeypatch):
+    """What is kept between tasks gives the same ids, also where only a part is kept."""
+    import public_tokenizers
+
+    texts = pa.array([f"word{i} Other{i * i}. naïve-{i % 7} #{i}" for i in range(400)] + [None, "", "word1 word2"])
+    coder = bpe.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    want = [x.to_pylist() for x in coder.encode(texts)]
+    for name, kept in (("KEPT_PIECES", 100), ("KEPT_WORDS", 50), ("KEPT_PAIRS", 20)):
+        monkeypatch.setattr(bpe, name, kept)
+    for k in (0, 200):
+        coder.rest()
+        assert len(coder.pieces.keys) <= 100 and len(coder.held) <= 50 and len(coder.pairs) <= 20
+        assert [x.to_pylist() for x in coder.encode(texts[k:])] == [x[k:] for x in want]
