@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from marketlens.session import with_checkpoints
+
 # fixed values: how many may join in a run, how many a sector holds, and the growth that is asked for
 CAP = 3
 ROOM = 5
@@ -112,6 +114,9 @@ def curated(candidates: DataFrame, holdings: DataFrame, cap: int = CAP, room: in
     rotated_in or null.
     """
     fits = (F.col("n") < room) | (F.col("growth") > F.col("least"))
+    # read by every round, so worked out once
+    with_checkpoints(candidates.sparkSession)
+    candidates = candidates.checkpoint()
     joined: list[Row] = []
     while len(joined) < cap:
         able = candidates.where(F.col("eligible") & F.col("twin").isNull() & ~_held(joined))
