@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from marketlens.functions.coerce import to_number
 
 
-def plain(html: Column) -> Column:
-    """Text of a fragment: tags go, the common character references are read, white space is one space."""
-    text = F.regexp_replace(html, "<[^>]*>", " ")
+def decoded(text: Column) -> Column:
+    """The common character references as the characters they stand for."""
     for name, letter in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
         text = F.replace(text, F.lit(name), F.lit(letter))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    return text
+
+
+def plain(html: Column) -> Column:
+    """Text of a fragment: tags go, the common character references are read, white space is one space."""
+    return F.trim(F.regexp_replace(decoded(F.regexp_replace(html, "<[^>]*>", " ")), r"\s+", " "))
 
 
 def section(html: Column, name: str) -> Column:
