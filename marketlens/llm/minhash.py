@@ -1,11 +1,11 @@
 """Near-duplicate documents by an inverted join over MinHash coordinates.
 
 Every document is a set of 5-word shingles, with a signature of ``COORDINATES`` minima. Documents are posted under
-(coordinate, value) for the first ``PREFIX`` coordinates only; the other lists are skipped. A pair that met in a prefix
-list has its collisions counted over both whole signatures, and stays at ``MATCHES``. A pair with a Jaccard similarity
-of 0.85 meets in no prefix list with a chance of 0.15**12 = 1e-10, and falls short of MATCHES with about 5e-7; both
-shrink fast above 0.85. (With 27 lists the first chance would be nought, but those took 7 times the input on disk, and
-the second one stays.) Pairs that stay are confirmed on their full shingle sets.
+(coordinate, value) for the first ``PREFIX`` coordinates; the other lists are skipped. The prefix loses nothing: a pair
+that agrees in ``MATCHES`` coordinates differs in ``COORDINATES - MATCHES`` at most, so it agrees in one of the first
+``COORDINATES - MATCHES + 1``. A pair that met in a list has its collisions counted over both whole signatures, and stays
+at ``MATCHES``, which a pair with a Jaccard similarity of 0.85 misses with a chance of about 5e-7; above 0.85 that
+shrinks fast. Pairs that stay are confirmed on their full shingle sets.
 
 Groups of copies do not make all pairs:
 
@@ -39,7 +39,7 @@ WIDTH = 5
 PERCENT = 85
 COORDINATES = 64
 MATCHES = 38
-PREFIX = 12
+PREFIX = COORDINATES - MATCHES + 1
 SMALL_LIST = 40
 #: Rows and bytes of text of a block of a long list.
 BLOCK = 1024
