@@ -113,15 +113,15 @@ def company_figures(pages: DataFrame) -> DataFrame:
     spent = F.coalesce(_back(s["research"], 1), _back(s["research_2"], 1))
     rate = reduce(lambda c, r: c.when(F.col("sector") == r[0], r[1]), RESEARCH[1:], F.when(F.col("sector") == RESEARCH[0][0], RESEARCH[0][1])).otherwise(RESEARCH_ELSE)
     some = lambda n, most: F.when(F.size(s[n]) > 0, _newest(s[n], most))
-    step = lambda n, digits: F.round(_back(s[n], 1) - _back(s[n], 2), digits)
+    step = lambda n, digits: F.bround(_back(s[n], 1) - _back(s[n], 2), digits)
     sum_of = lambda values: F.aggregate(values, F.lit(0.0), lambda a, b: a + b)
     return read.select(
         "ticker", "sector", *[ratio(kind).alias(kind) for _, kind in RATIOS],
-        _back(s["sales"], 1).alias("q_sales"), F.when(F.size(s["sales"]) > 1, F.coalesce(F.round(change(_back(s["sales"], 2), _back(s["sales"], 1)), 2), F.lit(0.0))).alias("qoq_sales_growth"), some("sales", 8).alias("sales_trend"),
+        _back(s["sales"], 1).alias("q_sales"), F.when(F.size(s["sales"]) > 1, F.coalesce(F.bround(change(_back(s["sales"], 2), _back(s["sales"], 1)), 2), F.lit(0.0))).alias("qoq_sales_growth"), some("sales", 8).alias("sales_trend"),
         _back(s["opm"], 1).alias("q_opm"), step("opm", 1).alias("opm_expansion"), some("opm", 4).alias("opm_trend"),
-        _back(s["eps"], 1).alias("q_eps"), some("eps", 8).alias("eps_trend"), F.when(F.size(s["eps"]) > 3, F.round(sum_of(_newest(s["eps"], 4)), 2)).alias("ttm_eps"), _back(s["profit"], 1).alias("q_net_profit"),
+        _back(s["eps"], 1).alias("q_eps"), some("eps", 8).alias("eps_trend"), F.when(F.size(s["eps"]) > 3, F.bround(sum_of(_newest(s["eps"], 4)), 2)).alias("ttm_eps"), _back(s["profit"], 1).alias("q_net_profit"),
         some("year_opm", 5).alias("year_opm_trend"), some("year_sales", 6).alias("annual_sales_trend"), some("debt", 5).alias("debt_trend"), some("cash", 5).alias("cash_flow_trend"),
-        F.coalesce(F.abs(_back(s["assets"], 1)), F.round(F.coalesce(_back(s["sales"], 1), F.lit(0.0)) * 4 * CAPEX_SHARE, 1)).alias("capex"),
+        F.coalesce(F.abs(_back(s["assets"], 1)), F.bround(F.coalesce(_back(s["sales"], 1), F.lit(0.0)) * 4 * CAPEX_SHARE, 1)).alias("capex"),
         spent.alias("rd_expenditure"), F.when(spent.isNull(), rate).alias("rd_pct"), some("roces", 5).alias("roce_trend"),
         *[c for n in ("promoter", "fii", "dii") for c in (_back(s[n], 1).alias(f"{n}_pct"), step(n, 2).alias(f"{n}_change"))],
         _back(s["pledged"], 1).alias("pledged_pct"), step("pledged", 2).alias("pledged_change"), F.when(F.size(s["pledged"]) > 1, _newest(s["pledged"], 4)).alias("pledged_trend"),

@@ -36,9 +36,9 @@ def _company_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH m AS ({METRICS}), q AS ({QUARTERS}), l AS (SELECT ticker, list(sales ORDER BY period) AS l FROM q WHERE ticker % 10 <> 4 GROUP BY 1)
-SELECT m.ticker, value AS market_cap, pe AS pe_ratio, roce, roe, CASE WHEN m.ticker % 6 <> 0 THEN debt_equity END AS debt_to_equity, l[-1] AS q_sales, CASE WHEN len(l) > 1 THEN CASE WHEN l[-2] = 0 THEN 0 ELSE round((l[-1] - l[-2]) / abs(l[-2]) * 100, 2) END END AS qoq_sales_growth,
-  l[greatest(1, len(l) - 7)] AS trend_first, CASE WHEN l IS NOT NULL THEN least(8, len(l)) END AS trend_n, margin_3 AS q_opm, margin_3 - margin_2 AS opm_expansion, CASE WHEN current_ratio IS NULL THEN eps + q_eps + eps + q_opm ELSE q_eps + eps + q_opm + current_ratio END AS ttm_eps,
-  CASE WHEN m.ticker % 3 = 1 THEN debt ELSE round(coalesce(l[-1], 0) * 4 * 0.05, 1) END AS capex, CASE WHEN m.ticker % 8 = 2 THEN 3.0 ELSE 1.5 END AS rd_pct, share AS promoter_pct, round(share - 50.5, 2) AS promoter_change, pledged AS pledged_pct, round(pledged - 1.25, 2) AS pledged_change
+SELECT m.ticker, value AS market_cap, pe AS pe_ratio, roce, roe, CASE WHEN m.ticker % 6 <> 0 THEN debt_equity END AS debt_to_equity, l[-1] AS q_sales, CASE WHEN len(l) > 1 THEN CASE WHEN l[-2] = 0 THEN 0 ELSE round_even((l[-1] - l[-2]) / abs(l[-2]) * 100, 2) END END AS qoq_sales_growth,
+  l[greatest(1, len(l) - 7)] AS trend_first, CASE WHEN l IS NOT NULL THEN least(8, len(l)) END AS trend_n, margin_3 AS q_opm, margin_3 - margin_2 AS opm_expansion, round_even(CASE WHEN current_ratio IS NULL THEN eps + q_eps + eps + q_opm ELSE q_eps + eps + q_opm + current_ratio END, 2) AS ttm_eps,
+  CASE WHEN m.ticker % 3 = 1 THEN debt ELSE round_even(coalesce(l[-1], 0) * 4 * 0.05, 1) END AS capex, CASE WHEN m.ticker % 8 = 2 THEN 3.0 ELSE 1.5 END AS rd_pct, share AS promoter_pct, round_even(share - 50.5, 2) AS promoter_change, pledged AS pledged_pct, round_even(pledged - 1.25, 2) AS pledged_change
 FROM m LEFT JOIN l ON m.ticker = l.ticker""")
 def company_page_figures(spark: SparkSession, d: str) -> DataFrame:
     """Ratios, newest figures, changes and trends out of every company's page."""

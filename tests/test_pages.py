@@ -33,6 +33,11 @@ def test_company_figures(spark):
     assert (got["C", None]["capex"], got["C", None]["rd_expenditure"]) == (7.0, 9.0)
 
 
+def test_ties_round_to_even(spark):
+    page = '<section id="quarters"><table><tr><td>EPS</td>' + "".join(f"<td>{x}</td>" for x in (8, 8, 8, 8.125)) + "</tr></table></section>"
+    assert P.company_figures(spark.createDataFrame([("a", None, page)], "ticker string, sector string, html string")).first()["ttm_eps"] == 32.12
+
+
 def test_growth_from_nothing(spark):
     page = lambda *v: '<section id="quarters"><table><tr><td>Sales</td>' + "".join(f"<td>{x}</td>" for x in v) + "</tr></table></section>"
     frame = spark.createDataFrame([("a", None, page(0, 5)), ("b", None, page(5)), ("c", None, page(-50, -100))], "ticker string, sector string, html string")
