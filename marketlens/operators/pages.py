@@ -136,14 +136,15 @@ def approvals(pages: DataFrame) -> DataFrame:
     repeat an id share their names. Sector and scheme are read from the title and the first ``HEAD`` characters.
     """
     html, title = F.coalesce("html", F.lit("")), F.lower(F.coalesce("title", F.lit("")))
-    text = visible(html)
     cells = F.flatten(F.transform(elements(html, "table"), lambda t: F.filter(F.transform(elements(t, "tr", "table"), lambda r: joined(F.get(elements(r, "t[dh]"), F.lit(0)))), lambda c: ~F.lower(c).isin(*HEADINGS))))
     items = F.flatten(F.transform(elements(html, "ul"), lambda u: F.transform(elements(u, "li", "ul"), joined)))
     told = F.filter(F.concat(cells, items), lambda c: F.char_length(c).between(4, 99) & ~c.contains("\n"))
-    cut = pages.select("page_id", "day", title.alias("title"), F.substring(text, 1, HEAD).alias("head"), F.concat(told, firms(text)).alias("names"))
-    holds = lambda what: F.col("title").contains(what) | F.lower("head").contains(what)
+    read = pages.select("page_id", "day", "html", title.alias("title"), visible(html).alias("text"))
+    cut = read.select("page_id", "day", "title", F.lower(F.substring("text", 1, HEAD)).alias("head"), F.concat(told, firms(F.col("text"))).alias("names"))
+    holds = lambda what: F.col("title").contains(what) | F.col("head").contains(what)
+    # the outer form, as an inner one has the names' length asked first, for which each page would be read again; pages without names go below
     sector = reduce(lambda c, x: c.when(holds(x), x.title()), APPROVED_SECTORS[1:], F.when(holds(APPROVED_SECTORS[0]), APPROVED_SECTORS[0].title())).otherwise("Manufacturing")
-    rows = cut.select("page_id", "day", sector.alias("sector"), F.when(holds("2.0"), "PLI 2.0").otherwise("PLI Scheme").alias("scheme"), F.posexplode("names").alias("place", "name"))
+    rows = cut.select("page_id", "day", sector.alias("sector"), F.when(holds("2.0"), "PLI 2.0").otherwise("PLI Scheme").alias("scheme"), F.posexplode_outer("names").alias("place", "name"))
     clean = F.regexp_replace(F.regexp_replace("name", r"(?U)^\d+[.)]\s*", ""), r"(?U)^\s+|\s+$", "")
     rows = rows.withColumn("name", clean).where(F.char_length("name").between(4, 79))
     return rows.groupBy("page_id", F.lower("name").alias("_same")).agg(F.min(F.struct("place", "name", "sector", "scheme", "day")).alias("r")).select("page_id", "r.*")
