@@ -64,3 +64,62 @@ def clauses(text: Column) -> Column:
     """Parts of a headline between dashes, bars and semicolons; empty parts go. Without a part, the headline itself."""
     parts = F.filter(F.transform(F.split(text, r"\s*[;–—]\s*|\s+-\s+|\s*\|\s*"), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(parts) > 0, parts).when(text != "", F.array(text)).when(text == "", F.array().cast("array<string>"))
+
+
+# fixed values: stamps of the two exchanges' filings, in the order in which they are tried, and the form in which they are shown
+NSE_STAMPS = ("d-MMM-yyyy H:m:s", "d-MMM-yyyy", "yyyy-M-d H:m:s", "yyyy-M-d")
+BSE_STAMPS = ("yyyy-M-d H:m:s", "yyyy-M-d", "d MMM yyyy H:m:s", "d MMM yyyy", "d-MMM-yyyy H:m:s", "d/M/yyyy")
+SHOWN = "dd MMM yyyy"
+EXACT_BELOW = 1e12
+
+
+def _shown(raw: Column, text: Column, stamps: tuple[str, ...]) -> Column:
+    day = F.coalesce(*[F.try_to_date(F.regexp_replace(text, r"\s+", " "), s) for s in stamps])
+    return F.coalesce(F.date_format(day, SHOWN), raw, F.lit(""))
+
+
+def nse_stamp(text: Column) -> Column:
+    """The day of a stamp as `05 Mar 2026`; a stamp of no known form as it stands, null as empty."""
+    return _shown(text, text, NSE_STAMPS)
+
+
+def bse_stamp(text: Column) -> Column:
+    """As nse_stamp, after T stands for a space, fractions of seconds and Z go."""
+    cut = F.trim(F.replace(F.substring_index(F.replace(text, F.lit("T"), F.lit(" ")), ".", 1), F.lit("Z"), F.lit("")))
+    return _shown(text, cut, BSE_STAMPS)
+
+
+def fixed(x: Column, digits: int) -> Column:
+    """A number with one or two digits after the point, rounded by its exact binary value, true ties to even.
+
+    2.675 is a little under its tie and gives 2.67; 0.125 is one and gives 0.12. A negative number keeps its sign when all
+    digits are zero. Of x * 2 * 10^digits the part that a double cannot hold is worked out as well, so that what lies beside
+    a tie is told from one. From a million millions on the shortest decimal form is rounded; what isn't finite gives null.
+    """
+    if digits not in (1, 2):
+        raise ValueError("one or two digits")
+    scale = 10**digits
+    size, twice = F.abs(x.cast("double")), F.lit(2.0 * scale)
+    spread = size * F.lit(134217729.0)
+    high = spread - (spread - size)  # the upper half of the digits, so that both products below are exact
+    product = size * twice
+    rest = (high * twice - product) + (size - high) * twice
+    whole = F.floor(product)
+    sharp = product == whole.cast("double")
+    under = F.when(sharp & (rest < 0), whole - 1).otherwise(whole)
+    half = F.floor(under / 2)
+    even = F.when(sharp & (rest == 0), half + half % 2).otherwise(half + 1)
+    parts = F.when(under % 2 == 0, half).otherwise(even)
+    text = F.concat(F.floor(parts / scale).cast("string"), F.lit("."), F.lpad((parts % scale).cast("string"), digits, "0"))
+    sign = F.when(x.cast("double").cast("string").startswith("-"), "-").otherwise("")
+    near = F.when(size < EXACT_BELOW, F.concat(sign, text)).otherwise(F.format_string(f"%.{digits}f", x.cast("double")))
+    return F.when(~F.isnan(x.cast("double")) & (size < float("inf")), near)
+
+
+def wire_money(x: Column) -> Column:
+    return fixed(x, 2)
+
+
+def wire_percent(x: Column) -> Column:
+    """With a sign before what is more than zero."""
+    return F.concat(F.when(x > 0, "+").otherwise(""), fixed(x, 1), F.lit("%"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marketlens.functions import coerce
 from marketlens.operators import display
 from marketlens.plans import catalogue, curation, news, research
 from marketlens.plans.catalogue import METRICS, query
@@ -61,3 +62,28 @@ def whats_new(spark: SparkSession, d: str) -> DataFrame:
     entrants = research.new_entrants(spark, d).join(first, "sector").select(F.col("id").alias("place"), "sector", "challenger", F.transform("l", lambda x: x["ticker"]).alias("incumbents"))
     warned = catalogue.rule_engine(spark, d).select(named, "category", "severity", F.lit(None).cast("string").alias("signal"))
     return display.whats_new(revisions, theses, ledger, curation.rotation_decisions(spark, d).withColumnRenamed("pos", "place"), entrants, warned).select("group", "place", "text")
+
+
+# figures at, above and below a tie, as thousandths, eighths and quotients
+_FIGURES = "CASE o_orderkey % 4 WHEN 0 THEN CAST(o_orderkey % 100000 AS DOUBLE) / CAST(1000 AS DOUBLE) WHEN 1 THEN CAST(o_orderkey % 5000 AS DOUBLE) / CAST(8 AS DOUBLE) - CAST(250 AS DOUBLE) WHEN 2 THEN o_totalprice / CAST(o_orderkey % 9 + 1 AS DOUBLE) ELSE CAST(20 AS DOUBLE) - o_totalprice / CAST(1000 AS DOUBLE) END"
+
+
+@query(f"SELECT o_orderkey AS id, printf('%.2f', x) AS money, CASE WHEN x > 0 THEN '+' ELSE '' END || printf('%.1f', x) || '%' AS percent FROM (SELECT o_orderkey, {_FIGURES} AS x FROM orders)")
+def wire_values(spark: SparkSession, d: str) -> DataFrame:
+    """Figures as they are shown: money with two digits, percentages with one and a sign."""
+    x = F.expr(_FIGURES)
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), coerce.wire_money(x).alias("money"), coerce.wire_percent(x).alias("percent"))
+
+
+_STAMPS = ("dd-MMM-yyyy '17:30:00'", "dd-MMM-yyyy", "yyyy-MM-dd '09:05:01'", "yyyy-MM-dd", "yyyy-MM-dd'T15:41:54.000Z'", "dd MMM yyyy '15:41:54'", "dd MMM yyyy", "dd/MM/yyyy", "yyyyMMdd", "dd-MM-yyyy")
+_READ_NSE, _READ_BSE = (0, 1, 2, 3), (0, 2, 3, 4, 5, 6, 7)
+_SPELLED = ("'%d-%b-%Y 17:30:00'", "'%d-%b-%Y'", "'%Y-%m-%d 09:05:01'", "'%Y-%m-%d'", "'%Y-%m-%dT15:41:54.000Z'", "'%d %b %Y 15:41:54'", "'%d %b %Y'", "'%d/%m/%Y'", "'%Y%m%d'", "'%d-%m-%Y'")
+
+
+@query(f"""WITH s AS (SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day, o_orderkey % 11 AS shape, CASE o_orderkey % 11 {' '.join(f'WHEN {i} THEN strftime(CAST(o_orderdate AS DATE), {f})' for i, f in enumerate(_SPELLED))} END AS raw FROM orders)
+SELECT id, CASE WHEN shape IN {_READ_NSE} THEN strftime(day, '%d %b %Y') ELSE coalesce(raw, '') END AS nse, CASE WHEN shape IN {_READ_BSE} THEN strftime(day, '%d %b %Y') ELSE coalesce(raw, '') END AS bse FROM s""")
+def filing_stamps(spark: SparkSession, d: str) -> DataFrame:
+    """Stamps of ten forms and none, as each exchange's reader shows them."""
+    day = F.col("o_orderdate").cast("date")
+    raw = F.coalesce(*[F.when(F.col("o_orderkey") % 11 == i, F.date_format(day, f)) for i, f in enumerate(_STAMPS)])
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), coerce.nse_stamp(raw).alias("nse"), coerce.bse_stamp(raw).alias("bse"))

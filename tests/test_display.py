@@ -5,6 +5,7 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from marketlens.functions import coerce
 from marketlens.operators import display
 
 DAY = datetime.date(2026, 8, 20)
@@ -80,3 +81,32 @@ def test_whats_new_without_a_ledger_tells_of_candidates_that_joined(spark):
 
 def test_a_quiet_run_has_no_news(spark):
     assert _new(spark) == []
+
+
+def test_fixed_rounds_like_exact_binary_values(spark):
+    import random
+    from decimal import ROUND_HALF_EVEN, Decimal
+
+    dice = random.Random(5)
+    xs = [0.0, -0.0, 2.675, 1.005, 0.125, 0.375, -0.125, 0.005, 0.015, -0.001, -0.004, 0.05, 0.15, 0.25, 0.35, 0.45, 999.995, 1e-300, 5e-324, 9.995, 99.95, 1e11 + 0.125, 999999999999.985]
+    xs += [dice.randrange(10**7) / 1000 for _ in range(3000)] + [dice.randrange(-(10**5), 10**5) / 8 for _ in range(1000)] + [dice.uniform(-1e6, 1e6) for _ in range(1000)] + [dice.uniform(0, 1e12) for _ in range(1000)]
+    got = spark.createDataFrame([(x,) for x in xs], "x double").select("x", coerce.fixed(F.col("x"), 2).alias("two"), coerce.fixed(F.col("x"), 1).alias("one")).collect()
+    for r in got:
+        assert (r.two, r.one) == (f"{r.x:.2f}", f"{r.x:.1f}"), r.x
+        assert Decimal(r.two) == Decimal(r.x).quantize(Decimal("0.01"), ROUND_HALF_EVEN)
+    odd = spark.createDataFrame([(None,), (float("nan"),), (float("inf"),), (float("-inf"),)], "x double").select(coerce.fixed(F.col("x"), 2).alias("y"), coerce.wire_percent(F.col("x")).alias("z")).collect()
+    assert {(r.y, r.z) for r in odd} == {(None, None)}
+    assert spark.createDataFrame([(0.0,), (0.01,), (-3.25,)], "x double").select(coerce.wire_percent(F.col("x")).alias("y")).collect() == [("0.0%",), ("+0.0%",), ("-3.2%",)]
+
+
+# fixed values: stamps and how they are shown
+STAMPS = [
+    ("14-Aug-2026 17:30:00", "14 Aug 2026", "14 Aug 2026"), ("14-Aug-2026", "14 Aug 2026", "14-Aug-2026"), ("2026-08-14 17:30:00", "14 Aug 2026", "14 Aug 2026"), ("2026-08-14", "14 Aug 2026", "14 Aug 2026"),
+    ("2026-08-14T15:41:54.000Z", "2026-08-14T15:41:54.000Z", "14 Aug 2026"), ("14 Aug 2026 15:41:54", "14 Aug 2026 15:41:54", "14 Aug 2026"), ("14/08/2026", "14/08/2026", "14 Aug 2026"), ("4-aug-2026", "04 Aug 2026", "4-aug-2026"),
+    ("31-Feb-2026", "31-Feb-2026", "31-Feb-2026"), ("soon", "soon", "soon"), ("", "", ""), (None, "", ""),
+]
+
+
+def test_stamps(spark):
+    got = spark.createDataFrame([(t,) for t, _, _ in STAMPS], "t string").select("t", coerce.nse_stamp(F.col("t")).alias("nse"), coerce.bse_stamp(F.col("t")).alias("bse")).collect()
+    assert [tuple(r) for r in got] == STAMPS
