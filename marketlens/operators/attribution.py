@@ -4,6 +4,9 @@ Headlines meet names through a phrase index: a headline is cut into runs of word
 run is looked up as a whole by one equi-join. Terms that may stand anywhere in the text, within words too, are looked up
 by their first three letters, and the whole term is compared at once. Names and terms are dimensions, headlines may be
 many; nothing is compared pair by pair, and a word that many names begin with brings none of them.
+
+The optimiser takes a headline's runs for as few bytes as the headline, and an index made by joins for the product of
+their sides, so it would broadcast the runs. Hints forbid that; vocabularies of sectors are broadcast.
 """
 
 from __future__ import annotations
@@ -54,7 +57,7 @@ def named(titles: DataFrame, companies: DataFrame) -> DataFrame:
     run = lambda at, n: F.struct(F.concat_ws(" ", F.slice("clean", at, n)).alias("run"), n.alias("n"), F.when(n == 1, F.element_at("beside", at)).alias("after"))
     runs = read.select("id", F.explode(_runs(F.col("clean"), F.size("clean"), F.col("lengths"), run)).alias("r")).select("id", "r.*")
     fine = F.col("after").isNull() | F.array_contains("own", F.col("after"))
-    return runs.join(index, ["run", "n"]).where(fine).select("id", "ticker").distinct()
+    return runs.hint("merge").join(index, ["run", "n"]).where(fine).select("id", "ticker").distinct()
 
 
 def containing(titles: DataFrame, terms: DataFrame) -> DataFrame:
@@ -65,7 +68,7 @@ def containing(titles: DataFrame, terms: DataFrame) -> DataFrame:
     index = terms.withColumn("term", F.lower("term")).where("term <> ''").withColumn("gram", F.substring("term", 1, 3)).withColumn("n", F.char_length("gram"))
     read = titles.select("id", F.lower("title").alias("low")).withColumn("lengths", index.agg(F.collect_set("n")).scalar())
     grams = _runs(F.col("low"), F.char_length("low"), F.col("lengths"), lambda at, n: F.substring(F.col("low"), at, n))
-    met = read.select("id", "low", F.explode(F.array_distinct(grams)).alias("gram")).join(index, "gram")
+    met = read.select("id", "low", F.explode(F.array_distinct(grams)).alias("gram")).hint("merge").join(index, "gram")
     return met.where(F.col("low").contains(F.col("term"))).drop("low", "gram", "n", "term").distinct()
 
 
@@ -85,7 +88,7 @@ def events(titles: DataFrame) -> DataFrame:
 
 def domains(titles: DataFrame, terms: DataFrame) -> DataFrame:
     """titles (id, title), terms (sector, term) -> (id, domains): the sectors whose vocabulary a title touches, in order."""
-    return containing(titles, terms).groupBy("id").agg(F.array_sort(F.collect_set("sector")).alias("domains"))
+    return containing(titles, F.broadcast(terms)).groupBy("id").agg(F.array_sort(F.collect_set("sector")).alias("domains"))
 
 
 def market_events(titles: DataFrame, terms: DataFrame, companies: DataFrame) -> DataFrame:
@@ -193,7 +196,7 @@ def sector_stress(found: DataFrame, inputs: DataFrame, today: Column, days: int
     found: market_events(); inputs: (src, dst). A reported event is no event yet. Each event counts once a sector.
     """
     recent = found.where((F.col("direction") == "risk") & (F.col("certainty") != "reported") & (F.col("day") >= F.date_sub(today, days)))
-    through = containing(recent, inputs.select(F.col("src").alias("term"), F.col("dst").alias("sector")))
+    through = containing(recent, F.broadcast(inputs.select(F.col("src").alias("term"), F.col("dst").alias("sector"))))
     touched = recent.select("id", F.explode("domains").alias("sector")).unionByName(through).distinct()
     return touched.groupBy("sector").agg(F.count("*").alias("n")).withColumn("warns", F.col("n") >= least)
 
@@ -210,7 +213,7 @@ def new_entrants(titles: DataFrame, turf: DataFrame, companies: DataFrame, peers
     """
     moves = titles.where(F.lower("title").rlike(H.any_of(H.ENTRY_MOVES)))
     held = companies.select("sector").distinct()
-    on = moves.join(containing(moves, turf.join(held, "sector").select("sector", "term")), "id").select("id", "title", "sector")
+    on = moves.hint("merge").join(containing(moves, F.broadcast(turf.join(held, "sector").select("sector", "term"))), "id").select("id", "title", "sector")
     inside = named(moves, companies).join(companies.select("ticker", "sector"), "ticker").select("id", "sector").distinct()
     on = on.join(inside, ["id", "sector"], "left_anti")
     known = named(moves, peers).join(peers, "ticker").groupBy("id").agg(F.min_by("name", "place").alias("peer"))
