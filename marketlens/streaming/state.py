@@ -6,6 +6,7 @@ import json
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,7 +90,6 @@ def _judged(price_at: float, target: float, price: float | None) -> tuple[float
 
 def _scoring(days: int):
     wait = days * 86_400_000
-    millis = lambda t: int(pd.Timestamp(t).timestamp() * 1000)
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         # pending: [id, decided, price then, target then, time and value of the last price that is not after the due time]
@@ -97,18 +97,22 @@ def _scoring(days: int):
         mark = state.getCurrentWatermarkMs()
         if not state.hasTimedOut:
             # in the order of time; of prices at one time the highest is the last
-            for r in pd.concat(list(batches)).sort_values(["ts", "price"], kind="stable").itertuples():
-                at = millis(r.ts)
-                if pd.isna(r.id):
-                    price = None if pd.isna(r.price) else float(r.price)
-                    for p in pending:
-                        if at <= p[1] + wait and (p[4] is None or at >= p[4]):
-                            p[4], p[5] = at, price
-                    if newest is None or at >= newest[0]:
-                        newest = [at, price]
-                elif not any(p[0] == r.id for p in pending):
-                    known = newest if newest and newest[0] <= at + wait else [None, None]
-                    pending.append([r.id, at, float(r.price), float(r.target), *known])
+            rows = pd.concat(list(batches)).sort_values(["ts", "price"], kind="stable")
+            at, told = rows["ts"].astype("datetime64[ms]").to_numpy("int64"), rows["id"].isna().to_numpy()
+            times, prices = at[told], rows["price"].to_numpy("float64")[told]
+            held = {p[0] for p in pending}
+            for t, i, price, target in zip(at.tolist(), rows["id"], rows["price"].tolist(), rows["target"].tolist(), strict=True):
+                if pd.isna(i):
+                    if newest is None or t >= newest[0]:
+                        newest = [t, None if pd.isna(price) else price]
+                elif i not in held:
+                    held.add(i)
+                    pending.append([i, t, price, target, *(newest if newest and newest[0] <= t + wait else [None, None])])
+            # of the prices up to a due time only the last counts, so each decision looks one up
+            last = np.searchsorted(times, np.array([p[1] + wait for p in pending], "int64"), "right") - 1
+            for p, k in zip(pending, last.tolist(), strict=True):
+                if k >= 0 and (p[4] is None or times[k] >= p[4]):
+                    p[4], p[5] = int(times[k]), None if np.isnan(prices[k]) else float(prices[k])
         # a timer for the earliest is enough, as it is set again until none is left
         due = [p for p in pending if p[1] + wait < mark]
         pending = [p for p in pending if p[1] + wait >= mark]

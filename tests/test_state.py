@@ -34,3 +34,22 @@ def test_insert_only(spark, tmp_path):
     assert state.insert_only(made([("A", "1"), ("B", "2"), ("A", "1"), (None, "9")]), folder, "symbol") == 2
     assert state.insert_only(made([("A", "5"), ("C", "3")]), folder, "symbol") == 1
     assert sorted(map(tuple, spark.read.parquet(folder).collect())) == [("A", "1"), ("B", "2"), ("C", "3")]
+
+
+def test_scoring_grows_with_the_rows():
+    """Decisions and prices of one ticker in one step: no decision is compared with every price."""
+    import time
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    n, kept = 20_000, []
+    start = pd.Timestamp("2026-01-01")
+    asked = pd.DataFrame({"ts": [start + pd.Timedelta(minutes=i) for i in range(n)], "id": [str(i) for i in range(n)], "price": 1.0, "target": 2.0})
+    told = pd.DataFrame({"ts": [start + pd.Timedelta(days=20, minutes=2 * i) for i in range(n)], "id": None, "price": [float(i) for i in range(n)], "target": float("nan")})
+    held = SimpleNamespace(exists=False, hasTimedOut=False, getCurrentWatermarkMs=lambda: int(start.timestamp() * 1000) + 90 * 86_400_000, update=kept.append, setTimeoutTimestamp=lambda t: None)
+    began = time.process_time()
+    (rows,) = state._scoring(45)(("A",), iter([asked, told]), held)
+    assert time.process_time() - began < 15
+    # the price of 25 days after the first one, then every second minute
+    assert rows["price"].tolist() == [float(min(n - 1, (25 * 1440 + i) // 2)) for i in range(n)]
