@@ -139,7 +139,11 @@ def write_run(frame: DataFrame, folder: str, partition: str | None = None, order
 
 
 def write_briefing(corpus: DataFrame, display: DataFrame, coverage: DataFrame, folder: str, version: str | None = None) -> str:
-    """A run's corpus, what the dashboard shows of it, and the coverage of each ticker in a folder of its own, all under one version."""
+    """A run's corpus, what the dashboard shows of it, and the coverage of each ticker, all under one version.
+
+    Coverage is sorted by ticker across files, so that a lookup reads one or two of them; a folder for each ticker would
+    make as many files as there are companies.
+    """
     safe = F.regexp_replace(F.upper("ticker"), "[^A-Z0-9_-]", "")
     sidecars = coverage.withColumn("ticker", safe).where("ticker <> ''")
-    return publish.publish({"corpus": corpus, "display": display, "coverage": sidecars}, folder, version, partitions={"coverage": "ticker"})
+    return publish.publish({"corpus": corpus, "display": display, "coverage": sidecars}, folder, version, orders={"coverage": ["ticker"]})

@@ -85,3 +85,14 @@ def test_records(spark, tmp_path):
     back = {(r["sector"], r["ord"]): json.loads(r["record"]) for r in files.wire(rows).collect()}
     assert [back["s", i] for i in range(len(RECORDS))] == [w if w is not None else x for x, w in RECORDS]
     assert files.records(spark, str(tmp_path / "none.json")).count() == 0
+
+
+def test_coverage_makes_few_files(spark, tmp_path):
+    """As many files as tasks, not as companies, and a ticker's rows beside each other."""
+    folder, n = str(tmp_path / "b"), 400
+    rows = spark.range(2 * n).selectExpr("concat('007', id % 400) as ticker", "id as k")
+    files.write_briefing(rows, rows, rows, folder)
+    got = publish.read(spark, folder, "coverage")
+    assert len(got.inputFiles()) <= 16 and got.count() == 2 * n and got.schema["ticker"].dataType.simpleString() == "string"
+    placed = got.selectExpr("ticker", "_metadata.file_name as f").distinct().groupBy("ticker").count()
+    assert placed.where("count > 1").isEmpty() and placed.count() == n
