@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+ROWS_A_TASK = 250_000
+
 
 def first_of(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The first row of each key. Spark cuts each task's rows to one a key before the shuffle."""
@@ -32,8 +34,12 @@ def fill_from(rows: DataFrame, master: DataFrame, key: str, column: str) -> Data
 
 
 def pairs_within(rows: DataFrame, group: str, item: str) -> DataFrame:
-    """Distinct unordered pairs of items that a group names, with the number of groups. Groups are short lists."""
-    one = rows.select(group, F.col(item).alias("a")).distinct()
+    """Distinct unordered pairs of items that a group names, with the number of groups. Groups are short lists.
+
+    Groups are dealt once, to as many tasks as there are ``ROWS_A_TASK``, so what a task sorts does not grow with the input.
+    """
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // ROWS_A_TASK + 1)
+    one = rows.select(group, F.col(item).alias("a")).repartition(n, group).distinct()
     return one.join(one.withColumnRenamed("a", "b"), group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n_groups"))
 
 

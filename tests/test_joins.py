@@ -22,3 +22,19 @@ def test_runs_of_headlines_are_never_broadcast(spark, data):
     lines = _broadcast(research.new_entrants(spark, data))
     assert lines and not [x for x in lines if "Generate" in x and "flatten" in x]
     assert not [x for x in lines if "o_orderkey" in x]
+
+
+def test_pairs_are_dealt_by_size(spark, monkeypatch):
+    from marketlens.operators import sets
+
+    monkeypatch.setattr(sets, "ROWS_A_TASK", 10)
+    rows = spark.range(900).selectExpr("id div 3 as o", "id % 7 as s")
+    found = sets.pairs_within(rows, "o", "s")
+    want = {}
+    for o in range(300):
+        s = sorted({i % 7 for i in range(3 * o, 3 * o + 3)})
+        for i, a in enumerate(s):
+            for b in s[i + 1 :]:
+                want[a, b] = want.get((a, b), 0) + 1
+    assert {(r["a"], r["b"]): r["n_groups"] for r in found.collect()} == want
+    assert "hashpartitioning(o" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 91)" in plan
