@@ -10,7 +10,7 @@ lines, over the whole table, the first is kept: the least doc_id, then the place
   are a band, and nodes that agree on a band meet in a bucket. A pair at the threshold meets in none of the 12 with a
   chance of 0.488 ** 12 = 0.02 %, at 90 % with 0.271 ** 12 = 2e-7; unlike lines hardly ever meet.
 * Every bucket that holds several components is compared with a hub, one of its nodes, in ``ROUNDS`` rounds with
-  another hub each; a bucket of two or three nodes is decided by that. Then the nodes outside a bucket's largest component are compared with all of other components, in
+  another hub each, from the second round on with two nodes of its largest component as well; a bucket of two or three nodes is decided by that. Then the nodes outside a bucket's largest component are compared with all of other components, in
   blocks. Comparisons test ``AGREE`` minima first and then the exact sets, and emit nothing but links between components.
 
 Lookups of keys are cut down by a broadcast bitmap (8 MB at any size, see ``bitmaps``), before the join that decides.
@@ -39,6 +39,7 @@ CHARS = 8
 GROUPS = 4
 PER_GROUP = 9
 AGREE = 18
+PARITY = 16
 ROUNDS = 3
 BLOCK = 512
 WORD = r"[^\x20\x09-\x0D]"
@@ -94,11 +95,13 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 def _agree(a: str, b: str) -> Column:
     """How many minima agree, of the packed columns of both; a group that both lack agrees."""
-    count = []
+    low, high = (sum(bits << 7 * i for i in range(PER_GROUP)) for bits in (63, 64))
+    differ = []
     for g in range(GROUPS):
         other = F.col(f"{a}{g}").bitwiseXOR(F.col(f"{b}{g}"))
-        count += [(other.bitwiseAND(127 << 7 * i) == 0).cast("int") for i in range(PER_GROUP)]
-    return reduce(lambda x, y: x + y, count)
+        # the seventh bit of each minimum that has any bit set; sums stay within their seven bits
+        differ.append(F.bit_count((other.bitwiseAND(low) + F.lit(low)).bitwiseOR(other).bitwiseAND(high)))
+    return F.lit(GROUPS * PER_GROUP) - reduce(lambda x, y: x + y, differ)
 
 
 def _similar(a: str, b: str) -> Column:
@@ -107,6 +110,20 @@ def _similar(a: str, b: str) -> Column:
     return (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)) & ((100 + PERCENT) * both >= PERCENT * (n_a + n_b))
 
 
+def parities(words: list[str]) -> list[Column]:
+    """Aggregates over the distinct hashes h of a set: for each of PARITY * 64 bits, whether an odd number of them falls there."""
+    word, bit = F.shiftrightunsigned("h", 40).bitwiseAND(PARITY - 1), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int))")
+    return [F.bit_xor(F.when(word == k, bit).otherwise(F.lit(0).cast("long"))).alias(w) for k, w in enumerate(words)]
+
+
+def _bounded(a: str, b: str) -> Column:
+    """Whether the sets may reach the similarity by their parities: a member that one of them lacks turns one bit, so no
+    more bits differ than members do. No similar pair is lost."""
+    differ = reduce(lambda x, y: x + y, [F.bit_count(F.col(f"{a}{w}").bitwiseXOR(F.col(f"{b}{w}"))) for w in _PARITIES])
+    return (100 + PERCENT) * differ <= (100 - PERCENT) * (F.col(f"n_{a}") + F.col(f"n_{b}"))
+
+
+_PARITIES = [f"p{k}" for k in range(PARITY)]
 _SIGNS = [f"s{g}" for g in range(GROUPS)]
 _BANDS = [f"t{k}" for k in range(GROUPS * PER_GROUP // 3)]
 
@@ -114,9 +131,9 @@ _BANDS = [f"t{k}" for k in range(GROUPS * PER_GROUP // 3)]
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b and other columns) whose exact sets reach the similarity. texts: (node, wide, size, s0, ...)."""
     for x in "ab":
-        pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("size").alias(f"n_{x}"), *[F.col(s).alias(f"{x}{g}") for g, s in enumerate(_SIGNS)]), x)
-    near = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (_agree("a", "b") >= AGREE)
-    pairs = pairs.where(near).drop(*[f"{x}{g}" for x in "ab" for g in range(GROUPS)])
+        pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("size").alias(f"n_{x}"), *[F.col(s).alias(f"{x}{g}") for g, s in enumerate(_SIGNS)], *[F.col(p).alias(f"{x}{p}") for p in _PARITIES]), x)
+    near = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & _bounded("a", "b") & (_agree("a", "b") >= AGREE)
+    pairs = pairs.where(near).drop(*[f"{x}{y}" for x in "ab" for y in [*range(GROUPS), *_PARITIES]])
     for x in "ab":
         pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("wide").alias(f"wide_{x}")), x)
     return pairs.where(_similar("a", "b")).drop("wide_a", "wide_b", "n_a", "n_b")
@@ -137,6 +154,14 @@ def _mixed(placed: DataFrame, over: int) -> DataFrame:
     return placed.join(open_, "band").select("band", "node", "component")
 
 
+def _largest_hubs(open_: DataFrame, k: int) -> DataFrame:
+    """(band, hub): nodes of each bucket's largest component, others in each bucket and round, as alike buckets share their least node."""
+    dice = F.xxhash64("node", "band", F.lit(k))
+    ends = open_.groupBy("band", "component").agg(F.count("*").alias("n"), F.min(F.struct(dice, "node"))["node"].alias("x"), F.max(F.struct(dice, "node"))["node"].alias("y"))
+    best = ends.groupBy("band").agg(F.max(F.struct("n", "component", "x", "y")).alias("best"))
+    return best.select("band", F.explode(F.array("best.x", "best.y")).alias("hub"))
+
+
 def _across(open_: DataFrame, texts: DataFrame) -> DataFrame:
     """(of_a, of_b): links between components of a bucket, of all its pairs of nodes of different components."""
     sizes = open_.groupBy("band", "component").agg(F.count("*").alias("n"))
@@ -145,12 +170,12 @@ def _across(open_: DataFrame, texts: DataFrame) -> DataFrame:
     rows = written(open_.join(most, "band").join(texts, "node"))
     at = lambda count: F.expr(f"pmod(xxhash64(node), 1 + {count} div {BLOCK})")
     all_of = lambda count: F.explode(F.expr(f"sequence(0L, {count} div {BLOCK})"))
-    side = lambda x: [F.col("node").alias(x), F.col("component").alias(f"of_{x}"), F.col("wide").alias(f"wide_{x}"), F.col("size").alias(f"n_{x}"), *[F.col(s).alias(f"{x}{g}") for g, s in enumerate(_SIGNS)], *[F.col(t).alias(f"{x}{t}") for t in _BANDS]]
+    side = lambda x: [F.col("node").alias(x), F.col("component").alias(f"of_{x}"), F.col("wide").alias(f"wide_{x}"), F.col("size").alias(f"n_{x}"), *[F.col(s).alias(f"{x}{g}") for g, s in enumerate(_SIGNS)], *[F.col(t).alias(f"{x}{t}") for t in [*_BANDS, *_PARITIES]]]
     left = rows.where("component <> largest").select("band", at("others").alias("i"), all_of("n").alias("j"), *side("a"))
     right = rows.select("band", all_of("others").alias("i"), at("n").alias("j"), *side("b"), (F.col("component") == F.col("largest")).alias("main"))
     # a pair counts in the first of its bands only; if that bucket is open no more, the pair is decided
     first = F.col("band") == F.coalesce(*[F.when(F.col(f"a{t}") == F.col(f"b{t}"), F.col(f"a{t}")) for t in _BANDS])
-    near = (F.col("of_a") != F.col("of_b")) & (F.col("main") | (F.col("a") < F.col("b"))) & first & (_agree("a", "b") >= AGREE) & _similar("a", "b")
+    near = (F.col("of_a") != F.col("of_b")) & (F.col("main") | (F.col("a") < F.col("b"))) & _bounded("a", "b") & first & (_agree("a", "b") >= AGREE) & _similar("a", "b")
     return left.join(right, ["band", "i", "j"]).where(near).select("of_a", "of_b").distinct()
 
 
@@ -168,7 +193,11 @@ def line_components(docs: DataFrame) -> DataFrame:
     packed = _likely(signed, "node", maps).groupBy("node").agg(*[F.coalesce(of(g, "packed"), F.lit(-1)).alias(s) for g, s in enumerate(_SIGNS)], *bands)
     lines = _likely(_lines(docs).select("node", "line"), "node", maps).join(needed, "node", "left_semi").groupBy("node").agg(F.min(_wide("line")).alias("wide"))
     # lines and not their sets are dealt, which are several times as large
-    texts = written(lines.select("node", "wide", F.size(F.array_distinct(shingles("wide"))).alias("size")).join(packed, "node"))
+    lines = written(lines)
+    sets = lines.select("node", F.explode(F.array_distinct(shingles("wide"))).alias("h")).groupBy("node").agg(F.count("*").cast("int").alias("size"), *parities(_PARITIES))
+    texts = written(lines.join(sets, "node").join(packed, "node"))
+    again = written(signed.where("n > 1").select("node").distinct())
+    dropped(lines, signed, met)
 
     named = needed.withColumn("component", F.col("node"))
     open_ = members.withColumn("component", F.col("node"))
@@ -176,6 +205,8 @@ def line_components(docs: DataFrame) -> DataFrame:
         # the least node, the greatest (then buckets of three are done), and what is least under another mask
         mask = (0, -1, MASKS[2])[k]
         hubs = open_.groupBy("band").agg(F.min(F.col("node").bitwiseXOR(F.lit(mask))).alias("hub")).select("band", F.col("hub").bitwiseXOR(F.lit(mask)).alias("hub"))
+        if k:
+            hubs = hubs.unionByName(_largest_hubs(open_, k)).distinct()
         pairs = open_.join(hubs, "band").where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b"), F.col("component").alias("of_b")).distinct()
         pairs = pairs.join(named.select(F.col("node").alias("a"), F.col("component").alias("of_a")), "a").where("of_a <> of_b")
         now = _joined(verified(pairs, texts))
@@ -185,11 +216,10 @@ def line_components(docs: DataFrame) -> DataFrame:
             break
     else:
         named = written(_renamed(named, _joined(_across(open_, texts))))
-    again = signed.where("n > 1").select("node").distinct()
     several = named.groupBy("component").agg(F.count("*").alias("of")).where("of > 1").select("component")
     linked = named.join(several, "component").select("node", "component")
     found = written(again.join(linked, "node", "full").select("node", F.coalesce("component", "node").alias("component")))
-    dropped(signed, met, members, needed, texts, named)
+    dropped(members, needed, texts, again, named)
     return found
 
 

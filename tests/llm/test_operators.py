@@ -361,6 +361,27 @@ def test_lines_at_threshold(spark):
     assert [r["n_removed"] for r in got.select("n_removed").collect()] == [1] * len(pairs)
 
 
+def test_lines_bounded(spark):
+    """The bound by parities loses no similar pair and lets few unlike ones through."""
+    rng = np.random.default_rng(8)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    pairs = [(k, "ab"[i], y) for k in range(300) for x in [letters(300)] for i, y in enumerate((x, x[: 300 - k // 3] + letters(k // 3)))]
+    rows = spark.createDataFrame(pairs, "k int, side string, line string").select("k", "side", F.explode(F.array_distinct(lines.shingles(lines._wide("line")))).alias("h"))
+    sets = rows.groupBy("k", "side").agg(F.count("*").alias("n"), *lines.parities(lines._PARITIES))
+    side = lambda x: sets.where(f"side = '{x}'").select("k", F.col("n").alias(f"n_{x}"), *[F.col(p).alias(f"{x}{p}") for p in lines._PARITIES])
+    got = {r["k"]: r["fits"] for r in side("a").join(side("b"), "k").select("k", lines._bounded("a", "b").alias("fits")).collect()}
+    size = lambda x: {x[j : j + 8] for j in range(293)}
+    like = {k: len(size(x) & size(y)) / len(size(x) | size(y)) for (k, _, x), (_, _, y) in zip(pairs[::2], pairs[1::2], strict=True)}
+    assert all(got[k] for k in like if like[k] >= 0.8) and not any(got[k] for k in like if like[k] < 0.7)
+
+
+def test_lines_hubs(spark):
+    """Buckets of the same nodes get hubs of their own, so that a large group is not compared with one hub only."""
+    open_ = spark.createDataFrame([(band, node, node // 100) for band in range(20) for node in range(150)], "band long, node long, component long")
+    hubs = lines._largest_hubs(open_, 1).collect()
+    assert {r["hub"] // 100 for r in hubs} == {0} and len({r["hub"] for r in hubs}) > 20 and len(hubs) == 40
+
+
 def test_lines_odd(odd):
     got = lines.without_repeated_lines(odd)
     assert got.select("row.*").columns == odd.columns and got.count() == odd.count()
