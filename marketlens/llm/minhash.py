@@ -12,8 +12,8 @@ Groups of copies do not make all pairs:
 * documents with equal sets are one class, and only classes are posted;
 * each list is first compared with one hub, its most frequent class; what links to it becomes one component;
 * then only members of different components of a list are compared: directly in lists of up to ``SMALL_LIST``. Longer
-  lists are compared in blocks inside tasks that hold the texts of two blocks, confirm pairs there, and emit only
-  links that join two components that were apart. No pair is left out.
+  lists are compared in blocks. Signatures by bytes tell which rows of two blocks may link components that are apart;
+  tasks then hold the texts of those, confirm pairs, and emit only links that join two components. No pair is left out.
 
 Nulls and empty texts: no words, hence an empty set, linked with nothing; a null doc_id takes no part and has a null
 component. Every row is a document of its own, also where rows repeat a doc_id, with the links of its own text; equal
@@ -148,19 +148,61 @@ def _candidates(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.where("a <> b").distinct().join(side("a"), "a").join(side("b"), "b").where(_SIZES).where(_agree("sign_a", "sign_b")).select("a", "b")
 
 
+def _adjacent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each (list, i, j), which are adjacent, as a table."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = np.stack([batch.column(c).to_numpy() for c in ("list", "i", "j")], 1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+        for s, e in zip(cuts, cuts[1:], strict=False):
+            if s == e:
+                continue
+            if held and tuple(keys[s]) != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(keys[s])
+            held.append(batch.slice(s, e - s))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """The places of both blocks' rows; a block with itself has one side, whose i and j are equal."""
+    left = rows.column("left").to_numpy()
+    one = np.flatnonzero(left)
+    return one, one if rows.column("i")[0] == rows.column("j")[0] else np.flatnonzero(~left)
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows with signatures by bytes: those that may reach the similarity with a row of another component there.
+
+    Equal coordinates have equal bytes, so no row of a pair that _blocks() would confirm is left out.
+    """
+    for rows in _adjacent(batches):
+        comp, size = (rows.column(c).to_numpy() for c in ("component", "size"))
+        sign = rows.column("sign").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+        one, two = _sides(rows)
+        same = np.zeros((len(one), len(two)), np.uint8)
+        for c in range(COORDINATES):
+            same += sign[one, c][:, None] == sign[two, c][None, :]
+        a, b = size[one][:, None], size[two][None, :]
+        fits = (same >= MATCHES) & (comp[one][:, None] != comp[two][None, :]) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
+        kept = np.union1d(one[fits.any(1)], two[fits.any(0)])
+        if len(kept):
+            yield from rows.drop_columns(["size", "sign"]).take(pa.array(kept)).combine_chunks().to_batches()
+
+
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of two blocks of a list are adjacent; yields confirmed pairs that join components that were apart."""
-    held: list[pa.RecordBatch] = []
 
     def found(rows: pa.Table) -> pa.RecordBatch:
-        node, comp, left = (rows.column(c).to_numpy() for c in ("node", "component", "left"))
+        node, comp = (rows.column(c).to_numpy() for c in ("node", "component"))
         k = int(rows.column("list")[0].as_py()) >> 32
         sign = rows.column("sign").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
         runs, first = shingle_sets(rows.column("text").combine_chunks())
         size = np.diff(first)
-        one, two = np.flatnonzero(left), np.flatnonzero(~left)
-        if not len(two):
-            two = one
+        one, two = _sides(rows)
         same = np.zeros((len(one), len(two)), np.uint8)
         earlier = np.zeros(same.shape, bool)
         for c in range(COORDINATES):
@@ -191,20 +233,8 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     b.append(int(node[y]))
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    last = None
-    for batch in batches:
-        keys = np.stack([batch.column(c).to_numpy() for c in ("list", "i", "j")], 1)
-        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
-        for s, e in zip(cuts, cuts[1:], strict=False):
-            if s == e:
-                continue
-            if held and tuple(keys[s]) != last:
-                yield found(pa.Table.from_batches(held))
-                held = []
-            last = tuple(keys[s])
-            held.append(batch.slice(s, e - s))
-    if held:
-        yield found(pa.Table.from_batches(held))
+    for rows in _adjacent(batches):
+        yield found(rows)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -242,10 +272,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     more = written(ends[0].unionByName(ends[1]).unionByName(long.select("node")).distinct().join(needed, "node", "left_anti"))
     held = held.unionByName(written(_texts(texts, more)))
     links = links.unionByName(confirmed(near, held))
-    rows = written(long.join(held, "node").join(classes.select("node", "sign"), "node"))
+    # signatures alone tell which rows of two blocks may have a link; only their texts are dealt
+    code = F.transform("sign", lambda x: (x.bitwiseAND(255) - 128).cast("tinyint"))
+    rows = written(long.join(held.select("node", "bytes"), "node").join(classes.select("node", "n_shingles", "sign"), "node"))
     blocks = written(rows.groupBy("list").agg(F.expr(f"1 + greatest(count(*) div {BLOCK}, sum(bytes) div {BLOCK_BYTES})").alias("of")))
     dealt = rows.join(blocks, "list").withColumn("own", F.expr("pmod(xxhash64(node), of)")).withColumn("with", F.explode(F.expr("sequence(0L, of - 1)")))
-    dealt = dealt.select("list", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") <= F.col("with")).alias("left"), "node", "component", "sign", "text")
+    key = ["list", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") <= F.col("with")).alias("left"), "node", "component"]
+    signs = dealt.select(*key, F.col("n_shingles").alias("size"), code.alias("sign")).repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j")
+    apart = written(signs.mapInArrow(_apart, "list long, i long, j long, left boolean, node long, component long"))
+    held = likely(held.select("node", "text"), "node", bitmaps(apart.select("node"), "node"))
+    dealt = apart.join(classes.select("node", "sign"), "node").join(held, "node").select("list", "i", "j", "left", "node", "component", "sign", "text")
     links = links.unionByName(written(dealt.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(_blocks, "a long, b long")))
     parts = written(components(links))
 

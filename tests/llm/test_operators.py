@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,6 +197,25 @@ def test_minhash(docs, rows):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in minhash.near_duplicates(docs).collect()} == {i: (len(s), want[i], want[i] == i) for i, s in sets.items()}
 
 
+def test_minhash_blocks(spark, monkeypatch):
+    """Long lists in blocks: the same links, and only texts that may have one are dealt."""
+    texts = [f"{sentence(7, 60)} {sentence(100 + k // 4, 40)} {sentence(500 + k, 1 + 7 * (k % 2))}" for k in range(120)]
+    docs = made(spark, list(enumerate(texts)))
+    found = lambda: {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    want = found()
+    assert 1 < len(set(want.values())) < 120
+    monkeypatch.setattr(minhash, "SMALL_LIST", 1)
+    monkeypatch.setattr(minhash, "BLOCK", 16)
+    assert found() == want
+    sign = np.arange(5 * 64).reshape(5, 64).astype(np.int8)
+    sign[3:, :] = sign[0]
+    sign[4, :] = sign[1]
+    columns = {"list": [1] * 5, "i": [0] * 5, "j": [0] * 5, "left": [True] * 5, "node": range(5), "component": [0, 1, 2, 3, 1], "size": [9] * 5}
+    rows = pa.table({**{k: pa.array(v) for k, v in columns.items()}, "sign": pa.array(list(sign), pa.list_(pa.int8()))})
+    dealt = [x for b in minhash._apart(iter(rows.to_batches())) for x in b.column("node").to_pylist()]
+    assert dealt == [0, 3]  # 1 and 4 are of one component, 2 is like none
+
+
 def test_minhash_odd(odd):
     got = [tuple(r) for r in minhash.near_duplicates(odd).select("doc_id", "component_id", "kept").collect()]
     assert len(got) == odd.count() and {(1, 1, True), (2, 2, True), (6, 6, True), (None, None, True)} <= set(got)
