@@ -12,8 +12,9 @@ Groups of copies do not make all pairs:
 * documents with equal sets are one class, and only classes are posted;
 * each list is first compared with one hub, its most frequent class; what links to it becomes one component;
 * then only members of different components of a list are compared: directly in lists of up to ``SMALL_LIST``. Longer
-  lists are compared in blocks. Signatures by bytes tell which rows of two blocks may link components that are apart;
-  tasks then hold the texts of those, confirm pairs, and emit only links that join two components. No pair is left out.
+  lists are compared in blocks. Signatures alone tell which rows of two blocks may link components that are apart and
+  meet in no earlier list, so documents that agree in many coordinates are dealt with their texts in few of their lists;
+  tasks then hold those texts, confirm pairs, and emit only links that join two components. No pair is left out.
 
 Nulls and empty texts: no words, hence an empty set, linked with nothing; a null doc_id takes no part and has a null
 component. Every row is a document of its own, also where rows repeat a doc_id, with the links of its own text; equal
@@ -41,6 +42,9 @@ COORDINATES = 64
 MATCHES = 38
 PREFIX = COORDINATES - MATCHES + 1
 SMALL_LIST = 40
+#: Rows of a block of a long list without texts, and pairs of them that are compared at once.
+SIGN_BLOCK = 1 << 14
+PAIRS = 1 << 22
 #: Rows and bytes of text of a block of a long list.
 BLOCK = 1024
 BLOCK_BYTES = 8 << 20
@@ -87,13 +91,13 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total[some, 1] = np.add.reduceat(mix(runs ^ _XOR[1]), starts)
             flat = pa.array(sign.reshape(-1).view(np.int32))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, COORDINATES, dtype=np.int32)), flat)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("ref"), pa.array(sizes, pa.int64()), pa.array(total[:, 0].view(np.int64)), pa.array(total[:, 1].view(np.int64)), lists], ["doc_id", "ref", "n_shingles", "high", "low", "sign"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc_id"), piece.column("ref"), piece.column("bytes"), pa.array(sizes, pa.int64()), pa.array(total[:, 0].view(np.int64)), pa.array(total[:, 1].view(np.int64)), lists], ["doc_id", "ref", "bytes", "n_shingles", "high", "low", "sign"])
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, ref, n_shingles, high, low, sign): the text's hash, and size, fingerprint and MinHash signature of its set."""
-    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("ref"), "text")
-    return read.mapInArrow(_signed, "doc_id long, ref long, n_shingles long, high long, low long, sign array<int>")
+    """(doc_id, ref, bytes, n_shingles, high, low, sign): the text's hash and bytes, and size, fingerprint and MinHash signature of its set."""
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("ref"), F.octet_length("text").cast("long").alias("bytes"), "text")
+    return read.mapInArrow(_signed, "doc_id long, ref long, bytes long, n_shingles long, high long, low long, sign array<int>")
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,23 +178,42 @@ def _sides(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return one, one if rows.column("i")[0] == rows.column("j")[0] else np.flatnonzero(~left)
 
 
-def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows with signatures by bytes: those that may reach the similarity with a row of another component there.
+def _meeting(rows: pa.Table, size: np.ndarray, sign: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The places of both rows of each pair that may link components that are apart, and in how many coordinates they agree.
 
-    Equal coordinates have equal bytes, so no row of a pair that _blocks() would confirm is left out.
+    A pair is left to the first list in which it meets.
     """
+    comp = rows.column("component").to_numpy()
+    k = int(rows.column("list")[0].as_py()) >> 32
+    one, two = _sides(rows)
+    step = max(1, PAIRS // max(1, len(two)))
+    for s in range(0, len(one), step):
+        # of a block with itself each pair once
+        x, y = one[s : s + step], two[s:] if one is two else two
+        a, b = size[x][:, None], size[y][None, :]
+        open_ = (comp[x][:, None] != comp[y][None, :]) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
+        for c in range(k):
+            open_ &= sign[x, c][:, None] != sign[y, c][None, :]
+        i, j = np.nonzero(open_)
+        for at in range(0, len(i), PAIRS // COORDINATES):
+            p, q = x[i[at : at + PAIRS // COORDINATES]], y[j[at : at + PAIRS // COORDINATES]]
+            same = (sign[p] == sign[q]).sum(1)
+            near = same >= MATCHES
+            yield p[near], q[near], same[near]
+
+
+def _signs(rows: pa.Table) -> np.ndarray:
+    return rows.column("sign").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
+
+
+def _apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows without texts: those of the pairs that _blocks() would confirm by their texts."""
     for rows in _adjacent(batches):
-        comp, size = (rows.column(c).to_numpy() for c in ("component", "size"))
-        sign = rows.column("sign").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
-        one, two = _sides(rows)
-        same = np.zeros((len(one), len(two)), np.uint8)
-        for c in range(COORDINATES):
-            same += sign[one, c][:, None] == sign[two, c][None, :]
-        a, b = size[one][:, None], size[two][None, :]
-        fits = (same >= MATCHES) & (comp[one][:, None] != comp[two][None, :]) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
-        kept = np.union1d(one[fits.any(1)], two[fits.any(0)])
-        if len(kept):
-            yield from rows.drop_columns(["size", "sign"]).take(pa.array(kept)).combine_chunks().to_batches()
+        kept = np.zeros(len(rows), bool)
+        for p, q, _ in _meeting(rows, rows.column("size").to_numpy(), _signs(rows)):
+            kept[p] = kept[q] = True
+        if kept.any():
+            yield from rows.drop_columns(["size", "i", "j", "left"]).take(pa.array(np.flatnonzero(kept))).combine_chunks().to_batches()
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -198,20 +221,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def found(rows: pa.Table) -> pa.RecordBatch:
         node, comp = (rows.column(c).to_numpy() for c in ("node", "component"))
-        k = int(rows.column("list")[0].as_py()) >> 32
-        sign = rows.column("sign").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
         runs, first = shingle_sets(rows.column("text").combine_chunks())
         size = np.diff(first)
-        one, two = _sides(rows)
-        same = np.zeros((len(one), len(two)), np.uint8)
-        earlier = np.zeros(same.shape, bool)
-        for c in range(COORDINATES):
-            same += (equal := sign[one, c][:, None] == sign[two, c][None, :])
-            if c < k:
-                earlier |= equal  # the pair meets in an earlier list as well
-        fits = 100 * np.minimum(size[one][:, None], size[two][None, :]) >= PERCENT * np.maximum(size[one][:, None], size[two][None, :])
-        i, j = np.nonzero((same >= MATCHES) & ~earlier & (comp[one][:, None] != comp[two][None, :]) & fits)
-        order = np.argsort(-same[i, j].astype(np.int16), kind="stable")
+        met = [*_meeting(rows, size, _signs(rows))]
+        i, j, same = (np.concatenate([np.zeros(0, np.int64), *[m[c] for m in met]]) for c in range(3))
+        order = np.argsort(-same, kind="stable")
         parent: dict[int, int] = {}
 
         def top(x: int) -> int:
@@ -223,7 +237,7 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets: dict[int, set[int]] = {}
         got = lambda x: sets.get(x) or sets.setdefault(x, set(runs[first[x] : first[x + 1]].tolist()))
         a, b = [], []
-        for x, y in zip(one[i[order]].tolist(), two[j[order]].tolist(), strict=True):
+        for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
             p, q = top(int(comp[x])), top(int(comp[y]))
             if p != q:
                 both = len(got(x) & got(y))
@@ -237,6 +251,20 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield found(rows)
 
 
+def _dealt(rows: DataFrame, blocks: str, n: int, texts: DataFrame | None = None) -> DataFrame:
+    """Rows of lists with i, j and left, once for each block of their list that they are compared with; rows of (list, i, j) are adjacent.
+
+    blocks: an aggregate over a list, by how much it has more than one block.
+    """
+    of = written(rows.groupBy("list").agg(F.expr(f"1 + {blocks}").alias("of")))
+    both = rows.join(of, "list").withColumn("own", F.expr("pmod(xxhash64(node), of)")).withColumn("with", F.explode(F.expr("sequence(0L, of - 1)")))
+    key = [F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") <= F.col("with")).alias("left")]
+    both = both.select(*rows.columns, *key)
+    if texts is not None:
+        both = both.join(texts, "node")
+    return both.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text) -> one row per document: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -244,7 +272,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     signed = written(signatures(docs))
     # a class of equal sets is named by the least hash of its texts, one of which stands for it
     classes = signed.where("n_shingles > 0 and doc_id is not null").groupBy("high", "low", "n_shingles")
-    classes = written(classes.agg(F.min("ref").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.first("sign").alias("sign")))
+    classes = written(classes.agg(F.min("ref").alias("node"), F.min("doc_id").alias("least"), F.count("*").alias("copies"), F.max("bytes").alias("bytes"), F.first("sign").alias("sign")))
 
     posted = classes.select("node", "copies", F.posexplode(F.slice("sign", 1, PREFIX)).alias("k", "value")).select("node", "copies", F.expr("shiftleft(cast(k as long), 32) | (value & 4294967295L)").alias("list"))
     lists = written(posted.groupBy("list").agg(F.count("*").alias("n"), F.min(F.struct(-F.col("copies"), F.xxhash64("node"), F.col("node").alias("hub")))["hub"].alias("hub")).where("n > 1"))
@@ -268,21 +296,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     near = written(near.join(tested, ["a", "b"], "left_anti"))
 
+    # signatures alone tell which rows of two blocks may have a link; only their texts are read and dealt
+    rows = written(long.join(classes, "node").select("list", "node", "component", "bytes", "sign", F.col("n_shingles").alias("size")))
+    apart = _dealt(rows, f"count(*) div {SIGN_BLOCK}", n).mapInArrow(_apart, "list long, node long, component long, bytes long, sign array<int>")
+    apart = written(apart.dropDuplicates(["list", "node"]))
+
     ends = [near.select(F.col(c).alias("node")) for c in ("a", "b")]
-    more = written(ends[0].unionByName(ends[1]).unionByName(long.select("node")).distinct().join(needed, "node", "left_anti"))
+    more = written(ends[0].unionByName(ends[1]).unionByName(apart.select("node")).distinct().join(needed, "node", "left_anti"))
     held = held.unionByName(written(_texts(texts, more)))
     links = links.unionByName(confirmed(near, held))
-    # signatures alone tell which rows of two blocks may have a link; only their texts are dealt
-    code = F.transform("sign", lambda x: (x.bitwiseAND(255) - 128).cast("tinyint"))
-    rows = written(long.join(held.select("node", "bytes"), "node").join(classes.select("node", "n_shingles", "sign"), "node"))
-    blocks = written(rows.groupBy("list").agg(F.expr(f"1 + greatest(count(*) div {BLOCK}, sum(bytes) div {BLOCK_BYTES})").alias("of")))
-    dealt = rows.join(blocks, "list").withColumn("own", F.expr("pmod(xxhash64(node), of)")).withColumn("with", F.explode(F.expr("sequence(0L, of - 1)")))
-    key = ["list", F.least("own", "with").alias("i"), F.greatest("own", "with").alias("j"), (F.col("own") <= F.col("with")).alias("left"), "node", "component"]
-    signs = dealt.select(*key, F.col("n_shingles").alias("size"), code.alias("sign")).repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j")
-    apart = written(signs.mapInArrow(_apart, "list long, i long, j long, left boolean, node long, component long"))
     held = likely(held.select("node", "text"), "node", bitmaps(apart.select("node"), "node"))
-    dealt = apart.join(classes.select("node", "sign"), "node").join(held, "node").select("list", "i", "j", "left", "node", "component", "sign", "text")
-    links = links.unionByName(written(dealt.repartition(n, "list", "i", "j").sortWithinPartitions("list", "i", "j").mapInArrow(_blocks, "a long, b long")))
+    dealt = _dealt(apart, f"greatest(count(*) div {BLOCK}, sum(bytes) div {BLOCK_BYTES})", n, held)
+    links = links.unionByName(written(dealt.mapInArrow(_blocks, "a long, b long")))
     parts = written(components(links))
 
     placed = written(classes.join(parts, "node", "left").select("high", "low", "n_shingles", "least", F.coalesce("component", "node").alias("component")))

@@ -216,6 +216,29 @@ def test_minhash_blocks(spark, monkeypatch):
     assert dealt == [0, 3]  # 1 and 4 are of one component, 2 is like none
 
 
+def test_minhash_sign_blocks(spark, monkeypatch):
+    """Rows without texts are in few blocks, as each is dealt once for every block of its list; however they are cut, links are the same."""
+    rows = spark.range(5000).select(F.lit(7).cast("long").alias("list"), F.col("id").alias("node"), F.lit(1).cast("long").alias("bytes"))
+    assert minhash._dealt(rows, f"count(*) div {minhash.SIGN_BLOCK}", 4).count() == 5000
+    assert minhash._dealt(rows, "count(*) div 1000", 4).count() == 30000
+    docs = made(spark, [(k, f"{sentence(7, 60)} {sentence(100 + k // 4, 40)} {sentence(500 + k, 1 + 7 * (k % 2))}") for k in range(60)])
+    found = lambda: {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    want = found()
+    for name, n in (("SMALL_LIST", 1), ("SIGN_BLOCK", 16), ("PAIRS", 128)):
+        monkeypatch.setattr(minhash, name, n)
+    assert found() == want and 1 < len(set(want.values())) < 60
+
+
+def test_minhash_first_list():
+    """Of a long list only rows are dealt with their texts that meet a row of another component there for the first time."""
+    sign = np.arange(4 * 64).reshape(4, 64).astype(np.int32)
+    sign[1, :50] = sign[0, :50]  # agree from coordinate 0 on
+    sign[3, 2:50] = sign[2, 2:50]  # agree from coordinate 2 on
+    for members, k, want in (([0, 1], 0, [0, 1]), ([0, 1], 1, []), ([2, 3], 2, [2, 3]), ([2, 3], 3, [])):
+        rows = pa.table({"list": [k << 32 | 7] * 2, "i": [0] * 2, "j": [0] * 2, "left": [True] * 2, "node": members, "component": members, "size": [9] * 2, "sign": pa.array(list(sign[members]), pa.list_(pa.int32()))})
+        assert [x for b in minhash._apart(iter(rows.to_batches())) for x in b.column("node").to_pylist()] == want, k
+
+
 def test_minhash_odd(odd):
     got = [tuple(r) for r in minhash.near_duplicates(odd).select("doc_id", "component_id", "kept").collect()]
     assert len(got) == odd.count() and {(1, 1, True), (2, 2, True), (6, 6, True), (None, None, True)} <= set(got)
