@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.coerce import severity_rank
 from marketlens.operators.sets import top_of
+from marketlens.session import apart
 
 # fixed values: how many rows of a feed are shown, and of a company's topics
 FEED_CAPS = {"corporate_agreements": 40, "product_launches": 40, "corporate_filings": 40, "sebi_filings": 30, "institutional_activity": 40, "emerging_competitors": 30, "market_events": 40, "global_market_news": 20}
@@ -90,4 +91,5 @@ def whats_new(revisions: DataFrame, theses: DataFrame, ledger: DataFrame, candid
         _said(entrants, 4, [F.asc_nulls_last("place"), c("sector"), c("challenger")], words(c("challenger"), "entering", c("sector"), "— pressures", F.array_join("incumbents", ", "))),
         _said(warnings.where("severity = 'Critical'"), 5, [c("ticker"), c("category")], words(c("ticker"), c("category"), c("signal"))),
     ]
-    return reduce(DataFrame.unionByName, groups)
+    # a few rows each
+    return reduce(DataFrame.unionByName, map(apart, groups))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -28,6 +28,12 @@ def local_session(cores: str = "8", partitions: int = 8, memory: str = "12g") ->
     return spark
 
 
+def apart(frame: DataFrame) -> DataFrame:
+    """The rows, worked out by a query of their own and kept in the shared folder, so that the driver need not plan and broadcast for all parts of a long one at once."""
+    with_checkpoints(frame.sparkSession)
+    return frame.checkpoint()
+
+
 def with_checkpoints(spark: SparkSession) -> SparkSession:
     """Keeps the shared folder that the cluster names in spark.checkpoint.dir; sets one only where there is none."""
     context = spark.sparkContext

@@ -79,6 +79,15 @@ def test_whats_new_without_a_ledger_tells_of_candidates_that_joined(spark):
     assert got == [("Watchlist changes", "success", 1, "NEW Added"), ("Watchlist changes", "success", 2, "ROT Rotated in for OLD")]
 
 
+def test_whats_new_works_out_each_group_by_itself(spark):
+    make = lambda rows, kind: spark.createDataFrame(rows, kind)
+    found = display.whats_new(
+        make([("A", "up", 12.5)], "ticker string, direction string, target_change_pct double"), make([], "ticker string, place int, health string, reason string"), make([], "ticker string, place int, action string, price double, date date, outcome string"),
+        make([], "place int, ticker string, name string, status string, action string, replaced string"), make([], "place int, sector string, challenger string, incumbents array<string>"), make([], "ticker string, category string, severity string, signal string"),
+    )
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 1
+
+
 def test_a_quiet_run_has_no_news(spark):
     assert _new(spark) == []
 
