@@ -131,7 +131,7 @@ def coverage(titles: DataFrame, matches: DataFrame, today: DataFrame, window: in
 
     An item that is too old does not stand for later equal ones. today: one row.
     """
-    rows = titles.join(matches, "id").withColumn("key", dedup_key(F.col("title"))).where("key <> ''")
+    rows = titles.hint("merge").join(matches, "id").withColumn("key", dedup_key(F.col("title"))).where("key <> ''")
     rows = rows.withColumn("old", F.coalesce(F.date_diff(today.scalar(), "day") > window, F.lit(False)))
     first = F.min(F.when(~F.col("old"), F.col("id"))).over(Window.partitionBy("ticker", "key"))
     status = F.when(F.col("id") > F.col("first"), "merged").when(F.col("old"), "excluded").otherwise("counted")
@@ -215,9 +215,9 @@ def new_entrants(titles: DataFrame, turf: DataFrame, companies: DataFrame, peers
     held = companies.select("sector").distinct()
     on = moves.hint("merge").join(containing(moves, F.broadcast(turf.join(held, "sector").select("sector", "term"))), "id").select("id", "title", "sector")
     inside = named(moves, companies).join(companies.select("ticker", "sector"), "ticker").select("id", "sector").distinct()
-    on = on.join(inside, ["id", "sector"], "left_anti")
+    on = on.hint("merge").join(inside, ["id", "sector"], "left_anti")
     known = named(moves, peers).join(peers, "ticker").groupBy("id").agg(F.min_by("name", "place").alias("peer"))
-    told = on.join(known, "id", "left").withColumn("challenger", F.coalesce("peer", H.challenger(F.col("title")))).where("challenger is not null")
+    told = on.hint("merge").join(known, "id", "left").withColumn("challenger", F.coalesce("peer", H.challenger(F.col("title")))).where("challenger is not null")
     return told.groupBy("sector", F.lower("challenger").alias("key")).agg(F.min_by("challenger", "id").alias("challenger"), F.min("id").alias("id")).select("sector", "challenger", "id")
 
 

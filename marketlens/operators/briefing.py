@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from marketlens.functions.coerce import severity_rank
 from marketlens.operators.attribution import containing
 from marketlens.operators.sets import top_of
+from marketlens.session import apart
 
 # fixed values: caps of a block's lists, words of the kinds of news in the order of the list, and what is said of nothing
 NEWS, FOCUS, THREATS = 4, 3, 2
@@ -50,7 +51,7 @@ def news_of_sectors(news: DataFrame, warnings: DataFrame, k: int = NEWS) -> Data
     for i, (name, words) in enumerate(NEWS_KINDS, 1):
         told = low.rlike("|".join(words))
         kind, rank = kind.when(told, name), rank.when(told, i)
-    rows = news.where("title <> ''").join(linked, "id", "left").withColumns({"kind": kind.otherwise("other"), "rank": rank.otherwise(len(NEWS_KINDS) + 1), "date": F.coalesce(F.col("day").cast("string"), F.lit(""))})
+    rows = news.where("title <> ''").hint("merge").join(linked, "id", "left").withColumns({"kind": kind.otherwise("other"), "rank": rank.otherwise(len(NEWS_KINDS) + 1), "date": F.coalesce(F.col("day").cast("string"), F.lit(""))})
     return _listed(rows, [F.col("rank"), F.col("date"), F.col("id")], k, "news", "id", "date", "title", "kind")
 
 
@@ -80,8 +81,9 @@ def sector_blocks(warnings: DataFrame, news: DataFrame, companies: DataFrame, co
     moved = warnings.groupBy("sector").agg(F.sum(F.when(changed, _weight()).otherwise(0)).alias("delta"), F.count_if(F.col("status") == "new").alias("n_new"), F.count_if(F.col("status") == "escalated").alias("n_escalated"))
     silent = companies.where("method = 'No Estimate'").groupBy("sector").agg(F.array_sort(F.collect_set("ticker")).alias("suppressed"))
     rows = companies.select("sector").distinct()
+    # a row for each sector
     for part in (moved, news_of_sectors(news, warnings), focus_of_sectors(companies, warnings, coverage), threats_of_sectors(entrants, peers), silent):
-        rows = rows.join(part, "sector", "left")
+        rows = rows.join(apart(part), "sector", "left")
     none = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long")).alias(c)
     rows = rows.where("delta > 0 or news is not null").select("sector", none("delta"), none("n_new"), none("n_escalated"), "news", "focus", "threats", "suppressed")
     stance = F.when(F.col("n_new") + F.col("n_escalated") > 0, F.format_string("%d new, %d escalated", "n_new", "n_escalated")).otherwise("No change this cycle; carrying news only")

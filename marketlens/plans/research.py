@@ -61,7 +61,8 @@ def _companies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _headlines(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").join(_companies(spark, d), F.col("s_suppkey") == F.col("o_custkey"))
+    # orders are many, and would be broadcast where few of their columns are read
+    rows = table(spark, d, "orders").hint("merge").join(_companies(spark, d), F.col("s_suppkey") == F.col("o_custkey"))
     return rows.select(F.col("o_orderkey").alias("id"), F.expr("date_add(DATE'1998-01-01', cast(o_orderkey * 7 % 181 as int))").alias("day"), "sector", F.expr(_TITLE).alias("title"))
 
 

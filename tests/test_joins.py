@@ -24,6 +24,11 @@ def test_runs_of_headlines_are_never_broadcast(spark, data):
     assert not [x for x in lines if "o_orderkey" in x]
 
 
+def test_headlines_and_their_orders_are_never_broadcast(spark, data):
+    for frame in (research._headlines(spark, data), research.coverage_counts(spark, data), research.new_entrants(spark, data)):
+        assert not [x for x in _broadcast(frame) if "o_orderkey" in x or "flatten" in x]
+
+
 def test_pairs_are_dealt_by_size(spark, monkeypatch):
     from marketlens.operators import sets
 
