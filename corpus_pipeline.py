@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.llm import bpe, lines, minhash, mixing, quality
-from marketlens.llm.store import written
+from marketlens.llm.store import dropped, written
 from marketlens.session import with_checkpoints
 
 VOCABULARY = "word_bpe_49k.json"
@@ -75,7 +75,10 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to documents; each stage's result is written to the shared folder and read again."""
     docs = with_checkpoints(spark).read.parquet(f"{sf_dir}/documents.parquet")
     for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs = written(docs)
+            made = written(made)
+            if i:  # never the input itself
+                dropped(docs)
+        docs = made
     return docs

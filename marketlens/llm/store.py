@@ -8,13 +8,21 @@ from pyspark.sql import DataFrame
 
 from marketlens.session import with_checkpoints
 
+#: Spark then deletes a query's shuffle files when the query ends; else they stay until the driver collects its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def written(frame: DataFrame) -> DataFrame:
-    """Writes the frame once as Parquet under spark.checkpoint.dir and reads it again."""
+    """Writes the frame once as Parquet under spark.checkpoint.dir and reads it again. Nothing of its shuffles stays on disk."""
     spark = with_checkpoints(frame.sparkSession)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{uuid.uuid4().hex}"
     schema = frame.schema
-    frame.write.parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before else spark.conf.unset(CLEANUP)
     return spark.read.schema(schema).parquet(path)
 
 

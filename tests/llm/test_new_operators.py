@@ -1,6 +1,8 @@
 """SimHash, filter audit and spelling variants against brute force, and on odd rows."""
 
+import os
 import re
+import time
 from collections import Counter, defaultdict
 from itertools import permutations
 from zlib import crc32
@@ -10,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from marketlens.llm import audit, queries, simhash, variants
+from marketlens.llm import audit, queries, simhash, store, variants
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {k: k + 32 for k in range(65, 91)}
@@ -238,3 +241,33 @@ def test_variants_collisions(monkeypatch):
     """Words whose keys all collide are told apart by their texts."""
     rows = [("abcde", 9, 0, 0), ("xabcde", 4, 1, 0), ("abcdf", 5, 2, 4), ("abcde", 9, 2, 4), ("zzzzz", 7, 2, 4), ("qabcd", 3, 1, 1)]
     assert sorted(variants._met(rows)) == [("abcde", 1, 4, "xabcde"), ("abcde", 1, 5, "abcdf"), ("abcdf", 1, 9, "abcde"), ("xabcde", 1, 9, "abcde")]
+
+
+def _shuffle_files(spark):
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {f.getName() for f in spark.sparkContext._jvm.scala.jdk.javaapi.CollectionConverters.asJava(blocks.getAllFiles()) if f.getName().startswith("shuffle_")}
+
+
+def test_written_leaves_no_shuffle(spark):
+    """A table's shuffle files go once it is written, and the session's settings stay as they were."""
+    frame = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    before, held = _shuffle_files(spark), spark.conf.get(store.CLEANUP, None)
+    got = store.written(frame)
+    for _ in range(50):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get(store.CLEANUP, None) == held
+    assert {r["k"]: r["n"] for r in got.collect()} == {k: len(range(k, 1000, 7)) for k in range(7)}
+
+
+def test_pipeline_keeps_one_table(spark, monkeypatch, tmp_path):
+    """Documents of earlier stages go when the next stage's are written; the input stays."""
+    import corpus_pipeline
+
+    spark.createDataFrame([(k, "x") for k in range(9)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(k), lambda _, docs, __: docs) for k in range(4)])
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    before = set(os.listdir(folder))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 9
+    assert len(set(os.listdir(folder)) - before) == 1 and spark.read.parquet(f"{tmp_path}/documents.parquet").count() == 9
