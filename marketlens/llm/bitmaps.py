@@ -22,16 +22,19 @@ def _place(key: str) -> tuple[Column, Column]:
 
 
 def bitmaps(keys: DataFrame, key: str) -> DataFrame:
-    """(map, bits): which of BITS residues the keys have; BITS // _MAP rows of 4 kB at most."""
+    """(map, words): which of BITS residues the keys have; BITS // _MAP rows of 4 kB at most."""
     number, bit = _place(key)
     rows = keys.select(number.alias("map"), bit.alias("bit")).repartition(min(BITS // _MAP, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "map")
-    return F.broadcast(written(rows.groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits"))))
+    bits = rows.groupBy("map").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    # numbers once a map, so that a lookup takes an item and need not cut and read bytes
+    words = F.expr(f"transform(sequence(0, {_MAP // 64 - 1}), i -> cast(conv(hex(substring(bits, 8 * i + 1, 8)), 16, -10) as bigint))")
+    return F.broadcast(written(bits.select("map", words.alias("words"))))
 
 
 def likely(frame: DataFrame, key: str, maps: DataFrame, absent: bool = False) -> DataFrame:
     """The rows whose key may be among those of the bitmaps; with ``absent``, the others."""
     number, bit = _place(key)
     read = frame.withColumns({"map": number, "bit": bit}).join(maps, "map", "left" if absent else "inner")
-    byte = "cast(conv(hex(substring(bits, cast(shiftright(bit, 3) as int) + 1, 1)), 16, 10) as int)"
-    held = F.expr(f"coalesce(getbit({byte}, cast(bit & 7 as int)), 0) = {0 if absent else 1}")
-    return read.where(held).drop("map", "bit", "bits")
+    # the first of a word's eight bytes holds its highest bits
+    held = F.expr(f"coalesce(getbit(words[cast(shiftright(bit, 6) as int)], cast(bit & 63 ^ 56 as int)), 0) = {0 if absent else 1}")
+    return read.where(held).drop("map", "bit", "words")

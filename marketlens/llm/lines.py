@@ -110,6 +110,13 @@ def _similar(a: str, b: str) -> Column:
     return (100 * F.least(n_a, n_b) >= PERCENT * F.greatest(n_a, n_b)) & ((100 + PERCENT) * both >= PERCENT * (n_a + n_b))
 
 
+def members_of(lines: DataFrame) -> DataFrame:
+    """lines (node, wide) -> (node, h): a row for each distinct hash of a line's runs."""
+    # two steps, as functions with lambdas are not compiled and would take the explosion with them; no set is empty, and
+    # a plain explode would have Spark test that below, where every set is worked out once more
+    return lines.select("node", F.array_distinct(shingles("wide")).alias("set")).select("node", F.explode_outer("set").alias("h"))
+
+
 def parities(words: list[str]) -> list[Column]:
     """Aggregates over the distinct hashes h of a set: for each of PARITY * 64 bits, whether an odd number of them falls there."""
     word, bit = F.shiftrightunsigned("h", 40).bitwiseAND(PARITY - 1), F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int))")
@@ -132,7 +139,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b and other columns) whose exact sets reach the similarity. texts: (node, wide, size, s0, ...)."""
     for x in "ab":
         pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("size").alias(f"n_{x}"), *[F.col(s).alias(f"{x}{g}") for g, s in enumerate(_SIGNS)], *[F.col(p).alias(f"{x}{p}") for p in _PARITIES]), x)
-    near = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & _bounded("a", "b") & (_agree("a", "b") >= AGREE)
+    near = (100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")) & (_agree("a", "b") >= AGREE) & _bounded("a", "b")
     pairs = pairs.where(near).drop(*[f"{x}{y}" for x in "ab" for y in [*range(GROUPS), *_PARITIES]])
     for x in "ab":
         pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("wide").alias(f"wide_{x}")), x)
@@ -175,8 +182,10 @@ def _across(open_: DataFrame, texts: DataFrame) -> DataFrame:
     right = rows.select("band", all_of("others").alias("i"), at("n").alias("j"), *side("b"), (F.col("component") == F.col("largest")).alias("main"))
     # a pair counts in the first of its bands only; if that bucket is open no more, the pair is decided
     first = F.col("band") == F.coalesce(*[F.when(F.col(f"a{t}") == F.col(f"b{t}"), F.col(f"a{t}")) for t in _BANDS])
-    near = (F.col("of_a") != F.col("of_b")) & (F.col("main") | (F.col("a") < F.col("b"))) & _bounded("a", "b") & first & (_agree("a", "b") >= AGREE) & _similar("a", "b")
-    return left.join(right, ["band", "i", "j"]).where(near).select("of_a", "of_b").distinct()
+    near = (F.col("of_a") != F.col("of_b")) & (F.col("main") | (F.col("a") < F.col("b"))) & (_agree("a", "b") >= AGREE) & _bounded("a", "b") & first & _similar("a", "b")
+    links = written(left.join(right, ["band", "i", "j"]).where(near).select("of_a", "of_b").distinct())
+    dropped(most, rows)
+    return links
 
 
 def line_components(docs: DataFrame) -> DataFrame:
@@ -191,10 +200,11 @@ def line_components(docs: DataFrame) -> DataFrame:
     of = lambda g, c: F.max(F.when(F.col("group") == g, F.col(c)))
     bands = [of(k // 3, f"b{k % 3}").alias(t) for k, t in enumerate(_BANDS)]
     packed = _likely(signed, "node", maps).groupBy("node").agg(*[F.coalesce(of(g, "packed"), F.lit(-1)).alias(s) for g, s in enumerate(_SIGNS)], *bands)
-    lines = _likely(_lines(docs).select("node", "line"), "node", maps).join(needed, "node", "left_semi").groupBy("node").agg(F.min(_wide("line")).alias("wide"))
+    # a line that occurs often is cut down to one a task before the shuffle
+    lines = _likely(_lines(docs).select("node", "line"), "node", maps).groupBy("node").agg(F.min("line").alias("line")).join(needed, "node", "left_semi")
     # lines and not their sets are dealt, which are several times as large
-    lines = written(lines)
-    sets = lines.select("node", F.explode(F.array_distinct(shingles("wide"))).alias("h")).groupBy("node").agg(F.count("*").cast("int").alias("size"), *parities(_PARITIES))
+    lines = written(lines.select("node", _wide("line").alias("wide")))
+    sets = members_of(lines).groupBy("node").agg(F.count("*").cast("int").alias("size"), *parities(_PARITIES))
     texts = written(lines.join(sets, "node").join(packed, "node"))
     again = written(signed.where("n > 1").select("node").distinct())
     dropped(lines, signed, met)

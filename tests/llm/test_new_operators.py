@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from marketlens.llm import audit, queries, simhash, store, variants
+from marketlens.llm import audit, bitmaps, lines, queries, simhash, store, variants
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {k: k + 32 for k in range(65, 91)}
@@ -271,3 +271,22 @@ def test_pipeline_keeps_one_table(spark, monkeypatch, tmp_path):
     before = set(os.listdir(folder))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 9
     assert len(set(os.listdir(folder)) - before) == 1 and spark.read.parquet(f"{tmp_path}/documents.parquet").count() == 9
+
+
+def test_bitmaps(spark):
+    """Every key passes, absent rows are the others, and unlike residues don't pass."""
+    keys = [*range(0, 70), 1 << 15, (1 << 15) - 1, -1, -64, (1 << 62) + 5, bitmaps.BITS * 9 + 4095]
+    maps = bitmaps.bitmaps(spark.createDataFrame([(k,) for k in keys], "key long"), "key")
+    asked = spark.createDataFrame([(k + d,) for k in keys for d in (0, 1, 8, 64, 100_000)], "key long").distinct()
+    want = {k % bitmaps.BITS for k in keys}
+    there, away = ({r["key"] for r in bitmaps.likely(asked, "key", maps, absent).collect()} for absent in (False, True))
+    assert there == {r["key"] for r in asked.collect() if r["key"] % bitmaps.BITS in want} and there.isdisjoint(away) and there | away == {r["key"] for r in asked.collect()}
+
+
+def test_line_sets_worked_out_once(spark):
+    """A line's set is worked out by one step, and its members are dealt by another, which is compiled."""
+    rows = spark.createDataFrame([(1, "abcdefghabcdefgh"), (2, "ab")], "node long, line string").select("node", lines._wide("line").alias("wide"))
+    members = lines.members_of(rows)
+    plan = members._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("array_distinct") == 1 and "explode(set" in plan
+    assert {r["node"]: r["n"] for r in members.groupBy("node").agg(F.count("*").alias("n")).collect()} == {1: 8, 2: 1}
