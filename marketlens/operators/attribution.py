@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions import headlines as H
 from marketlens.functions.coerce import clauses, dedup_key
-from marketlens.operators.sets import top_of
+from marketlens.operators.sets import crossed, top_of
 
 
 def phrases(companies: DataFrame) -> DataFrame:
@@ -222,5 +222,5 @@ def new_entrants(titles: DataFrame, turf: DataFrame, companies: DataFrame, peers
 
 
 def entrant_warnings(entrants: DataFrame, companies: DataFrame) -> DataFrame:
-    """A warning for every holding of a sector that somebody enters."""
-    return entrants.join(companies.select("ticker", "sector"), "sector").select("ticker", "sector", "challenger", F.lit("High").alias("severity"), F.lit("risk").alias("direction"), F.lit("New Entrant").alias("category"))
+    """A warning for every holding of a sector that somebody enters. Both grow with the market, and warnings with their product."""
+    return crossed(entrants.select("sector", "challenger"), companies.select("ticker", "sector"), "sector").select("ticker", "sector", "challenger", F.lit("High").alias("severity"), F.lit("risk").alias("direction"), F.lit("New Entrant").alias("category"))
